@@ -1,20 +1,45 @@
-"""The queries of the training-data operators and, where SQL can express them, their SQL."""
+"""The queries of the training-data operators.
+
+None has SQL: each needs an automaton, a trained model, a tokenizer, a checksum or an iteration that
+DuckDB's SQL can't express; ``tests/llm`` holds each against a plain brute-force version.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import decontaminate, packing, pii, quality
 from .common import read_table
 
+TOKENIZER = "word_bpe_49k.json"
+
+
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = decontaminate.mark(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "benchmark"))
+    return decontaminate.report(marked)
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.summaries(read_table(spark, sf_dir, "documents"))
+
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return quality.score_quality(docs).select("doc_id", *quality.COUNTS, "base_failed", "kept", "p_good")
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 def queries():
-    return {"op8_quality_rules": op8_quality_rules}
+    return {
+        "op1_benchmark_decontamination": op1_benchmark_decontamination,
+        "op7_pii": op7_pii,
+        "op8_quality_rules": op8_quality_rules,
+        "op10_best_fit_packing": op10_best_fit_packing,
+    }
 
 
 def oracle_sql():
