@@ -2,8 +2,8 @@
 
 Documents are tokenised, ended by one id and cut into pieces of at most ``capacity`` tokens.  The
 pieces are dealt into groups of about ``group_tokens`` tokens (by a hash of id and piece, so a long
-document spreads out too); each group is packed by itself, in a fixed order, with ``open_bins``
-bins open: a piece goes to the fullest bin that still has room, found in a bitset keyed by free
+document spreads out too); each group is packed by itself, the longest piece first, with
+``open_bins`` bins open: a piece goes to the fullest bin that still has room, found in a bitset keyed by free
 space; when none has room and all bins are in use, the fullest closes.
 
 Only a group's leftover bins are wasted, so the loss stays below ``open_bins * groups`` sequences,
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import cut, text_of
 
 CAPACITY = 2048
-OPEN_BINS = 512
-GROUP_TOKENS = 32_000_000
+OPEN_BINS = 4096
+GROUP_TOKENS = 8_000_000
 END_ID = 0
 
 # Characters for which the fast path below equals the tokenizer: printable ASCII, the usual white
@@ -168,7 +168,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS,
     tokens = found.agg(F.sum("length")).first()[0] or 0
     groups = max(1, -(-tokens // group_tokens))
     order = F.xxhash64(id_column, "piece", "ids_crc32")
-    dealt = found.withColumn("_order", order).repartition(groups, "_order").sortWithinPartitions("_order", id_column, "piece", "ids_crc32")
+    dealt = found.withColumn("_order", order).repartition(groups, "_order").sortWithinPartitions(F.desc("length"), "_order", id_column, "piece", "ids_crc32")
     dealt = dealt.withColumn("_group", F.spark_partition_id()).drop("_order")
     length_at = names.index("length")
 
