@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, pii, quality
+from . import decontaminate, jaccard, packing, pii, quality
 from .common import read_table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -29,6 +29,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs).select("doc_id", *quality.COUNTS, "base_failed", "kept", "p_good")
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -38,6 +42,7 @@ def queries():
         "op1_benchmark_decontamination": op1_benchmark_decontamination,
         "op7_pii": op7_pii,
         "op8_quality_rules": op8_quality_rules,
+        "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
 
