@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, packing, pii, quality
+from . import decontaminate, jaccard, packing, pii, quality, warc
 from .common import read_table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -20,6 +20,10 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.report(marked)
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read_table(spark, sf_dir, "pages"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.summaries(read_table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries():
     return {
         "op1_benchmark_decontamination": op1_benchmark_decontamination,
+        "op2_warc": op2_warc,
         "op7_pii": op7_pii,
         "op8_quality_rules": op8_quality_rules,
         "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
