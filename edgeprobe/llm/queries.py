@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, packing, pii, quality, warc
+from . import decontaminate, jaccard, packing, pii, quality, suffix_tree, warc
 from .common import read_table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -24,6 +24,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read_table(spark, sf_dir, "pages"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score_texts(read_table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.summaries(read_table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ def queries():
     return {
         "op1_benchmark_decontamination": op1_benchmark_decontamination,
         "op2_warc": op2_warc,
+        "op3_lm_scoring": op3_lm_scoring,
         "op7_pii": op7_pii,
         "op8_quality_rules": op8_quality_rules,
         "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
