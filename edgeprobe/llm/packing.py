@@ -38,19 +38,49 @@ _LETTER = "a-zß-öø-ÿĀ-ž"
 _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^\s{_LETTER}0-9]+")
 
 
+class _Known(dict):
+    """Ids of stretches between white space, as bytes; a new one is split into words, and those are kept too."""
+
+    def __init__(self, model, old: dict, to_unicode: list[str]):
+        super().__init__()
+        self.model, self.old, self.to_unicode = model, old, to_unicode
+
+    def __missing__(self, stretch: str) -> bytes:
+        out = self.old.get(stretch)
+        if out is None:
+            parts = _PIECES.findall(stretch)
+            if len(parts) == 1:
+                w = stretch if stretch.isascii() else "".join([self.to_unicode[b] for b in stretch.encode()])
+                out = np.array([t.id for t in self.model.tokenize(w)], "<u4").tobytes()
+            else:
+                out = b"".join([self[w] for w in parts])
+        self[stretch] = out
+        return out
+
+
+def _byte_letters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it prints, else from U+0100 on."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    out, more = [], 256
+    for b in range(256):
+        out.append(chr(b if b in prints else more))
+        more += b not in prints
+    return out
+
+
 class Encoder:
-    """Token ids as little-endian uint32 bytes, with a bounded memory of words.
+    """Token ids as little-endian uint32 bytes, with a bounded memory of what came before.
 
-    The vocabulary splits a text into words before anything else and encodes each by itself, so a
-    word's ids are kept and joined.  Texts with characters outside a plain set, or with "<|", which may
-    begin a special token, go to the tokenizer whole.
+    The vocabulary splits a text at white space and further into words before anything else and encodes each word by
+    itself, so the ids of a stretch between white space can be kept and joined.  Texts with characters outside a
+    plain set, or with "<|", which may begin a special token, go to the tokenizer whole.
     """
 
-    def __init__(self, path: str, remembered: int = 150_000):
+    def __init__(self, path: str, remembered: int = 350_000):
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.remembered = remembered
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.letters = _byte_letters()
+        self.known = _Known(self.tokenizer.model, {}, self.letters)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -58,19 +88,10 @@ class Encoder:
     def ids(self, text: str) -> bytes:
         if "<|" in text or _ODD.search(text):
             return self.whole(text)
-        found = _PIECES.findall(text.lower())
-        young = self.young
-        new = list({w for w in found if w not in young})
-        if new:
-            old = self.old
-            ask = [w for w in new if w not in old]
-            young.update((w, old[w]) for w in new if w in old)
-            for i in range(0, len(ask), 4096):
-                part = ask[i : i + 4096]
-                young.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True))
-        out = b"".join(map(young.__getitem__, found))
-        if len(young) > self.remembered:
-            self.old, self.young = young, {}
+        out = b"".join(map(self.known.__getitem__, text.lower().split()))
+        if len(self.known) > self.remembered:
+            known = dict(self.known)
+            self.known = _Known(self.tokenizer.model, known, self.letters)
         return out
 
 
