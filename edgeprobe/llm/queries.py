@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, packing, pii, quality, suffix_tree, warc
+from . import decontaminate, jaccard, language, packing, pii, quality, suffix_tree, toxicity, warc
 from .common import read_table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -28,6 +28,14 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.score_texts(read_table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(read_table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.summaries(read_table(spark, sf_dir, "documents"))
 
@@ -50,6 +58,8 @@ def queries():
         "op1_benchmark_decontamination": op1_benchmark_decontamination,
         "op2_warc": op2_warc,
         "op3_lm_scoring": op3_lm_scoring,
+        "op4_language_id": op4_language_id,
+        "op5_toxicity": op5_toxicity,
         "op7_pii": op7_pii,
         "op8_quality_rules": op8_quality_rules,
         "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
