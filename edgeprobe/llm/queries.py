@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, language, packing, pii, quality, suffix_tree, toxicity, warc
+from . import decontaminate, jaccard, language, packing, pii, quality, suffix_tree, toxicity, urls, warc
 from .common import read_table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -36,6 +36,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(read_table(spark, sf_dir, "pages"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.summaries(read_table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ def queries():
         "op3_lm_scoring": op3_lm_scoring,
         "op4_language_id": op4_language_id,
         "op5_toxicity": op5_toxicity,
+        "op6_url_filter": op6_url_filter,
         "op7_pii": op7_pii,
         "op8_quality_rules": op8_quality_rules,
         "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
