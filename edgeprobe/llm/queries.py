@@ -57,6 +57,12 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
     return {
         "op1_benchmark_decontamination": op1_benchmark_decontamination,
@@ -69,6 +75,7 @@ def queries():
         "op8_quality_rules": op8_quality_rules,
         "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
         "op10_best_fit_packing": op10_best_fit_packing,
+        "pipeline": pipeline,
     }
 
 
