@@ -138,14 +138,20 @@ class VoteModel:
         return (1 / (1 + F.exp(-total))).alias("p_good")
 
 
-def fit_votes(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, prior: float = 0.8, rounds: int = 200, smooth: float = 1.0) -> VoteModel:
+def fit_votes(patterns: list[tuple[tuple[int, ...], int]], both: list[bool], prior: float = 0.8, rounds: int = 200, smooth: float = 1.0) -> VoteModel:
     """Expectation-maximisation over (votes, how many documents).
 
-    Rules are taken as independent given the class.  At the start a rule votes bad for a tenth as
-    many good documents as bad ones, and good for four times as many.  ``smooth`` imagined documents for each
-    outcome keep the estimates positive; with no documents the starting model is returned.
+    Rules are taken as independent given the class; ``both`` tells for each whether it can vote good.  At
+    the start a rule votes bad for a tenth as many good documents as bad ones and, if it can, good for
+    four times as many.  ``smooth`` imagined documents for each outcome keep the estimates positive; with no
+    documents the starting model is returned.
     """
-    model = VoteModel(prior, ({-1: 0.03, 0: 0.17, 1: 0.8},) * n_rules, ({-1: 0.3, 0: 0.5, 1: 0.2},) * n_rules)
+    n_rules = len(both)
+    model = VoteModel(
+        prior,
+        tuple({-1: 0.03, 0: 0.17, 1: 0.8} if x else {-1: 0.03, 0: 0.96, 1: 0.01} for x in both),
+        tuple({-1: 0.3, 0: 0.5, 1: 0.2} if x else {-1: 0.3, 0: 0.69, 1: 0.01} for x in both),
+    )
     total = sum(n for _, n in patterns)
     for _ in range(rounds if total else 0):
         good = [dict.fromkeys(OUTCOMES, smooth) for _ in range(n_rules)]
@@ -175,7 +181,7 @@ def learn(voted: DataFrame, rules=RULES) -> VoteModel:
     """The model of all rows' votes: one aggregation, at most 3 ** len(rules) rows to the driver."""
     names = [f"v_{r.name}" for r in rules]
     rows = voted.groupBy(*names).count().collect()
-    return fit_votes(sorted((tuple(r[n] for n in names), r["count"]) for r in rows), len(rules))
+    return fit_votes(sorted((tuple(r[n] for n in names), r["count"]) for r in rows), [r.good is not None for r in rules])
 
 
 def base_failed() -> Column:
@@ -209,5 +215,8 @@ def keep_good(docs: DataFrame) -> DataFrame:
     clash = {c: f"own_{c}" for c in own if c != "text"}
     renamed = docs.withColumnsRenamed(clash)
     model = learn(votes(text_counts(docs.select("text"))))
-    kept = judge(votes(text_counts(renamed)), model).where("kept")
+    judged = judge(votes(text_counts(renamed)), model)
+    # The row's number, always at least 0, keeps the filter above the counts: pushed below them it would hold
+    # every expression over the text as often as it is used.
+    kept = judged.withColumn("_row", F.monotonically_increasing_id()).where(F.col("kept") & (F.col("_row") >= 0))
     return kept.select(*[F.col(clash.get(c, c)).alias(c) for c in own])
