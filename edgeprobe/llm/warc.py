@@ -36,6 +36,8 @@ END = "\r\n\r\n"
 CRLF = b"\r\n"
 #: Most records in a file of an archive; files are read back whole.
 FILE_RECORDS = 4096
+#: Most revisits that are broadcast (some 100 bytes each); more are joined by a shuffle of the pages.
+SENT_ROWS = 200_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _FIELDS = {1: ("url", "ip", "date", "type", "length"), 2: ("url", "ip", "date", "type", "result", "checksum", "location", "offset", "filename", "length")}
 
@@ -190,6 +192,8 @@ def write_archives(pages: DataFrame, path: str, file_records: int = FILE_RECORDS
     own = full.select("page_id", F.sha1(F.col("html").cast("binary")).alias("sha")).where("page_id is not null")
     first = own.groupBy("sha").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("sha", "first")
     again = cut(own.join(first, "sha").where("page_id != first").select("page_id", "sha", "first").distinct())
+    if again.count() <= SENT_ROWS:
+        again = F.broadcast(again)
     records = full.withColumn("sha", F.sha1(F.col("html").cast("binary"))).join(again, ["page_id", "sha"], "left")
     records.select("page_id", "url", "html", "first").mapInArrow(_convert, "value string").write.option("lineSep", END).option("maxRecordsPerFile", file_records).text(path)
 
