@@ -7,7 +7,11 @@ from ..functions.nulls import safe_div, safe_ln
 from ..functions.windows import lead, mean_rank, roll
 from .execution import RATE
 
-AT = Window.partitionBy("time_pos")
+
+def at_time():
+    """All symbols of one time."""
+    return Window.partitionBy("time_pos")
+
 
 
 def prices(dense: DataFrame) -> DataFrame:
@@ -37,8 +41,8 @@ def liquidity_screen(panel: DataFrame, top_n: int, window: int, least: int) -> D
 
 def neutralise(weights: DataFrame, w: str = "w", allow_short: bool = True) -> DataFrame:
     """Each side over its gross; without both sides (or the long one, if alone) the whole time is flat."""
-    up = F.sum(F.greatest(F.col(w), F.lit(0.0))).over(AT)
-    down = F.sum(F.greatest(-F.col(w), F.lit(0.0))).over(AT)
+    up = F.sum(F.greatest(F.col(w), F.lit(0.0))).over(at_time())
+    down = F.sum(F.greatest(-F.col(w), F.lit(0.0))).over(at_time())
     b = weights.withColumn("_up", up).withColumn("_down", down)
     if not allow_short:
         return b.withColumn(w, F.when(F.col("_up") > 0, F.col(w) / F.col("_up")).otherwise(0.0)).drop("_up", "_down")
@@ -55,9 +59,9 @@ def top_book(panel: DataFrame, score: str, k: int = 3, rebalance: int = 42, allo
     """
     block = F.floor(F.col("time_pos") / rebalance)
     b = panel.withColumn("_block", block).withColumn("_open", F.col("time_pos") % rebalance == 0)
-    at = b.where("_open").withColumn("_n", F.count(score).over(AT))
-    best = F.row_number().over(AT.orderBy(F.col(score).desc_nulls_last(), "symbol"))
-    worst = F.row_number().over(AT.orderBy(F.col(score).asc_nulls_last(), F.desc("symbol")))
+    at = b.where("_open").withColumn("_n", F.count(score).over(at_time()))
+    best = F.row_number().over(at_time().orderBy(F.col(score).desc_nulls_last(), "symbol"))
+    worst = F.row_number().over(at_time().orderBy(F.col(score).asc_nulls_last(), F.desc("symbol")))
     chosen = F.when(F.col(score).isNull(), 0.0).when(best <= k, 1.0 / k).when(F.lit(allow_short) & (worst <= k), -1.0 / k).otherwise(0.0)
     at = at.withColumn("_w", F.when(F.col("_n") >= 2 * k, chosen))
     past = Window.partitionBy("symbol").orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)
@@ -69,7 +73,7 @@ def top_book(panel: DataFrame, score: str, k: int = 3, rebalance: int = 42, allo
 def equal_book(panel: DataFrame, rebalance: int = 42) -> DataFrame:
     """1/alive at every rebalance; a symbol that dies is out until the next."""
     b = panel.withColumn("_block", F.floor(F.col("time_pos") / rebalance)).withColumn("_live", F.col("alive").cast("int"))
-    share = F.when(F.col("alive"), safe_div(F.lit(1.0), F.sum("_live").over(AT).cast("double"))).otherwise(0.0)
+    share = F.when(F.col("alive"), safe_div(F.lit(1.0), F.sum("_live").over(at_time()).cast("double"))).otherwise(0.0)
     in_block = Window.partitionBy("symbol", "_block").orderBy("time_pos")
     b = b.withColumn("_share", share).withColumn("_first", F.first("_share").over(in_block))
     still = F.min("_live").over(in_block.rowsBetween(Window.unboundedPreceding, 0))
@@ -79,7 +83,7 @@ def equal_book(panel: DataFrame, rebalance: int = 42) -> DataFrame:
 def static_book(panel: DataFrame, reference: str) -> DataFrame:
     """Long one symbol, short all others that are alive in equal parts."""
     other = F.col("alive") & (F.col("symbol") != reference)
-    n = F.sum(other.cast("int")).over(AT)
+    n = F.sum(other.cast("int")).over(at_time())
     w = F.when((F.col("symbol") == reference) & F.col("alive"), 1.0).when(other, -1.0 / n).otherwise(0.0)
     return panel.withColumn("w", w)
 

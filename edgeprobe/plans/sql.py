@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.nulls import finite
+
 #: Hour bars of event types.
 EB = """eb AS (SELECT e.event_type AS symbol, date_trunc('hour', e.ts) AS ts, first(e.value ORDER BY e.ts, e.event_id) AS open, max(e.value) AS high,
  min(e.value) AS low, last(e.value ORDER BY e.ts, e.event_id) AS close, sum(e.value) AS volume, count(*)::DOUBLE AS trades
@@ -68,7 +70,7 @@ def laid_out(df: DataFrame, spec: str) -> DataFrame:
     how = {
         "~": lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss"),
         "#": lambda c: F.round(F.col(c).cast("double") + F.lit(1.23e-7), 6) + F.lit(0.0),
-        "=": lambda c: F.format_string("%.6e", F.col(c).cast("double")),
+        "=": lambda c: F.when(finite(F.col(c).cast("double")).isNotNull(), F.format_string("%.6e", F.col(c).cast("double"))),
         "&": lambda c: F.col(c).cast("bigint"),
         "": F.col,
     }
@@ -76,5 +78,5 @@ def laid_out(df: DataFrame, spec: str) -> DataFrame:
 
 
 def select(spec: str) -> str:
-    how = {"~": "strftime({0}, '%Y-%m-%d %H:%M:%S')", "#": "round(({0})::DOUBLE + 1.23e-7, 6) + 0.0", "=": "printf('%.6e', ({0})::DOUBLE)", "&": "({0})::BIGINT", "": "{0}"}
+    how = {"~": "strftime({0}, '%Y-%m-%d %H:%M:%S')", "#": "round(({0})::DOUBLE + 1.23e-7, 6) + 0.0", "=": "CASE WHEN isfinite(({0})::DOUBLE) THEN printf('%.6e', ({0})::DOUBLE) END", "&": "({0})::BIGINT", "": "{0}"}
     return ", ".join(f"{how[k].format(c)} AS {c}" for c, k in _items(spec))
