@@ -28,7 +28,8 @@ from .common import text_of, written
 WINDOW = 10
 #: Most characters of patterns in one automaton (about 60 bytes of memory each).
 BLOCK_CHARS = 1_000_000
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: A word of an original text, capitals included.
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 

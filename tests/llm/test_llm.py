@@ -1,0 +1,447 @@
+"""The training-data operators against plain brute-force versions on small fixtures."""
+
+import base64
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+
+from edgeprobe.llm import decontaminate, jaccard, language, packing, pii, quality, suffix_tree, toxicity, urls, warc
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+VOCAB = [a + b for a in ("ka", "lo", "mi", "ter", "sun", "vel", "dra", "po") for b in ("n", "ra", "st", "lik", "mo", "e")]
+
+
+def words(rng, n):
+    return " ".join(rng.choice(VOCAB) for _ in range(n))
+
+
+def docs_frame(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS)
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(5)
+    base = words(rng, 120)
+    near = base.split()
+    near[60] = "changed"
+    far = base.split()[:60] + words(rng, 60).split()
+    common = "all rights reserved by the owners of this page"
+    rows = [base, " ".join(near), " ".join(far), base, None, "", "  \n\t ", "one", "one", "two words", "x " * 400, "A\nB\nA\n", "É" * 30]
+    rows += [f"{words(rng, 70)}\n{common}" for _ in range(12)]
+    cluster = words(rng, 90).split()
+    for _ in range(25):
+        w = list(cluster)
+        for _ in range(rng.randrange(0, 6)):
+            w[rng.randrange(len(w))] = rng.choice(VOCAB)
+        rows.append(" ".join(w))
+    rows.append(words(rng, 30_000))
+    return list(enumerate(rows))
+
+
+# ---- 8 quality
+
+
+def brute_counts(t):
+    t = t or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    c = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    at = {i + k for i in range(len(w) - 2) if c[tuple(w[i : i + 3])] > 1 for k in range(3)}
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(at)
+
+
+def test_quality_counts(spark, texts):
+    got = {r["doc_id"]: r for r in quality.score_quality(docs_frame(spark, texts)).collect()}
+    assert len(got) == len(texts)
+    for i, t in texts:
+        n = brute_counts(t)
+        assert n == tuple(got[i][c] for c in quality.COUNTS), i
+        assert got[i]["base_failed"] == (n[0] < 50 or 100 * n[4] > 50 * n[0])
+        assert not (got[i]["kept"] and got[i]["base_failed"])
+
+
+def test_votes_separate_junk():
+    clean, junk, loud = (0, 0, 0, 0, 0, 0, 1), (0, -1, 0, 0, 0, 0, -1), (-1, 0, -1, -1, 0, -1, -1)
+    for total in (200, 20_000):
+        m = quality.fit_votes([(clean, total * 8 // 10), (junk, total // 10), (loud, total // 10)], [r.good is not None for r in quality.RULES])
+        assert m.posterior(clean) > 0.9 and m.posterior(junk) < 0.1 and m.posterior(loud) < 0.1
+    assert quality.fit_votes([], [False, True]).prior == 0.8
+
+
+def test_quality_stage_keeps_columns(spark, texts):
+    df = docs_frame(spark, texts).withColumnRenamed("source", "n_words")
+    assert quality.keep_good(df).columns == df.columns
+    assert quality.keep_good(df.limit(0)).count() == 0
+
+
+# ---- 9 near duplicates
+
+
+def brute_components(rows):
+    sets = {}
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+    part = {i: i for i in sets}
+
+    def top(x):
+        while part[x] != x:
+            x = part[x]
+        return x
+
+    ids = sorted(sets)
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = top(i), top(j)
+                part[max(a, b)] = min(a, b)
+    return {i: (len(sets[i]), top(i)) for i in ids}
+
+
+def test_near_duplicates(spark, texts):
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(docs_frame(spark, texts)).collect()}
+    assert got == brute_components(texts)
+
+
+def test_near_duplicates_of_chains_and_common_lines(spark, monkeypatch):
+    """Chains of barely linked texts and blocks of common shingles, with tiny chunks, so that every path is taken."""
+    monkeypatch.setattr(jaccard, "COMMON_LEAST", 2)
+    rng = random.Random(11)
+    rows, k = [], 0
+    line = words(rng, 12)
+    for _ in range(6):
+        w = words(rng, 60).split()
+        for _ in range(14):
+            rows.append((k, " ".join(w) + ("\n" + line if rng.random() < 0.6 else "")))
+            k += 1
+            w = list(w)
+            w[rng.randrange(len(w))] = rng.choice(VOCAB)
+            if rng.random() < 0.5:
+                w = w[1:] + [rng.choice(VOCAB)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(docs_frame(spark, rows).repartition(3)).collect()}
+    assert got == brute_components(rows)
+
+
+def test_block_keys_never_lose_a_link():
+    """Any two linked sets share a key, whichever shingles count as common."""
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 4, 7, 8, 20, 33, 64, 150, 700):
+        for _ in range(12):
+            a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
+            most = len(a) // 7
+            drop, add = rng.integers(0, most + 1), rng.integers(0, most + 1)
+            b = np.unique(np.concatenate([a[rng.permutation(len(a))[drop:]], rng.integers(0, 2**63, add).astype(np.uint64)]))
+            if jaccard.linked(a, b):
+                for share in (0.0, 0.5, 0.9, 1.0):
+                    common = np.sort(a[rng.random(len(a)) < share])
+                    assert len(np.intersect1d(jaccard.block_keys(a, common), jaccard.block_keys(b, common)))
+                apart = np.unpackbits((jaccard.sketch(a) ^ jaccard.sketch(b)).view(np.uint8)).sum()
+                assert apart <= jaccard.most_different(len(a), len(b))
+
+
+def test_near_duplicates_edges(spark):
+    empty = docs_frame(spark, [(1, "a")]).limit(0)
+    assert jaccard.near_duplicates(empty).count() == 0
+    rows = docs_frame(spark, [(None, "a b c d e f"), (3, "a b c d e f"), (2, "A B C d e f"), (2, None)])
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in jaccard.near_duplicates(rows).collect())
+    assert got == [("2", 0, "2"), ("2", 2, "2"), ("3", 2, "2"), ("None", 2, "None")]
+
+
+# ---- 1 decontamination
+
+
+def brute_scan(items, text):
+    lower = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    w, hit, own = lower(text), set(), set()
+    for item, t in items:
+        v = lower(t)
+        windows = [v[i : i + 10] for i in range(max(1, len(v) - 9))] if v else []
+        for x in windows:
+            for i in range(len(w) - len(x) + 1):
+                if w[i : i + len(x)] == x:
+                    hit |= set(range(i, i + len(x)))
+                    own.add(item)
+    return len(w), len(hit), len(own), hashlib.sha256(",".join(sorted(own)).encode()).hexdigest(), bool(hit)
+
+
+@pytest.mark.parametrize("block_chars", [decontaminate.BLOCK_CHARS, 900])
+def test_decontamination(spark, block_chars):
+    rng = random.Random(2)
+    items = [(str(k), words(rng, n)) for k, n in enumerate((25, 10, 4, 1, 12, 30))] + [("10", None), ("11", ""), ("12", "Été déjà")]
+    rows = [(k, words(rng, 40)) for k in range(6)]
+    rows += [(50, f"Intro; {items[0][1].upper()}... end"), (51, " ".join(items[4][1].split()[1:11])), (52, f"x {items[2][1]} {items[2][1]}"), (53, None), (54, ""), (55, "was été déjà vu"), (56, items[5][1].replace(" ", ", "))]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    marked = decontaminate.mark(docs_frame(spark, rows), bench, block_chars=block_chars)
+    got = {r["doc_id"]: tuple(r)[1:] for r in decontaminate.report(marked).collect()}
+    assert got == {i: brute_scan(items, t) for i, t in rows}
+    text = rows[6][1]
+    (run,) = decontaminate.in_text(text, decontaminate.merged([(a, b) for a, b, _ in decontaminate.scan(decontaminate.build(items), text)[1]]))
+    assert text[slice(*run)] == items[0][1].upper()
+    assert decontaminate.mark(docs_frame(spark, rows), bench.limit(0)).where("size(bm_runs) > 0").count() == 0
+
+
+# ---- 7 personal data
+
+PATTERNS = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(x) <= 255 for x in s.split("."))),
+    "card": (r"[0-9]([\x20-]?[0-9])+", lambda s: 13 <= len(re.sub("[^0-9]", "", s)) <= 19 and pii.luhn(re.sub("[^0-9]", "", s))),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 9 <= len(re.sub("[^0-9]", "", s)) <= 15),
+}
+
+
+def brute_pii(t):
+    return [(k, m.start(), m.end()) for k, (p, ok) in PATTERNS.items() for m in re.finditer(p, t or "") if ok(m.group())]
+
+
+def test_pii_base():
+    rng = random.Random(9)
+    alphabet = ["a@b", "x.y", "@", ".", "-", "+", "1", "25", "255", "4111111111111111", "4111 1111 1111 1111", " ", "(", ")", "é", "%", "mail@ex-am.ple.com", "+1 (415) 555-0100", "10.0.0.1", "_"]
+    for _ in range(3000):
+        t = "".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 14)))
+        assert [(s.kind, s.start, s.end) for s in pii.find_spans(t) if s.kind in pii.BASE_KINDS] == brute_pii(t), t
+    for t in ("1" * 20_000, "a" * 20_000 + "@", "+1" + " " * 20_000, "1." * 10_000, None, ""):
+        pii.find_spans(t)
+
+
+def test_pii_more_and_redaction():
+    t = "Bank account IBAN GB82 WEST 1234 5698 7654 32, SSN 219-09-9999, mail a.b@c.org"
+    spans = pii.find_spans(t)
+    assert {s.kind for s in spans} >= {"iban", "ssn", "email"}
+    assert pii.redact(t, spans).endswith("mail [EMAIL]") and "WEST" not in pii.redact(t, spans)
+    assert not any(s.kind == "iban" for s in pii.find_spans("IBAN GB82 WEST 1234 5698 7654 33"))
+
+
+def test_pii_frames(spark, texts):
+    rows = [(1, "write a@b.co or +49 (30) 901820 now"), (2, None), (3, "4111 1111 1111 1111")]
+    got = {r["doc_id"]: r for r in pii.summaries(docs_frame(spark, rows)).collect()}
+    assert (got[1]["n_email"], got[1]["n_phone"], got[3]["n_card"], got[2]["spans"]) == (1, 1, 1, "")
+    assert got[1]["base_sha256"] == hashlib.sha256(b"email:6:12,phone:16:31").hexdigest()
+    out = {r["doc_id"]: r["pii_redacted"] for r in pii.with_spans(docs_frame(spark, rows)).collect()}
+    assert out == {1: "write [EMAIL] or [PHONE] now", 2: None, 3: "[CARD]"}
+
+
+# ---- 10 packing
+
+
+def test_encoder_equals_tokenizer():
+    enc = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"), remembered=50)
+    rng = random.Random(4)
+    parts = ["it's", "don't", "''s", "!!", "!'ll", "1984", "é", "İ", "ſ", "ß", "́", "<|endoftext|>", "a_b", "\t", "\n", "  ", "\x0b", "中文", "x.y", "ŉ", "VEL", "Überäcker"]
+    for _ in range(400):
+        t = "".join(rng.choice(parts + VOCAB) + rng.choice(["", " "]) for _ in range(rng.randrange(0, 15)))
+        assert enc.ids(t) == enc.whole(t), t
+
+
+def test_packing(spark, texts):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    enc = packing.Encoder(path)
+    rows = packing.pack_documents(docs_frame(spark, [*texts, texts[0]]), path, capacity=256).collect()
+    bins, pieces = defaultdict(list), defaultdict(list)
+    for r in rows:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+        pieces[r["doc_id"]].append((r["piece"], r["start"], r["length"], r["ids_crc32"]))
+    for b in bins.values():
+        at = 0
+        for offset, length in sorted(b):
+            assert offset == at
+            at += length
+        assert at <= 256
+    for i, t in texts:
+        ids = np.append(np.frombuffer(enc.whole(t or ""), "<u4"), 0).astype("<u4")
+        want = [(k, a, min(256, len(ids) - a), zlib.crc32(ids[a : a + 256].tobytes())) for k, a in enumerate(range(0, len(ids), 256))]
+        assert sorted(set(pieces[i])) == want
+        assert len(pieces[i]) == len(want) * (2 if i == 0 else 1)
+    offline: list[int] = []  # first fit, the longest first, without a bound on open bins
+    for n in sorted((r["length"] for r in rows), reverse=True):
+        at = next((k for k, free in enumerate(offline) if free >= n), None)
+        if at is None:
+            offline.append(256)
+            at = -1
+        offline[at] -= n
+    assert len(bins) <= len(offline) + 1
+
+
+def test_best_fit_closes_the_fullest():
+    bins = packing.BestFit(10, 2)
+    assert [bins.place(n) for n in (6, 7, 3, 8, 4)] == [(0, 0), (1, 0), (1, 7), (2, 0), (0, 6)]
+    bins = packing.BestFit(10, 2)
+    assert [bins.place(n)[0] for n in (6, 7, 8, 4)] == [0, 1, 2, 0]
+    bins = packing.BestFit(10, 1)
+    assert [bins.place(n)[0] for n in (6, 7, 3)] == [0, 1, 1]
+
+
+# ---- 3 language model
+
+
+def test_lm_scores(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["the red fox ran", "A blue dog sat", words(rng, 3)]) for _ in range(20))) for i in range(60)] + [(60, None), (61, "")]
+    rows.append(rows[0])
+    got = suffix_tree.score_texts(docs_frame(spark, rows), gram_share=1e-3, word_share=2e-3).collect()
+    toks = {i: (t or "").lower().split() + ["</s>"] for i, t in rows}
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in toks}
+    c = Counter()
+    for i, t in rows:
+        if not held[i]:
+            c.update((t or "").lower().split() + ["</s>"])
+    n, v = sum(c.values()), len(c)
+    assert len(got) == len(rows)
+    better = 0
+    for r in got:
+        w = toks[r["doc_id"]]
+        base = sum(np.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)
+        assert r["held_out"] == held[r["doc_id"]] and r["train_tokens"] == n
+        assert (r["n_tokens"], r["n_known"]) == (len(w), sum(x in c for x in w))
+        assert abs(r["base_score"] - base) < 1e-6
+        better += r["score"] > r["base_score"]
+    assert better > 0.9 * (len(rows) - 2)
+
+
+def test_lm_distributions_sum_to_one():
+    rng = np.random.default_rng(1)
+    n = 6
+    ids = [np.append(rng.choice(n - 1, size=300, p=[0.5, 0.2, 0.1, 0.1, 0.1]), n - 1) for _ in range(20)]
+    for x in ids:
+        x[2:100] = np.where(x[1:99] == 1, 2, x[2:100])
+    count = np.bincount(np.concatenate(ids), minlength=n)
+    pk = np.concatenate([suffix_tree._pair_keys(x, n, n - 1)[0] for x in ids])
+    pairs = np.unique(pk, return_counts=True)
+    tk = np.concatenate([suffix_tree._triple_keys(x, n, n - 1, pairs[0]) for x in ids])
+    floor = count.sum() + 0.1 * (n + 1)
+    p0 = (count + 0.1) / floor
+    tree = suffix_tree.grow(n, count, p0, pairs, np.unique(tk, return_counts=True))
+    assert (tree.rest1[:n] < 1).any()
+    unseen = 0.1 / floor
+    for context in [[a] for a in range(n - 1)] + [[a, b] for a in range(n - 1) for b in range(n - 1)]:
+        total = 0.0
+        for w in range(n + 1):
+            seq = np.array([*context, w])
+            total += 10 ** suffix_tree.log_scores(tree, seq, np.append(p0, unseen)[seq])[-1]
+        assert abs(total - 1) < 1e-9, context
+
+
+# ---- 4 and 5 classifiers
+
+
+def test_language(spark):
+    rng = random.Random(1)
+    sounds = {"aa": "wolken tief straße zug", "bb": "niño calle luz verde", "cc": "forêt très lourde eau"}
+    rows = []
+    for i in range(240):
+        lang = rng.choice(sorted(sounds))
+        rows.append((i, " ".join(rng.choice(sounds[lang].split()) + rng.choice(["", "s", "er"]) for _ in range(20)), lang, "s", 1))
+    rows += [(900, None, "aa", "s", 1), (901, "12 34 !!", "aa", "s", 1), (902, "wolken", None, "s", 1)]
+    got = {r["doc_id"]: r for r in language.identify(spark.createDataFrame(rows, DOCS)).collect()}
+    assert len(got) == len(rows)
+    held = [r for r in rows if r[0] < 900 and zlib.crc32(str(r[0]).encode()) % 4 == 2]
+    assert all(got[r[0]]["held_out"] for r in held)
+    assert sum(got[r[0]]["lang_pred"] == r[2] for r in held) >= 0.95 * len(held)
+    assert got[900]["lang_pred"] == got[901]["lang_pred"] == "und" and got[902]["lang_pred"] == "aa"
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+
+
+def test_toxicity(spark):
+    rng = random.Random(3)
+    rows, labels = [], []
+    for i in range(300):
+        bad = rng.random() < 0.3
+        w = words(rng, 40).split()
+        if bad:
+            w[rng.randrange(40)] = rng.choice(["vilescum", "vilerat", "vilefool"])
+        rows.append((i, " ".join(w)))
+        labels.append((i, 1, int(bad)))
+    rows += [(900, None), (901, "")]
+    frame = spark.createDataFrame([*labels, (5000, 1, None)], "doc_id bigint, quality int, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.score_toxicity(docs_frame(spark, rows), frame).collect()}
+    held = [(i, y) for i, _, y in labels if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert all(got[i]["held_out"] for i, _ in held)
+    assert sum(got[i]["predicted"] == y for i, y in held) >= 0.9 * len(held)
+    assert got[900]["score"] == got[901]["score"] and all(0 <= r["score"] <= 1 for r in got.values())
+    none = toxicity.score_toxicity(docs_frame(spark, rows), frame.limit(0)).collect()
+    assert {r["predicted"] for r in none} == {0}
+
+
+# ---- 6 URLs
+
+
+def test_url_parts_and_rules():
+    assert urls.parts("HTTPS://A.Example.COM/en/7?x=1#y") == ("a.example.com", "/en/7")
+    assert urls.parts("http://h?x") == ("h", "") and urls.parts(None) == urls.parts("no host") == ("", "")
+    rules = urls.Rules.of(urls.RULES)
+    cases = {"x.com/en/1": "com/en/", "example.com/en/71": "example.com/en/7", "b.example.net/de/8": "example.net/de/8", "net/de/": "net/de/", "notexample.net/de/8": "net/de/", "a.org/es/": "org/es/", "a.org/fr/": None}
+    for u, want in cases.items():
+        found = rules.find(*urls.parts("http://" + u))
+        assert (found and found[0]) == want
+
+
+def test_url_words():
+    s = urls.Splitter({"cheap": 50, "pills": 40, "chea": 1, "ppills": 1}, 1000)
+    assert s.split("cheappills") == ("cheap", "pills")
+
+
+def test_url_judgement(spark):
+    rows = [(i, f"http://x{i}.com/en/a", "<p>cheap pills cheap pills</p>") for i in range(20)] + [(50 + i, f"http://y{i}.net/de/b", None) for i in range(20)]
+    rows += [(100, None, ""), (101, "http://z.com/fr/a", "x"), (102, "http://z.net/fr/b", "x"), (101, "http://z.com/fr/a", "x")]
+    got = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[0]["rule"] == "com/en/" and got[0]["verdict"] == "block" and got[50]["verdict"] == "allow"
+    assert got[101]["rule"] is None and got[101]["verdict"] == "block" and got[102]["verdict"] == "allow"
+    assert got[100]["host"] == "" and got[100]["verdict"] in ("allow", "block")
+    assert urls.judge(spark.createDataFrame(rows, "page_id bigint, url string, html string").limit(0)).count() == 0
+
+
+# ---- 2 archives
+
+
+@pytest.mark.parametrize("version", [1, 2])
+def test_arc_round_trip(version):
+    records = [("http://a b/ü", "1.2.3.4", "20200102030405", "text/html; x=y", b"HTTP/1.1 200 OK\r\n\r\nbody\nfiledesc://no 1"), ("http://c/", "0.0.0.0", "20200102030405", "text/plain", b"")]
+    found = list(warc.arc_records(warc.arc_file(records, version)))
+    assert [r.block for r in found] == [r[4] for r in records]
+    out = b"".join(warc.to_warc(r, str(k)) + b"\r\n\r\n" for k, r in enumerate(found))
+    fields = [f for f, _ in warc.warc_records(out)]
+    assert fields[0]["warc-date"] == "2020-01-02T03:04:05Z" and fields[0]["warc-target-uri"] == "http://a b/ü"
+    with pytest.raises(ValueError):
+        list(warc.arc_records(warc.arc_file(records, version)[:-30]))
+
+
+def test_archives(spark):
+    html = ["<p>a</p>", "<p>a</p>", None, "", "é\r\n\r\nWARC/1.1\r\nWARC-Type: x\r\n\r\n", "<p>a</p>", "z" * 100_000]
+    rows = [(10 - i, f"http://h/{i}", h) for i, h in enumerate(html)]
+    got = {r["page_id"]: tuple(r)[1:] for r in warc.round_trip(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    first = {}
+    for i, _, h in sorted(rows):
+        first.setdefault(h or "", i)
+    for i, _, h in rows:
+        raw = (h or "").encode()
+        digest = base64.b32encode(hashlib.sha1(raw).digest()).decode()
+        f = first[h or ""]
+        assert got[i] == (len(raw), digest, "response" if f == i else "revisit", None if f == i else f)
+
+
+# ---- pipeline
+
+
+def test_pipeline(spark, texts, tmp_path):
+    import corpus_pipeline
+
+    docs_frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("1", dict(texts)[13])], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = docs
+        docs = stage(spark, docs, str(tmp_path))
+        if k + 1 < len(corpus_pipeline.STAGES):
+            assert docs.columns == before.columns, name
+            docs.write.parquet(f"{tmp_path}/{name}")
+            docs = spark.read.parquet(f"{tmp_path}/{name}")
+    kept = {r["doc_id"] for r in docs.collect()}
+    assert 0 in kept and not kept & {1, 3, 4, 5, 6, 7, 13}
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == kept
