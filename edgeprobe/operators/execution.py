@@ -12,7 +12,7 @@ from ..functions.windows import bars_window, roll, running, zscore
 from . import scans
 from .features import log_returns
 
-#: Bars in a year of each spacing.
+#: Bars in a year of each spacing.
 BARS_PER_YEAR = {"1m": 525_600, "5m": 105_120, "15m": 35_040, "30m": 17_520, "1h": 8_760, "2h": 4_380, "4h": 2_190, "6h": 1_460, "12h": 730, "1d": 365, "1w": 52}
 RATE = (10 + 2) / 1e4
 

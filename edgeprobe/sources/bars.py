@@ -74,6 +74,7 @@ def from_epoch(column: Column) -> Column:
 
 def raw_klines(spark: SparkSession, path: str) -> DataFrame:
     """Exchange archives of twelve columns (CSV, with or without header) as bars; the first row of a time wins."""
+    # The twelve columns of the archives, in their order.
     names = ["open_time", "open", "high", "low", "close", "volume", "close_time", "quote_volume", "trades", "taker_buy_base", "taker_buy_quote", "ignore"]
     raw = spark.read.schema(", ".join(f"{n} string" for n in names)).csv(path).where(F.col("open_time").rlike("^[0-9]+$"))
     cols = [F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close", "volume", "trades")]

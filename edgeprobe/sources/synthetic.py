@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Seconds between bars.
+#: Seconds between bars of each spacing.
 SPACING = {"1m": 60, "5m": 300, "15m": 900, "30m": 1800, "1h": 3600, "2h": 7200, "4h": 14_400, "6h": 21_600, "12h": 43_200, "1d": 86_400, "1w": 604_800}
 
 
