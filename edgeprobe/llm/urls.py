@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: (verdict, host and the start of the path)
+#: Fixed values: (verdict, host and the start of the path).
 RULES = (
     ("block", "com/en/"),
     ("allow", "example.com/en/7"),
