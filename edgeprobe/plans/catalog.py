@@ -11,7 +11,7 @@ from ..functions.windows import lag, zscore
 from ..operators import audit, execution, features, labels, ledger, models, panel, robustness, scans, validation
 from ..operators.asof import asof_strict
 from ..sources import bars as src
-from ..sources import synthetic
+from ..sources import coverage, synthetic
 from . import sql as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,6 +98,25 @@ def dense_grid(spark, sf_dir):
     return src.dense(src.nation_bars(spark, sf_dir)).groupBy("symbol").agg(F.count("*").alias("n"), F.count_if(F.col("open").isNull()).alias("missing"))
 
 
+_SUPP = "ls AS (SELECT DISTINCT l_suppkey::VARCHAR AS symbol, strftime(l_shipdate, '%Y-%m') AS month, date_trunc('month', l_shipdate) AS m FROM lineitem)"
+
+
+def _suppliers(spark, sf_dir):
+    return src.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("symbol"), F.col("l_shipdate").alias("ts"))
+
+
+@query("symbol month", _SUPP + """, cal AS (SELECT symbol, unnest(generate_series(min(m), max(m), INTERVAL 1 MONTH)) AS m FROM ls GROUP BY 1), o AS (SELECT symbol, strftime(m, '%Y-%m') AS month FROM cal ANTI JOIN ls USING (symbol, m))""", "o")
+def missing_months(spark, sf_dir):
+    return coverage.missing_months(_suppliers(spark, sf_dir))
+
+
+@query("traded& left_out& dead& passes", _SUPP + """, tr AS (SELECT DISTINCT symbol FROM ls WHERE month = '1995-03'), un AS (SELECT DISTINCT symbol FROM ls WHERE month <= '1995-03'), de AS (SELECT symbol FROM ls GROUP BY 1 HAVING max(month) < '1998-11'),
+ k AS (SELECT (SELECT count(*) FROM tr) AS traded, (SELECT count(*) FROM un ANTI JOIN tr USING (symbol)) AS left_out, (SELECT count(*) FROM tr SEMI JOIN de USING (symbol)) AS dead), o AS (SELECT *, dead > 0 OR left_out = 0 AS passes FROM k)""", "o")
+def survivorship_check(spark, sf_dir):
+    t = _suppliers(spark, sf_dir)
+    return coverage.survivorship(src.universe_as_of(t, "1995-03"), t.where("ts < timestamp_ntz '1995-04-01'"), src.delisted(t, "1998-12", 1))
+
+
 # ---- features
 
 
@@ -469,6 +488,29 @@ def sign_flip_rate(spark, sf_dir):
     return robustness.sign_flips(grid, "fast", "slow", "sharpe", ["symbol"])
 
 
+@query("symbol ac_ret# ac_abs#", S.EL + """, ac AS (SELECT symbol, r, lag(r) OVER (PARTITION BY symbol ORDER BY ts) AS p FROM el), o AS (SELECT symbol, corr(r, p) AS ac_ret, corr(abs(r), abs(p)) AS ac_abs FROM ac GROUP BY 1)""", "o")
+def autocorrelation(spark, sf_dir):
+    b = features.log_returns(hours(spark, sf_dir)).withColumn("p", lag("r"))
+    return b.groupBy("symbol").agg(F.corr("r", "p").alias("ac_ret"), F.corr(F.abs("r"), F.abs("p")).alias("ac_abs"))
+
+
+@query("symbol ts~ scaled#", _SMA + f", vs AS (SELECT *, {S.roll('stddev_samp', 'r', 24)} AS sg FROM sma), o AS (SELECT symbol, ts, greatest(least(side * coalesce(least(greatest(60 / nullif(sg * sqrt(8760), 0), 0), 1), 0), 1), -1) AS scaled FROM vs)", "o")
+def risk_scaled_position(spark, sf_dir):
+    b = features.volatility(features.log_returns(_sides(hours(spark, sf_dir))))
+    return b.withColumn("scaled", execution.scale_to_risk("pos", "vol_24", 60.0, HOUR_YEAR))
+
+
+@query("symbol ts~ turnover# cost# equity#", S.EL + f", bh AS (SELECT symbol, ts, open, 1.0::DOUBLE AS pos FROM el), {S.backtest('bh')}", "bt")
+def buy_hold_backtest(spark, sf_dir):
+    return execution.backtest(execution.buy_hold(hours(spark, sf_dir)))
+
+
+@query("symbol sharpe#", f"{_NS}, {S.summarize('bt', 'symbol', DAY_YEAR)}, o AS (SELECT symbol, sharpe FROM sm ORDER BY round(sharpe, 6) DESC, symbol LIMIT 5)", "o")
+def best_symbols(spark, sf_dir):
+    s = execution.summarize(_nation_sma(spark, sf_dir), DAY_YEAR, ["symbol"])
+    return s.orderBy(F.round("sharpe", 6).desc(), "symbol").limit(5)
+
+
 # ---- panel
 
 
