@@ -22,7 +22,7 @@ the blocks that stay.
 that one is dealt out by the block; so a block with a third of all documents sends a row or two for each
 chunk.  Candidates are (member, representative) pairs, as many as there are shared blocks, never all
 pairs of a group.  After these are verified and their components found, blocks that still hold
-several components are the only ones in which pairs across components are compared, by 1024-bit
+several components are the only ones in which pairs across components are compared, by 4096-bit
 sketches first.
 
 Cases: null and empty texts, and those of white space, have no set and are linked with nothing;
@@ -47,8 +47,16 @@ COMMON_SHARE, COMMON_LEAST = 0.01, 8
 #: Most shingles that are treated as common (8 bytes each, broadcast); the most frequent come first.
 COMMON_MOST = 200_000
 #: Shingles held at once in a worker, 8 bytes each.
-CHUNK = 1_000_000
-SKETCH_LONGS = 16
+CHUNK = 600_000
+#: Rows of a bucket of block keys, about: what one task holds of it (some 40 bytes each).
+BUCKET_KEYS = 1_000_000
+#: Most ids that are broadcast (8 bytes each) to pick texts; more are joined by a shuffle.
+SENT_IDS = 1_000_000
+SKETCH_LONGS = 64
+#: How often blocks that hold several components get other representatives before all of their members are compared.
+OTHER_STARS = 1
+#: Sets over so many shingles have a longer sketch, too.
+WIDE_FROM, WIDE_LONGS = 3000, 256
 
 _GOLD = 0x9E3779B97F4A7C15
 _M = np.uint64(_GOLD)
@@ -65,7 +73,7 @@ class _Words(dict):
     """Hashes of words; forgotten when there are too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
         out = self[word] = xxhash.xxh3_64_intdigest(word)
         return out
@@ -143,6 +151,11 @@ def sketch(s: np.ndarray, longs: int = SKETCH_LONGS) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view("<i8")
 
 
+def wide_sketch(s: np.ndarray) -> np.ndarray | None:
+    """A longer sketch of a large set, whose short one is half full of chance."""
+    return sketch(s, WIDE_LONGS) if len(s) > WIDE_FROM else None
+
+
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether 100 * intersection >= 75 * union, exactly."""
     if not len(a) or not len(b):
@@ -157,109 +170,167 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+_SKETCH = [f"s{i}" for i in range(SKETCH_LONGS)]
+_SKETCH_SQL = ", ".join([*(f"{c} bigint" for c in _SKETCH), "wide array<bigint>"])
+_WIDE = pa.list_(pa.int64())
+
+
 def _profile(batches):
-    """A row for each document (id, n, digest), and rows (shingle, count) for what is common in a chunk."""
-    names = ["id", "n", "hi", "lo", "shingle", "count"]
+    """A row for each document (id, n, digest, sketch), and rows (shingle, count) for what is common in a chunk."""
+    names = ["id", "n", "hi", "lo", "shingle", "count", *_SKETCH, "wide"]
     held: dict[tuple[int, int], np.ndarray] = {}
     size = 0
 
     def flush():
-        if not held:
-            return None
         found, counts = np.unique(np.concatenate(list(held.values())), return_counts=True)
         hot = counts >= max(COMMON_LEAST, COMMON_SHARE * len(held))
-        k = int(hot.sum())
-        nothing = [pa.nulls(k, pa.int64())] * 4
-        return pa.RecordBatch.from_arrays([*nothing, _signed(found[hot]), pa.array(counts[hot].astype(np.int64))], names=names)
+        none = pa.nulls(int(hot.sum()), pa.int64())
+        return pa.RecordBatch.from_arrays([*[none] * 4, _signed(found[hot]), pa.array(counts[hot].astype(np.int64)), *[none] * SKETCH_LONGS, pa.nulls(len(none), _WIDE)], names=names)
 
     for b in batches:
-        rows = []
-        for text in b.column(1).to_pylist():
-            s = shingles(text)
-            d = digest(s)
-            rows.append((len(s), *d))
-            if len(s) and d not in held:
-                held[d] = s
-                size += len(s)
-                if size >= CHUNK:
-                    yield flush()
-                    held.clear()
-                    size = 0
-        n, hi, lo = (np.array([r[i] for r in rows], np.int64) for i in range(3))
-        nothing = pa.nulls(len(rows), pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(hi), pa.array(lo), nothing, nothing], names=names)
-    if (out := flush()) is not None:
-        yield out
-
-
-def _keys(common):
-    """Rows (deal, key, rep, cls): rep is the chunk's representative of the key; ``deal`` decides the task."""
-
-    def flush(keys, classes):
-        key, cls = np.concatenate(keys), np.concatenate(classes)
-        order = np.lexsort((cls, key))
-        key, cls = key[order], cls[order]
+        for lo in range(0, b.num_rows, 500):
+            part = b.slice(lo, 500)
+            rows, bits, wide = [], [], []
+            for text in part.column(1).to_pylist():
+                s = shingles(text)
+                d = digest(s)
+                rows.append((len(s), *d))
+                bits.append(sketch(s))
+                wide.append(wide_sketch(s))
+                if len(s) and d not in held:
+                    held[d] = s
+                    size += len(s)
+                    if size >= CHUNK:
+                        yield flush()
+                        held.clear()
+                        size = 0
+            n, hi, lo_ = (pa.array(np.array([r[i] for r in rows], np.int64)) for i in range(3))
+            none = pa.nulls(len(rows), pa.int64())
+            bits = np.array(bits, np.int64).reshape(len(rows), SKETCH_LONGS)
+            yield pa.RecordBatch.from_arrays([part.column(0), n, hi, lo_, none, none, *(pa.array(bits[:, i].copy()) for i in range(SKETCH_LONGS)), pa.array(wide, _WIDE)], names=names)
+    if held:
+        yield flush()
+
+
+_DEALT = "bucket int, keys binary, low binary, who binary, classes binary, inner_keys binary, inner_who binary, inner_rep binary"
+
+
+def _halves(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The upper 48 bits of keys, which within a bucket of bounded size are enough to tell them apart."""
+    return (key >> np.uint64(32)).astype(np.uint32), ((key >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.uint16)
+
+
+def _named(upper48: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """A key's name in the result: from its upper 48 bits and its bucket, so that no two buckets share one."""
+    return _mix(upper48 ^ _mix(bucket + np.uint64(1)))
+
+
+def _marked(key: np.ndarray, buckets: int) -> np.ndarray:
+    """The names of whole keys."""
+    return _named(key >> np.uint64(16), key % np.uint64(buckets))
+
+
+def _texts(batches):
+    """The first column's texts, few at a time as Python objects."""
+    for b in batches:
+        for lo in range(0, b.num_rows, 500):
+            yield from b.column(0).slice(lo, 500).to_pylist()
+
+
+def _keys(common, buckets: int):
+    """For each chunk and bucket of keys one row of packed arrays.
+
+    ``keys``/``who``: each key of the chunk once, with its representative; ``inner_*``: the other members
+    of a key in this chunk.  Members are numbers into ``classes``.
+    """
+
+    def flush(keys, numbers):
+        key, who = np.concatenate(keys), np.repeat(np.arange(len(keys), dtype=np.uint32), [len(k) for k in keys])
+        order = np.argsort(key, kind="stable")
+        key, who = key[order], who[order]
         new = np.r_[True, key[1:] != key[:-1]]
-        rep = cls[np.flatnonzero(new)][np.cumsum(new) - 1]
-        deal = np.where(new, key, _mix(key ^ cls.view(np.uint64)))
-        for at in range(0, len(key), 200_000):
-            own = slice(at, at + 200_000)
-            yield pa.RecordBatch.from_arrays([_signed(deal[own]), _signed(key[own]), pa.array(rep[own]), pa.array(cls[own])], names=["deal", "key", "rep", "cls"])
+        rep = who[np.flatnonzero(new)][np.cumsum(new) - 1]
+        bucket = (key % np.uint64(buckets)).astype(np.int64)
+        inner_bucket = (_mix(key[~new] ^ numbers[who[~new]].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        head, tail = (key[new], who[new]), (key[~new], who[~new], rep[~new])
+        bucket = bucket[new]
+        order, inner_order = np.argsort(bucket, kind="stable"), np.argsort(inner_bucket, kind="stable")
+        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        inner_edges = np.searchsorted(inner_bucket[inner_order], np.arange(buckets + 1))
+        for k in range(buckets):
+            own, inner = order[edges[k] : edges[k + 1]], inner_order[inner_edges[k] : inner_edges[k + 1]]
+            if len(own) or len(inner):
+                w, v, r = head[1][own], tail[1][inner], tail[2][inner]
+                used, back = np.unique(np.concatenate([w, v, r]), return_inverse=True)
+                back = back.astype(np.uint16 if len(used) <= 65536 else np.uint32)
+                parts = np.split(back, [len(w), len(w) + len(v)])
+                cells = [*_halves(head[0][own]), parts[0], numbers[used], _marked(tail[0][inner], buckets), parts[1], parts[2]]
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in cells)], names=["bucket", "keys", "low", "who", "classes", "inner_keys", "inner_who", "inner_rep"])
 
     def run(batches):
         hot = np.sort(np.array(common.value, np.int64).view(np.uint64))
-        keys, classes, seen, size = [], [], set(), 0
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                s = shingles(text)
-                d = digest(s)
-                if not len(s) or d in seen:
-                    continue
-                seen.add(d)
-                k = block_keys(s, hot)
-                keys.append(k)
-                classes.append(np.full(len(k), d[0], np.int64))
-                size += len(k)
-                if size >= CHUNK:
-                    yield from flush(keys, classes)
-                    keys, classes, size = [], [], 0
-                    seen.clear()
+        keys, numbers, seen, size = [], [], set(), 0
+        for text in _texts(batches):
+            s = shingles(text)
+            d = digest(s)
+            if not len(s) or d in seen:
+                continue
+            seen.add(d)
+            keys.append(block_keys(s, hot))
+            numbers.append(d[0])
+            size += len(keys[-1])
+            if size >= CHUNK:
+                yield from flush(keys, np.array(numbers, np.int64))
+                keys, numbers, size = [], [], 0
+                seen.clear()
         if keys:
-            yield from flush(keys, classes)
+            yield from flush(keys, np.array(numbers, np.int64))
 
     return run
 
 
 def _stars(batches):
-    """From rows sorted by (deal, key, cls): (key, rep, cls) where a block has another class."""
-    last_key, rep = None, 0
+    """From rows sorted by bucket: (key, rep, cls) wherever a block has another class.
+
+    A bucket is held whole; their number is chosen so that it has about BUCKET_KEYS rows.
+    """
+    held: list[list[np.ndarray]] = []
+    bucket = None
+
+    def flush():
+        key, cls, inner_key, inner_rep, inner_cls = (np.concatenate([h[i] for h in held]) for i in range(5))
+        order = np.lexsort((cls, key))
+        key, cls = key[order], cls[order]
+        new = np.r_[True, key[1:] != key[:-1]][: len(key)]
+        rep = cls[np.flatnonzero(new)][np.cumsum(new) - 1] if len(key) else cls
+        other = rep != cls
+        out = [np.concatenate(x) for x in ((key[other], inner_key), (rep[other], inner_rep), (cls[other], inner_cls))]
+        for at in range(0, len(out[0]), 200_000):
+            yield pa.RecordBatch.from_arrays([_signed(out[0][at : at + 200_000]), *(pa.array(x[at : at + 200_000]) for x in out[1:])], names=["key", "rep", "cls"])
+        held.clear()
+
     for b in batches:
-        deal, key, own, cls = (b.column(i).to_numpy() for i in range(4))
-        if not len(key):
-            continue
-        inner = own != cls  # hangs on its chunk's representative already
-        keep = [(key[inner], own[inner], cls[inner])]
-        k, c = key[~inner], cls[~inner]
-        if len(k):
-            new = np.r_[k[0] != last_key, k[1:] != k[:-1]]
-            first = np.where(new, c, rep)
-            run = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
-            head = np.where(run >= 0, first[np.maximum(run, 0)], rep)
-            other = head != c
-            keep.append((k[other], head[other], c[other]))
-            last_key, rep = k[-1], head[-1]
-        columns = [pa.array(np.concatenate([x[i] for x in keep])) for i in range(3)]
-        yield pa.RecordBatch.from_arrays(columns, names=["key", "rep", "cls"])
+        for i in range(b.num_rows):
+            k, *cells = (b.column(c)[i] for c in range(8))
+            if k.as_py() != bucket and held:
+                yield from flush()
+            bucket = k.as_py()
+            raw = [c.as_buffer() for c in cells]
+            classes = np.frombuffer(raw[3], np.int64)
+            kind = np.uint16 if len(classes) <= 65536 else np.uint32
+            who, inner_who, inner_rep = (classes[np.frombuffer(raw[c], kind)] for c in (2, 5, 6))
+            upper = (np.frombuffer(raw[0], np.uint32).astype(np.uint64) << np.uint64(16)) | np.frombuffer(raw[1], np.uint16).astype(np.uint64)
+            held.append([_named(upper, np.full(1, bucket, np.uint64)), who, np.frombuffer(raw[4], np.uint64).copy(), inner_rep, inner_who])
+    if held:
+        yield from flush()
 
 
 def _sets(batches):
-    names = ["id", "n", "shingles", *(f"s{i}" for i in range(SKETCH_LONGS))]
     for b in batches:
-        for lo in range(0, b.num_rows, 1000):
-            part = b.slice(lo, 1000)
+        for lo in range(0, b.num_rows, 500):
+            part = b.slice(lo, 500)
             sets = [shingles(t) for t in part.column(1).to_pylist()]
-            bits = np.array([sketch(s) for s in sets], np.int64).reshape(len(sets), SKETCH_LONGS)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), *(pa.array(bits[:, i].copy()) for i in range(SKETCH_LONGS))], names=names)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "shingles"])
 
 
 def _verify(batches):
@@ -268,11 +339,36 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "linked"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, linked) for pairs of document ids, by their whole sets."""
+def _ids(pairs: DataFrame) -> tuple[DataFrame, bool]:
+    """The documents of pairs, and whether they are few enough to be broadcast."""
+    ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+    return ids, ids.count() <= SENT_IDS
+
+
+def verified(pairs: DataFrame, plain: DataFrame) -> DataFrame:
+    """The pairs (a, b) of ids that link, by the whole sets of their texts."""
+    pairs = cut(pairs.select("a", "b"))
+    ids, few = _ids(pairs)
+    sets = written(plain.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(_sets, "id bigint, shingles binary"), "sets")
     left = sets.select(F.col("id").alias("b"), F.col("shingles").alias("of_b"))
     right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("of_a"))
-    return pairs.join(left, "b").join(right, "a").select("a", "b", "of_a", "of_b").mapInArrow(_verify, "a bigint, b bigint, linked boolean")
+    both = pairs.join(left, "b").join(right, "a").select("a", "b", "of_a", "of_b")
+    return cut(both.mapInArrow(_verify, "a bigint, b bigint, linked boolean").where("linked").select("a", "b").distinct())
+
+
+def _may_link(left: str, right: str):
+    """The conditions on sizes and sketches that every link meets, the cheap ones first."""
+    apart = sum((F.bit_count(F.col(f"{left}{c}").bitwiseXOR(F.col(f"{right}{c}"))) for c in _SKETCH), F.lit(0))
+    bits = F.aggregate(F.zip_with(f"{left}wide", f"{right}wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    n1, n2 = F.col(f"{left}n"), F.col(f"{right}n")
+    return (4 * F.least(n1, n2) >= 3 * F.greatest(n1, n2)) & (7 * apart <= n1 + n2) & (7 * F.coalesce(bits, F.lit(0)) <= n1 + n2)
+
+
+def _within(pairs: DataFrame, sketches: DataFrame, more: list[str]) -> DataFrame:
+    """The pairs (a, b) that may link by sizes and sketches."""
+    side = lambda c, name: sketches.select(F.col("id").alias(c), *[F.col(x).alias(f"{name}{x}") for x in ("n", *_SKETCH, "wide")])
+    both = pairs.join(side("a", "l_"), "a").join(side("b", "r_"), "b").where(_may_link("l_", "r_"))
+    return both.groupBy("a", "b").agg(F.count("*").alias("_rows"), *[F.max(c).alias(c) for c in more]).drop("_rows")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -297,65 +393,107 @@ def components(edges: DataFrame) -> DataFrame:
         mark = seen
 
 
-def _across(stars: DataFrame, tried: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that share a block and may link by size and sketch.
+def _labelled(df: DataFrame, comps: DataFrame, column: str) -> DataFrame:
+    """Add the component of a column's document as ``of_<column>``."""
+    known = comps.select(F.col("node").alias(column), F.col("component").alias(f"of_{column}"))
+    return df.join(known, column, "left").withColumn(f"of_{column}", F.coalesce(f"of_{column}", column))
 
-    ``stars`` has ids; only blocks where a tried pair stayed apart can hold such pairs.
+
+def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose documents are in different components."""
+    return _labelled(_labelled(pairs, comps, "a"), comps, "b").where("of_a != of_b").select("a", "b")
+
+
+def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """The components with further links (a, b)."""
+    new = cut(_apart(links.select("a", "b"), comps))
+    if new.isEmpty():
+        return comps
+    return components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new))
+
+
+def _blocks(stars: DataFrame) -> DataFrame:
+    """(key, x): the members of blocks of more than two; of blocks with the same members one is enough.
+
+    A block of two is a pair that was tried.
     """
-    label = lambda df, c: df.join(comps.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")), c, "left").withColumn(f"of_{c}", F.coalesce(f"of_{c}", c))
-    apart = label(label(tried.where("not linked").select("a", "b"), "a"), "b").where("of_a != of_b").select("a", "b")
-    mixed = stars.join(apart, ["a", "b"], "left_semi").select("key").distinct()
-    rows = stars.join(mixed, "key", "left_semi")
-    members = rows.select("key", F.col("a").alias("x")).union(rows.select("key", F.col("b").alias("x"))).distinct()
-    members = label(members, "x").join(sets.drop("shingles").withColumnRenamed("id", "x"), "x")
-    left = members.select("key", *[F.col(c).alias(f"l_{c}") for c in members.columns if c != "key"])
-    right = members.select("key", *[F.col(c).alias(f"r_{c}") for c in members.columns if c != "key"])
-    apart_bits = sum((F.bit_count(F.col(f"l_s{i}").bitwiseXOR(F.col(f"r_s{i}"))) for i in range(SKETCH_LONGS)), F.lit(0))
-    may = (
-        (F.col("l_x") < F.col("r_x"))
-        & (F.col("l_of_x") != F.col("r_of_x"))
-        & (4 * F.least("l_n", "r_n") >= 3 * F.greatest("l_n", "r_n"))
-        & (7 * apart_bits <= F.col("l_n") + F.col("r_n"))
-    )
-    l, r = left.alias("l"), right.alias("r")
-    pairs = l.join(r, (F.col("l.key") == F.col("r.key")) & may).select(F.col("l_x").alias("a"), F.col("r_x").alias("b")).distinct()
-    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return pairs.join(done, ["a", "b"], "left_anti")
+    many = stars.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("a", "b")).alias("h1"), F.bit_xor(F.xxhash64("b", "a")).alias("h2"))
+    one = many.where("m > 1").groupBy("m", "h1", "h2").agg(F.min("key").alias("key")).select("key")
+    rows = stars.join(one, "key", "left_semi")
+    return rows.select("key", F.explode(F.array("a", "b")).alias("x")).distinct()
+
+
+def _mixed(blocks: DataFrame, comps: DataFrame) -> DataFrame:
+    """(key, x, of_x): the blocks in which several components are left."""
+    labelled = _labelled(blocks, comps, "x")
+    several = labelled.groupBy("key").agg(F.min("of_x").alias("low"), F.max("of_x").alias("high")).where("low < high").select("key")
+    return labelled.join(several, "key", "left_semi")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _other_stars(members: DataFrame, salt: int) -> DataFrame:
+    """Pairs (a, b) of each member with another representative of its block, where their components differ."""
+    reps = members.groupBy("key").agg(F.min_by(F.struct("x", "of_x"), F.xxhash64("x", F.lit(salt))).alias("rep"))
+    both = members.join(reps, "key").where("of_x != rep.of_x")
+    return _ordered(both.select(F.col("x").alias("a"), F.col("rep.x").alias("b")))
+
+
+def _across(members: DataFrame, tried: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that share a block, may link by size and sketch, and weren't tried."""
+    members = members.join(sketches.drop("wide").withColumnRenamed("id", "x"), "x").withColumn("wide", F.lit(None).cast("array<bigint>"))
+    left, right = (members.select([F.col(c).alias(f"{side}{c}") for c in members.columns]) for side in ("l_", "r_"))
+    may = (F.col("l_x") < F.col("r_x")) & (F.col("l_of_x") != F.col("r_of_x")) & _may_link("l_", "r_")
+    pairs = left.join(right, (F.col("l_key") == F.col("r_key")) & may).select(F.col("l_x").alias("a"), F.col("r_x").alias("b")).distinct()
+    return _within(pairs.join(tried, ["a", "b"], "left_anti"), sketches, []).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """One row for each row of ``docs``: id, n_shingles, component_id."""
     spark = docs.sparkSession
     plain = docs.select(F.col(id_column).cast("long").alias("id"), text_of(docs).alias("text"))
-    profile = cut(plain.mapInArrow(_profile, "id bigint, n bigint, hi bigint, lo bigint, shingle bigint, count bigint"))
+    profile = written(plain.mapInArrow(_profile, f"id bigint, n bigint, hi bigint, lo bigint, shingle bigint, count bigint, {_SKETCH_SQL}"), "profile")
     mine = profile.where("n is not null").select("id", "n", "hi", "lo")
     hot = profile.where("shingle is not null").groupBy("shingle").agg(F.sum("count").alias("c")).orderBy(F.desc("c"), "shingle").limit(COMMON_MOST)
     common = spark.sparkContext.broadcast([r[0] for r in hot.select("shingle").collect()])
     # Classes of equal sets, each with its smallest document.
     roots = mine.where("n > 0 and id is not null").groupBy("hi", "lo").agg(F.min("id").alias("root"))
 
-    sent = plain.where("id is not null").select("text").mapInArrow(_keys(common), "deal bigint, key bigint, rep bigint, cls bigint")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = sent.repartition(parts, "deal").sortWithinPartitions("deal", "key", "cls").mapInArrow(_stars, "key bigint, rep bigint, cls bigint")
+    total = mine.agg(F.sum("n")).first()[0] or 0
+    buckets = max(1, -(-total // BUCKET_KEYS))
+    sent = plain.where("id is not null").select("text").mapInArrow(_keys(common, buckets), _DEALT)
+    found = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_stars, "key bigint, rep bigint, cls bigint")
     found = written(found, "stars")
-    pairs = found.select("rep", "cls").distinct()
     at = lambda c, to: roots.select(F.col("hi").alias(c), F.col("root").alias(to))
+    pairs = found.groupBy("rep", "cls").agg(F.count("*").alias("shared"))
     pairs = cut(pairs.join(at("rep", "a"), "rep").join(at("cls", "b"), "cls"))
-    tried_pairs = pairs.select("a", "b").where("a != b").distinct()
-    needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = plain.join(needed, "id", "left_semi").mapInArrow(_sets, f"id bigint, n bigint, shingles binary, {', '.join(f's{i} bigint' for i in range(SKETCH_LONGS))}")
-    sets = written(sets, "sets")
-    tried = cut(verified(tried_pairs, sets))
-    good = tried.where("linked").select("a", "b")
+    between = pairs.where("a != b").groupBy("a", "b").agg(F.max("shared").alias("shared"))
+    needed, few = _ids(between)
+    sketches = written(profile.where("n > 0").join(F.broadcast(needed) if few else needed, "id", "left_semi").select("id", "n", *_SKETCH, "wide"), "sketches")
     # A document with several texts (a repeated id) has several classes.
     several = mine.where("n > 0 and id is not null").join(roots, ["hi", "lo"]).where("id != root").select(F.col("id").alias("a"), F.col("root").alias("b"))
     several = several.join(roots.select(F.col("root").alias("a")).distinct(), "a", "left_semi")
-    good = good.union(several)
-    comps = components(good)
-    stars = found.join(pairs, ["rep", "cls"]).select("key", "a", "b")
-    late = cut(verified(_across(stars, tried, comps, sets), sets).where("linked").select("a", "b"))
-    if not late.isEmpty():
-        comps = components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(late))
+    # First each document with the representative that it shares most blocks with; then, where that
+    # leaves two components apart, the other pairs.
+    near = cut(_within(between, sketches, ["shared"]))
+    best = near.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
+    links = verified(best, plain)
+    comps = components(links.union(several))
+    rest = _apart(near.join(best, ["a", "b"], "left_anti").select("a", "b"), comps)
+    comps = _joined(comps, verified(rest, plain))
+    # Blocks that still hold several components may hold links between members that aren't representatives.
+    # Other representatives join most of them first; what then stays apart is compared member by member.
+    tried = cut(_ordered(between.select("a", "b")))
+    blocks = cut(_blocks(found.join(pairs, ["rep", "cls"]).select("key", "a", "b").where("a != b")))
+    for salt in range(1, 1 + OTHER_STARS):
+        members = cut(_mixed(blocks, comps))
+        new = cut(_other_stars(members, salt).join(tried, ["a", "b"], "left_anti"))
+        tried = tried.union(new)
+        comps = _joined(comps, verified(_within(new, sketches, []).select("a", "b"), plain))
+        blocks = members.select("key", "x")
+    comps = _joined(comps, verified(_across(cut(_mixed(blocks, comps)), tried, sketches), plain))
     by_root = comps.withColumnRenamed("node", "root")
     out = mine.join(roots, ["hi", "lo"], "left").join(by_root, "root", "left")
     own = F.when(F.col("n") > 0, F.coalesce("component", "root")).otherwise(F.col("id"))
