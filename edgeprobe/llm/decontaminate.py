@@ -159,4 +159,6 @@ def report(marked: DataFrame, id_column: str = "doc_id") -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without any hit, with their own columns."""
-    return mark(docs, benchmark).where(F.size("bm_runs") == 0).select(*docs.columns)
+    clash = {c: f"own_{c}" for c in docs.columns if c in _ADDED}
+    marked = mark(docs.withColumnsRenamed(clash), benchmark).where(F.size("bm_runs") == 0)
+    return marked.select(*[F.col(clash.get(c, c)).alias(c) for c in docs.columns])

@@ -445,3 +445,19 @@ def test_pipeline(spark, texts, tmp_path):
     kept = {r["doc_id"] for r in docs.collect()}
     assert 0 in kept and not kept & {1, 3, 4, 5, 6, 7, 13}
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == kept
+
+
+def test_stages_keep_clashing_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    names = ["bm_runs", "pii", "pii_redacted", "_kept", "n_words", "v_tidy", "_t", "id"]
+    text = words(random.Random(1), 90)
+    df = spark.createDataFrame([(1, text, "en", "s", len(text))], DOCS)
+    for c in names:
+        df = df.withColumn(c, df["source"])
+    spark.createDataFrame([("1", "other words")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, str(tmp_path))
+        assert out.columns == df.columns, name
+        assert [tuple(r) for r in out.collect()] == [tuple(r) for r in df.collect()], name
+    assert corpus_pipeline.STAGES[-1][1](spark, df, str(tmp_path)).count() == 1
