@@ -55,6 +55,8 @@ SENT_IDS = 1_000_000
 SKETCH_LONGS = 64
 #: How often blocks that hold several components get other representatives before all of their members are compared.
 OTHER_STARS = 1
+#: Edges in a partition while components are found, about.
+EDGES = 200_000
 #: Sets over so many shingles have a longer sketch, too.
 WIDE_FROM, WIDE_LONGS = 3000, 256
 
@@ -341,13 +343,14 @@ def _verify(batches):
 
 def _ids(pairs: DataFrame) -> tuple[DataFrame, bool]:
     """The documents of pairs, and whether they are few enough to be broadcast."""
-    ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     return ids, ids.count() <= SENT_IDS
 
 
 def verified(pairs: DataFrame, plain: DataFrame) -> DataFrame:
     """The pairs (a, b) of ids that link, by the whole sets of their texts."""
     pairs = cut(pairs.select("a", "b"))
+    pairs = cut(pairs.coalesce(1 + pairs.count() // EDGES))
     ids, few = _ids(pairs)
     sets = written(plain.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(_sets, "id bigint, shingles binary"), "sets")
     left = sets.select(F.col("id").alias("b"), F.col("shingles").alias("of_b"))
@@ -377,19 +380,21 @@ def components(edges: DataFrame) -> DataFrame:
     Large-star and small-star rounds: every round hangs each node's neighbours on the smallest, by an
     aggregation and a join, until nothing changes (logarithmically many rounds).
     """
-    now = cut(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    mark = None
+    edges = cut(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+    # Few edges are kept in few files, whatever the number of shuffle partitions.
+    parts = 1 + edges.count() // EDGES
+    now, mark = cut(edges.distinct().coalesce(parts)), None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = cut(large)
+        large = cut(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(parts))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+        now = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct().coalesce(parts))
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            out = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            return F.broadcast(out) if seen[0] <= SENT_IDS else out
         mark = seen
 
 
