@@ -22,8 +22,8 @@ the blocks that stay.
 that one is dealt out by the block; so a block with a third of all documents sends a row or two for each
 chunk.  Candidates are (member, representative) pairs, as many as there are shared blocks, never all
 pairs of a group.  After these are verified and their components found, blocks that still hold
-several components are the only ones in which pairs across components are compared, by 4096-bit
-sketches first.
+several components get other representatives, once; in those that even then hold several, members of
+different components are compared pair by pair, by 4096-bit sketches first.
 
 Cases: null and empty texts, and those of white space, have no set and are linked with nothing;
 texts of fewer words than a shingle are one shingle; equal sets are one class and compared once; rows
@@ -75,7 +75,7 @@ class _Words(dict):
     """Hashes of words; forgotten when there are too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 250_000:
+        if len(self) > 150_000:
             self.clear()
         out = self[word] = xxhash.xxh3_64_intdigest(word)
         return out
@@ -508,4 +508,4 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
 def one_of_each(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """The documents with the smallest id of their group, with their own columns."""
     kept = near_duplicates(docs, id_column).where(F.col("component_id") == F.col(id_column)).select(F.col(id_column).alias("_kept")).distinct()
-    return docs.join(kept, docs[id_column].cast("long") == F.col("_kept"), "left_semi")
+    return docs.join(kept, docs[id_column].cast("long") == kept["_kept"], "left_semi")

@@ -76,7 +76,7 @@ class Encoder:
     plain set, or with "<|", which may begin a special token, go to the tokenizer whole.
     """
 
-    def __init__(self, path: str, remembered: int = 350_000):
+    def __init__(self, path: str, remembered: int = 140_000):
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.remembered = remembered
         self.letters = _byte_letters()
