@@ -418,12 +418,16 @@ def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _blocks(stars: DataFrame) -> DataFrame:
-    """(key, x): the members of blocks of more than two; of blocks with the same members one is enough.
+    """(key, x): the members of blocks of more than two; of blocks with the same rows one is enough.
 
-    A block of two is a pair that was tried.
+    A block of two is a pair that was tried.  The same row comes from every chunk that has its documents, so
+    a block's rows are told by sums of their hashes' halves, in which equal ones don't cancel as under XOR.
     """
-    many = stars.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("a", "b")).alias("h1"), F.bit_xor(F.xxhash64("b", "a")).alias("h2"))
-    one = many.where("m > 1").groupBy("m", "h1", "h2").agg(F.min("key").alias("key")).select("key")
+    hashes = [F.xxhash64("a", "b"), F.xxhash64("b", "a")]
+    halves = [half for h in hashes for half in (F.shiftrightunsigned(h, 32), h.bitwiseAND(F.lit(0xFFFFFFFF)))]
+    sums = [F.sum(half).alias(f"h{k}") for k, half in enumerate(halves)]
+    many = stars.groupBy("key").agg(F.count("*").alias("m"), *sums)
+    one = many.where("m > 1").groupBy("m", *(f"h{k}" for k in range(len(sums)))).agg(F.min("key").alias("key")).select("key")
     rows = stars.join(one, "key", "left_semi")
     return rows.select("key", F.explode(F.array("a", "b")).alias("x")).distinct()
 

@@ -154,6 +154,13 @@ def test_near_duplicates_edges(spark):
     assert got == [("2", 0, "2"), ("2", 2, "2"), ("3", 2, "2"), ("None", 2, "None")]
 
 
+def test_blocks_with_repeated_rows_stay_apart(spark):
+    """Rows that come an even number of times don't make blocks of other members look the same."""
+    rows = [(1, 10, 11), (1, 10, 12), (2, 20, 21), (2, 20, 22), (3, 10, 11), (3, 10, 12)] * 2
+    got = {(r["key"], r["x"]) for r in jaccard._blocks(spark.createDataFrame(rows, "key bigint, a bigint, b bigint")).collect()}
+    assert got == {(1, 10), (1, 11), (1, 12), (2, 20), (2, 21), (2, 22)}
+
+
 # ---- 1 decontamination
 
 
