@@ -510,6 +510,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """The documents with the smallest id of their group, with their own columns."""
+    """The documents with the smallest id of their group, with their own columns.
+
+    Rows with a null id were compared with nothing and all stay.
+    """
     kept = near_duplicates(docs, id_column).where(F.col("component_id") == F.col(id_column)).select(F.col(id_column).alias("_kept")).distinct()
-    return docs.join(kept, docs[id_column].cast("long") == kept["_kept"], "left_semi")
+    return docs.join(kept, docs[id_column].cast("long") == kept["_kept"], "left_semi").unionByName(docs.where(docs[id_column].cast("long").isNull()))

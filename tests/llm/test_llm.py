@@ -161,6 +161,13 @@ def test_blocks_with_repeated_rows_stay_apart(spark):
     assert got == {(1, 10), (1, 11), (1, 12), (2, 20), (2, 21), (2, 22)}
 
 
+def test_one_of_each_keeps_rows_without_id(spark):
+    text, other = (words(random.Random(k), 40) for k in (1, 2))
+    rows = [(None, text), (None, other), (None, None), (3, text), (2, text), (4, None)]
+    got = sorted((str(r["doc_id"]), r["text"] or "") for r in jaccard.one_of_each(docs_frame(spark, rows)).collect())
+    assert got == sorted((str(i), t or "") for i, t in rows if i != 3)
+
+
 # ---- 1 decontamination
 
 
