@@ -7,7 +7,7 @@ holds.  Rows with a missing feature or label are not learnt from; missing featur
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .validation import Split, assign, fold_bounds
+from .validation import Split, assign, assign_each, fold_bounds
 
 DEFAULT_FEATURES = ["ret_1", "ret_6", "ret_24", "vol_24", "z_24", "z_72", "donch_24", "body", "vol_z"]
 
@@ -54,8 +54,11 @@ def rank_auc(p, y) -> float:
     return float((pd.Series(p).rank().to_numpy()[np.asarray(y) == 1].sum() - up * (up + 1) / 2) / (up * down))
 
 
-def _assigned(rows: DataFrame, features: list[str], split: Split) -> DataFrame:
+def _assigned(rows: DataFrame, features: list[str], split: Split, each: bool = False) -> DataFrame:
     kept = rows.select("symbol", "pos", "t_end", "y", *features)
+    if each:
+        last = kept.groupBy("symbol").agg(F.max("pos")).collect()  # one number for each symbol, as below
+        return assign_each(kept, {symbol: fold_bounds(n + 1, split) for symbol, n in last})
     n = kept.agg(F.max("pos")).first()[0] + 1  # one number: fold bounds are literals of the plan
     return assign(kept, fold_bounds(n, split))
 
@@ -74,8 +77,9 @@ def walk_forward(rows: DataFrame, features: list[str], split: Split) -> DataFram
     return _assigned(rows, features, split).groupBy("fold").applyInPandas(run, "fold int, symbol string, pos bigint, y double, p double")
 
 
-def walk_forward_scores(rows: DataFrame, features: list[str], split: Split) -> DataFrame:
-    """Sizes, accuracy and AUC of each fold."""
+def walk_forward_scores(rows: DataFrame, features: list[str], split: Split, each: bool = False) -> DataFrame:
+    """Sizes, accuracy and AUC of each fold; with ``each``, of each symbol's own folds."""
+    by = ["symbol", "fold"] if each else ["fold"]
 
     def run(b):
         import pandas as pd
@@ -84,18 +88,21 @@ def walk_forward_scores(rows: DataFrame, features: list[str], split: Split) -> D
         is_train = (b["part"] == "train").to_numpy()
         train, test = is_train & ~(x != x).any(axis=1) & (y == y), ~is_train & (y == y)
         p = predict(fit(x[train], y[train]), x[test])
-        return pd.DataFrame({"fold": [int(b["fold"].iloc[0])], "train": [int(train.sum())], "test": [int(test.sum())], "accuracy": [float(((p >= 0.5) == (y[test] == 1)).mean())], "auc": [rank_auc(p, y[test])]})
+        return pd.DataFrame({**{c: [b[c].iloc[0]] for c in by}, "train": [int(train.sum())], "test": [int(test.sum())], "accuracy": [float(((p >= 0.5) == (y[test] == 1)).mean())], "auc": [rank_auc(p, y[test])]})
 
-    return _assigned(rows, features, split).groupBy("fold").applyInPandas(run, "fold int, train bigint, test bigint, accuracy double, auc double")
+    kinds = "symbol string, fold int" if each else "fold int"
+    return _assigned(rows, features, split, each).groupBy(*by).applyInPandas(run, f"{kinds}, train bigint, test bigint, accuracy double, auc double")
 
 
-def importance(rows: DataFrame, features: list[str], split: Split, repeats: int = 3, seed: int = 0) -> DataFrame:
-    """(feature, drop): how much the last fold's AUC falls when a feature is permuted."""
+def importance(rows: DataFrame, features: list[str], split: Split, repeats: int = 3, seed: int = 0, each: bool = False) -> DataFrame:
+    """(feature, drop): how much the last fold's AUC falls when a feature is permuted; with ``each``, of each symbol."""
+    by = ["symbol", "fold"] if each else ["fold"]
 
     def run(b):
         import numpy as np
         import pandas as pd
 
+        b = b.sort_values(["symbol", "pos"])  # what is permuted doesn't depend on how rows were dealt
         x, y = b[features].to_numpy(dtype="float64"), b["y"].to_numpy(dtype="float64")
         is_train = (b["part"] == "train").to_numpy()
         train, test = is_train & ~(x != x).any(axis=1) & (y == y), ~is_train & (y == y)
@@ -108,7 +115,8 @@ def importance(rows: DataFrame, features: list[str], split: Split, repeats: int
                 other[:, k] = rng.permutation(other[:, k])
                 found.append(rank_auc(predict(model, other), y[test]))
             drop.append(whole - float(np.mean(found)))
-        return pd.DataFrame({"feature": features, "drop": drop})
+        return pd.DataFrame({**({"symbol": b["symbol"].iloc[0]} if each else {}), "feature": features, "drop": drop})
 
-    a = _assigned(rows, features, split)
-    return a.where(F.col("fold") == split.n_folds).groupBy("fold").applyInPandas(run, "feature string, drop double")
+    a = _assigned(rows, features, split, each)
+    kinds = "symbol string, feature string" if each else "feature string"
+    return a.where(F.col("fold") == split.n_folds).groupBy(*by).applyInPandas(run, f"{kinds}, drop double")

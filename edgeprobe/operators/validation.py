@@ -49,9 +49,20 @@ def assign(rows: DataFrame, bounds, known_at: str = "t_end", pos: str = "pos") -
     A training row's label is known before the fold's training side ends.
     """
     f = F.broadcast(folds(rows.sparkSession, bounds))  # at most n_folds rows
+    return _parts(rows, f, F.lit(True), known_at, pos)
+
+
+def assign_each(rows: DataFrame, bounds: dict[str, list], known_at: str = "t_end", pos: str = "pos") -> DataFrame:
+    """The same with the bounds of each symbol."""
+    listed = [(symbol, *b) for symbol, own in bounds.items() for b in own]
+    f = rows.sparkSession.createDataFrame(listed, "_symbol string, fold int, train_lo bigint, train_hi bigint, test_lo bigint, test_hi bigint")
+    return _parts(rows, f, F.col("symbol").eqNullSafe(F.col("_symbol")), known_at, pos).drop("_symbol")
+
+
+def _parts(rows: DataFrame, f: DataFrame, own, known_at: str, pos: str) -> DataFrame:
     test = (F.col(pos) >= F.col("test_lo")) & (F.col(pos) < F.col("test_hi"))
     train = (F.col(pos) >= F.col("train_lo")) & (F.col(pos) < F.col("test_lo")) & (F.col(known_at) < F.col("train_hi"))
-    return rows.join(f, test | train).withColumn("part", F.when(test, "test").otherwise("train"))
+    return rows.join(f, own & (test | train)).withColumn("part", F.when(test, "test").otherwise("train"))
 
 
 def describe(assigned: DataFrame) -> DataFrame:

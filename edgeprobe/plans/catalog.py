@@ -744,16 +744,16 @@ def near_miss_configs(spark, sf_dir):
 # ---- models (no SQL can say these)
 
 
-@query("fold& train& test& accuracy# auc#")
+@query("symbol fold& train& test& accuracy# auc#")
 def ml_direction(spark, sf_dir):
-    b = features.build(hours(spark, sf_dir).where("symbol = 'click'"), with_smoothed=False)
-    return models.walk_forward_scores(models.with_label(b, labels.next_bar_sign), models.DEFAULT_FEATURES, validation.Split(n_folds=4, min_train=250, embargo=1, least=20))
+    b = features.build(hours(spark, sf_dir), with_smoothed=False)
+    return models.walk_forward_scores(models.with_label(b, labels.next_bar_sign), models.DEFAULT_FEATURES, validation.Split(n_folds=4, min_train=250, embargo=1, least=20), each=True)
 
 
-@query("feature drop#")
+@query("symbol feature drop#")
 def permutation_importance(spark, sf_dir):
-    b = features.build(hours(spark, sf_dir).where("symbol = 'click'"), with_smoothed=False)
-    return models.importance(models.with_label(b, labels.next_bar_sign), models.DEFAULT_FEATURES, validation.Split(n_folds=4, min_train=250, embargo=1, least=20))
+    b = features.build(hours(spark, sf_dir), with_smoothed=False)
+    return models.importance(models.with_label(b, labels.next_bar_sign), models.DEFAULT_FEATURES, validation.Split(n_folds=4, min_train=250, embargo=1, least=20), each=True)
 
 
 @query("symbol " + S.MEASURES)

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from edgeprobe import stats
 from edgeprobe.errors import ConfigError, InsufficientDataError
-from edgeprobe.operators import audit, execution, features, labels, ledger, panel, robustness, scans, validation
+from edgeprobe.operators import audit, execution, features, labels, ledger, models, panel, robustness, scans, validation
 from edgeprobe.operators.asof import asof_strict
+from edgeprobe.plans import catalog
 from edgeprobe.sources import bars as src
 from edgeprobe.sources import synthetic
 
@@ -162,3 +163,20 @@ def test_no_edge_in_a_random_walk(spark):
     assert all(r["bad_high"] == r["bad_low"] == r["not_positive"] == 0 for r in src.integrity(b).collect())
     rows = execution.summarize(execution.backtest(execution.sma_cross(b, 20, 80), 0.0), 8760, ["symbol"]).collect()
     assert all(abs(r["t_stat"]) < 3.5 for r in rows)
+
+
+def test_models_take_every_symbol(spark):
+    """Each symbol's folds and drops are those of a run over its bars alone, whatever their number."""
+    walk = lambda seed, n: (100 * np.exp(np.cumsum(np.random.default_rng(seed).normal(0, 0.01, n)))).tolist()
+    a, b = bars(spark, walk(1, 500), "A"), bars(spark, walk(2, 420), "B")
+    rows = lambda x: models.with_label(features.build(x, with_smoothed=False), labels.next_bar_sign)
+    names, split = ["ret_1", "z_24"], validation.Split(n_folds=2, min_train=250, embargo=1, least=20)
+    for run in (models.walk_forward_scores, models.importance):
+        got = sorted(tuple(r) for r in run(rows(a.unionByName(b)), names, split, each=True).collect())
+        assert got == sorted((s, *r) for s, x in (("A", a), ("B", b)) for r in run(rows(x), names, split).collect())
+
+
+@pytest.mark.parametrize("name", ["ml_direction", "permutation_importance"])
+def test_model_queries_take_every_symbol(spark, name):
+    got = {r["symbol"] for r in catalog.QUERIES[name](spark, "/root/testdata/sf0.01").select("symbol").distinct().collect()}
+    assert got == {r[0] for r in spark.read.parquet("/root/testdata/sf0.01/events.parquet").select("event_type").distinct().collect()}
