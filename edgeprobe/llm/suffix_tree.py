@@ -7,10 +7,11 @@ logarithm of its count for each next symbol kept.  A state's distribution discou
 leaves the rest to its suffix, so that it sums to one; a text is scored by the longest suffix that
 is a state.
 
-Counts cover the whole training corpus.  What is broadcast has a proven bound: a context or an
-n-gram is kept only with at least ``GRAM_SHARE`` of all tokens, so there are at most 1/GRAM_SHARE of
-each order; a word counts as frequent with at least ``WORD_SHARE``, so there are at most
-1/WORD_SHARE.  Rarer words are joined with their counts by a shuffle; none of them is hot.
+Counts cover the whole training corpus, and every n-gram that occurs ``LEAST`` times is in the tree.
+Nothing is broadcast: the distinct three-word n-grams of all texts are a table, on which words, pairs and
+states are counted and joined by shuffles; it gives each its probability, and the texts' own n-grams
+are joined to it.  Words, n-grams and texts are told by 64-bit hashes.  ``grow`` and ``log_scores``
+say the same in memory.
 
 Cases: null and empty texts are one token, the end; without any training text every count is 0 and the
 base is the uniform one of an empty vocabulary; repeated rows are scored alike; an empty table gives
@@ -19,27 +20,23 @@ an empty result.
 
 from __future__ import annotations
 
-import uuid
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_bucket, text_of, written
+from .jaccard import _M, _mix, _Words
 
-#: Least share of all tokens for a context or n-gram of the tree, and for a word that is broadcast.
-GRAM_SHARE, WORD_SHARE = 1e-5, 1e-6
+#: Least count of an n-gram of the tree, however many tokens there are.
+LEAST = 2
 DISCOUNT = 0.75
 SMOOTH = 0.1
-#: Words over so many bytes are joined by a shuffle, however frequent.
-LONGEST_SENT = 64
 #: The end of a text; no word has a space.
 END = b" "
-_DISTINCT, _TOKENS = 300_000, 2_000_000
+_TOKENS = 1_000_000
 
 
 def words(text: str | None) -> list[bytes]:
@@ -47,44 +44,63 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def _count_words(batches):
-    seen: Counter = Counter()
+_hashes = _Words()
 
-    def flush():
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
 
-    for b in batches:
-        for text in b.column(0).to_pylist():
-            seen.update(words(text))
-            seen[END] += 1
-            if len(seen) > _DISTINCT:
-                yield flush()
-                seen.clear()
-    if seen:
-        yield flush()
+def grams(text: str | None) -> tuple[np.ndarray, ...]:
+    """For each token of a text the hashes (three, two before it, pair with the one before, one before, itself); 0 where there is none."""
+    w = words(text)
+    w.append(END)
+    c = np.fromiter(map(_hashes.__getitem__, w), np.uint64, len(w))
+    b, ab = np.zeros_like(c), np.zeros_like(c)
+    b[1:] = c[:-1]
+    bc = _mix(b * _M + c)
+    ab[2:] = bc[1:-1]
+    return _mix(ab * _M + bc), ab, bc, b, c
 
 
-class Vocabulary:
-    """Numbers of the frequent words, the most frequent first; ``size`` for all others."""
+def _batch(arrays, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64) if x.dtype == np.uint64 else x) for x in arrays], names=names)
 
-    def __init__(self, listed: list[bytes]):
-        self.size = len(listed)
-        self.number = {w: i for i, w in enumerate(listed)}
-        self.end = self.number.get(END, self.size)
 
-    def of(self, w: list[bytes]) -> np.ndarray:
-        get, other = self.number.get, self.size
-        return np.fromiter([get(x, other) for x in w], np.int64, len(w))
+def _kinds(batches):
+    """From (text, held_out): the distinct n-grams of a chunk, with their counts in training texts."""
+    held, train, size = [], [], 0
 
+    def flush():
+        columns = [np.concatenate([h[k] for h in held]) for k in range(5)]
+        _, at, back = np.unique(columns[0], return_index=True, return_inverse=True)
+        weight = np.repeat(np.array(train, float), [len(h[0]) for h in held])
+        n = np.bincount(back, weights=weight, minlength=len(at)).astype(np.int64)
+        for lo in range(0, len(at), 200_000):
+            yield _batch([*(x[at[lo : lo + 200_000]] for x in columns), n[lo : lo + 200_000]], ["abc", "ab", "bc", "b", "c", "n"])
 
-_vocabularies: dict[str, Vocabulary] = {}
+    for b in batches:
+        for lo in range(0, b.num_rows, 500):
+            part = b.slice(lo, 500)
+            for text, out in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                held.append(grams(text))
+                train.append(not out)
+                size += len(held[-1][0])
+                if size >= _TOKENS:
+                    yield from flush()
+                    held, train, size = [], [], 0
+    if held:
+        yield from flush()
 
 
-def _vocabulary(sent, run_id: str) -> Vocabulary:
-    if run_id not in _vocabularies:
-        _vocabularies.clear()
-        _vocabularies[run_id] = Vocabulary(sent.value)
-    return _vocabularies[run_id]
+def _uses(batches):
+    """From (text_hash, text): how often each text has each n-gram; a text once for each few rows that repeat it."""
+    for b in batches:
+        for lo in range(0, b.num_rows, 500):
+            part = b.slice(lo, 500)
+            found, seen = [], set()
+            for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                if key not in seen:
+                    seen.add(key)
+                    kinds, times = np.unique(grams(text)[0], return_counts=True)
+                    found.append((np.full(len(kinds), key, np.int64), kinds, times.astype(np.int64)))
+            yield _batch([np.concatenate(x) for x in zip(*found, strict=True)], ["text_hash", "abc", "times"])
 
 
 def lookup(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -113,33 +129,6 @@ def _triple_keys(ids: np.ndarray, n: int, end: int, pairs: np.ndarray) -> np.nda
     return first[ok] * n + ids[ok + 2]
 
 
-def _count_grams(sent, run_id: str, n: int, pairs: np.ndarray | None):
-    """Counts of pairs, or of triples over known pairs, each chunk's together."""
-
-    def run(batches):
-        vocabulary = _vocabulary(sent, run_id)
-        held, size = [], 0
-
-        def flush():
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            for at in range(0, len(keys), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 200_000]), pa.array(counts[at : at + 200_000].astype(np.int64))], names=["gram", "c"])
-
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                ids = np.append(vocabulary.of(words(text)), vocabulary.end)
-                keys = _pair_keys(ids, n, vocabulary.end)[0] if pairs is None else _triple_keys(ids, n, vocabulary.end, pairs)
-                held.append(keys)
-                size += len(keys)
-                if size >= _TOKENS:
-                    yield from flush()
-                    held, size = [], 0
-        if size:
-            yield from flush()
-
-    return run
-
-
 @dataclass
 class Tree:
     """States of one word (by number) and of two (by key), their next symbols and what they leave to the suffix.
@@ -236,99 +225,63 @@ def log_scores(tree: Tree, ids: np.ndarray, p0: np.ndarray) -> np.ndarray:
     return np.log10(p)
 
 
-def _score(sent, run_id: str, counts: np.ndarray, tree: Tree, total: int, distinct: int):
-    """Rows of texts (id, hash, frequent parts of the sums) and of their rare words (id, hash, word, times)."""
-    names = ["doc_id", "held_out", "text_hash", "n_tokens", "n_known", "base", "score", "word", "times"]
-    floor = total + SMOOTH * (distinct + 1)
-    # A rare word's probability follows from its count later; here it counts as 1 and only what its context leaves matters.
-    p0 = np.append((counts + SMOOTH) / floor, 1.0)
-    log0 = np.log10(p0)
-
-    def run(batches):
-        vocabulary = _vocabulary(sent, run_id)
-        for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
-                held, hashes, n_tokens, n_known, base, score = [], [], [], [], [], []
-                at, rare, times = [], [], []
-                for i, text in enumerate(part.column(2).to_pylist()):
-                    w = words(text)
-                    w.append(END)
-                    ids = vocabulary.of(w)
-                    unknown = ids == vocabulary.size
-                    if unknown.any():
-                        more = Counter([w[k] for k in np.flatnonzero(unknown)])
-                        at += [i] * len(more)
-                        rare += more.keys()
-                        times += more.values()
-                    n_tokens.append(len(w))
-                    n_known.append(len(w) - int(unknown.sum()))
-                    base.append(float(log0[ids].sum()))
-                    score.append(float(log_scores(tree, ids, p0[ids]).sum()))
-                    hashes.append(xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63)
-                key, held, hashes = part.column(0), part.column(1), pa.array(hashes, pa.int64())
-                rows = part.num_rows
-                yield pa.RecordBatch.from_arrays([key, held, hashes, pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.nulls(rows, pa.binary()), pa.nulls(rows, pa.int64())], names=names)
-                take = pa.array(at, pa.int64())
-                m = len(at)
-                yield pa.RecordBatch.from_arrays([key.take(take), held.take(take), hashes.take(take), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64()), pa.array(rare, pa.binary()), pa.array(times, pa.int64())], names=names)
-
-    return run
-
-
-def score_texts(docs: DataFrame, id_column: str = "doc_id", gram_share: float = GRAM_SHARE, word_share: float = WORD_SHARE) -> DataFrame:
+def _states(rows: DataFrame, key: str, *more: Column) -> DataFrame:
+    """(key, total, left, keep) from a row (key, n, total, parent) for each kept next symbol: ``_left`` and ``_diverges``."""
+    gain = F.sum(F.col("n") * F.log(F.col("n") / (F.col("total") * F.col("parent"))))
+    g = rows.groupBy(key).agg(F.max("total").alias("total"), F.count("*").alias("symbols"), F.sum("n").alias("taken"), F.sum("parent").alias("of_parent"), gain.alias("gain"), *more)
+    other = F.greatest(F.col("total") - F.col("taken"), F.lit(0)).cast("double")
+    other_parent = F.least(F.greatest(1 - F.col("of_parent"), F.lit(1e-12)), F.lit(1.0))
+    g = g.withColumn("gain", F.col("gain") + F.when(other > 0, other * F.log(other / (F.col("total") * other_parent))).otherwise(0.0))
+    left = 1 - (F.col("taken") - DISCOUNT * F.col("symbols")) / F.col("total")
+    keep = F.col("gain") > 0.5 * F.col("symbols") * F.log(F.col("total") + 1)
+    return g.withColumn("left", left).withColumn("keep", keep).drop("symbols", "taken", "of_parent", "gain")
+
+
+def score_texts(docs: DataFrame, id_column: str = "doc_id", gram_share: float = 0.0, word_share: float = 0.0) -> DataFrame:
     """One row for each document: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    Learns from the documents whose crc32(id as text) mod 10 is not 0.
+    Learns from the documents whose crc32(id as text) mod 10 is not 0.  With ``gram_share``, an n-gram has at least that
+    share of all tokens, too; ``word_share`` is without effect, as no words are broadcast.
     """
-    spark = docs.sparkSession
     plain = docs.select(F.col(id_column).alias("doc_id"), (crc_bucket(id_column, 10) == 0).alias("held_out"), text_of(docs).alias("text"))
-    train = plain.where("not held_out").select("text")
-    counts = written(train.mapInArrow(_count_words, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c")), "words")
-    total, distinct = (x or 0 for x in counts.agg(F.sum("c"), F.count("*")).first())
-    often = counts.where((F.col("c") >= max(1.0, word_share * total)) & (F.length("word") <= LONGEST_SENT)).collect()
-    often = sorted(((bytes(r["word"]), r["c"]) for r in often), key=lambda x: (-x[1], x[0]))
-    # The most frequent words, among them all that can be in a kept n-gram, come first.
-    least = max(2.0, gram_share * total)
-    n = sum(c >= least for _, c in often)
-    sent = spark.sparkContext.broadcast([w for w, _ in often])
-    number = np.array([c for _, c in often], np.int64)
-    run_id = uuid.uuid4().hex
-
-    def grams(pairs):
-        found = train.mapInArrow(_count_grams(sent, run_id, n, pairs), "gram bigint, c bigint").groupBy("gram").agg(F.sum("c").alias("c")).where(F.col("c") >= least).collect()
-        found = sorted((r["gram"], r["c"]) for r in found)
-        return np.array([g for g, _ in found], np.int64), np.array([c for _, c in found], np.int64)
-
-    none = np.empty(0, np.int64), np.empty(0, np.int64)
-    pairs = grams(None) if n else none
-    triples = grams(pairs[0]) if len(pairs[0]) else none
+    kinds = plain.select("text", "held_out").mapInArrow(_kinds, "abc bigint, ab bigint, bc bigint, b bigint, c bigint, n bigint")
+    kinds = written(kinds.groupBy("abc").agg(*[F.first(x).alias(x) for x in ("ab", "bc", "b", "c")], F.sum("n").alias("n")), "kinds")
+    pairs = written(kinds.groupBy("bc").agg(F.first("b").alias("b"), F.first("c").alias("c"), F.sum("n").alias("n")), "pairs")
+    counts = written(pairs.groupBy("c").agg(F.sum("n").alias("count")).where("count > 0"), "words")
+    total, distinct = (x or 0 for x in counts.agg(F.sum("count"), F.count("*")).first())
     floor = total + SMOOTH * (distinct + 1)
-    tree = grow(n, number[:n], (number[:n] + SMOOTH) / floor, pairs, triples)
-    model = spark.sparkContext.broadcast((number, tree))
-
-    def run(batches):
-        counted, grown = model.value
-        yield from _score(sent, run_id, counted, grown, total, distinct)(batches)
-
-    kind = plain.schema["doc_id"].dataType.simpleString()
-    scored = written(plain.mapInArrow(run, f"doc_id {kind}, held_out boolean, text_hash bigint, n_tokens bigint, n_known bigint, base double, score double, word binary, times bigint"), "scored")
-    rows = scored.where("word is null").groupBy("doc_id", "held_out", "text_hash").agg(F.count("*").cast("int").alias("copies"), *[F.first(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
-    rare = scored.where("word is not null").select("doc_id", "text_hash", "word", "times").join(counts, "word", "left")
-    c = F.coalesce("c", F.lit(0))
-    # Repeated rows bring their rare words once each, so the sums are divided by how many there are.
-    rare = rare.groupBy(F.col("doc_id").alias("of_doc"), F.col("text_hash").alias("of_hash")).agg(
-        F.sum(F.col("times") * F.log10((c + SMOOTH) / floor)).alias("more"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("known")
-    )
-    out = rows.join(rare, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_hash") == F.col("of_hash")), "left")
-    out = out.withColumn("more", F.coalesce("more", F.lit(0.0)) / F.col("copies")).withColumn("known", (F.coalesce("known", F.lit(0)) / F.col("copies")).cast("long"))
-    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
+    least = max(float(LEAST), gram_share * total)
+    pairs = written(pairs.join(counts, "c", "left").withColumn("p0", (F.coalesce("count", F.lit(0)) + SMOOTH) / floor).select("bc", "b", "n", "p0", F.col("count").isNotNull().alias("known")), "pairs")
+    # States of one word; those of two find what they diverge from in the pair of their second word and the next.
+    often = pairs.where((F.col("b") != 0) & (F.col("n") >= least)).join(counts.select(F.col("c").alias("b"), F.col("count").alias("total")), "b")
+    ones = written(_states(often.withColumn("parent", F.col("p0")), "b"), "states")
+    one = (F.col("n") - DISCOUNT) / F.col("total")
+    parents = often.join(ones.select("b", "left"), "b").select("bc", (one + F.col("left") * F.col("p0")).alias("parent"))
+    triples = kinds.where((F.col("ab") != 0) & (F.col("n") >= least)).select("ab", "bc", "b", "n").join(parents, "bc")
+    triples = triples.join(pairs.select(F.col("bc").alias("ab"), F.col("n").alias("total")), "ab")
+    twos = written(_states(triples, "ab", F.first("b").alias("b")).where("keep"), "states")
+    suffixes = twos.select("b").distinct().withColumn("suffix", F.lit(True))
+    ones = ones.join(suffixes, "b", "left").where("keep or suffix").select("b", "total", "left")
+    p1 = F.when(F.col("total").isNull(), F.col("p0")).otherwise(F.when(F.col("n") >= least, one).otherwise(0.0) + F.col("left") * F.col("p0"))
+    p1 = pairs.join(ones, "b", "left").select("bc", "p0", "known", p1.alias("p1"))
+    p2 = F.when(F.col("total").isNull(), F.col("p1")).otherwise(F.when(F.col("n") >= least, one).otherwise(0.0) + F.col("left") * F.col("p1"))
+    scores = kinds.join(p1, "bc").join(twos.select("ab", "total", "left"), "ab", "left")
+    scores = scores.select("abc", (F.col("b") == 0).alias("is_first"), "known", F.log10("p0").alias("base"), F.log10(p2).alias("score"))
+    texts = plain.select(F.xxhash64("text").alias("text_hash"), "text")
+    uses = texts.mapInArrow(_uses, "text_hash bigint, abc bigint, times bigint").join(scores, "abc")
+    each = lambda x: F.sum(F.col("times") * x)
+    # Repeated texts bring their n-grams once each; each has one first token, which says how many there were.
+    sums = uses.groupBy("text_hash").agg(
+        F.sum("times").alias("tokens"), each(F.col("known").cast("long")).alias("known"), each(F.col("is_first").cast("long")).alias("copies"),
+        each(F.col("base")).alias("base"), each(F.col("score")).alias("score"),
+    )
+    out = plain.select("doc_id", "held_out", F.xxhash64("text").alias("text_hash")).join(sums, "text_hash")
     return out.select(
         F.col("doc_id").alias(id_column),
         "held_out",
-        "n_tokens",
-        (F.col("n_known") + F.col("known")).alias("n_known"),
+        (F.col("tokens") / F.col("copies")).cast("long").alias("n_tokens"),
+        (F.col("known") / F.col("copies")).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.col("more")).alias("base_score"),
-        (F.col("score") + F.col("more")).alias("score"),
+        (F.col("base") / F.col("copies")).alias("base_score"),
+        (F.col("score") / F.col("copies")).alias("score"),
     )

@@ -319,6 +319,36 @@ def test_lm_scores(spark):
     assert better > 0.9 * (len(rows) - 2)
 
 
+def test_lm_scores_with_every_repeated_gram(spark, monkeypatch):
+    """Each score is that of the tree in memory over all n-grams that come twice, however small their share."""
+    rng = random.Random(9)
+    rows = [(k, " ".join(rng.choice(VOCAB[:8]) if rng.random() < 0.5 else "ka ter lo ra"[: rng.choice([2, 6, 9, 12])] for _ in range(30))) for k in range(300)]
+    rows += [(300 + k, "seldom seen together") for k in range(6)] + [(310, None), (3, rows[3][1]), (311, rows[4][1])]
+    rows += [(400 + k, words(rng, 900)) for k in range(260)]
+    toks = [suffix_tree.words(t) + [suffix_tree.END] for _, t in rows]
+    train = [w for (i, _), w in zip(rows, toks, strict=True) if zlib.crc32(str(i).encode()) % 10]
+    c = Counter(x for w in train for x in w)
+    assert sum(c.values()) > 200_000  # two are less than a share of 1e-5
+    number = {x: k for k, x in enumerate(sorted(c))}
+    n, end, floor = len(c), number[suffix_tree.END], sum(c.values()) + 0.1 * (len(c) + 1)
+    ids = lambda w: np.array([number.get(x, n) for x in w])
+
+    def often(keys):
+        found, times = np.unique(np.concatenate(keys), return_counts=True)
+        return found[times >= 2], times[times >= 2]
+
+    pairs = often([suffix_tree._pair_keys(ids(w), n, end)[0] for w in train])
+    triples = often([suffix_tree._triple_keys(ids(w), n, end, pairs[0]) for w in train])
+    count = np.array([c[x] for x in sorted(c)])
+    p0 = (count + 0.1) / floor
+    tree, p0 = suffix_tree.grow(n, count, p0, pairs, triples), np.append(p0, 0.1 / floor)
+    want = sorted((i, float(suffix_tree.log_scores(tree, ids(w), p0[ids(w)]).sum())) for (i, _), w in zip(rows, toks, strict=True))
+    monkeypatch.setattr(suffix_tree, "_TOKENS", 20_000)
+    got = sorted((r["doc_id"], r["score"]) for r in suffix_tree.score_texts(docs_frame(spark, rows).repartition(3)).collect())
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert np.abs(np.array([x for _, x in got]) - np.array([x for _, x in want])).max() < 1e-6
+
+
 def test_lm_distributions_sum_to_one():
     rng = np.random.default_rng(1)
     n = 6
