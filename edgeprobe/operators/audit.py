@@ -84,12 +84,21 @@ def shuffled(rows: DataFrame, y: str, within: str, seed: int = 0) -> DataFrame:
     return a.join(b, [within, "_k"]).drop("_k")
 
 
-def point_in_time(bars: DataFrame, build, columns: list[str], probes: list[int], tolerance: float = 1e-9) -> DataFrame:
-    """(feature, probe, differs): features of the last row when history ends there, against those of the whole; all probes in one plan."""
+def point_in_time(bars: DataFrame, build, columns: list[str] | None, probes: list[int] | int, tolerance: float = 1e-9) -> DataFrame:
+    """(feature, probe, differs): features of the last row when history ends there, against those of the whole; all probes in one plan.
+
+    A number of probes is spread over each symbol's own length; without ``columns``, all that ``build`` adds are compared.
+    """
     w = Window.partitionBy("symbol").orderBy("ts")
     b = bars.withColumn("pos", F.row_number().over(w) - 1)
+    columns = columns or [c for c in build(b).columns if c not in b.columns]
+    if isinstance(probes, int):
+        n = F.count("*").over(Window.partitionBy("symbol"))
+        at = F.array_distinct(F.array(*[F.floor(n * (k + 1) / (probes + 1)).cast("int") for k in range(probes)]))
+    else:
+        at = F.array(*[F.lit(p) for p in probes])
     whole = build(b).select("symbol", "pos", *columns)
-    cut = b.withColumn("probe", F.explode(F.array(*[F.lit(p) for p in probes]))).where("pos <= probe")
+    cut = b.withColumn("_at", at).withColumn("probe", F.explode("_at")).drop("_at").where("pos <= probe")
     cut = cut.withColumn("symbol", F.concat_ws("\x1f", "symbol", F.col("probe").cast("string")))
     part = build(cut).where("pos = probe").withColumn("symbol", F.split("symbol", "\x1f")[0]).select("symbol", "pos", *[F.col(c).alias(f"p_{c}") for c in columns])
     both = whole.join(part, ["symbol", "pos"])

@@ -703,8 +703,7 @@ def concentration_runs(spark, sf_dir):
 
 @query("feature differs&")
 def point_in_time_audit(spark, sf_dir):
-    build = lambda b: features.channel(features.stretch(features.momentum(features.log_returns(b))))
-    return audit.point_in_time(hours(spark, sf_dir), build, ["ret_1", "ret_24", "z_24", "z_72", "donch_24"], [50, 120, 300])
+    return audit.point_in_time(hours(spark, sf_dir), features.build, None, 12)
 
 
 @query("n& auc#")

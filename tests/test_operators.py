@@ -180,3 +180,19 @@ def test_models_take_every_symbol(spark):
 def test_model_queries_take_every_symbol(spark, name):
     got = {r["symbol"] for r in catalog.QUERIES[name](spark, "/root/testdata/sf0.01").select("symbol").distinct().collect()}
     assert got == {r[0] for r in spark.read.parquet("/root/testdata/sf0.01/events.parquet").select("event_type").distinct().collect()}
+
+
+def test_probes_are_spread_over_each_symbol(spark):
+    """A leak in the last quarter of a long symbol and one in a short symbol are both found."""
+    b = bars(spark, range(100, 500), "long").unionByName(bars(spark, range(100, 140), "short"))
+    ahead = lambda x: F.when(x, F.lead("close", 1).over(execution.bars_window())).otherwise(F.lit(0.0))
+    build = lambda x: x.withColumn("late", ahead((F.col("close") > 400) & F.col("symbol").startswith("long"))).withColumn("other", ahead(F.col("symbol").startswith("short")))
+    # Bars 30, 61, ..., 369 of 400 and 3, 6, ..., 36 of 40; closes over 400 start at bar 301.
+    want = {"late": sum(400 * (k + 1) // 13 > 300 for k in range(12)), "other": 12}
+    assert {r["feature"]: r["differs"] for r in audit.point_in_time(b, build, None, 12).collect()} == want
+
+
+def test_audit_query_takes_every_feature(spark):
+    got = {r["feature"]: r["differs"] for r in catalog.QUERIES["point_in_time_audit"](spark, "/root/testdata/sf0.001").collect()}
+    b = bars(spark, range(100, 130))
+    assert set(got) == set(features.build(b).columns) - set(b.columns) and set(got.values()) == {0}
