@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,3 +68,27 @@ def text_of(df: DataFrame, column: str = "text"):
 def crc_bucket(column: str, modulus: int):
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+#: Rows and bytes of an Arrow batch, and of what is taken from it as Python objects at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """The session, in which texts go to Python workers in batches of a few megabytes, unless it has been told otherwise."""
+    for key, value in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}", None) is None:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(value))
+    return spark
+
+
+def few_at_a_time(batches: Iterable[pa.RecordBatch], column: int, rows: int = 500, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows`` rows and, but for a longer text by itself, ``size`` bytes of a column."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < b.num_rows:
+            before = ends[at - 1] if at else 0
+            end = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, "right"))), b.num_rows)
+            yield b.slice(at, end - at)
+            at = end

@@ -22,24 +22,30 @@ the blocks that stay.
 that one is dealt out by the block; so a block with a third of all documents sends a row or two for each
 chunk.  Candidates are (member, representative) pairs, as many as there are shared blocks, never all
 pairs of a group.  After these are verified and their components found, blocks that still hold
-several components get other representatives, once; in those that even then hold several, members of
-different components are compared pair by pair, by 4096-bit sketches first.
+several components get other representatives, once.  Most documents are done then: one whose own level
+has more than n/3 blocks that hold a single component has met every partner that it vouches for.  Only
+the documents for which that isn't so are compared with those members of their blocks that are in
+other components, and each of them does without as many of its largest blocks as it has to spare.
 
 Cases: null and empty texts, and those of white space, have no set and are linked with nothing;
-texts of fewer words than a shingle are one shingle; equal sets are one class and compared once; rows
-with a null id come back with a component of null, uncompared; repeated ids are one document with
-several texts, which join whatever any of them links to; an empty table gives an empty result.
+texts of fewer words than a shingle are one shingle; very long texts are read whole, in memory that grows with
+them; equal sets are one class and compared once; rows with a null id come back with a component of null,
+uncompared; repeated ids are one document with several texts, which join whatever any of them links to;
+ids may be numbers or text, the smallest by their own order; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, text_of, written
+from .common import cut, few_at_a_time, small_batches, text_of, written
+from .hashing import GOLD, M, mix, word_hashes
 
 SHINGLE = 5
 #: A shingle is common if this share of a chunk's distinct sets has it, and at least COMMON_LEAST do.
@@ -52,7 +58,7 @@ CHUNK = 600_000
 BUCKET_KEYS = 1_000_000
 #: Most ids that are broadcast (8 bytes each) to pick texts; more are joined by a shuffle.
 SENT_IDS = 1_000_000
-SKETCH_LONGS = 64
+SKETCH_LONGS, FOLDED = 64, 8
 #: How often blocks that hold several components get other representatives before all of their members are compared.
 OTHER_STARS = 1
 #: Edges in a partition while components are found, about.
@@ -60,41 +66,20 @@ EDGES = 200_000
 #: Sets over so many shingles have a longer sketch, too.
 WIDE_FROM, WIDE_LONGS = 3000, 256
 
-_GOLD = 0x9E3779B97F4A7C15
-_M = np.uint64(_GOLD)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64 bits that spreads every bit over all others (splitmix)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class _Words(dict):
-    """Hashes of words; forgotten when there are too many."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 150_000:
-            self.clear()
-        out = self[word] = xxhash.xxh3_64_intdigest(word)
-        return out
-
-
-_words = _Words()
-
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """The sorted hashes of a text's distinct shingles (ASCII capitals lowered, white space parts words)."""
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not w:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, w), np.uint64, len(w))
-    k = min(size, len(w))
+    h = word_hashes((text or "").encode("utf-8", "surrogatepass").lower())
+    if not len(h):
+        return h
+    k = min(size, len(h))
     out = h[: len(h) - k + 1].copy()
     for i in range(1, k):
-        out = out * _M + h[i : len(h) - k + 1 + i]
-    return np.unique(_mix(out + np.uint64(k)))
+        out *= M
+        out += h[i : len(h) - k + 1 + i]
+    out = mix(out + np.uint64(k))
+    out.sort()
+    return out if len(out) == 1 else out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
 def digest(s: np.ndarray) -> tuple[int, int]:
@@ -108,43 +93,47 @@ def most_different(n1: int, n2: int) -> int:
     return (n1 + n2) // 7
 
 
-def _top(s: np.ndarray, k: int) -> np.ndarray:
-    """The block of each shingle when there are 2**k."""
-    return s >> np.uint64(64 - k) if 0 < k < 64 else s if k else np.zeros_like(s)
+def _levels(s: np.ndarray) -> np.ndarray:
+    """For each shingle but the first the coarsest level (of 2**level blocks) that parts it from the one before; 33 if none up to 32 does."""
+    apart = ((s[1:] ^ s[:-1]) >> np.uint64(32)).astype(np.float64)
+    return np.where(apart > 0, 33 - np.frexp(apart)[1], 33)
 
 
-def block_keys(s: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The keys that a set joins on; ``common`` is sorted."""
+def block_keys(s: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, int]:
+    """The keys that a set joins on, and how many blocks its own level has beyond those it needs; ``common`` is sorted."""
     n = len(s)
     if not n:
-        return s
-    mixed = _mix(s ^ _M)
-    rare = np.ones(n, np.int64)
+        return s, 0
+    mixed = mix(s ^ M)
+    rare = None
     if len(common):
         at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-        rare = (common[at] != s).astype(np.int64)
+        rare = common[at] != s
+        rare = None if rare.all() else rare.astype(np.int64)
     first = max(0, (n // 4).bit_length())
     while first and 2 ** (first - 1) * 4 > n:
         first -= 1
     last = (4 * n - 1).bit_length()  # levels up to here can be a document's own, then only the finest
-    levels = [*range(first, last + 2), 64]
+    parted = _levels(s)
     made: list[tuple[int, np.ndarray, np.ndarray]] = []
     own = None
-    for k in levels:
-        starts = np.flatnonzero(np.r_[True, np.diff(_top(s, k)) != 0])
-        key = _mix(np.bitwise_xor.reduceat(mixed, starts) + np.uint64((k + 1) * _GOLD % 2**64))
-        usable = np.add.reduceat(rare, starts) > 0
+    for k in [*range(first, last + 2), 64]:
+        starts = np.concatenate(([0], np.flatnonzero(parted <= k) + 1)) if k < 64 else np.arange(n)
+        key = mix(np.bitwise_xor.reduceat(mixed, starts) + np.uint64((k + 1) * GOLD % 2**64))
+        usable = np.ones(len(key), bool) if rare is None else np.add.reduceat(rare, starts) > 0
         made.append((k, key, usable))
         if k != last + 1 and 3 * int(usable.sum()) > n:
             own = k
             break
     out = [key[usable] for _, key, usable in made]
+    blocks = len(out[-1])
     if own is None:  # too much of it is common: blocks of common shingles only, too
         for k, key, usable in made:
             out.append(key[~usable])
-            if k != last + 1 and 3 * len(key) > n:
+            blocks = len(key)
+            if k != last + 1 and 3 * blocks > n:
                 break
-    return np.concatenate(out)
+    return np.concatenate(out), blocks - n // 3 - 1
 
 
 def sketch(s: np.ndarray, longs: int = SKETCH_LONGS) -> np.ndarray:
@@ -181,40 +170,42 @@ def _profile(batches):
     """A row for each document (id, n, digest, sketch), and rows (shingle, count) for what is common in a chunk."""
     names = ["id", "n", "hi", "lo", "shingle", "count", *_SKETCH, "wide"]
     held: dict[tuple[int, int], np.ndarray] = {}
-    size = 0
+    size, kind = 0, None
 
     def flush():
-        found, counts = np.unique(np.concatenate(list(held.values())), return_counts=True)
+        found = np.concatenate(list(held.values()))
+        found.sort()
+        starts = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
+        counts = np.diff(np.append(starts, len(found)))
         hot = counts >= max(COMMON_LEAST, COMMON_SHARE * len(held))
         none = pa.nulls(int(hot.sum()), pa.int64())
-        return pa.RecordBatch.from_arrays([*[none] * 4, _signed(found[hot]), pa.array(counts[hot].astype(np.int64)), *[none] * SKETCH_LONGS, pa.nulls(len(none), _WIDE)], names=names)
+        return pa.RecordBatch.from_arrays([pa.nulls(len(none), kind), *[none] * 3, _signed(found[starts[hot]]), pa.array(counts[hot].astype(np.int64)), *[none] * SKETCH_LONGS, pa.nulls(len(none), _WIDE)], names=names)
 
-    for b in batches:
-        for lo in range(0, b.num_rows, 500):
-            part = b.slice(lo, 500)
-            rows, bits, wide = [], [], []
-            for text in part.column(1).to_pylist():
-                s = shingles(text)
-                d = digest(s)
-                rows.append((len(s), *d))
-                bits.append(sketch(s))
-                wide.append(wide_sketch(s))
-                if len(s) and d not in held:
-                    held[d] = s
-                    size += len(s)
-                    if size >= CHUNK:
-                        yield flush()
-                        held.clear()
-                        size = 0
-            n, hi, lo_ = (pa.array(np.array([r[i] for r in rows], np.int64)) for i in range(3))
-            none = pa.nulls(len(rows), pa.int64())
-            bits = np.array(bits, np.int64).reshape(len(rows), SKETCH_LONGS)
-            yield pa.RecordBatch.from_arrays([part.column(0), n, hi, lo_, none, none, *(pa.array(bits[:, i].copy()) for i in range(SKETCH_LONGS)), pa.array(wide, _WIDE)], names=names)
+    for part in few_at_a_time(batches, 1):
+        kind = part.column(0).type
+        rows, bits, wide = [], [], []
+        for text in part.column(1).to_pylist():
+            s = shingles(text)
+            d = digest(s)
+            rows.append((len(s), *d))
+            bits.append(sketch(s))
+            wide.append(wide_sketch(s))
+            if len(s) and d not in held:
+                held[d] = s
+                size += len(s)
+                if size >= CHUNK:
+                    yield flush()
+                    held.clear()
+                    size = 0
+        n, hi, lo = (pa.array(np.array([r[i] for r in rows], np.int64)) for i in range(3))
+        none = pa.nulls(len(rows), pa.int64())
+        bits = np.array(bits, np.int64).reshape(len(rows), SKETCH_LONGS)
+        yield pa.RecordBatch.from_arrays([part.column(0), n, hi, lo, none, none, *(pa.array(bits[:, i].copy()) for i in range(SKETCH_LONGS)), pa.array(wide, _WIDE)], names=names)
     if held:
         yield flush()
 
 
-_DEALT = "bucket int, keys binary, low binary, who binary, classes binary, inner_keys binary, inner_who binary, inner_rep binary"
+_DEALT = "bucket int, keys binary, low binary, who binary, classes binary, inner_keys binary, inner_who binary, inner_rep binary, spare binary"
 
 
 def _halves(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -224,7 +215,7 @@ def _halves(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _named(upper48: np.ndarray, bucket: np.ndarray) -> np.ndarray:
     """A key's name in the result: from its upper 48 bits and its bucket, so that no two buckets share one."""
-    return _mix(upper48 ^ _mix(bucket + np.uint64(1)))
+    return mix(upper48 ^ mix(bucket + np.uint64(1)))
 
 
 def _marked(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -232,28 +223,27 @@ def _marked(key: np.ndarray, buckets: int) -> np.ndarray:
     return _named(key >> np.uint64(16), key % np.uint64(buckets))
 
 
-def _texts(batches):
-    """The first column's texts, few at a time as Python objects."""
-    for b in batches:
-        for lo in range(0, b.num_rows, 500):
-            yield from b.column(0).slice(lo, 500).to_pylist()
-
-
 def _keys(common, buckets: int):
     """For each chunk and bucket of keys one row of packed arrays.
 
     ``keys``/``who``: each key of the chunk once, with its representative; ``inner_*``: the other members
-    of a key in this chunk.  Members are numbers into ``classes``.
+    of a key in this chunk.  Members are numbers into ``classes``.  A row with ``spare`` has only that and
+    ``classes``: how many blocks each class of the chunk can do without.
     """
+    names = ["bucket", "keys", "low", "who", "classes", "inner_keys", "inner_who", "inner_rep", "spare"]
 
-    def flush(keys, numbers):
+    def row(bucket, cells):
+        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *(pa.array([None if x is None else x.tobytes()], pa.binary()) for x in cells)], names=names)
+
+    def flush(keys, numbers, spare):
+        yield row(int(numbers[0]) % buckets, [None, None, None, numbers, None, None, None, np.array(spare, np.int32)])
         key, who = np.concatenate(keys), np.repeat(np.arange(len(keys), dtype=np.uint32), [len(k) for k in keys])
         order = np.argsort(key, kind="stable")
         key, who = key[order], who[order]
         new = np.r_[True, key[1:] != key[:-1]]
         rep = who[np.flatnonzero(new)][np.cumsum(new) - 1]
         bucket = (key % np.uint64(buckets)).astype(np.int64)
-        inner_bucket = (_mix(key[~new] ^ numbers[who[~new]].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        inner_bucket = (mix(key[~new] ^ numbers[who[~new]].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
         head, tail = (key[new], who[new]), (key[~new], who[~new], rep[~new])
         bucket = bucket[new]
         order, inner_order = np.argsort(bucket, kind="stable"), np.argsort(inner_bucket, kind="stable")
@@ -267,32 +257,35 @@ def _keys(common, buckets: int):
                 back = back.astype(np.uint16 if len(used) <= 65536 else np.uint32)
                 parts = np.split(back, [len(w), len(w) + len(v)])
                 cells = [*_halves(head[0][own]), parts[0], numbers[used], _marked(tail[0][inner], buckets), parts[1], parts[2]]
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in cells)], names=["bucket", "keys", "low", "who", "classes", "inner_keys", "inner_who", "inner_rep"])
+                yield row(k, [*cells, None])
 
     def run(batches):
         hot = np.sort(np.array(common.value, np.int64).view(np.uint64))
-        keys, numbers, seen, size = [], [], set(), 0
-        for text in _texts(batches):
-            s = shingles(text)
-            d = digest(s)
-            if not len(s) or d in seen:
-                continue
-            seen.add(d)
-            keys.append(block_keys(s, hot))
-            numbers.append(d[0])
-            size += len(keys[-1])
-            if size >= CHUNK:
-                yield from flush(keys, np.array(numbers, np.int64))
-                keys, numbers, size = [], [], 0
-                seen.clear()
+        keys, numbers, spare, seen, size = [], [], [], set(), 0
+        for part in few_at_a_time(batches, 0):
+            for text in part.column(0).to_pylist():
+                s = shingles(text)
+                d = digest(s)
+                if not len(s) or d in seen:
+                    continue
+                seen.add(d)
+                own, more = block_keys(s, hot)
+                keys.append(own)
+                spare.append(more)
+                numbers.append(d[0])
+                size += len(own)
+                if size >= CHUNK:
+                    yield from flush(keys, np.array(numbers, np.int64), spare)
+                    keys, numbers, spare, size = [], [], [], 0
+                    seen.clear()
         if keys:
-            yield from flush(keys, np.array(numbers, np.int64))
+            yield from flush(keys, np.array(numbers, np.int64), spare)
 
     return run
 
 
 def _stars(batches):
-    """From rows sorted by bucket: (key, rep, cls) wherever a block has another class.
+    """From rows sorted by bucket: (key, rep, cls) wherever a block has another class, and (null, spare, cls).
 
     A bucket is held whole; their number is chosen so that it has about BUCKET_KEYS rows.
     """
@@ -313,7 +306,11 @@ def _stars(batches):
 
     for b in batches:
         for i in range(b.num_rows):
-            k, *cells = (b.column(c)[i] for c in range(8))
+            k, *cells, spare = (b.column(c)[i] for c in range(9))
+            if spare.is_valid:
+                more = np.frombuffer(spare.as_buffer(), np.int32).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(more), pa.int64()), pa.array(more), pa.array(np.frombuffer(cells[3].as_buffer(), np.int64))], names=["key", "rep", "cls"])
+                continue
             if k.as_py() != bucket and held:
                 yield from flush()
             bucket = k.as_py()
@@ -328,11 +325,9 @@ def _stars(batches):
 
 
 def _sets(batches):
-    for b in batches:
-        for lo in range(0, b.num_rows, 500):
-            part = b.slice(lo, 500)
-            sets = [shingles(t) for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "shingles"])
+    for part in few_at_a_time(batches, 1):
+        sets = [shingles(t) for t in part.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "shingles"])
 
 
 def _verify(batches):
@@ -349,14 +344,15 @@ def _ids(pairs: DataFrame) -> tuple[DataFrame, bool]:
 
 def verified(pairs: DataFrame, plain: DataFrame) -> DataFrame:
     """The pairs (a, b) of ids that link, by the whole sets of their texts."""
+    kind = plain.schema["id"].dataType.simpleString()
     pairs = cut(pairs.select("a", "b"))
     pairs = cut(pairs.coalesce(1 + pairs.count() // EDGES))
     ids, few = _ids(pairs)
-    sets = written(plain.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(_sets, "id bigint, shingles binary"), "sets")
+    sets = written(plain.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(_sets, f"id {kind}, shingles binary"), "sets")
     left = sets.select(F.col("id").alias("b"), F.col("shingles").alias("of_b"))
     right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("of_a"))
     both = pairs.join(left, "b").join(right, "a").select("a", "b", "of_a", "of_b")
-    return cut(both.mapInArrow(_verify, "a bigint, b bigint, linked boolean").where("linked").select("a", "b").distinct())
+    return cut(both.mapInArrow(_verify, f"a {kind}, b {kind}, linked boolean").where("linked").select("a", "b").distinct())
 
 
 def _may_link(left: str, right: str):
@@ -368,7 +364,8 @@ def _may_link(left: str, right: str):
 
 
 def _within(pairs: DataFrame, sketches: DataFrame, more: list[str]) -> DataFrame:
-    """The pairs (a, b) that may link by sizes and sketches."""
+    """The pairs (a, b) that may link by sizes and sketches; grouped, as a repeated id has several sketches (no further
+    shuffle, since the pairs are dealt by ``b`` already)."""
     side = lambda c, name: sketches.select(F.col("id").alias(c), *[F.col(x).alias(f"{name}{x}") for x in ("n", *_SKETCH, "wide")])
     both = pairs.join(side("a", "l_"), "a").join(side("b", "r_"), "b").where(_may_link("l_", "r_"))
     return both.groupBy("a", "b").agg(F.count("*").alias("_rows"), *[F.max(c).alias(c) for c in more]).drop("_rows")
@@ -418,7 +415,7 @@ def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _blocks(stars: DataFrame) -> DataFrame:
-    """(key, x): the members of blocks of more than two; of blocks with the same rows one is enough.
+    """(key, times, x): the members of blocks of more than two; ``times`` blocks have the same rows, of which one is enough.
 
     A block of two is a pair that was tried.  The same row comes from every chunk that has its documents, so
     a block's rows are told by sums of their hashes' halves, in which equal ones don't cancel as under XOR.
@@ -427,18 +424,36 @@ def _blocks(stars: DataFrame) -> DataFrame:
     halves = [half for h in hashes for half in (F.shiftrightunsigned(h, 32), h.bitwiseAND(F.lit(0xFFFFFFFF)))]
     sums = [F.sum(half).alias(f"h{k}") for k, half in enumerate(halves)]
     many = stars.groupBy("key").agg(F.count("*").alias("m"), *sums)
-    one = many.where("m > 1").groupBy("m", *(f"h{k}" for k in range(len(sums)))).agg(F.min("key").alias("key")).select("key")
-    rows = stars.join(one, "key", "left_semi")
-    return rows.select("key", F.explode(F.array("a", "b")).alias("x")).distinct()
+    one = many.where("m > 1").groupBy("m", *(f"h{k}" for k in range(len(sums)))).agg(F.min("key").alias("key"), F.count("*").alias("times")).select("key", "times")
+    rows = stars.join(one, "key")
+    return rows.select("key", "times", F.explode(F.array("a", "b")).alias("x")).distinct()
 
 
 def _mixed(blocks: DataFrame, comps: DataFrame) -> DataFrame:
-    """(key, x, of_x): the blocks in which several components are left."""
+    """(key, times, x, of_x): the blocks in which several components are left."""
     labelled = _labelled(blocks, comps, "x")
     several = labelled.groupBy("key").agg(F.min("of_x").alias("low"), F.max("of_x").alias("high")).where("low < high").select("key")
     return labelled.join(several, "key", "left_semi")
 
 
+def _unsettled(members: DataFrame, spare: DataFrame) -> DataFrame:
+    """The documents x that can't do without all their mixed blocks, and so may not have met a partner that they vouch for."""
+    mixed = members.groupBy("x").agg(F.sum("times").alias("mixed"))
+    return mixed.join(spare, "x").where("mixed > spare").select("x")
+
+
+def _around(members: DataFrame, these: DataFrame) -> DataFrame:
+    """All members of the blocks that have any of these documents."""
+    return members.join(members.join(these, "x", "left_semi").select("key").distinct(), "key", "left_semi")
+
+
+def _opened(members: DataFrame, spare: DataFrame) -> DataFrame:
+    """The members with ``open``: whether a document is to be compared with this block, for it does without its largest ones."""
+    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
+    largest = Window.partitionBy("x").orderBy(F.desc("size"), "key").rowsBetween(Window.unboundedPreceding, 0)
+    return members.join(sizes, "key").join(spare, "x").withColumn("open", F.sum("times").over(largest) > F.col("spare")).select("key", "x", "of_x", "open")
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -451,60 +466,78 @@ def _other_stars(members: DataFrame, salt: int) -> DataFrame:
 
 
 def _across(members: DataFrame, tried: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that share a block, may link by size and sketch, and weren't tried."""
-    members = members.join(sketches.drop("wide").withColumnRenamed("id", "x"), "x").withColumn("wide", F.lit(None).cast("array<bigint>"))
+    """Pairs (a, b) of different components that share a block with one of them open, may link by size and sketch, and weren't tried.
+
+    Within a block only the sizes and the sketches folded to 512 bits are compared; the pairs that are left meet whole sketches.
+    """
+    folded = [functools.reduce(lambda x, y: x.bitwiseXOR(y), [F.col(c) for c in _SKETCH[i::FOLDED]]).alias(f"f{i}") for i in range(FOLDED)]
+    members = members.join(sketches.select(F.col("id").alias("x"), "n", *folded), "x")
     left, right = (members.select([F.col(c).alias(f"{side}{c}") for c in members.columns]) for side in ("l_", "r_"))
-    may = (F.col("l_x") < F.col("r_x")) & (F.col("l_of_x") != F.col("r_of_x")) & _may_link("l_", "r_")
-    pairs = left.join(right, (F.col("l_key") == F.col("r_key")) & may).select(F.col("l_x").alias("a"), F.col("r_x").alias("b")).distinct()
+    n1, n2 = F.col("l_n"), F.col("r_n")
+    apart = sum((F.bit_count(F.col(f"l_f{i}").bitwiseXOR(F.col(f"r_f{i}"))) for i in range(FOLDED)), F.lit(0))
+    may = (F.col("l_of_x") != F.col("r_of_x")) & (4 * F.least(n1, n2) >= 3 * F.greatest(n1, n2)) & (7 * apart <= n1 + n2)
+    pairs = left.where("l_open").join(right, (F.col("l_key") == F.col("r_key")) & may)
+    pairs = _ordered(pairs.select(F.col("l_x").alias("a"), F.col("r_x").alias("b")))
     return _within(pairs.join(tried, ["a", "b"], "left_anti"), sketches, []).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """One row for each row of ``docs``: id, n_shingles, component_id."""
-    spark = docs.sparkSession
-    plain = docs.select(F.col(id_column).cast("long").alias("id"), text_of(docs).alias("text"))
-    profile = written(plain.mapInArrow(_profile, f"id bigint, n bigint, hi bigint, lo bigint, shingle bigint, count bigint, {_SKETCH_SQL}"), "profile")
+    """One row for each row of ``docs``: id, n_shingles, component_id (of the id's type)."""
+    spark = small_batches(docs.sparkSession)
+    plain = docs.select(F.col(id_column).alias("id"), text_of(docs).alias("text"))
+    kind = plain.schema["id"].dataType.simpleString()
+    profile = written(plain.mapInArrow(_profile, f"id {kind}, n bigint, hi bigint, lo bigint, shingle bigint, count bigint, {_SKETCH_SQL}"), "profile")
     mine = profile.where("n is not null").select("id", "n", "hi", "lo")
     hot = profile.where("shingle is not null").groupBy("shingle").agg(F.sum("count").alias("c")).orderBy(F.desc("c"), "shingle").limit(COMMON_MOST)
     common = spark.sparkContext.broadcast([r[0] for r in hot.select("shingle").collect()])
     # Classes of equal sets, each with its smallest document.
-    roots = mine.where("n > 0 and id is not null").groupBy("hi", "lo").agg(F.min("id").alias("root"))
+    roots = mine.where("n > 0 and id is not null").groupBy("hi", "lo").agg(F.min("id").alias("root"), F.max("n").alias("n"))
 
     total = mine.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_KEYS))
     sent = plain.where("id is not null").select("text").mapInArrow(_keys(common, buckets), _DEALT)
     found = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_stars, "key bigint, rep bigint, cls bigint")
     found = written(found, "stars")
-    at = lambda c, to: roots.select(F.col("hi").alias(c), F.col("root").alias(to))
-    pairs = found.groupBy("rep", "cls").agg(F.count("*").alias("shared"))
+    stars = found.where("key is not null")
+    at = lambda c, to: roots.select(F.col("hi").alias(c), F.col("root").alias(to), F.col("n").alias(f"n_{to}"))
+    pairs = stars.groupBy("rep", "cls").agg(F.count("*").alias("shared"))
     pairs = cut(pairs.join(at("rep", "a"), "rep").join(at("cls", "b"), "cls"))
-    between = pairs.where("a != b").groupBy("a", "b").agg(F.max("shared").alias("shared"))
+    alike = F.col("a") != F.col("b")
+    between = pairs.where(alike & (4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b"))).groupBy("a", "b").agg(F.max("shared").alias("shared"))
     needed, few = _ids(between)
     sketches = written(profile.where("n > 0").join(F.broadcast(needed) if few else needed, "id", "left_semi").select("id", "n", *_SKETCH, "wide"), "sketches")
     # A document with several texts (a repeated id) has several classes.
-    several = mine.where("n > 0 and id is not null").join(roots, ["hi", "lo"]).where("id != root").select(F.col("id").alias("a"), F.col("root").alias("b"))
+    several = mine.where("n > 0 and id is not null").join(roots.drop("n"), ["hi", "lo"]).where("id != root").select(F.col("id").alias("a"), F.col("root").alias("b"))
     several = several.join(roots.select(F.col("root").alias("a")).distinct(), "a", "left_semi")
     # First each document with the representative that it shares most blocks with; then, where that
     # leaves two components apart, the other pairs.
     near = cut(_within(between, sketches, ["shared"]))
-    best = near.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
+    best = near.groupBy("b").agg(F.min_by("a", F.struct(-F.col("shared"), "a")).alias("a"))
     links = verified(best, plain)
     comps = components(links.union(several))
     rest = _apart(near.join(best, ["a", "b"], "left_anti").select("a", "b"), comps)
     comps = _joined(comps, verified(rest, plain))
-    # Blocks that still hold several components may hold links between members that aren't representatives.
-    # Other representatives join most of them first; what then stays apart is compared member by member.
-    tried = cut(_ordered(between.select("a", "b")))
-    blocks = cut(_blocks(found.join(pairs, ["rep", "cls"]).select("key", "a", "b").where("a != b")))
+    # Blocks that still hold several components may hold links between members that aren't representatives, but a
+    # document that can do without them has no link to lose.  Other representatives settle most of the rest; what then
+    # stays open is compared member by member.
+    spare = found.where("key is null").select(F.col("cls").alias("hi"), F.col("rep").alias("spare")).join(roots.select("hi", F.col("root").alias("x")), "hi")
+    spare = spare.groupBy("x").agg(F.min("spare").alias("spare"))
+    tried = cut(_ordered(pairs.where(alike).select("a", "b")))
+    blocks = _blocks(stars.join(pairs, ["rep", "cls"]).select("key", "a", "b").where(alike))
+    members = cut(_mixed(blocks, comps))
+    members = cut(_around(members, _unsettled(members, spare)))
     for salt in range(1, 1 + OTHER_STARS):
-        members = cut(_mixed(blocks, comps))
+        if members.isEmpty():
+            break
         new = cut(_other_stars(members, salt).join(tried, ["a", "b"], "left_anti"))
         tried = tried.union(new)
         comps = _joined(comps, verified(_within(new, sketches, []).select("a", "b"), plain))
-        blocks = members.select("key", "x")
-    comps = _joined(comps, verified(_across(cut(_mixed(blocks, comps)), tried, sketches), plain))
+        members = cut(_mixed(members.select("key", "times", "x"), comps))
+        members = cut(_around(members, _unsettled(members, spare)))
+    if not members.isEmpty():
+        comps = _joined(comps, verified(_across(cut(_opened(members, spare)), tried, sketches), plain))
     by_root = comps.withColumnRenamed("node", "root")
-    out = mine.join(roots, ["hi", "lo"], "left").join(by_root, "root", "left")
+    out = mine.join(roots.drop("n"), ["hi", "lo"], "left").join(by_root, "root", "left")
     own = F.when(F.col("n") > 0, F.coalesce("component", "root")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), own).alias("component_id"))
 
@@ -515,4 +548,4 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     Rows with a null id were compared with nothing and all stay.
     """
     kept = near_duplicates(docs, id_column).where(F.col("component_id") == F.col(id_column)).select(F.col(id_column).alias("_kept")).distinct()
-    return docs.join(kept, docs[id_column].cast("long") == kept["_kept"], "left_semi").unionByName(docs.where(docs[id_column].cast("long").isNull()))
+    return docs.join(kept, docs[id_column] == kept["_kept"], "left_semi").unionByName(docs.where(docs[id_column].isNull()))

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_bucket, text_of, written
-from .jaccard import _M, _mix, _Words
+from .hashing import GOLD, M, mix, word_hashes
 
 #: Least count of an n-gram of the tree, however many tokens there are.
 LEAST = 2
@@ -44,19 +44,17 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-_hashes = _Words()
+_END = np.array([GOLD], np.uint64)
 
 
 def grams(text: str | None) -> tuple[np.ndarray, ...]:
     """For each token of a text the hashes (three, two before it, pair with the one before, one before, itself); 0 where there is none."""
-    w = words(text)
-    w.append(END)
-    c = np.fromiter(map(_hashes.__getitem__, w), np.uint64, len(w))
+    c = np.concatenate((word_hashes((text or "").encode("utf-8", "surrogatepass").lower()), _END))
     b, ab = np.zeros_like(c), np.zeros_like(c)
     b[1:] = c[:-1]
-    bc = _mix(b * _M + c)
+    bc = mix(b * M + c)
     ab[2:] = bc[1:-1]
-    return _mix(ab * _M + bc), ab, bc, b, c
+    return mix(ab * M + bc), ab, bc, b, c
 
 
 def _batch(arrays, names: list[str]) -> pa.RecordBatch:
