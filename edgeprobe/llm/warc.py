@@ -7,13 +7,15 @@ converted record gets an identifier, an ISO timestamp, a type (response, or revi
 kept elsewhere) and SHA-1 digests of block and payload.
 
 Archives are written by Spark's text writer, whose line separator is the end of a WARC record; so
-they go to any store that Spark can write, task by task, with its commit protocol.  They are read back
-whole by the declared lengths, never by searching for a separator.
+they go to any store that Spark can write, task by task, with its commit protocol.  What is written as a line is a
+few megabytes of records, and a file has a few lines, so files roll by bytes and any of them can be held whole.  They
+are read back by the declared lengths, never by searching for a separator.
 
 Cases: a null payload counts as empty, a null URL as empty; empty payloads are equal to each other;
 of equal payloads the smallest id is the response; white space in a URL or a type is percent-encoded in the header
 line and decoded again; repeated ids give as many records, of which a row that repeats a response is a response;
-rows with a null id are written as responses and never referred to; an empty table gives an archive without records.
+rows with a null id are written as responses and never referred to; ids may be numbers or text; a very long payload
+is a line and a file of its own, held whole; an empty table gives an archive without records.
 """
 
 from __future__ import annotations
@@ -30,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shared_path
+from .common import cut, few_at_a_time, shared_path, small_batches
 
 END = "\r\n\r\n"
 CRLF = b"\r\n"
-#: Most records in a file of an archive; files are read back whole.
-FILE_RECORDS = 4096
+#: Bytes of records that are written as a line, at least, and lines in a file; files are read back whole.
+LINE_BYTES, FILE_LINES = 4 << 20, 4
 #: Most revisits that are broadcast (some 100 bytes each); more are joined by a shuffle of the pages.
 SENT_ROWS = 200_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -165,41 +167,63 @@ def _key(page_id) -> str:
 
 
 def _convert(batches):
-    """Pages through an ARC file of each batch to the text of WARC records."""
-    for b in batches:
-        for lo in range(0, b.num_rows, 500):
-            part = b.slice(lo, 500)
-            ids, urls, pages, first = (part.column(i).to_pylist() for i in range(4))
-            raw = []
-            for url, page in zip(urls, pages, strict=True):
-                body = page.encode("utf-8", "surrogatepass")
-                head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode()
-                raw.append((url, "0.0.0.0", "20240101000000", "text/html", head + body))
-            arc = arc_file(raw)
-            out = []
-            for i, f, record in zip(ids, first, arc_records(arc), strict=True):
-                extra = {"X-Page-ID": "" if i is None else str(i)}
-                if f is not None:
-                    extra["X-Refers-To-Page"] = str(f)
-                out.append(to_warc(record, _key(i) if i is not None else f"page:none:{base32(record.block)}", None if f is None else _key(f), extra).decode("utf-8", "surrogatepass"))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
-
-
-def write_archives(pages: DataFrame, path: str, file_records: int = FILE_RECORDS) -> None:
-    """Write a record for each page.  One shuffle of (id, digest) finds equal payloads, another brings those of
-    which a smaller id exists back to their pages; it is broadcast only where Spark measures it to be small."""
-    full = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    """Pages through an ARC file of each few of them (of either version in turn) to the text of WARC records, many in a line."""
+    line, size = [], 0
+
+    def row():
+        return pa.RecordBatch.from_arrays([pa.array([END.join(line)], pa.string())], names=["value"])
+
+    for k, part in enumerate(few_at_a_time(batches, 2)):
+        ids, urls, pages, first = (part.column(i).to_pylist() for i in range(4))
+        raw = []
+        for url, page in zip(urls, pages, strict=True):
+            body = page.encode("utf-8", "surrogatepass")
+            head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode()
+            raw.append((url, "0.0.0.0", "20240101000000", "text/html", head + body))
+        arc = arc_file(raw, version=1 + k % 2)
+        del raw
+        for i, f, record in zip(ids, first, arc_records(arc), strict=True):
+            extra = {"X-Page-ID": "" if i is None else quote(i, safe="")}
+            if f is not None:
+                extra["X-Refers-To-Page"] = quote(f, safe="")
+            out = to_warc(record, _key(i) if i is not None else f"page:none:{base32(record.block)}", None if f is None else _key(f), extra)
+            line.append(out.decode("utf-8", "surrogatepass"))
+            size += len(out)
+            if size >= LINE_BYTES:
+                yield row()
+                line, size = [], 0
+    if line:
+        yield row()
+
+
+def write_archives(pages: DataFrame, path: str) -> None:
+    """Write a record for each page.
+
+    One shuffle of digests, counted map-side, finds the equal payloads.  The digests that more than 1/SENT_ROWS of
+    all pages have are at most SENT_ROWS and are broadcast to the pages' ids; the others, none of which has many
+    pages, are joined by a shuffle of ids.  The pages themselves are shuffled only if too many are revisits.
+    """
+    small_batches(pages.sparkSession)
+    full = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     own = full.select("page_id", F.sha1(F.col("html").cast("binary")).alias("sha")).where("page_id is not null")
-    first = own.groupBy("sha").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("sha", "first")
-    again = cut(own.join(first, "sha").where("page_id != first").select("page_id", "sha", "first").distinct())
+    first = cut(own.groupBy("sha").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"), F.count("*").alias("n")).where("first < last").select("sha", "first", "n"))
+    often = F.col("n") > (first.agg(F.sum("n")).first()[0] or 0) / SENT_ROWS
+    found = own.join(F.broadcast(first.where(often).drop("n")), "sha").union(own.join(first.where(~often).drop("n"), "sha"))
+    again = cut(found.where("page_id != first").select("page_id", "sha", "first").distinct())
     if again.count() <= SENT_ROWS:
         again = F.broadcast(again)
     records = full.withColumn("sha", F.sha1(F.col("html").cast("binary"))).join(again, ["page_id", "sha"], "left")
-    records.select("page_id", "url", "html", "first").mapInArrow(_convert, "value string").write.option("lineSep", END).option("maxRecordsPerFile", file_records).text(path)
+    text = [F.col(c).cast("string").alias(c) for c in ("page_id", "url", "html", "first")]
+    records.select(*text).mapInArrow(_convert, "value string").write.option("lineSep", END).option("maxRecordsPerFile", FILE_LINES).text(path)
 
 
 def _parse(batches):
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string())
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+
     for b in batches:
         for data in b.column(0):
             rows = []
@@ -211,19 +235,23 @@ def _parse(batches):
                 if fields["warc-type"] == "response" and (said != base32(payload) or size != len(payload)):
                     raise ValueError(f"damaged payload in {fields['warc-record-id']}")
                 to = fields.get("x-refers-to-page")
-                rows.append((int(fields["x-page-id"]) if fields["x-page-id"] else None, size, said, fields["warc-type"], int(to) if to else None))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+                rows.append((unquote(fields["x-page-id"]) if fields["x-page-id"] else None, size, said, fields["warc-type"], None if to is None else unquote(to)))
+                if len(rows) == 1000:
+                    yield batch(rows)
+                    rows = []
+            if rows:
+                yield batch(rows)
 
 
-def read_archives(spark, path: str) -> DataFrame:
-    """One row for each record: page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(_parse, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
+def read_archives(spark, path: str, kind: str = "bigint") -> DataFrame:
+    """One row for each record: page_id, payload_bytes, payload_digest, record_type, refers_to; ids of type ``kind``."""
+    files = small_batches(spark).read.format("binaryFile").load(path).select("content")
+    out = files.mapInArrow(_parse, "page_id string, payload_bytes bigint, payload_digest string, record_type string, refers_to string")
+    return out.withColumns({c: F.col(c).cast(kind) for c in ("page_id", "refers_to")})
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write the pages' archives to the shared folder and read them back."""
     path = shared_path(pages.sparkSession, "warc")
     write_archives(pages, path)
-    return read_archives(pages.sparkSession, path)
+    return read_archives(pages.sparkSession, path, pages.schema["page_id"].dataType.simpleString())
