@@ -1,15 +1,18 @@
-"""Benchmark decontamination with one Aho-Corasick automaton over normalised windows of the items.
+"""Benchmark decontamination with one Aho-Corasick automaton over normalised benchmark items.
 
 Texts are normalised to lower-case words (runs of ASCII letters, digits and all non-ASCII
-characters) joined by single spaces; every window of ``window`` consecutive item words (the whole
-item if it has fewer) is a pattern.  A text is scanned once, and the hits are mapped back to words
-and to code points of the original text.
+characters) joined by single spaces.  What is looked for are windows of ``window`` consecutive item words (the
+whole item if it has fewer).  Each window has a whole piece of ``window // 2`` words that begins at a multiple of
+that in its item, so these pieces, which don't overlap, are the patterns, about as long together as the items.  A text
+is scanned once; where a piece occurs, the words before and after are compared with the item's, and a run of equal words that is
+long enough consists of hits.  Runs are mapped back to words and to code points of the original text.
 
-The items of a benchmark are broadcast.  That is bounded by ``block_chars``: a larger benchmark is
+The items of a benchmark are broadcast.  That is bounded by ``block_chars``: only a benchmark of more text is
 split into blocks, scanned one after the other.
 
-Cases: null and empty texts have no words; an item without words has no window; equal windows of
-several items count for each of them; repeated rows get equal results; an empty table or benchmark gives no hits.
+Cases: null and empty texts have no words; an item without words has no window; a null item id counts as the empty
+text; equal windows of several items count for each of them; very long texts are scanned whole, in memory that
+grows with them; repeated rows get equal results; an empty table or benchmark gives no hits.
 """
 
 from __future__ import annotations
@@ -23,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import few_at_a_time, small_batches, text_of, written
 
 WINDOW = 10
-#: Most characters of patterns in one automaton (about 60 bytes of memory each).
-BLOCK_CHARS = 1_000_000
+#: Most characters of items in one automaton (about 100 bytes of a worker's memory each).
+BLOCK_CHARS = 4_000_000
 #: A word of an original text, capitals included.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -38,35 +41,55 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_BYTES).split()
 
 
-def build(items: list[tuple[str, str | None]], window: int = WINDOW):
-    """An automaton whose values are (words in the pattern, the items that have it); None without patterns."""
-    patterns: dict[str, tuple[int, set[str]]] = {}
-    for item, text in items:
+class Machine:
+    """The automaton over the items' pieces; its values are the places (item, word) where a piece begins."""
+
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
+        step = max(1, window // 2)
+        self.window, self.names, self.items = window, [], []
+        places: dict[str, list[tuple[int, int]]] = {}
+        for name, text in items:
+            w = words(text)
+            if not w:
+                continue
+            for at in range(0, max(1, len(w) - step + 1), step):
+                piece = w[at : at + step]
+                places.setdefault(f" {b' '.join(piece).decode('utf-8', 'surrogatepass')} ", []).append((len(self.items), at))
+            self.names.append(name or "")
+            self.items.append(w)
+        self.automaton = ahocorasick.Automaton()
+        for piece, where in places.items():
+            self.automaton.add_word(piece, (piece.count(" ") - 1, where))
+        if places:
+            self.automaton.make_automaton()
+
+    def scan(self, text: str | None) -> tuple[int, list[tuple[int, int, str]]]:
+        """The number of words, and the runs (first word, word after the last, item) that consist of hits."""
         w = words(text)
-        for i in range(max(1, len(w) - window + 1) if w else 0):
-            piece = w[i : i + window]
-            patterns.setdefault(f" {b' '.join(piece).decode()} ", (len(piece), set()))[1].add(item)
-    machine = ahocorasick.Automaton()
-    for p, (n, owners) in patterns.items():
-        machine.add_word(p, (n, tuple(sorted(owners))))
-    if not patterns:
-        return None
-    machine.make_automaton()
-    return machine
-
-
-def scan(machine, text: str | None) -> tuple[int, list[tuple[int, int, tuple[str, ...]]]]:
-    """The number of words, and for each hit (first word, word after the last, items)."""
-    w = words(text)
-    if machine is None or not w:
-        return len(w), []
-    plain = f" {b' '.join(w).decode()} "
-    ends = list(machine.iter(plain))
-    if not ends:
-        return len(w), []
-    spaces = np.flatnonzero(np.frombuffer(plain.encode("utf-32-le"), np.uint32) == 32)
-    after = np.searchsorted(spaces, [e for e, _ in ends])
-    return len(w), [(int(a) - n, int(a), owners) for a, (_, (n, owners)) in zip(after, ends, strict=True)]
+        if not self.items or not w:
+            return len(w), []
+        plain = f" {b' '.join(w).decode('utf-8', 'surrogatepass')} "
+        found = list(self.automaton.iter(plain))
+        if not found:
+            return len(w), []
+        spaces = np.flatnonzero(np.frombuffer(plain.encode("utf-32-le", "surrogatepass"), np.uint32) == 32)
+        after = np.searchsorted(spaces, [e for e, _ in found])
+        out, done = [], {}  # done: where the last run of an item ended, by item and what its words are ahead
+        for end, (_, (n, where)) in zip(after.tolist(), found, strict=True):
+            for item, at in where:
+                of, ahead = self.items[item], end - n - at
+                if done.get((item, ahead), 0) >= end:
+                    continue
+                a, b = end - n, end
+                while a > max(0, ahead) and w[a - 1] == of[a - 1 - ahead]:
+                    a -= 1
+                most = min(len(w), len(of) + ahead)
+                while b < most and w[b] == of[b - ahead]:
+                    b += 1
+                done[item, ahead] = b
+                if b - a >= min(self.window, len(of)):
+                    out.append((a, b, self.names[item]))
+        return len(w), out
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -90,26 +113,26 @@ def in_text(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 _PAIR = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 _PAIR_SQL = "array<struct<start:bigint,end:bigint>>"
-_ADDED = ("bm_n_words", "bm_runs", "bm_items")
-_ADDED_SQL = f"bm_n_words bigint, bm_runs {_PAIR_SQL}, bm_items array<string>"
+_ADDED = ("bm_n_words", "bm_runs", "bm_items", "bm_places")
+_ADDED_SQL = f"bm_n_words bigint, bm_runs {_PAIR_SQL}, bm_items array<string>, bm_places {_PAIR_SQL}"
 
 
-def _blocks(benchmark: DataFrame, block_chars: int) -> list[list[tuple[str, str]]]:
+def _blocks(benchmark: DataFrame, block_chars: int) -> list[DataFrame]:
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), text_of(benchmark).alias("text"))
     size = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
-    n = -(-size * WINDOW // block_chars) or 1
-    blocks = [items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) if n > 1 else items for k in range(n)]
-    return blocks
+    n = -(-size // block_chars) or 1
+    return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else items for k in range(n)]
 
 
-_built: dict[str, object] = {}
+_built: dict[str, Machine] = {}
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Add the number of words, the hit runs of words and the items hit to each row.
+    """Add the number of words, the hit runs of words, the items hit and the runs' places in the text to each row.
 
     No shuffle; the texts pass a worker once for each block of the benchmark (one, unless it is large).
     """
+    small_batches(docs.sparkSession)
     names = [c for c in docs.columns if c not in _ADDED]
     out = docs.select(*names)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
@@ -118,25 +141,27 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_char
     for k, block in enumerate(blocks):
         rows = [(r["item_id"], r["text"]) for r in block.collect()]
         sent = docs.sparkSession.sparkContext.broadcast(rows)
-        key = hashlib.sha256(repr((rows, window)).encode()).hexdigest()
+        key = hashlib.sha256(repr((rows, window)).encode("utf-8", "surrogatepass")).hexdigest()
 
         def run(batches, sent=sent, key=key, more=k > 0):
             if key not in _built:
                 _built.clear()
-                _built[key] = build(sent.value, window)
+                _built[key] = Machine(sent.value, window)
             machine = _built[key]
-            for b in batches:
-                counts, runs, items = [], [], []
+            pairs = lambda spans: [{"start": x, "end": y} for x, y in spans]
+            for b in few_at_a_time(batches, at):
+                counts, runs, items, places = [], [], [], []
                 for i, text in enumerate(b.column(at).to_pylist()):
-                    n, hits = scan(machine, text)
-                    spans, owners = [(x, y) for x, y, _ in hits], {o for *_, own in hits for o in own}
+                    n, hits = machine.scan(text)
+                    spans, owners = [(x, y) for x, y, _ in hits], {item for *_, item in hits}
                     if more:
                         spans += [(p["start"], p["end"]) for p in b.column(len(names) + 1)[i].as_py()]
                         owners |= set(b.column(len(names) + 2)[i].as_py())
                     counts.append(n)
-                    runs.append([{"start": x, "end": y} for x, y in merged(spans)])
+                    runs.append(pairs(merged(spans)))
                     items.append(sorted(owners))
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(counts, pa.int64()), pa.array(runs, _PAIR), pa.array(items, pa.list_(pa.string()))], names=[*names, *_ADDED])
+                    places.append(pairs(in_text(text, merged(spans))))
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(counts, pa.int64()), pa.array(runs, _PAIR), pa.array(items, pa.list_(pa.string())), pa.array(places, _PAIR)], names=[*names, *_ADDED])
 
         out = out.mapInArrow(run, f"{fields}, {_ADDED_SQL}")
         if k + 1 < len(blocks):
@@ -145,7 +170,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_char
 
 
 def report(marked: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """One row for each document: words, hit words, items and their digest."""
+    """One row for each document: words, hit words, items and their digest, and the hits' places in the text (code points)."""
     hit = F.aggregate("bm_runs", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
     return marked.select(
         id_column,
@@ -154,6 +179,7 @@ def report(marked: DataFrame, id_column: str = "doc_id") -> DataFrame:
         F.size("bm_items").cast("long").alias("n_items"),
         F.sha2(F.array_join("bm_items", ","), 256).alias("items_sha256"),
         (F.size("bm_runs") > 0).alias("contaminated"),
+        F.array_join(F.transform("bm_places", lambda p: F.concat_ws(":", p["start"], p["end"])), ",").alias("places"),
     )
 
 
