@@ -8,19 +8,18 @@ matrix with (landmark presence x weights), which is the product with all landmar
 
 Cases: null texts and texts without a letter are ``und`` with score 0, and so is every text if nothing can be
 learnt; ties go to the language that sorts first; very long texts are read whole; repeated rows get equal
-results; an empty table gives an empty result.
+results, and an id that comes with several texts is learnt from by the one that sorts first; ids may be numbers or
+text; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_bucket
+from .common import crc_bucket, few_at_a_time, small_batches, written
 from .ngrams import SPACE_BITS, Distinct, grams, normal, sample_each
 
 SIZES = range(1, 4)
@@ -28,7 +27,6 @@ SIZES = range(1, 4)
 LANDMARKS, TRAINING = 48, 600
 RIDGE = 1e-3
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _distinct: list[Distinct] = []
 
 
@@ -80,12 +78,12 @@ def fit(docs: DataFrame, landmarks: int = LANDMARKS, training: int = TRAINING, r
     picked = {r["doc_id"]: r["lang"] for r in ids.collect()}
     if not picked:
         return None
-    chosen = F.broadcast(spark.createDataFrame([(int(i),) for i in picked if i is not None], "doc_id bigint"))
-    texts = usable.join(chosen, "doc_id", "left_semi").select("doc_id", "lang", "text").dropDuplicates(["doc_id"])
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    chosen = F.broadcast(spark.createDataFrame([(i,) for i in picked if i is not None], f"doc_id {kind}"))
+    texts = usable.join(chosen, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("r")).select("doc_id", "r.*")
+    texts = written(texts, "landmarks")  # a few hundred of each language, read three times
     order = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id"))
-    few = texts.select("doc_id", "lang").withColumn("k", order).where(F.col("k") <= landmarks).select("doc_id")
-    marks = {r["doc_id"] for r in few.collect()}
-    of_marks = texts.where(F.col("doc_id").isin(sorted(marks))).select("lang", "text").mapInArrow(_presences, "lang string, grams array<int>").collect()
+    of_marks = texts.withColumn("k", order).where(F.col("k") <= landmarks).select("lang", "text").mapInArrow(_presences, "lang string, grams array<int>").collect()
     found = sorted(((r["lang"], np.array(r["grams"], np.int64)) for r in of_marks), key=lambda x: (x[0], x[1].tobytes()))
     buckets = np.unique(np.concatenate([g for _, g in found]))
     incidence = np.zeros((len(buckets), len(found)), np.float32)
@@ -118,10 +116,10 @@ def _predict(sent):
         if model is not None:
             languages, buckets, weights, bias = model
             dense = _dense((buckets, weights))
-        for b in batches:
+        for b in few_at_a_time(batches, 2):
             said, score = [], []
             for t in b.column(2).to_pylist():
-                if model is None or t is None or not _LETTER.search(t):
+                if model is None or t is None or not any(map(str.isalpha, t)):
                     said.append(UNKNOWN)
                     score.append(0.0)
                     continue
@@ -137,7 +135,7 @@ def _predict(sent):
 
 def identify(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """One row for each document: id, held_out, lang_pred, score.  Learns where crc32(id as text) mod 4 is not 2."""
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     plain = docs.select(F.col(id_column).alias("doc_id"), (crc_bucket(id_column, 4) == 2).alias("held_out"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     sent = spark.sparkContext.broadcast(fit(plain.where("not held_out").select("doc_id", "text", "lang")))
     kind = plain.schema["doc_id"].dataType.simpleString()
