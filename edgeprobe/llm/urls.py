@@ -1,7 +1,8 @@
 """URL filter: rules first, then naive Bayes over the words of host and path.
 
 A host such as ``cheappillsonline.example`` is split into words by a unigram Viterbi search: of all ways to
-split a run of letters the most probable one under word frequencies counted over the text of all pages.
+split a run of letters the most probable one under word frequencies counted over the text of all pages.  Names of hosts
+and addresses in that text aren't words: they would make every host that is named somewhere a word of its own.
 Multinomial naive Bayes then scores the words of the host and of the path.  Its labels are the verdicts of the
 rules on the URLs that they fit, so nothing but rules and pages is needed.
 
@@ -9,7 +10,8 @@ What is broadcast has a proven bound: a word or token is sent only if it has at
 occurrences, hence at most 1/SHARE of them; others count as unknown.
 
 Cases: a null URL or one without "://" has an empty host and path, fits no rule and gets the verdict of
-the classes' shares; without any URL that fits a rule every verdict of the method is allow, as are ties; repeated rows get
+the classes' shares; without any URL that fits a rule every verdict of the method is allow, as are ties; very long URLs and
+pages are read whole, a long run of letters in time that grows with its length times the longest word's; repeated rows get
 equal results; an empty table gives an empty result.
 """
 
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, few_at_a_time, small_batches
 
 #: Fixed values: (verdict, host and the start of the path).
 RULES = (
@@ -37,11 +39,12 @@ RULES = (
     ("block", "org/es/"),
 )
 SHARE = 1e-6
-LONGEST = 24
 _URL = re.compile(r"://([^/?#]*)([^?#]*)")
 _LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 _WORD = re.compile(r"[^\W\d_]+")
 _SPLIT = re.compile(r"[^\W\d_]+|\d+")
+# What has a dot or a colon between letters or digits, or an "@", is a name of a host, an address or a file.
+_NAME = re.compile(r"\S*(?:[^\W_][.:@/]+[^\W_]|://)\S*")
 _TAGS = re.compile(r"<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[^<>]*>", re.S | re.I)
 
 
@@ -82,27 +85,31 @@ class Splitter:
     def __init__(self, words: dict[str, int], total: int):
         total = max(total, 1)
         self.cost = {w: math.log(total / c) for w, c in words.items()}
+        self.longest = max(map(len, words), default=0)
         self.unknown = math.log(total) + 1.0
         self.seen: dict[str, tuple[str, ...]] = {}
 
     def split(self, run: str) -> tuple[str, ...]:
         found = self.seen.get(run)
         if found is None:
-            if len(self.seen) > 100_000:
+            if len(self.seen) > 50_000:
                 self.seen.clear()
             found = self.seen[run] = self._search(run)
         return found
 
     def _search(self, run: str) -> tuple[str, ...]:
-        cost, back = [0.0], [0]
+        # For each place the least cost up to it and where the last piece begins, and the same if that piece is unknown.
+        cost, back, open_cost, open_back = [0.0], [0], [math.inf], [0]
         get = self.cost.get
         for end in range(1, len(run) + 1):
-            best, at = math.inf, end - 1
-            for start in range(max(0, end - LONGEST), end):
+            fresh, longer = cost[-1] + self.unknown, open_cost[-1]
+            at, best = (end - 1, fresh + 2.3) if fresh <= longer else (open_back[-1], longer + 2.3)
+            open_cost.append(best)
+            open_back.append(at)
+            for start in range(max(0, end - self.longest), end):
                 c = get(run[start:end])
-                c = cost[start] + (self.unknown + 2.3 * (end - start) if c is None else c)
-                if c < best:
-                    best, at = c, start
+                if c is not None and cost[start] + c <= best:
+                    best, at = cost[start] + c, start
             cost.append(best)
             back.append(at)
         out, end = [], len(run)
@@ -124,9 +131,9 @@ def tokens(host: str, path: str, splitter: Splitter) -> list[str]:
 
 def _count_words(batches):
     seen: Counter = Counter()
-    for b in batches:
+    for b in few_at_a_time(batches, 0):
         for html in b.column(0).to_pylist():
-            seen.update(w for w in _WORD.findall(_TAGS.sub(" ", html or "").lower()) if len(w) <= LONGEST)
+            seen.update(_WORD.findall(_NAME.sub(" ", _TAGS.sub(" ", html or "").lower())))
             if len(seen) > 200_000:
                 yield _counted(seen)
                 seen.clear()
@@ -159,7 +166,7 @@ def _count_tokens(sent, run_id: str, rules: Rules):
                     yield pa.RecordBatch.from_arrays([pa.array([verdict] * len(c)), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["verdict", "token", "c"])
                     c.clear()
 
-        for b in batches:
+        for b in few_at_a_time(batches, 0):
             for url in b.column(0).to_pylist():
                 host, path = parts(url)
                 if (found := rules.find(host, path)) is not None:
@@ -208,7 +215,7 @@ def _judge(sent, run_id: str, rules: Rules, model: Bayes):
 
     def run(batches):
         splitter = _splitter(sent, run_id)
-        for b in batches:
+        for b in few_at_a_time(batches, 1):
             rows = []
             for url in b.column(1).to_pylist():
                 host, path = parts(url)
@@ -223,7 +230,7 @@ def _judge(sent, run_id: str, rules: Rules, model: Bayes):
 
 def judge(pages: DataFrame, rules=RULES, share: float = SHARE) -> DataFrame:
     """One row for each page: page_id, host, path, rule, verdict, words (of the host)."""
-    spark = pages.sparkSession
+    spark = small_batches(pages.sparkSession)
     ready = Rules.of(rules)
     counts = pages.select("html").mapInArrow(_count_words, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
     counts = cut(counts)
