@@ -206,10 +206,12 @@ def write_archives(pages: DataFrame, path: str) -> None:
     small_batches(pages.sparkSession)
     full = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     own = full.select("page_id", F.sha1(F.col("html").cast("binary")).alias("sha")).where("page_id is not null")
-    first = cut(own.groupBy("sha").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"), F.count("*").alias("n")).where("first < last").select("sha", "first", "n"))
+    files = pages.sparkSession.sparkContext.defaultParallelism  # of narrow rows: no more than there are cores to write them
+    first = own.groupBy("sha").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"), F.count("*").alias("n"))
+    first = cut(first.where("first < last").select("sha", "first", "n").coalesce(files))
     often = F.col("n") > (first.agg(F.sum("n")).first()[0] or 0) / SENT_ROWS
     found = own.join(F.broadcast(first.where(often).drop("n")), "sha").union(own.join(first.where(~often).drop("n"), "sha"))
-    again = cut(found.where("page_id != first").select("page_id", "sha", "first").distinct())
+    again = cut(found.where("page_id != first").select("page_id", "sha", "first").distinct().coalesce(files))
     if again.count() <= SENT_ROWS:
         again = F.broadcast(again)
     records = full.withColumn("sha", F.sha1(F.col("html").cast("binary"))).join(again, ["page_id", "sha"], "left")
