@@ -3,18 +3,36 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.nulls import safe_div
-from ..functions.windows import mean_rank
+from ..functions.nulls import finite, safe_div
+
+
+#: Slices of the range of scores; each is summed by itself.
+SLICES = 1024
 
 
 def auc(rows: DataFrame, score: str, y: str, by: list[str]) -> DataFrame:
-    """(by, n, auc): the probability that a positive scores above a negative, ties half; NULL with one class only."""
-    b = rows.where(F.col(score).isNotNull() & F.col(y).isNotNull()).withColumn("_rank", mean_rank(by, score))
-    up = F.count_if(F.col(y) == 1).cast("double")
-    down = F.count_if(F.col(y) == 0).cast("double")
-    g = b.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.when(F.col(y) == 1, F.col("_rank"))).alias("_sum"), up.alias("_up"), down.alias("_down"))
-    value = safe_div(F.col("_sum") - F.col("_up") * (F.col("_up") + 1) / 2, F.col("_up") * F.col("_down"))
-    return g.select(*by, "n", value.alias("auc"))
+    """(by, n, auc): the probability that a positive scores above a negative, ties half; NULL with one class only.
+
+    Positives and negatives are counted for each distinct score, map-side; a score's negatives below are those of
+    lower slices of the scores' range and those below it in its own slice.  So no key's rows meet in one task,
+    however few keys there are.
+    """
+    ok = rows.where(F.col(score).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(score).cast("double").alias("_x"), F.col(y).alias("_y"))
+    low, high = ok.agg(F.min(finite("_x")), F.max(finite("_x"))).first()
+    wide = 0.0 if low is None or low == high else (high - low) / SLICES
+    at = F.least(F.greatest(F.floor((F.col("_x") - low) / wide), F.lit(0)), F.lit(SLICES)) if wide else F.lit(0)
+    g = ok.groupBy(*by, "_x").agg(F.count_if(F.col("_y") == 1).alias("_up"), F.count_if(F.col("_y") == 0).alias("_down"), F.count("*").alias("_n"))
+    g = g.withColumn("_slice", F.when(F.isnan("_x"), SLICES + 1).otherwise(at).cast("int"))
+    before = lambda w: F.coalesce(F.sum("_down").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    slices = g.groupBy(*by, "_slice").agg(F.sum("_down").alias("_down")).withColumn("_lower", before(Window.partitionBy(*by).orderBy("_slice"))).drop("_down")
+    own = g.withColumn("_own", before(Window.partitionBy(*by, "_slice").orderBy("_x")))
+    same = F.lit(True)
+    for c in by:
+        same = same & own[c].eqNullSafe(slices[c])
+    both = own.join(slices, same & (own["_slice"] == slices["_slice"])).select(*[own[c] for c in by], own["_up"], own["_down"], own["_n"], "_own", "_lower")
+    won = F.sum(F.col("_up") * (F.col("_own") + F.col("_lower") + F.col("_down") / 2.0))
+    out = both.groupBy(*by).agg(F.sum("_n").alias("n"), safe_div(won, (F.sum("_up") * F.sum("_down")).cast("double")).alias("auc"))
+    return out.select(*by, "n", "auc")
 
 
 def single_feature_auc(rows: DataFrame, features: list[str], y: str, least: int = 100, limit: float = 0.65) -> DataFrame:
@@ -33,6 +51,15 @@ def per_symbol(rows: DataFrame, p: str, y: str) -> DataFrame:
     return auc(ok, p, y, ["symbol"]).join(g, "symbol").withColumn("lift", F.col("accuracy") - F.col("base_rate"))
 
 
+def best_and_worst(per_symbol: DataFrame, measure: str = "auc", least: int = 100) -> DataFrame:
+    """One row: the symbols with the highest and the lowest measure among those with ``least`` observations; ties to the first by name."""
+    ok = per_symbol.where((F.col("n") >= least) & F.col(measure).isNotNull())
+    return ok.agg(
+        F.min_by("symbol", F.struct(-F.col(measure), "symbol")).alias("best"), F.max(measure).alias("highest"),
+        F.min_by("symbol", F.struct(measure, "symbol")).alias("worst"), F.min(measure).alias("lowest"), F.count("*").alias("symbols"),
+    )
+
+
 def pnl(book: DataFrame) -> DataFrame:
     """What each symbol contributed."""
     return book.groupBy("symbol").agg(F.sum(F.col("w") * F.coalesce("ret_next", F.lit(0.0))).alias("pnl"))
@@ -80,7 +107,7 @@ def shuffled(rows: DataFrame, y: str, within: str, seed: int = 0) -> DataFrame:
     known = rows.where(F.col(y).isNotNull())
     at = Window.partitionBy(within)
     a = known.withColumn("_k", F.row_number().over(at.orderBy("symbol")))
-    b = known.select(F.col(within), F.row_number().over(at.orderBy(F.xxhash64(F.lit(seed), F.col(within), F.col("symbol")))).alias("_k"), F.col(y).alias("y_shuffled"))
+    b = known.select(F.col(within), F.row_number().over(at.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(within).cast("string"), F.col("symbol")).cast("binary")), "symbol")).alias("_k"), F.col(y).alias("y_shuffled"))
     return a.join(b, [within, "_k"]).drop("_k")
 
 

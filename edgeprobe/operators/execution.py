@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.nulls import clip, finite, safe_div, safe_ln
 from ..functions.windows import bars_window, roll, running, zscore
+from .. import stats
 from . import scans
 from .features import log_returns
 
@@ -36,6 +37,11 @@ def donchian(bars: DataFrame, entry: int = 96, exit: int = 48, by="symbol") -> D
     return bars.withColumn("_event", event).withColumn("pos", F.coalesce(latch, F.lit(0.0))).drop("_event")
 
 
+def crossover_state(fast: str, slow: str) -> Column:
+    """1 while one column is above the other, else -1."""
+    return F.when(F.col(fast) > F.col(slow), 1.0).otherwise(-1.0)
+
+
 def mean_reversion(bars: DataFrame, window: int = 72, entry: float = 2.0, exit: float = 0.5) -> DataFrame:
     return scans.fade(bars.withColumn("z", zscore("close", window)), "z", entry=entry, exit=exit)
 
@@ -94,6 +100,7 @@ def summarize(result: DataFrame, bars_per_year: int, by: list[str], order: str =
     g = b.groupBy(*by).agg(
         F.count("*").alias("bars"),
         F.sum("net").alias("_sum"),
+        F.sum("gross").alias("_gross"),
         F.avg("net").alias("_mean"),
         F.stddev_samp("net").alias("_std"),
         F.sqrt(F.avg(F.pow(F.least("net", F.lit(0.0)), 2))).alias("_under"),
@@ -109,15 +116,19 @@ def summarize(result: DataFrame, bars_per_year: int, by: list[str], order: str =
     root = F.lit(year**0.5)
     total = F.exp("_sum") - 1
     zero = lambda x: F.coalesce(finite(x), F.lit(0.0))
+    cagr = F.pow(1 + total, F.lit(year) / F.col("bars")) - 1
     return g.select(
         *by,
         "bars",
         total.alias("total_return"),
-        (F.pow(1 + total, F.lit(year) / F.col("bars")) - 1).alias("cagr"),
+        cagr.alias("cagr"),
         (F.col("_std") * root).alias("ann_vol"),
         zero(safe_div("_mean", "_std") * root).alias("sharpe"),
         zero(safe_div("_mean", "_under") * root).alias("sortino"),
         "max_drawdown",
+        F.when(F.col("max_drawdown") < 0, cagr / -F.col("max_drawdown")).otherwise(0.0).alias("calmar"),
+        (F.exp("_gross") - 1).alias("gross_return"),
+        (F.col("bars") / F.lit(year)).alias("years"),
         zero(safe_div(F.col("_mean") * F.sqrt("bars"), F.col("_std"))).alias("t_stat"),
         "n_trades",
         (F.col("_turn") * year / F.col("bars")).alias("turnover_per_year"),
@@ -129,6 +140,22 @@ def summarize(result: DataFrame, bars_per_year: int, by: list[str], order: str =
     )
 
 
+def significance(measures: DataFrame, bars_per_year: int, trials: int = 1) -> DataFrame:
+    """Add p_value (two-sided, normal) and deflated_sharpe (less what the best of ``trials`` would have by chance)."""
+    best = stats.best_of(trials)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:  # a row for each strategy and symbol
+            p = [stats.normal_p(t) if t else 1.0 for t in b.column("t_stat").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], names=[*b.schema.names, "p_value"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in measures.schema)
+    out = measures.mapInArrow(run, f"{fields}, p_value double")
+    return out.withColumn("deflated_sharpe", F.col("sharpe") - best * F.sqrt(F.lit(float(bars_per_year)) / F.col("bars")))
+
+
 def by_period(result: DataFrame, bars_per_year: int, by: list[str], unit: str = "year", coverage: float = 0.35) -> DataFrame:
     """Measures of each calendar period that is covered and in which the strategy was active."""
     g = result.groupBy(*by, F.date_format(F.date_trunc(unit, "ts"), "yyyy" if unit == "year" else "yyyy-MM-dd").alias("period")).agg(

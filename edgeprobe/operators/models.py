@@ -1,13 +1,25 @@
-"""Walk-forward models: logistic regression by Newton steps, trained for all folds at once, one fold a task.
+"""Walk-forward models.
 
-A fold's training rows are one symbol's (or one panel's) labelled bars with a few features; they are what one task
-holds.  Rows with a missing feature or label are not learnt from; missing features are scored as 0 (the mean).
+``logistic``: regression by Newton steps, trained for all folds at once, one fold a task; a fold's training rows are
+labelled bars with a few features, and they are what one task holds.  Rows with a missing feature or label are not learnt
+from; missing features are scored as 0 (the mean).  ``hgb`` (boosted trees) and every fit over a panel are trained by
+Spark's own library, distributed over rows, a fold after the other; a missing feature is 0 (0.5 for ranks) with a flag beside it.
+
+Folds over several symbols are cut by time, and each label's weight is its uniqueness.
 """
 
+import functools
+import hashlib
+import json
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .validation import Split, assign, assign_each, fold_bounds
+from ..errors import ConfigError, InsufficientDataError
+from ..sources.shared import materialised, shared_dir
+from . import audit
+from .validation import Split, assign, assign_each, by_time, fold_bounds, uniqueness
 
 DEFAULT_FEATURES = ["ret_1", "ret_6", "ret_24", "vol_24", "z_24", "z_72", "donch_24", "body", "vol_z"]
 
@@ -55,23 +67,104 @@ def rank_auc(p, y) -> float:
 
 
 def _assigned(rows: DataFrame, features: list[str], split: Split, each: bool = False) -> DataFrame:
-    kept = rows.select("symbol", "pos", "t_end", "y", *features)
+    kept = rows.select("symbol", "ts", "pos", "t_end", "y", *features)
+    kept = kept.join(uniqueness(kept.where("y is not null")), ["symbol", "pos"], "left").na.fill(1.0, ["weight"])
     if each:
         last = kept.groupBy("symbol").agg(F.max("pos")).collect()  # one number for each symbol, as below
         return assign_each(kept, {symbol: fold_bounds(n + 1, split) for symbol, n in last})
-    n = kept.agg(F.max("pos")).first()[0] + 1  # one number: fold bounds are literals of the plan
+    n, symbols = kept.agg(F.count_distinct("ts"), F.count_distinct("symbol")).first()  # two numbers: fold bounds are literals of the plan
+    if symbols > 1:
+        return assign(by_time(kept), fold_bounds(n, split), "time_end", "time_pos")
     return assign(kept, fold_bounds(n, split))
 
 
-def walk_forward(rows: DataFrame, features: list[str], split: Split) -> DataFrame:
+def estimator(kind: str = "hgb", rounds: int = 100, depth: int = 4, step: float = 0.05, least: int = 20, l2: float = 1.0, seed: int = 0, weight: str | None = None):
+    """A classifier of Spark's library over the columns ``x`` and ``y``."""
+    from pyspark.ml.classification import GBTClassifier, LogisticRegression
+
+    if kind == "hgb":
+        out = GBTClassifier(featuresCol="x", labelCol="y", maxIter=rounds, maxDepth=depth, stepSize=step, minInstancesPerNode=least, maxBins=255, seed=seed)
+    elif kind == "logistic":
+        out = LogisticRegression(featuresCol="x", labelCol="y", regParam=l2 * 1e-4, standardization=True, maxIter=rounds)
+    else:
+        raise ConfigError(f"unknown model {kind!r}")
+    return out.setWeightCol(weight) if weight else out
+
+
+def _assembled(rows: DataFrame, features: list[str], fill: float) -> DataFrame:
+    """Add ``x``: the features, ``fill`` where one is missing, and flags that say so."""
+    from pyspark.ml.feature import VectorAssembler
+
+    b = rows.withColumns({f"_x{k}": F.coalesce(F.col(f).cast("double"), F.lit(fill)) for k, f in enumerate(features)} | {f"_m{k}": F.col(f).isNull().cast("double") for k, f in enumerate(features)})
+    names = [f"_{c}{k}" for c in "xm" for k in range(len(features))]
+    return VectorAssembler(inputCols=names, outputCol="x").transform(b).drop(*names)
+
+
+def _fitted(train: DataFrame, test: DataFrame, model) -> DataFrame:
+    """The test rows with ``p``."""
+    from pyspark.ml.functions import vector_to_array
+
+    out = model.fit(train).transform(test)
+    return out.withColumn("p", vector_to_array("probability")[1]).drop("x", "rawPrediction", "probability", "prediction")
+
+
+def boosted_walk_forward(rows: DataFrame, features: list[str], split: Split, **params) -> DataFrame:
+    """(fold, symbol, pos, y, p) of every test row, by boosted trees; at most ``n_folds`` fits, each over all executors."""
+    a = _assembled(materialised(_assigned(rows, features, split), "folds"), features, 0.0)
+    parts = []
+    for k in range(1, split.n_folds + 1):
+        mine = a.where(F.col("fold") == k)
+        test = mine.where("part = 'test'").select("fold", "symbol", "pos", "y", "x")
+        parts.append(_fitted(mine.where("part = 'train' and y is not null"), test, estimator("hgb", weight="weight", **params)))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def fit_predict_panel(panel: DataFrame, features: list[str], split: Split, horizon: int, kind: str = "logistic", least_train: int = 500, least_test: int = 100, **params) -> tuple[DataFrame, DataFrame]:
+    """((ts, symbol, time_pos, fold, y, p), (fold, train, test, auc)): each fold of times scored by a model of earlier ones.
+
+    ``panel``: ts, symbol, time_pos, y and ranked features.  Folds with too few rows are skipped.
+    """
+    panel = materialised(panel.where("y is not null").select("ts", "symbol", "time_pos", F.col("y").cast("double").alias("y"), *features), "panel")
+    last = panel.agg(F.max("time_pos")).first()[0]
+    bounds = fold_bounds((last or 0) + 1, split, horizon) if last is not None else []
+    part = lambda lo, hi: (F.col("time_pos") >= lo) & (F.col("time_pos") < hi)
+    sizes = panel.agg(*[F.count_if(part(lo, hi)).alias(f"{name}{k}") for k, a, b, c, d in bounds for name, lo, hi in (("train", a, b), ("test", c, d))]).first() if bounds else None
+    ready, parts = _assembled(panel, features, 0.5), []
+    for k, a, b, c, d in bounds:
+        if sizes[f"train{k}"] >= least_train and sizes[f"test{k}"] >= least_test:
+            parts.append(_fitted(ready.where(part(a, b)), ready.where(part(c, d)), estimator(kind, **params)).select("ts", "symbol", "time_pos", F.lit(k).alias("fold"), "y", "p"))
+    if not parts:
+        raise InsufficientDataError("no fold has enough rows")
+    p = materialised(functools.reduce(DataFrame.unionByName, parts), "predictions")
+    listed = panel.sparkSession.createDataFrame([(k, sizes[f"train{k}"], sizes[f"test{k}"]) for k, *_ in bounds], "fold int, train bigint, test bigint")
+    return p, listed.join(audit.auc(p, "p", "y", ["fold"]).drop("n"), "fold")
+
+
+def remembered(spark, key: dict, compute) -> DataFrame:
+    """Predictions kept in the shared folder under what they depend on, computed only once."""
+    name = hashlib.sha256(json.dumps(key, sort_keys=True, default=str).encode()).hexdigest()[:16]
+    path = f"{shared_dir(spark)}/edgeprobe/predictions-{name}"
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:  # not there yet
+        compute().write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+
+
+def walk_forward(rows: DataFrame, features: list[str], split: Split, kind: str = "logistic", **params) -> DataFrame:
     """(fold, symbol, pos, y, p) of every test row, each fold trained by itself."""
+    if kind == "hgb":
+        return boosted_walk_forward(rows, features, split, **params)
+    if kind != "logistic":
+        raise ConfigError(f"unknown model {kind!r}")
 
     def run(b):
+        w = b["weight"].to_numpy(dtype="float64")
         x, y = b[features].to_numpy(dtype="float64"), b["y"].to_numpy(dtype="float64")
         train = (b["part"] == "train").to_numpy() & ~(x != x).any(axis=1) & (y == y)
         test = b[b["part"] == "test"]
         out = test[["fold", "symbol", "pos", "y"]].copy()
-        out["p"] = predict(fit(x[train], y[train]), test[features].to_numpy(dtype="float64")) if train.sum() >= 30 else float("nan")
+        out["p"] = predict(fit(x[train], y[train], weight=w[train]), test[features].to_numpy(dtype="float64")) if train.sum() >= 30 else float("nan")
         return out
 
     return _assigned(rows, features, split).groupBy("fold").applyInPandas(run, "fold int, symbol string, pos bigint, y double, p double")
@@ -87,7 +180,7 @@ def walk_forward_scores(rows: DataFrame, features: list[str], split: Split, each
         x, y = b[features].to_numpy(dtype="float64"), b["y"].to_numpy(dtype="float64")
         is_train = (b["part"] == "train").to_numpy()
         train, test = is_train & ~(x != x).any(axis=1) & (y == y), ~is_train & (y == y)
-        p = predict(fit(x[train], y[train]), x[test])
+        p = predict(fit(x[train], y[train], weight=b["weight"].to_numpy(dtype="float64")[train]), x[test])
         return pd.DataFrame({**{c: [b[c].iloc[0]] for c in by}, "train": [int(train.sum())], "test": [int(test.sum())], "accuracy": [float(((p >= 0.5) == (y[test] == 1)).mean())], "auc": [rank_auc(p, y[test])]})
 
     kinds = "symbol string, fold int" if each else "fold int"
@@ -106,7 +199,7 @@ def importance(rows: DataFrame, features: list[str], split: Split, repeats: int
         x, y = b[features].to_numpy(dtype="float64"), b["y"].to_numpy(dtype="float64")
         is_train = (b["part"] == "train").to_numpy()
         train, test = is_train & ~(x != x).any(axis=1) & (y == y), ~is_train & (y == y)
-        model, rng = fit(x[train], y[train]), np.random.default_rng(seed)
+        model, rng = fit(x[train], y[train], weight=b["weight"].to_numpy(dtype="float64")[train]), np.random.default_rng(seed)
         whole, drop = rank_auc(predict(model, x[test]), y[test]), []
         for k in range(len(features)):
             found = []

@@ -5,6 +5,10 @@ from pyspark.sql import functions as F
 
 from ..functions.nulls import safe_div, safe_ln
 from ..functions.windows import lead, mean_rank, roll
+from ..errors import InsufficientDataError
+from ..sources import bars as src
+from ..sources.shared import materialised
+from . import labels
 from .execution import RATE
 
 
@@ -13,6 +17,28 @@ def at_time():
     return Window.partitionBy("time_pos")
 
 
+def load(bars: DataFrame, build, features: list[str], end: str, horizon: int = 6, top_n: int | None = None, window: int = 180, least_bars: int = 500) -> tuple[DataFrame, DataFrame]:
+    """((ts, symbol, time_pos, ranked features, y, prices), (symbol, last_ts) of the dead).
+
+    Symbols need ``least_bars``; with ``top_n`` what isn't among the most traded of its time, by volume in money so far, has
+    neither features nor returns.  Features are of each symbol's own bars, then ranked among the symbols of a time.
+    """
+    long_enough = bars.groupBy("symbol").count().where(F.col("count") >= least_bars)
+    if long_enough.limit(3).count() < 3:
+        raise InsufficientDataError("a cross-section needs at least 3 symbols with enough bars")
+    dead = src.delisted_by_bars(bars, end, least_bars)
+    bars = materialised(bars.join(long_enough.select("symbol"), "symbol", "left_semi"), "bars")
+    grid = prices(src.dense(bars))
+    if top_n:
+        money = liquidity_screen(grid.withColumn("volume", F.col("volume") * F.col("close")), top_n, window, max(1, window // 3))
+        grid = money.withColumn("ret_next", F.when(F.col("in_screen"), F.col("ret_next"))).withColumn("alive", F.col("ret_next").isNotNull())
+    else:
+        grid = grid.withColumn("in_screen", F.lit(True))
+    grid = materialised(labels.relative(grid, horizon).select("ts", "symbol", "time_pos", "open", "close", "lo", "volume", "ret_next", "alive", "in_screen", "y"), "panel")
+    own = build(bars).select("ts", "symbol", *features).join(grid.where("in_screen").select("ts", "symbol"), ["ts", "symbol"], "left_semi")
+    ranks = rank_pct(own, features).groupBy("ts", "symbol").pivot("feature", features).agg(F.first("rank"))
+    return grid.join(ranks, ["ts", "symbol"], "left"), dead
+
 
 def prices(dense: DataFrame) -> DataFrame:
     """Add lo (log open), ret_next (what a position decided now earns) and alive."""

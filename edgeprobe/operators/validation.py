@@ -99,3 +99,25 @@ def uniqueness(rows: DataFrame, t_end: str = "t_end", pos: str = "pos") -> DataF
     b = prefix.select("symbol", F.col("at").alias("pos"), F.col("p_before").alias("before"))
     found = spans.join(a, ["symbol", "end"]).join(b, ["symbol", "pos"])
     return found.select("symbol", "pos", ((F.col("upto") - F.col("before")) / (F.col("end") - F.col("pos") + 1)).alias("weight"))
+
+
+def by_time(rows: DataFrame, t_end: str = "t_end", pos: str = "pos") -> DataFrame:
+    """Add ``time_pos`` and ``time_end``: places of a bar and of its label's end among the times of all symbols.
+
+    Symbols whose histories begin at different times have different bars at one ``pos``; folds over several symbols are
+    cut by time, or a training row would be later than another symbol's test row.  Times are numbered over one row each.
+    """
+    times = rows.select("ts").distinct().withColumn("time_pos", F.row_number().over(Window.orderBy("ts")) - 1)
+    placed = rows.join(times, "ts")
+    ends = placed.select("symbol", F.col(pos).alias(t_end), F.col("time_pos").alias("time_end"))
+    # A label whose last bar isn't among the rows ends, for all that is known, after every time.
+    return placed.join(ends, ["symbol", t_end], "left").withColumn("time_end", F.coalesce("time_end", F.lit(2**62)))
+
+
+def complete(rows: DataFrame, columns: list[str], least: int = 1000) -> DataFrame:
+    """The rows in which none of the columns is missing; fewer than ``least`` are an error."""
+    kept = rows.na.drop(subset=columns)
+    n = kept.limit(least).count()
+    if n < least:
+        raise InsufficientDataError(f"{n} complete rows, but {least} are needed")
+    return kept

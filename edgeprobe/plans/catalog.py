@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import lag, zscore
-from ..operators import audit, execution, features, labels, ledger, models, panel, robustness, scans, validation
+from .. import costs
+from ..operators import audit, execution, features, labels, ledger, models, negative, panel, robustness, scans, validation
 from ..operators.asof import asof_strict
 from ..sources import bars as src
 from ..sources import coverage, synthetic
+from ..sources.shared import materialised
 from . import sql as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,9 +38,9 @@ def hours(spark, sf_dir):
 
 
 def nations(spark, sf_dir):
-    """The dense panel with a simple reversal score."""
+    """The dense panel with a simple reversal score, written once: books, ranks and labels read it several times."""
     p = panel.prices(src.dense(src.nation_bars(spark, sf_dir)))
-    return p.withColumn("score", lag("lo", 3, order="time_pos") - F.col("lo"))
+    return materialised(p.withColumn("score", lag("lo", 3, order="time_pos") - F.col("lo")), "panel")
 
 
 # ---- sources
@@ -84,13 +86,19 @@ def universe_as_of(spark, sf_dir):
     return src.universe_as_of(src.nation_bars(spark, sf_dir), "1995-03", "[A-Z].*")
 
 
-_LAST = "sl AS (SELECT l_suppkey::VARCHAR AS symbol, strftime(max(l_shipdate), '%Y-%m') AS last_month FROM lineitem GROUP BY 1)"
+_LAST = "sl AS (SELECT l_partkey::VARCHAR AS symbol, strftime(max(l_shipdate), '%Y-%m') AS last_month FROM lineitem GROUP BY 1)"
 
 
-@query("symbol last_month", _LAST + ", i AS (SELECT * FROM sl WHERE last_month < '1998-10')", "i")
+@query("symbol last_month", _LAST + ", i AS (SELECT * FROM sl WHERE last_month < '2001-09')", "i")
 def delisted_symbols(spark, sf_dir):
-    t = src.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("symbol"), F.col("l_shipdate").alias("ts"))
-    return src.delisted(t, "1998-12")
+    t = src.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("symbol"), F.col("l_shipdate").alias("ts"))
+    return src.delisted(t, "2001-11")
+
+
+@query("symbol last_ts~", "i AS (SELECT l_partkey::VARCHAR AS symbol, max(l_shipdate)::TIMESTAMP AS last_ts FROM lineitem GROUP BY 1 HAVING count(*) >= 20 AND max(l_shipdate) < DATE '2001-11-01' - 60)", "i")
+def delisted_by_bars(spark, sf_dir):
+    t = src.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("symbol"), F.col("l_shipdate").alias("ts"))
+    return src.delisted_by_bars(t, "2001-11", least=20)
 
 
 @query("symbol n& missing&", S.PN + ", i AS (SELECT symbol, count(*) AS n, count(*) FILTER (open IS NULL) AS missing FROM dn GROUP BY 1)", "i")
@@ -167,13 +175,13 @@ def macd_norm(spark, sf_dir):
 
 
 def _aux(spark, sf_dir):
-    """A sparse auxiliary series: every third event."""
-    e = src.table(spark, sf_dir, "events").where("value > 0 and event_id % 3 = 0")
+    """An auxiliary series: every event, of those at one time the one with the largest id."""
+    e = src.table(spark, sf_dir, "events").where("value > 0").groupBy("event_type", "ts").agg(F.max_by("value", "event_id").alias("value"), F.max_by("user_id", "event_id").alias("user_id"))
     return e.select(F.col("event_type").alias("symbol"), "ts", "value", (F.col("value") / 1e6).alias("funding_rate"), F.col("value").alias("open_interest"),
                     (F.col("value") / 50).alias("all_accounts_ls"), (F.col("user_id") / F.lit(100.0)).alias("top_trader_positions_ls"), (F.col("value") / (F.col("user_id") + 1)).alias("taker_buy_sell_ratio"))
 
 
-_ASOF = S.EL + """, ax AS (SELECT event_type AS symbol, ts, value, value / 1e6 AS rate, user_id FROM events WHERE value > 0 AND event_id % 3 = 0),
+_ASOF = S.EL + """, ax AS (SELECT event_type AS symbol, ts, arg_max(value, event_id) AS value, arg_max(value, event_id) / 1e6 AS rate, arg_max(user_id, event_id) AS user_id FROM events WHERE value > 0 GROUP BY 1, 2),
 aj AS (SELECT el.*, ax.value, ax.rate, ax.user_id FROM el ASOF LEFT JOIN ax ON el.symbol = ax.symbol AND el.ts + INTERVAL 1 HOUR > ax.ts)"""
 
 
@@ -619,8 +627,9 @@ def cost_sensitivity(spark, sf_dir):
 
 
 def _scored(spark, sf_dir):
-    p = panel.rank_pct(nations(spark, sf_dir), ["score"]).where("rank is not null").select("ts", "symbol", F.col("rank").alias("p"))
-    y = labels.relative(nations(spark, sf_dir)).where("y is not null").select("ts", "symbol", "time_pos", "y")
+    panel_ = nations(spark, sf_dir)
+    p = panel.rank_pct(panel_, ["score"]).where("rank is not null").select("ts", "symbol", F.col("rank").alias("p"))
+    y = labels.relative(panel_).where("y is not null").select("ts", "symbol", "time_pos", "y")
     return y.join(p, ["ts", "symbol"])
 
 
@@ -706,9 +715,13 @@ def point_in_time_audit(spark, sf_dir):
     return audit.point_in_time(hours(spark, sf_dir), features.build, None, 12)
 
 
-@query("n& auc#")
+_SHUFFLED = _SCORED + """, sa AS (SELECT *, row_number() OVER (PARTITION BY time_pos ORDER BY symbol) AS k FROM sd), sb AS (SELECT time_pos, y AS z, row_number() OVER (PARTITION BY time_pos ORDER BY md5('0|' || time_pos || '|' || symbol), symbol) AS k FROM sd),
+ po AS (SELECT sa.p, sb.z AS y, 1 AS one FROM sa JOIN sb USING (time_pos, k))"""
+
+
+@query("n& auc#", _SHUFFLED + ", " + _auc_sql("po", "p", "one", "au"), "au")
 def shuffled_label_auc(spark, sf_dir):
-    rows = audit.shuffled(_scored(spark, sf_dir), "y", "ts")
+    rows = audit.shuffled(_scored(spark, sf_dir), "y", "time_pos")
     return audit.auc(rows.withColumn("one", F.lit(1)), "p", "y_shuffled", ["one"])
 
 
@@ -740,9 +753,41 @@ def near_miss_configs(spark, sf_dir):
     return ledger.near_misses(_runs(spark), {"s": "2", "k": "9", "data.source": "live"})
 
 
+@query("best highest# worst lowest# symbols&", _SCORED + ", " + _auc_sql("sd", "p", "symbol", "au") + ", o AS (SELECT arg_min(symbol, (-auc, symbol)) AS best, max(auc) AS highest, arg_min(symbol, (auc, symbol)) AS worst, min(auc) AS lowest, count(*) AS symbols FROM au WHERE n >= 100 AND auc IS NOT NULL)", "o")
+def best_and_worst(spark, sf_dir):
+    return audit.best_and_worst(audit.auc(_scored(spark, sf_dir), "p", "y", ["symbol"]))
+
+
+# ---- the negative pair
+
+_LEAKY = S.EL + """, lk AS (SELECT symbol, exp(sum(CASE WHEN r > 0 THEN r ELSE 0 END)) AS leaky FROM el GROUP BY 1), hp AS (SELECT symbol, ts, open, coalesce((close > lag(close) OVER (PARTITION BY symbol ORDER BY ts))::INT, 0)::DOUBLE AS pos FROM el), """ + S.backtest("hp") + ", hn AS (SELECT symbol, exp(sum(net)) AS honest FROM bt GROUP BY 1), o AS (SELECT symbol, leaky, honest FROM lk JOIN hn USING (symbol))"
+
+
+@query("symbol leaky= honest=", _LEAKY, "o")
+def leaky_and_honest(spark, sf_dir):
+    b = hours(spark, sf_dir)
+    last = lambda df, name: df.groupBy("symbol").agg(F.max_by("equity", "ts").alias(name))
+    return last(negative.backtest_leaky(b), "leaky").join(last(negative.backtest_honest(b), "honest"), "symbol")
+
+
+# ---- costs
+
+
+@query("symbol hold&")
+def breakeven_hold(spark, sf_dir):
+    return costs.measured_breakeven(hours(spark, sf_dir), 0.55, costs.round_trip(), most=240)
+
+
 # ---- models (no SQL can say these)
 
 
+@query("fold& train& test& auc#")
+def panel_auc(spark, sf_dir):
+    names = ["ret_1", "ret_3", "ret_6", "vol_12", "z_12", "donch_24", "body", "hl_range"]
+    rows, _ = panel.load(src.nation_bars(spark, sf_dir), lambda b: features.build(b, with_smoothed=False), names, "2001-11", horizon=5, least_bars=100)
+    return models.fit_predict_panel(rows, names, validation.Split(n_folds=3, min_train=900, embargo=2, least=50), 5)[1]
+
+
 @query("symbol fold& train& test& accuracy# auc#")
 def ml_direction(spark, sf_dir):
     b = features.build(hours(spark, sf_dir), with_smoothed=False)

@@ -51,14 +51,15 @@ bt AS (SELECT *, exp(sum(net) OVER ({p} ROWS UNBOUNDED PRECEDING)) AS equity FRO
 def summarize(source: str, by: str, year: int, order: str = "ts") -> str:
     """CTE sm: the measures of each key."""
     return f"""sm0 AS (SELECT *, equity / max(equity) OVER (PARTITION BY {by} ORDER BY {order} ROWS UNBOUNDED PRECEDING) - 1 AS down FROM {source}),
-sm1 AS (SELECT {by}, count(*) AS bars, sum(net) AS s, avg(net) AS m, stddev_samp(net) AS sd, sqrt(avg(power(least(net, 0), 2))) AS u, min(down) AS max_drawdown,
+sm1 AS (SELECT {by}, count(*) AS bars, sum(net) AS s, sum(gross) AS gs, avg(net) AS m, stddev_samp(net) AS sd, sqrt(avg(power(least(net, 0), 2))) AS u, min(down) AS max_drawdown,
  count(*) FILTER (turnover > 1e-12) AS n_trades, sum(turnover) AS tu, sum(cost) AS co, avg((abs(pos) > 1e-12)::INT) AS exposure, avg(abs(pos)) AS gross_exposure, max(abs(pos)) AS peak_exposure,
  coalesce(avg((net > 0)::INT) FILTER (abs(pos) > 1e-12), 0) AS hit_rate FROM sm0 GROUP BY {by}),
 sm AS (SELECT *, exp(s) - 1 AS total_return, power(exp(s), {year}.0 / bars) - 1 AS cagr, sd * sqrt({year}) AS ann_vol, coalesce(m / nullif(sd, 0) * sqrt({year}), 0) AS sharpe,
- coalesce(m / nullif(u, 0) * sqrt({year}), 0) AS sortino, coalesce(m * sqrt(bars) / nullif(sd, 0), 0) AS t_stat, tu * {year} / bars AS turnover_per_year, 1 - exp(-co) AS cost_drag FROM sm1)"""
+ coalesce(m / nullif(u, 0) * sqrt({year}), 0) AS sortino, coalesce(m * sqrt(bars) / nullif(sd, 0), 0) AS t_stat, tu * {year} / bars AS turnover_per_year, 1 - exp(-co) AS cost_drag,
+ CASE WHEN max_drawdown < 0 THEN (power(exp(s), {year}.0 / bars) - 1) / -max_drawdown ELSE 0 END AS calmar, exp(gs) - 1 AS gross_return, bars / {year}.0 AS years FROM sm1)"""
 
 
-MEASURES = "bars& total_return= cagr= ann_vol# sharpe# sortino# max_drawdown# t_stat# n_trades& turnover_per_year# cost_drag# exposure# gross_exposure# peak_exposure# hit_rate#"
+MEASURES = "bars& total_return= cagr= ann_vol# sharpe# sortino# max_drawdown# t_stat# n_trades& turnover_per_year# cost_drag# exposure# gross_exposure# peak_exposure# hit_rate# calmar= gross_return= years#"
 
 
 def _items(spec: str) -> list[tuple[str, str]]:

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import lag
+from .shared import materialised
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,16 +73,6 @@ def from_epoch(column: Column) -> Column:
     return F.when(column > 1_000_000_000_000_000, F.timestamp_micros(column)).otherwise(F.timestamp_millis(column)).cast("timestamp_ntz")
 
 
-def raw_klines(spark: SparkSession, path: str) -> DataFrame:
-    """Exchange archives of twelve columns (CSV, with or without header) as bars; the first row of a time wins."""
-    # The twelve columns of the archives, in their order.
-    names = ["open_time", "open", "high", "low", "close", "volume", "close_time", "quote_volume", "trades", "taker_buy_base", "taker_buy_quote", "ignore"]
-    raw = spark.read.schema(", ".join(f"{n} string" for n in names)).csv(path).where(F.col("open_time").rlike("^[0-9]+$"))
-    cols = [F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close", "volume", "trades")]
-    raw = raw.select(F.lit(None).cast("string").alias("symbol"), from_epoch(F.col("open_time").cast("bigint")).alias("ts"), *cols, F.input_file_name().alias("file"))
-    return keep_first(raw, ["symbol", "ts"], ["file"]).drop("file")
-
-
 def universe_as_of(bars: DataFrame, month: str, pattern: str | None = None) -> DataFrame:
     """Symbols that have a bar in a month (``yyyy-MM``), perhaps those that match a pattern as a whole."""
     b = bars.where((F.col("ts") >= F.lit(f"{month}-01").cast("timestamp_ntz")) & (F.col("ts") < F.add_months(F.lit(f"{month}-01").cast("date"), 1).cast("timestamp_ntz")))
@@ -95,12 +86,31 @@ def delisted(bars: DataFrame, end: str, grace_months: int = 2) -> DataFrame:
     return last.where(F.col("last_month") < limit)
 
 
+def delisted_by_bars(bars: DataFrame, end: str, least: int = 500, days: int = 60) -> DataFrame:
+    """(symbol, last_ts) of the symbols with ``least`` bars whose last is more than ``days`` before the first of the month ``end``."""
+    limit = F.date_sub(F.lit(f"{end}-01").cast("date"), days).cast("timestamp_ntz")
+    last = bars.groupBy("symbol").agg(F.count("*").alias("n"), F.max("ts").alias("last_ts"))
+    return last.where((F.col("n") >= least) & (F.col("last_ts") < limit)).select("symbol", "last_ts")
+
+
+#: Most symbols that are broadcast to the times of a panel; more are joined by a shuffle.
+SENT_SYMBOLS = 100_000
+
+
 def dense(bars: DataFrame) -> DataFrame:
     """Every symbol at every time of any symbol, with ``time_pos`` from 0; what has no bar is NULL.
 
-    The grid is symbols times times, so its size is that of the panel itself.
+    The bars are written once, as they are used three times.  The grid is as large as the panel itself: each time is
+    exploded into the list of symbols, whose number is checked.  Times are numbered over one row for each time.
     """
+    bars = materialised(bars, "bars")
     times = bars.select("ts").distinct()
     times = times.withColumn("time_pos", F.row_number().over(Window.orderBy("ts")) - 1)
-    grid = times.crossJoin(bars.select("symbol").distinct())
+    symbols = [r["symbol"] for r in bars.select("symbol").distinct().limit(SENT_SYMBOLS + 1).collect()]
+    if len(symbols) > SENT_SYMBOLS:
+        grid = times.crossJoin(bars.select("symbol").distinct())
+    else:
+        kind = bars.schema["symbol"].dataType
+        listed = F.array(*[F.lit(x).cast(kind) for x in sorted(symbols, key=lambda x: (x is not None, x))]) if symbols else F.array().cast(f"array<{kind.simpleString()}>")
+        grid = times.withColumn("symbol", F.explode(listed))
     return grid.join(bars, ["symbol", "ts"], "left")

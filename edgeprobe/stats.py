@@ -54,10 +54,14 @@ def one_sample(values: list[float]) -> tuple[float, float]:
     return t, t_p(t, len(values) - 1)
 
 
-def deflated_sharpe(sharpe: float, n: int, bars_per_year: int, trials: int) -> float:
-    """A yearly Sharpe ratio less what the best of so many trials would have by chance."""
+def best_of(trials: int) -> float:
+    """The expected largest of so many standard normal numbers."""
     if trials < 2:
-        return sharpe
+        return 0.0
     g = 0.5772156649015329
-    best = (1 - g) * _NORMAL.inv_cdf(1 - 1 / trials) + g * _NORMAL.inv_cdf(1 - 1 / (trials * math.e))
-    return sharpe - best * math.sqrt(bars_per_year / n)
+    return (1 - g) * _NORMAL.inv_cdf(1 - 1 / trials) + g * _NORMAL.inv_cdf(1 - 1 / (trials * math.e))
+
+
+def deflated_sharpe(sharpe: float, n: int, bars_per_year: int, trials: int) -> float:
+    """A yearly Sharpe ratio less what the best of so many trials would have by chance."""
+    return sharpe - best_of(trials) * math.sqrt(bars_per_year / n)
