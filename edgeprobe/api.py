@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import dataclasses
+import functools
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import stats
+from . import costs, stats
 from .config import Run
 from .errors import ConfigError, DataUnavailableError, InsufficientDataError
+from .functions.windows import roll
 from .operators import audit as checks
 from .operators import execution, features, labels, ledger, models, panel, robustness, scans, validation
+from .operators.asof import asof_strict
+from .sources import archives, coverage, synthetic
 from .sources import bars as src
-from .sources import synthetic
+from .sources.shared import materialised
 
 
 def load_bars(spark: SparkSession, cfg: Run) -> DataFrame:
@@ -28,11 +33,44 @@ def load_bars(spark: SparkSession, cfg: Run) -> DataFrame:
         out = spark.read.parquet(d.path)
     elif d.source == "events":
         out = src.event_bars(spark, d.path)
+    elif d.source == "archives":
+        out = archives.klines(spark, d.path)
     else:
         raise ConfigError(f"unknown source {d.source!r}")
+    for bound, ok in ((d.start, F.col("ts") >= F.lit(d.start).cast("timestamp_ntz")), (d.end, F.col("ts") < F.lit(d.end).cast("timestamp_ntz"))):
+        out = out.where(ok) if bound else out
     return out.where(F.col("symbol") == d.symbol) if d.symbol else out
 
 
+def load_auxiliary(spark: SparkSession, cfg: Run, bars: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    """Funding and metrics, each only if it is asked for, from before the close of each symbol's last bar."""
+    d, out = cfg.data, []
+    for wanted, made, read, path in ((d.funding, synthetic.funding, archives.funding, d.funding_path), (d.metrics, synthetic.metrics, archives.metrics, d.metrics_path)):
+        if not wanted:
+            out.append(None)
+            continue
+        if d.source != "synthetic" and not path:
+            raise DataUnavailableError("a path to the funding or metrics archives is not set")
+        aux = made(bars, d.seed) if d.source == "synthetic" else read(spark, path)
+        out.append(archives.before_last_close(aux, bars, synthetic.SPACING[d.interval]))
+    return out[0], out[1]
+
+
+def build_features(spark: SparkSession, cfg: Run, bars: DataFrame, with_smoothed: bool = False) -> tuple[DataFrame, list[str]]:
+    """Features of the bars and, where funding and metrics are asked for, of those; and the names that models use."""
+    rows, names = features.build(bars, with_smoothed), list(models.DEFAULT_FEATURES)
+    funding, metrics = load_auxiliary(spark, cfg, bars)
+    seconds = synthetic.SPACING[cfg.data.interval]
+    if funding is not None:
+        rows = features.funding(asof_strict(rows, funding, ["funding_rate"], seconds))
+        names += ["funding_ma_3", "funding_ma_21", "funding_z"]
+    if metrics is not None:
+        own = [c for c in metrics.columns if c not in ("symbol", "ts")]
+        rows = features.positioning(asof_strict(rows, metrics, own, seconds)).drop(*own)
+        names += ["oi_chg_6", "oi_chg_24", "ls_spread", "taker_z"]
+    return rows, names
+
+
 def _label(cfg: Run, bars: DataFrame) -> DataFrame:
     c = cfg.label
     extra = {"next_bar_sign": {}, "fwd_return": {"horizon": c.horizon, "deadband": c.deadband}, "triple_barrier": {"horizon": c.horizon, "upper": c.upper, "lower": c.lower}}
@@ -42,34 +80,35 @@ def _label(cfg: Run, bars: DataFrame) -> DataFrame:
 
 
 def _oos(bars: DataFrame, cfg: Run) -> DataFrame:
-    """Add ``inside``: the bars of any test fold."""
-    b = labels.positions(bars)
-    n = b.agg(F.min("n")).first()[0]
-    if n is None:
+    """Add ``inside``: the bars of any test fold.  Folds are cut by time, as the models' are."""
+    n = bars.agg(F.count_distinct("ts")).first()[0]
+    if not n:
         raise InsufficientDataError("no bars")
     bounds = validation.fold_bounds(n, cfg.split)
     low, high = min(x[3] for x in bounds), max(x[4] for x in bounds)
-    return b.withColumn("inside", (F.col("pos") >= low) & (F.col("pos") < high)).withColumnRenamed("pos", "k")
+    times = bars.select("ts").distinct().withColumn("k", F.row_number().over(Window.orderBy("ts")) - 1)  # a row for each time
+    return bars.join(times, "ts").withColumn("inside", (F.col("k") >= low) & (F.col("k") < high))
 
 
 def positions(bars: DataFrame, cfg: Run, name: str) -> DataFrame:
     """Bars with the position of one strategy; of the learnt ones, by walk-forward predictions."""
     params = cfg.params.get(name, {})
     if name in ("ml_direction", "ml_meta"):
-        rows = features.build(bars, with_smoothed=False)
+        rows, names = build_features(bars.sparkSession, cfg, bars)
         if name == "ml_direction":
-            p = models.walk_forward(_label(cfg, rows.drop("lc", "r")), models.DEFAULT_FEATURES, cfg.split)
+            p = models.walk_forward(_label(cfg, rows.drop("lc", "r")), names, cfg.split, cfg.model.kind, **cfg.model.params)
         else:
             side = execution.sma_cross(rows, 24, 120, allow_short=True).withColumnRenamed("pos", "primary_side")
             meta = labels.meta(_label(cfg, side.drop("lc", "r")), "primary_side").drop("y").withColumnRenamed("meta_y", "y")
-            p = models.walk_forward(meta, [*models.DEFAULT_FEATURES, "primary_side"], cfg.split)
+            p = models.walk_forward(meta, [*names, "primary_side"], cfg.split, cfg.model.kind, **cfg.model.params)
         b = labels.positions(bars).join(p.select("symbol", "pos", "p"), ["symbol", "pos"], "left").drop("pos", "n")
         s = cfg.sizing
         if name == "ml_direction":
-            return scans.hysteresis(b, "p", long_entry=s.long_entry, long_exit=s.long_exit, short_entry=s.short_entry, short_exit=s.short_exit, allow_short=s.allow_short, min_hold=s.min_hold)
+            held = scans.hysteresis(b, "p", long_entry=s.long_entry, long_exit=s.long_exit, short_entry=s.short_entry, short_exit=s.short_exit, allow_short=s.allow_short, min_hold=s.min_hold)
+            return _sized(held, cfg)
         primary = execution.sma_cross(b, 24, 120, allow_short=True)
         want = primary.withColumn("want", F.when(F.col("p").isNotNull(), F.when(F.col("p") >= s.long_entry, F.col("pos")).otherwise(0.0)))
-        return scans.min_hold(want.drop("pos"), "want", bars=s.min_hold)
+        return _sized(scans.min_hold(want.drop("pos"), "want", bars=s.min_hold), cfg)
     if name not in execution.REGISTRY:
         raise ConfigError(f"unknown strategy {name!r}")
     if name == "vol_target":
@@ -80,8 +119,36 @@ def positions(bars: DataFrame, cfg: Run, name: str) -> DataFrame:
         raise ConfigError(f"{name}: {e}") from e
 
 
+def _sized(held: DataFrame, cfg: Run) -> DataFrame:
+    """Positions scaled to ``sizing.vol_target`` (if it is over 0) and kept within ``sizing.max_leverage``."""
+    s = cfg.sizing
+    b = features.log_returns(held).withColumn("_sigma", roll(F.stddev_samp, "r", cfg.label.vol_window))
+    return b.withColumn("pos", execution.scale_to_risk("pos", "_sigma", s.vol_target, cfg.data.bars_per_year, s.max_leverage)).drop("_sigma", "lc", "r")
+
+
+def trials(spark: SparkSession, cfg: Run) -> int:
+    """Variants tried so far: those of the ledger, ``prior_trials`` and this run's."""
+    try:
+        before = ledger.count_trials(ledger.load(spark, cfg.ledger)).first()[0]
+    except AnalysisException:  # nothing has been recorded yet
+        before = 0
+    return before + cfg.prior_trials + len(cfg.strategies)
+
+
+def warnings(spark: SparkSession, cfg: Run) -> list[str]:
+    """What can't work in a configuration, and earlier runs that were nearly the same."""
+    out = costs.warnings(cfg.label.horizon, cfg.sizing.min_hold, costs.sigma(load_bars(spark, cfg)), 2 * cfg.cost.rate)
+    try:
+        runs = ledger.load(spark, cfg.ledger)
+    except AnalysisException:
+        return out
+    said = ledger.warning(ledger.near_misses(runs, ledger.flatten(dataclasses.asdict(cfg))))
+    killed = runs.where((F.col("verdict") == "KILLED") & (F.col("config_hash") == ledger.fingerprint(dataclasses.asdict(cfg)))).count()
+    return out + ([said] if said else []) + ([f"this configuration has been killed before, {killed} times"] if killed else [])
+
+
 def run(spark: SparkSession, cfg: Run, record: bool = True) -> DataFrame:
-    """(strategy, symbol, measures) out of sample."""
+    """(strategy, symbol, measures) out of sample, with p-values and Sharpe ratios deflated by the number of variants tried."""
     bars, out = load_bars(spark, cfg), None
     for name in dict.fromkeys(cfg.strategies):
         inside = _oos(bars, cfg).select("symbol", "ts", "inside")
@@ -90,6 +157,7 @@ def run(spark: SparkSession, cfg: Run, record: bool = True) -> DataFrame:
         r = execution.restrict(execution.backtest(held, cfg.cost.rate), "inside")
         s = execution.summarize(r, cfg.data.bars_per_year, ["symbol"]).select(F.lit(name).alias("strategy"), "*")
         out = s if out is None else out.unionByName(s)
+    out = execution.significance(out, cfg.data.bars_per_year, trials(spark, cfg))
     if record:
         rows = [r.asDict() for r in out.limit(1000).collect()]
         ledger.record(cfg.ledger, "run", dataclasses.asdict(cfg), {f"{r['strategy']}/{r['symbol']}": r for r in rows}, variants=len(cfg.strategies))
@@ -113,10 +181,8 @@ def audit(spark: SparkSession, cfg: Run, probes: int = 12, null_limit: float = 0
     bars = load_bars(spark, cfg)
     build = lambda b: features.build(b, with_smoothed=False)
     names = models.DEFAULT_FEATURES
-    n = labels.positions(bars).agg(F.min("n")).first()[0] or 0
-    at = sorted({n * (k + 1) // (probes + 1) for k in range(probes)})
     out = []
-    off = {r["feature"]: r["differs"] for r in checks.point_in_time(bars, build, names, at).collect()}
+    off = {r["feature"]: r["differs"] for r in checks.point_in_time(bars, features.build, None, probes).collect()}
     out.append(Check("point_in_time", not any(off.values()), f"{sum(off.values())} values differ"))
     try:
         checks.lint_lookahead(build(bars))
@@ -146,15 +212,42 @@ def _shuffled_by_time(rows: DataFrame, seed: int = 0) -> DataFrame:
     return a.join(b, ["symbol", "_k"]).drop("_k")
 
 
-def robust(spark: SparkSession, cfg: Run, fast=(3, 5, 8, 13), slow=(20, 40, 80, 120), record: bool = True) -> tuple[str, list[robustness.Gate]]:
-    """Other parameters, other years, other symbols, for the moving-average rule; a verdict on the first symbol."""
+def neighbourhood(spark: SparkSession, cfg: Run, strategy: str, axes: dict[str, list] | None = None) -> tuple[DataFrame, str, str]:
+    """(measures of every cell around a strategy's parameters or sizing, the two axes)."""
+    own, kind = robustness.grid_for(strategy)
+    axes = axes or own
+    one, two = axes
+    bars = materialised(load_bars(spark, cfg), "bars")
+    if kind == "params":
+        return robustness.rule_grid(bars, strategy, axes, cfg.data.bars_per_year, cfg.cost.rate), one, two
+    cells = [positions(bars, dataclasses.replace(cfg, sizing=dataclasses.replace(cfg.sizing, **c)), strategy).select("symbol", "ts", "open", "pos", *[F.lit(c[k]).alias(k) for k in axes]) for c in robustness.cells(strategy, axes)]
+    key = ["symbol", one, two]
+    tested = execution.backtest(functools.reduce(DataFrame.unionByName, cells), cfg.cost.rate, by=key)
+    return execution.summarize(tested, cfg.data.bars_per_year, key), one, two
+
+
+def robust(spark: SparkSession, cfg: Run, fast=(3, 5, 8, 13), slow=(20, 40, 80, 120), record: bool = True, strategy: str = "sma_cross", axes: dict[str, list] | None = None) -> tuple[str, list[robustness.Gate]]:
+    """Other parameters, other years, other symbols; a verdict on the first symbol.
+
+    The moving-average rule is tried over ``fast`` and ``slow``, the other rules over ``axes`` or the grid that they have.
+    """
     bars, year = load_bars(spark, cfg), cfg.data.bars_per_year
-    grid = robustness.sma_grid(bars, list(fast), list(slow), year, cfg.cost.rate)
+    if strategy == "sma_cross" and axes is None:
+        one, two, grid = "fast", "slow", robustness.sma_grid(bars, list(fast), list(slow), year, cfg.cost.rate)
+        middle = {"fast": fast[len(fast) // 2], "slow": slow[len(slow) // 2]}
+    else:
+        grid, one, two = neighbourhood(spark, cfg, strategy, axes)
+        chosen = axes or robustness.grid_for(strategy)[0]
+        middle = {k: v[len(v) // 2] for k, v in chosen.items()}
     symbol = cfg.data.symbol or bars.agg(F.min("symbol")).first()[0]
     mine = F.col("symbol") == symbol
     cells = [r["sharpe"] for r in grid.where(mine).collect()]
-    flips = robustness.sign_flips(grid.where(mine), "fast", "slow", "sharpe", ["symbol"]).first()
-    tested = execution.backtest(execution.sma_cross(bars, fast[len(fast) // 2], slow[len(slow) // 2]), cfg.cost.rate)
+    flips = robustness.sign_flips(grid.where(mine), one, two, "sharpe", ["symbol"]).first()
+    if strategy in robustness.SIZING_GRIDS:
+        held = positions(bars, dataclasses.replace(cfg, sizing=dataclasses.replace(cfg.sizing, **middle)), strategy)
+    else:
+        held = positions(bars, dataclasses.replace(cfg, params={strategy: middle}), strategy)
+    tested = execution.backtest(held, cfg.cost.rate)
     hold = execution.backtest(execution.buy_hold(bars), cfg.cost.rate)
     years = robustness.stability(execution.by_period(tested.where(mine), year, ["symbol"]), execution.by_period(hold.where(mine), year, ["symbol"]), ["symbol"])
     a, b = (execution.summarize(x, year, ["symbol"]).select("symbol", F.col("sharpe").alias(n)) for x, n in ((tested, "s"), (hold, "h")))
@@ -201,6 +294,69 @@ def ablate(spark: SparkSession, cfg: Run, group: list[str]) -> dict[str, float]:
     return {"with": mean(a), "without": mean(b), "t": t, "p": p, "folds": len(both)}
 
 
+def resolve_universe(spark: SparkSession, cfg: Run, month: str, pattern: str | None = None) -> list[str]:
+    """The symbols that had bars in a month, so that those that died later are among them."""
+    return sorted(r["symbol"] for r in src.universe_as_of(load_bars(spark, cfg), month, pattern).collect())
+
+
+def fetch(spark: SparkSession, cfg: Run, cached: DataFrame | None = None, free: int = 15) -> DataFrame:
+    """(symbol, month) that the archive lacks between each symbol's first and last bar; nothing is downloaded.
+
+    With ``cached`` (symbol, ...), more than ``free`` symbols that aren't in it are refused.
+    """
+    bars = load_bars(spark, cfg)
+    if cached is not None:
+        coverage.guard(bars, cached, free)
+    return coverage.missing_months(bars)
+
+
+@dataclass(frozen=True)
+class Panel:
+    """What a cross-section gave: its rows, predictions, folds, books' measures and the dead."""
+
+    rows: DataFrame
+    predictions: DataFrame
+    folds: DataFrame
+    measures: DataFrame
+    dead: DataFrame
+    features: tuple[str, ...]
+    horizon: int
+
+
+def xsec(spark: SparkSession, cfg: Run, end: str, names: list[str] | None = None, ks=(2, 3, 4), rebalance: int = 42, horizon: int = 6, top_n: int | None = None, least_bars: int = 500, record: bool = True) -> Panel:
+    """Load a panel, learn which symbols do better than the median, and test books of the best and worst out of sample."""
+    names = list(names or models.DEFAULT_FEATURES)
+    build = lambda b: features.build(b, with_smoothed=False)
+    rows, dead = panel.load(load_bars(spark, cfg), build, names, end, horizon, top_n, least_bars=least_bars)
+    rows = materialised(rows, "panel")
+    p, folds = models.fit_predict_panel(rows, names, cfg.split, horizon, cfg.model.kind, **cfg.model.params)
+    low, high = p.agg(F.min("time_pos"), F.max("time_pos")).first()
+    inside = rows.join(p.select("ts", "symbol", "p"), ["ts", "symbol"], "left").where(F.col("time_pos").between(low, high)).withColumn("time_pos", F.col("time_pos") - low)
+    books = {f"top_{k}": panel.top_book(inside, "p", k, rebalance) for k in ks} | {"equal_weight": panel.equal_book(inside, rebalance)}
+    parts = [panel.backtest(b.withColumn("book", F.lit(name)), cfg.cost.rate, by=["book"]) for name, b in books.items()]
+    tested = execution.summarize(functools.reduce(DataFrame.unionByName, parts), cfg.data.bars_per_year, ["book"], "time_pos")
+    tested = execution.significance(tested, cfg.data.bars_per_year, trials(spark, cfg))
+    if record:
+        ledger.record(cfg.ledger, "xsec", dataclasses.asdict(cfg), {r["book"]: r.asDict() for r in tested.collect()}, variants=len(books))
+    return Panel(rows, p, folds, tested, dead, tuple(names), horizon)
+
+
+def verify_panel(cfg: Run, found: Panel, tolerance: float = 0.02) -> list[Check]:
+    """Controls of a cross-section: labels shuffled within each time, and the dead left out; both fit anew."""
+    fit = lambda rows: checks.auc(models.fit_predict_panel(rows, list(found.features), cfg.split, found.horizon, cfg.model.kind, **cfg.model.params)[0].withColumn("one", F.lit(1)), "p", "y", ["one"]).first()
+    own = checks.auc(found.predictions.withColumn("one", F.lit(1)), "p", "y", ["one"]).first()
+    known = checks.shuffled(found.rows, "y", "time_pos").drop("y").withColumnRenamed("y_shuffled", "y")
+    mixed = fit(known)
+    out = [Check("shuffled_label", abs(mixed["auc"] - 0.5) <= max(tolerance, 2 / mixed["n"] ** 0.5), f"AUC {mixed['auc']:.4f}")]
+    n = found.dead.count()
+    if n:
+        alive = fit(found.rows.join(found.dead.select("symbol"), "symbol", "left_anti"))
+        out.append(Check("survivors_only", abs(alive["auc"] - own["auc"]) <= tolerance, f"AUC {own['auc']:.4f}, without {n} dead {alive['auc']:.4f}"))
+    else:
+        out.append(Check("survivors_only", None, "no symbol died"))
+    return out
+
+
 def cross_section(spark: SparkSession, cfg: Run, score, ks=(2, 3, 4), rebalance: int = 42) -> DataFrame:
     """(book, measures) of top-minus-bottom books by ``score`` (a function of the panel that adds that column) and of the benchmark."""
     p = score(panel.prices(src.dense(load_bars(spark, cfg)))).persist()

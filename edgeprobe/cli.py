@@ -7,10 +7,10 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from . import api, config, ledger_view
+from . import api, config, ledger_view, report
 from .errors import EdgeprobeError
 
-COMMANDS = ("run", "budget", "audit", "robust", "sweep", "features", "ablate", "log")
+COMMANDS = ("run", "budget", "audit", "robust", "sweep", "features", "ablate", "log", "fetch", "xsec")
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -19,6 +19,9 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("config")
     p.add_argument("--set", action="append", default=[], metavar="a.b=v")
     p.add_argument("--group", nargs="*", default=["vol_24"])
+    p.add_argument("--end", default="", help="the last month of the sample (yyyy-MM), for xsec")
+    p.add_argument("--top", type=int, default=None, help="only so many of the most traded symbols, for xsec")
+    p.add_argument("--verify", action="store_true")
     p.add_argument("--no-record", action="store_true")
     a = p.parse_args(argv)
     try:
@@ -26,20 +29,25 @@ def main(argv: list[str] | None = None) -> int:
         spark = SparkSession.builder.appName("edgeprobe").config("spark.sql.session.timeZone", "UTC").getOrCreate()
         record = not a.no_record
         if a.command == "audit":
-            for c in api.audit(spark, cfg, record=record):
-                print(f"{c.name:16} {'n/a' if c.passed is None else 'PASS' if c.passed else 'FAIL'} {c.detail}")
+            print(report.checks(api.audit(spark, cfg, record=record)))
         elif a.command == "robust":
             verdict, gates = api.robust(spark, cfg, record=record)
-            for g in gates:
-                print(f"{g.name:16} {g.outcome} {g.reason}")
-            print(verdict)
+            print(report.gates(verdict, gates))
+        elif a.command == "xsec":
+            found = api.xsec(spark, cfg, a.end, top_n=a.top, record=record)
+            print(report.table(r.asDict() for r in found.folds.orderBy("fold").collect()))
+            print(report.table(r.asDict() for r in found.measures.collect()))
+            if a.verify:
+                print(report.checks(api.verify_panel(cfg, found)))
         elif a.command == "ablate":
             print(api.ablate(spark, cfg, a.group))
         elif a.command == "log":
             ledger_view.summary(spark, cfg.ledger).show(truncate=False)
         else:
-            frame = {"run": lambda: api.run(spark, cfg, record), "budget": lambda: api.budget(spark, cfg), "sweep": lambda: api.sweep(spark, cfg), "features": lambda: api.feature_importance(spark, cfg)}[a.command]()
-            frame.show(1000, truncate=False)
+            frame = {"run": lambda: api.run(spark, cfg, record), "budget": lambda: api.budget(spark, cfg), "sweep": lambda: api.sweep(spark, cfg), "features": lambda: api.feature_importance(spark, cfg), "fetch": lambda: api.fetch(spark, cfg)}[a.command]()
+            print(report.table(r.asDict() for r in frame.limit(1000).collect()))
+            if a.command == "run":
+                print("\n".join(f"warning: {x}" for x in api.warnings(spark, cfg)))
     except EdgeprobeError as e:
         print(f"{type(e).__name__}: {e}", file=sys.stderr)
         return e.code

@@ -19,6 +19,12 @@ class Data:
     source: str = "parquet"
     symbol: str = ""
     interval: str = "1h"
+    start: str = ""
+    end: str = ""
+    funding: bool = False
+    metrics: bool = False
+    funding_path: str = ""
+    metrics_path: str = ""
     bars: int = 4000
     seed: int = 0
 
@@ -29,6 +35,7 @@ class Data:
         return BARS_PER_YEAR[self.interval]
 
 
+# The defaults of labels, costs, sizing and models below.
 @dataclass(frozen=True)
 class Label:
     kind: str = "triple_barrier"
@@ -61,6 +68,22 @@ class Sizing:
     vol_target: float = 0.0
 
 
+@dataclass(frozen=True)
+class Model:
+    """``hgb``: boosted trees; ``logistic``: regression.  The further keys are those of the trees."""
+
+    kind: str = "logistic"
+    rounds: int = 100
+    depth: int = 4
+    step: float = 0.05
+    least: int = 20
+    seed: int = 0
+
+    @property
+    def params(self) -> dict[str, Any]:
+        return {} if self.kind == "logistic" else {"rounds": self.rounds, "depth": self.depth, "step": self.step, "least": self.least, "seed": self.seed}
+
+
 @dataclass(frozen=True)
 class Run:
     name: str = "run"
@@ -69,13 +92,14 @@ class Run:
     split: Split = field(default_factory=Split)
     cost: Cost = field(default_factory=Cost)
     sizing: Sizing = field(default_factory=Sizing)
+    model: Model = field(default_factory=Model)
     strategies: tuple[str, ...] = ("buy_hold",)
     params: dict[str, dict[str, Any]] = field(default_factory=dict)
     ledger: str = "runs"
     prior_trials: int = 0
 
 
-_SECTIONS = {"data": Data, "label": Label, "split": Split, "cost": Cost, "sizing": Sizing}
+_SECTIONS = {"data": Data, "label": Label, "split": Split, "cost": Cost, "sizing": Sizing, "model": Model}
 
 
 def _made(kind, raw: dict, where: str):

@@ -1,13 +1,18 @@
 """The user's functions end to end on synthetic bars, streaming bars beside batch ones, and configuration errors."""
 
+import dataclasses
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
-from edgeprobe import api, config, ledger_view
-from edgeprobe.errors import ConfigError
+from edgeprobe import api, config, ledger_view, report
+from edgeprobe.errors import ConfigError, DataUnavailableError
+from edgeprobe.operators import audit, labels, ledger, models, robustness, validation
 from edgeprobe.operators.execution import scale_to_risk
 from edgeprobe.operators.features import momentum, log_returns
 from edgeprobe.sources import bars as src
+from edgeprobe.sources import synthetic
 from edgeprobe.streaming import bars as stream
 
 
@@ -51,6 +56,72 @@ def test_cross_section(spark, cfg, tmp_path):
     assert {r["book"] for r in api.cross_section(spark, c, score, ks=(2,), rebalance=20).collect()} == {"top_2", "equal_weight"}
 
 
+def test_panel_with_models_and_controls(spark, tmp_path):
+    """A score that says what comes is found, shuffled labels aren't, and the measures have their significance."""
+    walk = synthetic.random_walk(spark, 700, 12, "1d", seed=4, edge=0.6)
+    walk.where("symbol <> 'SYN3' or ts < timestamp_ntz '2021-09-01'").write.parquet(f"{tmp_path}/bars")
+    c = config.from_dict({"data": {"path": f"{tmp_path}/bars", "interval": "1d"}, "split": {"n_folds": 2, "min_train": 300, "least": 50}, "ledger": str(tmp_path / "runs"), "prior_trials": 20})
+    found = api.xsec(spark, c, "2021-12", ["ret_1", "ret_3", "z_12"], ks=(2,), rebalance=2, horizon=1, least_bars=400)
+    assert [r["symbol"] for r in found.dead.collect()] == ["SYN3"]
+    assert all(r["auc"] > 0.55 for r in found.folds.collect()) and found.folds.count() == 2
+    got = {r["book"]: r for r in found.measures.collect()}
+    assert set(got) == {"top_2", "equal_weight"} and all(0 <= r["p_value"] <= 1 and r["deflated_sharpe"] < r["sharpe"] for r in got.values())
+    checks = {x.name: x.passed for x in api.verify_panel(c, found)}
+    assert checks["shuffled_label"] and checks["survivors_only"] is not None
+    assert api.resolve_universe(spark, c, "2020-02") == sorted(f"SYN{k}" for k in range(12))
+    assert api.fetch(spark, c).count() == 0
+
+
+def test_auxiliary_features_and_sizing(spark, cfg):
+    d = dataclasses.replace(cfg.data, funding=True, metrics=True)
+    c = dataclasses.replace(cfg, data=d, sizing=dataclasses.replace(cfg.sizing, vol_target=0.2, max_leverage=0.5), strategies=("ml_direction",))
+    bars = api.load_bars(spark, c)
+    funding, metrics = api.load_auxiliary(spark, c, bars)
+    end = bars.agg(F.max("ts")).first()[0] + dt.timedelta(hours=1)
+    assert funding.where(F.col("ts") >= F.lit(end)).count() == 0 and metrics.where(F.col("ts") >= F.lit(end)).count() == 0
+    rows, names = api.build_features(spark, c, bars)
+    assert set(names) <= set(rows.columns) and rows.count() == 900 and rows.where("oi_chg_24 is not null").count() > 800
+    held = api.positions(bars, c, "ml_direction")
+    assert held.agg(F.max(F.abs("pos"))).first()[0] <= 0.5
+    with pytest.raises(DataUnavailableError):
+        api.load_auxiliary(spark, dataclasses.replace(c, data=dataclasses.replace(d, source="events")), bars)
+
+
+def test_boosted_trees_find_what_a_line_cannot(spark):
+    """y is the sign of a product of two features."""
+    w = synthetic.random_walk(spark, 900, 1, seed=2)
+    w = w.select("symbol", "ts", F.signum("close").alias("_"), (F.pmod(F.xxhash64("ts"), F.lit(1000)) / 1000 - 0.5).alias("a"), (F.pmod(F.xxhash64("ts", F.lit(1)), F.lit(1000)) / 1000 - 0.5).alias("b"))
+    rows = labels.positions(w).withColumn("y", (F.col("a") * F.col("b") > 0).cast("double")).withColumn("t_end", F.col("pos"))
+    split = validation.Split(n_folds=2, min_train=500, least=50)
+    found = {}
+    for kind in ("logistic", "hgb"):
+        p = models.walk_forward(rows, ["a", "b"], split, kind, **({"rounds": 15} if kind == "hgb" else {}))
+        found[kind] = audit.auc(p.withColumn("one", F.lit(1)), "p", "y", ["one"]).first()["auc"]
+    assert found["hgb"] > 0.9 and abs(found["logistic"] - 0.5) < 0.1
+
+
+def test_grids_of_every_rule(spark, cfg):
+    grid, one, two = api.neighbourhood(spark, cfg, "donchian", {"entry": [12, 24], "exit": [6, 24]})
+    assert (one, two) == ("entry", "exit") and grid.count() == 3
+    wide = robustness.pivot(grid, "entry", "exit")
+    assert wide.columns == ["entry", "6", "24"] and wide.count() == 2
+    assert "entry" in report.grid([r.asDict() for r in grid.collect()], "entry", "exit", "sharpe")
+    verdict, gates = api.robust(spark, cfg, record=False, strategy="donchian", axes={"entry": [12, 24], "exit": [6, 12]})
+    assert len(gates) == 3 and verdict in report.gates(verdict, gates)
+    assert [robustness.grid_for(x)[1] for x in ("vol_target", "ml_meta")] == ["params", "sizing"]
+    with pytest.raises(ConfigError):
+        robustness.grid_for("buy_hold")
+
+
+def test_warnings_and_trials(spark, cfg):
+    assert api.trials(spark, cfg) == len(cfg.strategies)
+    api.run(spark, dataclasses.replace(cfg, strategies=("buy_hold",)), record=True).collect()
+    near = dataclasses.replace(cfg, strategies=("buy_hold",), sizing=dataclasses.replace(cfg.sizing, min_hold=500))
+    said = api.warnings(spark, near)
+    assert any("bars ahead" in x for x in said) and any("nearly the same" in x for x in said)
+    assert ledger.recent(ledger.load(spark, cfg.ledger)).count() == 1 and ledger.unrecorded(ledger.load(spark, cfg.ledger)).first()[0] == 0
+
+
 def test_configuration_errors(tmp_path):
     f = tmp_path / "x.toml"
     f.write_text("[data]\nintervall = '1h'\n")

@@ -2,18 +2,19 @@
 
 import datetime as dt
 import math
+import zipfile
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from edgeprobe import stats
+from edgeprobe import costs, report, stats
 from edgeprobe.errors import ConfigError, InsufficientDataError
 from edgeprobe.operators import audit, execution, features, labels, ledger, models, panel, robustness, scans, validation
 from edgeprobe.operators.asof import asof_strict
 from edgeprobe.plans import catalog
+from edgeprobe.sources import archives, synthetic
 from edgeprobe.sources import bars as src
-from edgeprobe.sources import synthetic
 
 BAR = "symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume double, trades double"
 T0 = dt.datetime(2020, 1, 1)
@@ -196,3 +197,96 @@ def test_audit_query_takes_every_feature(spark):
     got = {r["feature"]: r["differs"] for r in catalog.QUERIES["point_in_time_audit"](spark, "/root/testdata/sf0.001").collect()}
     b = bars(spark, range(100, 130))
     assert set(got) == set(features.build(b).columns) - set(b.columns) and set(got.values()) == {0}
+
+
+def test_folds_of_unequal_histories_do_not_look_ahead(spark):
+    """A symbol that begins later must not train on times that another one is tested on."""
+    long, late = bars(spark, range(100, 400), "A"), bars(spark, range(100, 250), "B").withColumn("ts", F.col("ts") + F.expr("interval 150 hours"))
+    rows = labels.next_bar_sign(long.unionByName(late)).withColumn("x", F.rand(1))
+    split = validation.Split(n_folds=3, min_train=150, least=20)
+    a = models._assigned(rows, ["x"], split)
+    for r in a.groupBy("fold").agg(F.max(F.when(F.col("part") == "train", F.col("time_end"))).alias("known"), F.min(F.when(F.col("part") == "test", F.col("time_pos"))).alias("first")).collect():
+        assert r["known"] < r["first"]
+    assert a.where("part = 'test'").groupBy("symbol", "ts").count().where("count > 1").count() == 0
+    assert {r["fold"]: r["count"] for r in a.where("part = 'test' and symbol = 'B'").groupBy("fold").count().collect()} == {1: 50, 2: 50, 3: 50}
+
+
+def test_complete_rows(spark):
+    df = spark.createDataFrame([(1.0, 1.0, None), (None, 1.0, 1.0), (1.0, None, 1.0)], "x double, sigma double, y double")
+    assert validation.complete(df, ["x", "sigma"], 1).collect()[0]["y"] is None
+    with pytest.raises(InsufficientDataError):
+        validation.complete(df, ["x", "sigma"])
+
+
+def test_autoregression(spark):
+    b = synthetic.random_walk(spark, 4000, 1, seed=3, edge=0.5)
+    r = np.diff(np.log(column(b, "close")))
+    lagged = lambda k: np.corrcoef(r[k:], r[:-k])[0, 1]
+    assert lagged(1) == pytest.approx(0.5, abs=0.06) and lagged(2) == pytest.approx(0.25, abs=0.06)
+    e = np.diff(np.log(column(synthetic.random_walk(spark, 4000, 1, seed=3), "close")))
+    assert np.allclose(r[1:], 0.5 * r[:-1] + e[1:], atol=1e-9)
+
+
+def test_auc_against_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    rows = [(str(k % 3), float(np.round(rng.normal(), 1)), float(rng.random() < 0.4)) for k in range(400)] + [("3", 1.0, 1.0), ("4", None, 1.0), ("5", 2.0, 1.0), ("5", 2.0, 0.0)]
+    got = {r["g"]: r["auc"] for r in audit.auc(spark.createDataFrame(rows, "g string, x double, y double"), "x", "y", ["g"]).collect()}
+    for g in "012":
+        up, down = ([x for k, x, y in rows if k == g and y == side] for side in (1, 0))
+        assert got[g] == pytest.approx(np.mean([(a > b) + (a == b) / 2 for a in up for b in down]))
+    assert got["3"] is None and "4" not in got and got["5"] == 0.5
+
+
+def test_archives(spark, tmp_path):
+    """Headers or none, zip or not, milliseconds and microseconds, repeated times, a broken file, the symbol from the name."""
+    line = "1600000000000,1,3,0.5,2,10,0,0,7,0,0,0"
+    (tmp_path / "AAA-1h-2020-09.csv").write_text(line + "\n" + line.replace(",1,3", ",9,9") + "\n")
+    with zipfile.ZipFile(tmp_path / "BBB-1h-2025-01.zip", "w") as z:
+        z.writestr("x.csv", ",".join(archives.KLINES) + "\n" + line.replace("1600000000000", "1600000000000000") + "\n")
+    (tmp_path / "CCC-1h-2025-01.zip").write_bytes(b"PK broken")
+    got = {r["symbol"]: r for r in archives.klines(spark, str(tmp_path)).collect()}
+    assert set(got) == {"AAA", "BBB"} and got["AAA"]["open"] == 1.0 and got["AAA"]["ts"] == got["BBB"]["ts"] and got["BBB"]["trades"] == 7.0
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "AAA-fundingRate-2020-09.csv").write_text("calc_time,funding_interval_hours,last_funding_rate\n1600000000000,8,0.0001\n")
+    (f,) = archives.funding(spark, str(tmp_path / "f")).collect()
+    assert (f["funding_rate"], f["funding_hours"]) == (0.0001, 8.0) and f["ts"] == got["AAA"]["ts"]
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "AAA-metrics-2020-09-13.csv").write_text("create_time,symbol,sum_open_interest\n2020-09-13 12:00:00,AAA,5\n2020-09-13 12:05:00,AAA,\n")
+    m = archives.metrics(spark, str(tmp_path / "m")).orderBy("ts").collect()
+    assert [r["open_interest"] for r in m] == [5.0, None] and m[0]["taker_buy_sell_ratio"] is None
+
+
+def test_costs_of_holding(spark):
+    assert costs.round_trip(10, 2) == pytest.approx(0.0024) and costs.duration(math.inf) == "never"
+    hold = costs.breakeven_hold(0.01, 0.55, 0.0024)
+    assert costs.required_accuracy(0.01, hold, 0.0024) == pytest.approx(0.55) and costs.breakeven_hold(0.01, 0.5, 0.0024) == math.inf
+    assert costs.duration(47) == "47.0 hours" and costs.duration(240) == "10.0 days" and costs.duration(3040) == "4.2 months"
+    assert len(costs.warnings(24, 6, 0.001, 0.0024)) == 1 and "can't" in costs.warnings(24, 6, 0.0001, 0.0024)[0] and costs.warnings(24, 24, 0.05, 0.0024) == []
+    b = synthetic.random_walk(spark, 600, 1, sigma=0.004).withColumn("symbol", F.lit("A"))
+    (r,) = costs.measured_breakeven(b, 0.6, 0.0024, most=300).collect()
+    moves = {x["hold"]: x["move"] for x in execution.mean_move(b, [r["hold"] - 1, r["hold"]]).collect()}
+    assert 0.2 * moves[r["hold"]] >= 0.0024 > 0.2 * moves[r["hold"] - 1]
+    assert costs.measured_breakeven(b, 0.5, 0.0024).collect()[0]["hold"] is None
+
+
+def test_predictions_are_remembered(spark):
+    made = []
+
+    def compute():
+        made.append(1)
+        return spark.range(3)
+
+    for _ in range(2):
+        assert models.remembered(spark, {"a": str(T0), "n": 1}, compute).count() == 3
+    assert len(made) == 1 or made == []
+
+
+def test_crossover(spark):
+    df = spark.createDataFrame([(2.0, 1.0), (1.0, 1.0), (1.0, None)], "a double, b double")
+    assert [r[0] for r in df.select(execution.crossover_state("a", "b")).collect()] == [1.0, -1.0, -1.0]
+
+
+def test_reports():
+    text = report.table([{"name": "a", "n": 10, "x": 0.123456}, {"name": "bb", "n": 2, "x": None}])
+    assert text.splitlines()[0].split() == ["name", "n", "x"] and "0.1235" in text and text.splitlines()[3].endswith("-")
+    assert report.table([]) == "(nothing)"
