@@ -1,19 +1,24 @@
 """The training-data operators against plain brute-force versions on small fixtures."""
 
 import base64
+import glob
 import hashlib
 import itertools
+import math
+import os
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
 
-from edgeprobe.llm import decontaminate, hashing, jaccard, language, packing, pii, quality, suffix_tree, toxicity, urls, warc
+from edgeprobe.llm import decontaminate, hashing, jaccard, language, packing, pii, quality, queries, suffix_tree, toxicity, urls, warc
 
+DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 VOCAB = [a + b for a in ("ka", "lo", "mi", "ter", "sun", "vel", "dra", "po") for b in ("n", "ra", "st", "lik", "mo", "e")]
 
@@ -609,7 +614,7 @@ def test_pipeline(spark, texts, tmp_path):
 def test_stages_keep_clashing_columns(spark, tmp_path):
     import corpus_pipeline
 
-    names = ["bm_runs", "pii", "pii_redacted", "_kept", "n_words", "v_tidy", "_t", "id"]
+    names = ["bm_runs", "bm_places", "pii", "pii_redacted", "_kept", "n_words", "v_tidy", "_t", "id"]
     text = words(random.Random(1), 90)
     df = spark.createDataFrame([(1, text, "en", "s", len(text))], DOCS)
     for c in names:
@@ -620,3 +625,92 @@ def test_stages_keep_clashing_columns(spark, tmp_path):
         assert out.columns == df.columns, name
         assert [tuple(r) for r in out.collect()] == [tuple(r) for r in df.collect()], name
     assert corpus_pipeline.STAGES[-1][1](spark, df, str(tmp_path)).count() == 1
+
+
+# ---- SQL
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_against_sql(spark, name):
+    con = duckdb.connect()
+    for f in glob.glob(f"{DATA}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
+    ours, theirs = queries.queries()[name](spark, DATA).toPandas(), con.execute(queries.oracle_sql()[name]).df()
+    assert sorted(ours.columns) == sorted(theirs.columns)
+    key, names = next(c for c in ("page_id", "doc_id") if c in ours.columns), sorted(ours.columns)
+    plain = lambda df: df[names].astype(object).where(df[names].notna(), None).sort_values(key).values.tolist()
+    assert plain(ours) == plain(theirs)
+
+
+# ---- brute force of learnt models
+
+
+def test_language_scores_against_kernels(spark):
+    """A text's scores are sums of whole kernels with the landmarks, by ridge regression over all training texts at once."""
+    rng = random.Random(8)
+    sounds = {"aa": "wolken tief zug", "bb": "calle luz verde"}
+    rows = [(i, " ".join(rng.choice(sounds[lang].split()) + rng.choice(["", "en", "a"]) for _ in range(rng.randrange(3, 12))), lang) for i in range(60) for lang in [rng.choice("ab") * 2]]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {r["doc_id"]: r for r in language.identify(df).collect()}
+    train = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    grams = lambda s: {s[i : i + n] for n in (1, 2, 3) for i in range(len(s) - n + 1)}
+    sets = {i: grams(f" {' '.join(t.lower().split())} ") for i, t, _ in rows}
+    kernel = lambda a, b: len(sets[a] & sets[b]) / (len(sets[a]) * len(sets[b])) ** 0.5
+    # Fewer texts than landmarks: the features span those of kernel ridge regression on all training texts.
+    ids = [r[0] for r in train]
+    k = np.array([[kernel(a, b) for b in ids] for a in ids])
+    values, vectors = np.linalg.eigh(k)
+    root = vectors / np.sqrt(np.maximum(values, 1e-6 * values.max())) @ vectors.T
+    y = np.array([[1.0 if r[2] == x else -1.0 for x in ("aa", "bb")] for r in train])
+    assert len(ids) <= 2 * language.LANDMARKS and max((y > 0).sum(axis=0)) <= language.LANDMARKS
+    w = np.sqrt(1.0 / (y > 0).sum(axis=0))[y.argmax(axis=1)][:, None]
+    phi = np.hstack([k @ root, np.ones((len(k), 1))]) * w
+    keep = language.RIDGE * np.eye(phi.shape[1])
+    keep[-1, -1] = 1e-9
+    beta = np.linalg.solve(phi.T @ phi + keep, phi.T @ (y * w))
+    for i, _, _ in rows:
+        f = np.array([kernel(i, b) for b in ids]) @ root @ beta[:-1] + beta[-1]
+        assert got[i]["lang_pred"] == ("aa", "bb")[int(f.argmax())]
+        assert got[i]["score"] == pytest.approx(np.clip((f.max() + 1) / 2, 0, 1), abs=2e-3)
+
+
+def test_url_verdicts_against_plain_bayes(spark):
+    rng = random.Random(6)
+    names = ["cheap", "pills", "news", "shop", "daily", "garden"]
+    page = lambda: " ".join(rng.choice(names) for _ in range(6))
+    rows = [(i, f"http://{''.join(rng.sample(names, 2))}.{rng.choice(['com', 'net', 'org', 'info'])}/{rng.choice(['en', 'de', 'es'])}/{rng.choice(names)}{rng.randrange(99)}", page()) for i in range(160)]
+    got = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    counts = Counter(w for *_, h in rows for w in h.split())
+    splitter, rules = urls.Splitter(dict(counts), sum(counts.values())), urls.Rules.of(urls.RULES)
+    seen, n_urls = {"allow": Counter(), "block": Counter()}, Counter()
+    for _, u, _ in rows:
+        if found := rules.find(*urls.parts(u)):
+            n_urls[found[1]] += 1
+            seen[found[1]].update(urls.tokens(*urls.parts(u), splitter))
+    known, decided = set(seen["allow"]) | set(seen["block"]), 0
+    total = {v: sum(c.values()) + len(known) + 1 for v, c in seen.items()}
+    for i, u, _ in rows:
+        found = rules.find(*urls.parts(u))
+        odds = {v: math.log(n_urls[v] + 1) + sum(math.log((seen[v][t] + 1) / total[v]) for t in urls.tokens(*urls.parts(u), splitter)) for v in seen}
+        assert got[i]["verdict"] == (found[1] if found else "block" if odds["block"] > odds["allow"] else "allow")
+        decided += found is None
+    assert decided > 20
+
+
+def test_posterior_against_bayes(spark, texts):
+    """Each document's probability of being good is Bayes' rule over the votes of all rules, with the accuracies that were learnt."""
+    df = docs_frame(spark, texts * 3)
+    rows = quality.score_quality(df).collect()
+    voted = quality.votes(quality.text_counts(df.select("doc_id", "text")).drop("text"))
+    model = quality.learn(voted)
+    names = [r.name for r in quality.RULES]
+    cast = {r["doc_id"]: tuple(r[f"v_{n}"] for n in names) for r in voted.collect()}
+    for r in rows:
+        v = cast[r["doc_id"]]
+        good = model.prior * math.prod(model.good[k][x] for k, x in enumerate(v))
+        bad = (1 - model.prior) * math.prod(model.bad[k][x] for k, x in enumerate(v))
+        assert r["p_good"] == pytest.approx(good / (good + bad)) and r["kept"] == (not r["base_failed"] and r["p_good"] >= 0.5)
+    # The learnt shares are what the posteriors themselves give: a fixed point of the estimation.
+    p = {i: model.posterior(v) for i, v in cast.items()}
+    n = len(rows)
+    assert model.prior == pytest.approx((3 * sum(p.values()) + 1) / (n + 2), abs=1e-4)
