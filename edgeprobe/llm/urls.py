@@ -44,7 +44,7 @@ _LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 _WORD = re.compile(r"[^\W\d_]+")
 _SPLIT = re.compile(r"[^\W\d_]+|\d+")
 # What has a dot or a colon between letters or digits, or an "@", is a name of a host, an address or a file.
-_NAME = re.compile(r"\S*(?:[^\W_][.:@/]+[^\W_]|://)\S*")
+_NAME = re.compile(r"(?<!\S)\S*(?:[^\W_][.:@/]+[^\W_]|://)\S*")
 _TAGS = re.compile(r"<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[^<>]*>", re.S | re.I)
 
 
