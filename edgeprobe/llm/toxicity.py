@@ -27,10 +27,10 @@ from .ngrams import SPACE_BITS, Distinct, grams, normal, sample_each
 
 SIZES = range(3, 7)
 #: Bound of the sample, in labelled texts of each class.
-SAMPLE = 3000
+SAMPLE = 2000
 LEAST_TEXTS = 4
 #: Features of texts that are looked at together while fitting.
-BLOCK = 4_000_000
+BLOCK = 2_000_000
 PENALTY = 1.0
 _distinct: list[Distinct] = []
 
@@ -70,17 +70,18 @@ def _table(buckets: np.ndarray) -> np.ndarray:
     return at
 
 
-def _logistic(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, penalty: float, rounds: int = 200) -> tuple[np.ndarray, float]:
-    """Weights of the scaled features and intercept, by L-BFGS with the last ten steps, until the gradient is small."""
-    size = np.array([len(r) for r in rows])
-    index = np.concatenate(rows) if rows else np.empty(0, np.int32)
+def _logistic(index: np.ndarray, size: np.ndarray, y: np.ndarray, scale: np.ndarray, penalty: float, rounds: int = 200) -> tuple[np.ndarray, float]:
+    """Weights of the scaled features and intercept, by L-BFGS with the last ten steps, until the gradient is small.
+
+    ``index``: the features of all texts, one text after the other; ``size``: how many each has.
+    """
     full = np.flatnonzero(size)  # the texts with features
     start = np.concatenate(([0], np.cumsum(size[full])))
     cuts = np.unique(np.searchsorted(start, np.arange(0, start[-1] + BLOCK, BLOCK)).clip(0, len(full)))
     d = len(scale)
 
     def times(v):
-        out = np.zeros(len(rows))
+        out = np.zeros(len(size))
         for lo, hi in itertools.pairwise(cuts):
             out[full[lo:hi]] = np.add.reduceat(v[index[start[lo] : start[hi]]], start[lo:hi] - start[lo])
         return out
@@ -149,9 +150,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: float
         return *nothing, float(np.log(share / (1 - share)))
     found = texts.mapInArrow(_chosen(spark.sparkContext.broadcast(buckets)), "label int, features binary").toLocalIterator()
     rows = sorted((r["label"], bytes(r["features"])) for r in found)
-    y = np.array([label for label, _ in rows], np.float64)
+    y, size = np.array([label for label, _ in rows], np.float64), np.array([len(x) // 4 for _, x in rows])
+    index = np.frombuffer(b"".join(x for _, x in rows), "<i4")
+    del rows  # the features are held once, 4 bytes each
     scale = ratio[buckets]
-    w, b = _logistic([np.frombuffer(x, "<i4") for _, x in rows], y, scale, penalty)
+    w, b = _logistic(index, size, y, scale, penalty)
     seen = float(np.clip(y.mean(), 1e-6, 1 - 1e-6))
     return buckets, w * scale, float(b + np.log(share / (1 - share)) - np.log(seen / (1 - seen)))
 
@@ -159,13 +162,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: float
 def _predict(sent):
     def run(batches):
         buckets, weights, intercept = sent.value
-        at, weights = _table(buckets), np.append(weights, 0.0)
+        of_bucket = np.zeros(2**SPACE_BITS)
+        of_bucket[buckets] = weights
         for b in few_at_a_time(batches, 2):
             score = []
             for t in b.column(2).to_pylist():
-                k = np.concatenate([at[g] for g in grams(normal(t), SIZES)] or [np.empty(0, np.int32)])
-                k = np.unique(k[k >= 0])
-                score.append(1 / (1 + np.exp(-np.clip(weights[k].sum() + intercept, -40.0, 40.0))))
+                score.append(1 / (1 + np.exp(-np.clip(of_bucket[presence(t)].sum() + intercept, -40.0, 40.0))))
             score = np.array(score, np.float64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 

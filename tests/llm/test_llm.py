@@ -501,7 +501,7 @@ def test_logistic_finds_the_least_loss():
     for block in (toxicity.BLOCK, 7):
         with pytest.MonkeyPatch.context() as m:
             m.setattr(toxicity, "BLOCK", block)
-            w, b = toxicity._logistic(rows, y, scale, 1.0)
+            w, b = toxicity._logistic(np.concatenate(rows), np.array([len(r) for r in rows]), y, scale, 1.0)
         for k in range(12):
             for step in (-0.01, 0.01):
                 assert loss(w + step * np.eye(12)[k], b) > loss(w, b) and loss(w, b + step) > loss(w, b)
