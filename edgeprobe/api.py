@@ -253,7 +253,7 @@ def robust(spark: SparkSession, cfg: Run, fast=(3, 5, 8, 13), slow=(20, 40, 80,
     a, b = (execution.summarize(x, year, ["symbol"]).select("symbol", F.col("sharpe").alias(n)) for x, n in ((tested, "s"), (hold, "h")))
     others = [r["s"] - r["h"] for r in a.join(b, "symbol").where(~mine).collect()]
     gates = [
-        robustness.grid_gate(cells, flips["pairs"] if flips else 0, flips["rate"] if flips else None),
+        robustness.grid_gate(cells, flips["pairs"] if flips else 0, flips["rate"] if flips else None, benchmark=next((r["h"] for r in b.where(mine).collect()), None)),
         robustness.count_gate("stability", [r["excess_sharpe"] for r in years.collect()]),
         robustness.count_gate("transfer", others),
     ]
@@ -266,14 +266,11 @@ def robust(spark: SparkSession, cfg: Run, fast=(3, 5, 8, 13), slow=(20, 40, 80,
 def sweep(spark: SparkSession, cfg: Run, entries=(0.52, 0.54, 0.56, 0.58, 0.60), holds=(12, 48, 168)) -> DataFrame:
     """(long_entry, min_hold, symbol, measures) of the learnt direction, from one set of predictions."""
     bars = load_bars(spark, cfg)
-    p = models.walk_forward(_label(cfg, features.build(bars, with_smoothed=False).drop("lc", "r")), models.DEFAULT_FEATURES, cfg.split).persist()
-    b, out = labels.positions(bars).join(p.select("symbol", "pos", "p"), ["symbol", "pos"], "left").drop("pos", "n"), None
-    for e in entries:
-        for h in holds:
-            held = scans.hysteresis(b, "p", long_entry=e, short_entry=round(1 - e, 4), min_hold=h)
-            s = execution.summarize(execution.backtest(held, cfg.cost.rate), cfg.data.bars_per_year, ["symbol"]).select(F.lit(e).alias("long_entry"), F.lit(h).alias("min_hold"), "*")
-            out = s if out is None else out.unionByName(s)
-    return out
+    p = materialised(models.walk_forward(_label(cfg, features.build(bars, with_smoothed=False).drop("lc", "r")), models.DEFAULT_FEATURES, cfg.split, cfg.model.kind, **cfg.model.params), "predictions")
+    b = labels.positions(bars).join(p.select("symbol", "pos", "p"), ["symbol", "pos"], "left").drop("pos", "n")
+    held = [scans.hysteresis(b, "p", long_entry=e, short_entry=round(1 - e, 4), min_hold=h).select(F.lit(e).alias("long_entry"), F.lit(h).alias("min_hold"), "symbol", "ts", "open", "pos") for e in entries for h in holds]
+    key = ["long_entry", "min_hold", "symbol"]
+    return execution.summarize(execution.backtest(functools.reduce(DataFrame.unionByName, held), cfg.cost.rate, by=key), cfg.data.bars_per_year, key)
 
 
 def feature_importance(spark: SparkSession, cfg: Run) -> DataFrame:

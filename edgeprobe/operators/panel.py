@@ -9,6 +9,7 @@ from ..errors import InsufficientDataError
 from ..sources import bars as src
 from ..sources.shared import materialised
 from . import labels
+from .asof import asof_strict
 from .execution import RATE
 
 
@@ -47,6 +48,12 @@ def prices(dense: DataFrame) -> DataFrame:
     return b.withColumn("alive", F.col("ret_next").isNotNull())
 
 
+def funding_per_bar(panel: DataFrame, funding: DataFrame, bar_seconds: int) -> DataFrame:
+    """Add ``funding``: the rate known at a bar's close, paid every eight hours, as far as a bar goes; 0 where none is known."""
+    out = asof_strict(panel, funding, ["funding_rate"], bar_seconds)
+    return out.withColumn("funding", F.coalesce(F.col("funding_rate") * F.lit(bar_seconds / 28_800), F.lit(0.0))).drop("funding_rate")
+
+
 def rank_pct(panel: DataFrame, features: list[str], least: int = 3) -> DataFrame:
     """(ts, symbol, feature, rank): average-tie rank over the number of values; times with few symbols are left out.
 

@@ -113,6 +113,11 @@ def test_grids_of_every_rule(spark, cfg):
         robustness.grid_for("buy_hold")
 
 
+def test_sweep(spark, cfg):
+    got = api.sweep(spark, cfg, entries=(0.52, 0.6), holds=(12, 48)).collect()
+    assert {(r["long_entry"], r["min_hold"]) for r in got} == {(0.52, 12), (0.52, 48), (0.6, 12), (0.6, 48)} and all(r["bars"] == 900 for r in got)
+
+
 def test_warnings_and_trials(spark, cfg):
     assert api.trials(spark, cfg) == len(cfg.strategies)
     api.run(spark, dataclasses.replace(cfg, strategies=("buy_hold",)), record=True).collect()

@@ -290,3 +290,22 @@ def test_reports():
     text = report.table([{"name": "a", "n": 10, "x": 0.123456}, {"name": "bb", "n": 2, "x": None}])
     assert text.splitlines()[0].split() == ["name", "n", "x"] and "0.1235" in text and text.splitlines()[3].endswith("-")
     assert report.table([]) == "(nothing)"
+
+
+def test_noise_and_power():
+    """A grid of 31 pairs: signs as at random, smooth, nearly as at random, too few to tell."""
+    assert [robustness.noise(good, 31, rate) for good, rate in ((0.5, 0.5), (0.5, 0.0), (0.75, 0.39), (0.97, 0.06))] == [True, False, True, False]
+    assert robustness.noise(0.5, 0, 0.45) and not robustness.noise(0.5, 0, 0.3) and not robustness.noise(0.5, 31, None)
+    assert robustness.gate_power(5) == pytest.approx(0.5) and robustness.gate_power(4) == pytest.approx(0.3125)
+    gate = robustness.count_gate("years", [0.21, 0.56, -0.5, -0.21, None, float("nan"), -0.27])
+    assert gate.outcome == "WEAK" and "2 of 5" in gate.reason and "50%" in gate.reason
+    assert robustness.count_gate("years", [-1.0, -1.1, -0.9, -1.05]).outcome == "FAIL"
+    lone = robustness.grid_gate([0.1, 0.12, 0.11, 0.13, 3.0], 4, 0.0, benchmark=0.5)
+    assert lone.outcome == "WEAK" and "20% above holding" in lone.reason
+
+
+def test_funding_per_bar(spark):
+    b = bars(spark, [100] * 4, hours=4)
+    f = spark.createDataFrame([("A", T0, 0.0, 8.0), ("A", T0 + dt.timedelta(hours=8), 0.001, 8.0)], "symbol string, ts timestamp_ntz, funding_rate double, funding_hours double")
+    assert column(panel.funding_per_bar(b, f, 14_400), "funding") == [0.0, 0.0, 0.0005, 0.0005]
+    assert column(panel.funding_per_bar(b, f.limit(0), 14_400), "funding") == [0.0] * 4
