@@ -11,7 +11,7 @@ occurrences, hence at most 1/SHARE of them; others count as unknown.
 
 Cases: a null URL or one without "://" has an empty host and path, fits no rule and gets the verdict of
 the classes' shares; without any URL that fits a rule every verdict of the method is allow, as are ties; very long URLs and
-pages are read whole, a long run of letters in time that grows with its length times the longest word's; repeated rows get
+pages are read whole, a long run of letters in time that grows with its length and the number of lengths that words have; repeated rows get
 equal results; an empty table gives an empty result.
 """
 
@@ -85,7 +85,7 @@ class Splitter:
     def __init__(self, words: dict[str, int], total: int):
         total = max(total, 1)
         self.cost = {w: math.log(total / c) for w, c in words.items()}
-        self.longest = max(map(len, words), default=0)
+        self.lengths = sorted({len(w) for w in words})
         self.unknown = math.log(total) + 1.0
         self.seen: dict[str, tuple[str, ...]] = {}
 
@@ -106,7 +106,10 @@ class Splitter:
             at, best = (end - 1, fresh + 2.3) if fresh <= longer else (open_back[-1], longer + 2.3)
             open_cost.append(best)
             open_back.append(at)
-            for start in range(max(0, end - self.longest), end):
+            for n in self.lengths:
+                if n > end:
+                    break
+                start = end - n
                 c = get(run[start:end])
                 if c is not None and cost[start] + c <= best:
                     best, at = cost[start] + c, start
