@@ -24,13 +24,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the one named by ``spark.checkpoint.dir``; only where that is unset
-    (a local session, as in tests) a temporary one is chosen.
+    It is the one named by ``spark.checkpoint.dir``; only where that is unset in a
+    local session, as in tests, a temporary one is chosen.  A cluster without it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
         found = spark.sparkContext.getCheckpointDir()
         if found is None:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="edgeprobe-"))
             found = spark.sparkContext.getCheckpointDir()
         root = found
@@ -53,13 +55,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Write a frame as Parquet to the shared folder and read it again (wide frames, read more than once)."""
+def written(df: DataFrame, what: str, paths: list[str] | None = None) -> DataFrame:
+    """Write a frame as Parquet to the shared folder and read it again (wide frames, read more than once).
+
+    ``paths`` gets its path, for :func:`discard`.
+    """
     path = shared_path(df.sparkSession, what)
     df.write.parquet(path)
+    if paths is not None:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Remove written frames that nothing reads any more, through Spark's own file system, wherever they lie."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        at = hadoop.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    paths.clear()
+
+
 def text_of(df: DataFrame, column: str = "text"):
     """The text column with null as empty."""
     return F.coalesce(df[column].cast("string"), F.lit(""))

@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, few_at_a_time, small_batches, text_of, written
+from .common import cut, discard, few_at_a_time, small_batches, text_of, written
 from .hashing import GOLD, M, mix, word_hashes
 
 SHINGLE = 5
@@ -348,11 +348,13 @@ def verified(pairs: DataFrame, plain: DataFrame) -> DataFrame:
     pairs = cut(pairs.select("a", "b"))
     pairs = cut(pairs.coalesce(1 + pairs.count() // EDGES))
     ids, few = _ids(pairs)
-    sets = written(plain.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(_sets, f"id {kind}, shingles binary"), "sets")
+    sets = written(plain.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(_sets, f"id {kind}, shingles binary"), "sets", paths := [])
     left = sets.select(F.col("id").alias("b"), F.col("shingles").alias("of_b"))
     right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("of_a"))
     both = pairs.join(left, "b").join(right, "a").select("a", "b", "of_a", "of_b")
-    return cut(both.mapInArrow(_verify, f"a {kind}, b {kind}, linked boolean").where("linked").select("a", "b").distinct())
+    found = cut(both.mapInArrow(_verify, f"a {kind}, b {kind}, linked boolean").where("linked").select("a", "b").distinct())
+    discard(plain.sparkSession, paths)
+    return found
 
 
 def _may_link(left: str, right: str):
@@ -497,7 +499,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     buckets = max(1, -(-total // BUCKET_KEYS))
     sent = plain.where("id is not null").select("text").mapInArrow(_keys(common, buckets), _DEALT)
     found = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_stars, "key bigint, rep bigint, cls bigint")
-    found = written(found, "stars")
+    done: list[str] = []
+    found = written(found, "stars", done)
     stars = found.where("key is not null")
     at = lambda c, to: roots.select(F.col("hi").alias(c), F.col("root").alias(to), F.col("n").alias(f"n_{to}"))
     pairs = stars.groupBy("rep", "cls").agg(F.count("*").alias("shared"))
@@ -505,7 +508,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     alike = F.col("a") != F.col("b")
     between = pairs.where(alike & (4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b"))).groupBy("a", "b").agg(F.max("shared").alias("shared"))
     needed, few = _ids(between)
-    sketches = written(profile.where("n > 0").join(F.broadcast(needed) if few else needed, "id", "left_semi").select("id", "n", *_SKETCH, "wide"), "sketches")
+    sketches = written(profile.where("n > 0").join(F.broadcast(needed) if few else needed, "id", "left_semi").select("id", "n", *_SKETCH, "wide"), "sketches", done)
     # A document with several texts (a repeated id) has several classes.
     several = mine.where("n > 0 and id is not null").join(roots.drop("n"), ["hi", "lo"]).where("id != root").select(F.col("id").alias("a"), F.col("root").alias("b"))
     several = several.join(roots.select(F.col("root").alias("a")).distinct(), "a", "left_semi")
@@ -536,6 +539,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
         members = cut(_around(members, _unsettled(members, spare)))
     if not members.isEmpty():
         comps = _joined(comps, verified(_across(cut(_opened(members, spare)), tried, sketches), plain))
+    discard(spark, done)  # the components are checkpointed; only the profile is read from here on
     by_root = comps.withColumnRenamed("node", "root")
     out = mine.join(roots.drop("n"), ["hi", "lo"], "left").join(by_root, "root", "left")
     own = F.when(F.col("n") > 0, F.coalesce("component", "root")).otherwise(F.col("id"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, few_at_a_time, small_batches, written
+from .common import crc_bucket, discard, few_at_a_time, small_batches, written
 from .ngrams import SPACE_BITS, Distinct, grams, normal, sample_each
 
 SIZES = range(1, 4)
@@ -81,7 +81,7 @@ def fit(docs: DataFrame, landmarks: int = LANDMARKS, training: int = TRAINING, r
     kind = docs.schema["doc_id"].dataType.simpleString()
     chosen = F.broadcast(spark.createDataFrame([(i,) for i in picked if i is not None], f"doc_id {kind}"))
     texts = usable.join(chosen, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("r")).select("doc_id", "r.*")
-    texts = written(texts, "landmarks")  # a few hundred of each language, read three times
+    texts = written(texts, "landmarks", paths := [])  # a few hundred of each language, read three times
     order = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id"))
     of_marks = texts.withColumn("k", order).where(F.col("k") <= landmarks).select("lang", "text").mapInArrow(_presences, "lang string, grams array<int>").collect()
     found = sorted(((r["lang"], np.array(r["grams"], np.int64)) for r in of_marks), key=lambda x: (x[0], x[1].tobytes()))
@@ -93,6 +93,7 @@ def fit(docs: DataFrame, landmarks: int = LANDMARKS, training: int = TRAINING, r
     inner = (incidence.T @ incidence).astype(np.float64) / np.sqrt(np.outer(sizes, sizes))
     sent = spark.sparkContext.broadcast(((buckets, incidence), sizes))
     rows = texts.select("lang", "text").mapInArrow(_kernel_rows(sent), "lang string, row array<double>").collect()
+    discard(spark, paths)
     rows.sort(key=lambda r: (r["lang"], r["row"]))
     languages = sorted({r["lang"] for r in rows})
     k = np.array([r["row"] for r in rows])

@@ -5,7 +5,7 @@ grouped by their vector of votes (at most 3 ** len(RULES) of them, whatever the
 expectation-maximisation over those counts estimates each rule's accuracy and the share of good
 documents.  The posterior probability of "good" then decides, instead of an all-must-pass filter.
 
-Cases: null and empty texts have no words and fail the base test; ties of the posterior at the
+Cases: null and empty texts have no words and fail the base test; very long texts are counted whole, within their row; ties of the posterior at the
 threshold are kept; repeated rows get equal results; an empty table gives an empty result; other
 columns are carried along (those named like an output are replaced).
 """

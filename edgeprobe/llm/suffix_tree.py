@@ -14,8 +14,8 @@ are joined to it.  Words, n-grams and texts are told by 64-bit hashes.  ``grow``
 say the same in memory.
 
 Cases: null and empty texts are one token, the end; without any training text every count is 0 and the
-base is the uniform one of an empty vocabulary; repeated rows are scored alike; an empty table gives
-an empty result.
+base is the uniform one of an empty vocabulary; very long texts are read whole, in memory that grows with them; a context
+whose gain equals the penalty is no state; repeated rows are scored alike; an empty table gives an empty result.
 """
 
 from __future__ import annotations

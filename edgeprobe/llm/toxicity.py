@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, few_at_a_time, small_batches, text_of, written
+from .common import crc_bucket, discard, few_at_a_time, small_batches, text_of, written
 from .ngrams import SPACE_BITS, Distinct, grams, normal, sample_each
 
 SIZES = range(3, 7)
@@ -138,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: float
     picked = sample_each(known, "label", sample).collect()
     chosen = F.broadcast(spark.createDataFrame([(r["doc_id"], r["label"]) for r in picked], "chosen string, label int"))
     texts = docs.join(chosen, docs["doc_id"].cast("string") == F.col("chosen")).select("label", text_of(docs).alias("text"))
-    texts = written(texts, "labelled").coalesce(16)  # a bounded sample, read twice
+    texts = written(texts, "labelled", paths := []).coalesce(16)  # a bounded sample, read twice
     counts = np.zeros((2, 2**SPACE_BITS), np.int64)
     for r in texts.mapInArrow(_class_counts, "counts binary").toLocalIterator():
         counts += np.frombuffer(zlib.decompress(r["counts"]), np.int32).reshape(2, -1)
@@ -147,9 +147,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: float
     present = counts.sum(axis=0)
     buckets = np.flatnonzero((present >= LEAST_TEXTS) & (ratio != 0))
     if not len(buckets):
+        discard(spark, paths)
         return *nothing, float(np.log(share / (1 - share)))
     found = texts.mapInArrow(_chosen(spark.sparkContext.broadcast(buckets)), "label int, features binary").toLocalIterator()
     rows = sorted((r["label"], bytes(r["features"])) for r in found)
+    discard(spark, paths)
     y, size = np.array([label for label, _ in rows], np.float64), np.array([len(x) // 4 for _, x in rows])
     index = np.frombuffer(b"".join(x for _, x in rows), "<i4")
     del rows  # the features are held once, 4 bytes each

@@ -308,6 +308,13 @@ def test_pii_frames(spark, texts):
     assert out == {1: "write [EMAIL] or [PHONE] now", 2: None, 3: "[CARD]"}
 
 
+def test_pii_of_no_and_repeated_rows(spark):
+    rows = [(1, "a@b.co"), (1, "a@b.co"), (None, "a@b.co"), (2, "x" * 300_000 + " a@b.co")]
+    got = sorted((str(r["doc_id"]), r["n_email"], r["spans"]) for r in pii.summaries(docs_frame(spark, rows)).collect())
+    assert got == [("1", 1, "email:0:6")] * 2 + [("2", 1, "email:300001:300007"), ("None", 1, "email:0:6")]
+    assert pii.summaries(docs_frame(spark, rows).limit(0)).count() == 0
+
+
 # ---- 10 packing
 
 
@@ -343,6 +350,25 @@ def test_packing(spark, texts):
     assert len(bins) <= 1.05 * lower + 1
 
 
+def test_packing_of_nothing(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert packing.pack_documents(docs_frame(spark, [(1, "a")]).limit(0), path).count() == 0
+    (r,) = packing.pack_documents(docs_frame(spark, [(None, None)]), path).collect()
+    assert (r["doc_id"], r["piece"], r["start"], r["length"], r["offset"]) == (None, 0, 0, 1, 0)
+
+
+def test_bound_on_open_bins_costs_little():
+    """Far fewer open bins than sequences, and yet within two percent of the least number there can be."""
+    rng = random.Random(1)
+    lengths = [min(2048, max(1, int(rng.lognormvariate(5.5, 1.1)))) for _ in range(30_000)]
+    bins = packing.BestFit()
+    most = 0
+    for n in lengths:
+        bins.place(n)
+        most = max(most, bins.open)
+    assert most == packing.OPEN_BINS < bins.made / 10 and bins.made <= 1.02 * sum(lengths) / 2048 + packing.OPEN_BINS
+
+
 def test_best_fit_closes_the_fullest():
     bins = packing.BestFit(10, 2)
     assert [bins.place(n) for n in (6, 7, 3, 8, 4)] == [(0, 0), (1, 0), (1, 7), (2, 0), (0, 6)]
@@ -409,6 +435,14 @@ def test_lm_scores_with_every_repeated_gram(spark, monkeypatch):
     assert np.abs(np.array([x for _, x in got]) - np.array([x for _, x in want])).max() < 1e-6
 
 
+def test_lm_of_no_and_odd_texts(spark):
+    assert suffix_tree.score_texts(docs_frame(spark, [(1, "a")]).limit(0)).count() == 0
+    rows = [(10 + k, "a b c d " * 3) for k in range(12)] + [(None, "a b"), (40, "y" * 90_000 + " a"), (41, "a b c " * 20_000)]
+    got = {str(r["doc_id"]): r for r in suffix_tree.score_texts(docs_frame(spark, rows)).collect()}
+    assert got["40"]["n_tokens"] == 3 and got["41"]["n_tokens"] == 60_001 and got["None"]["n_tokens"] == 3
+    assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in got.values()) and got["41"]["score"] > got["41"]["base_score"]
+
+
 def test_lm_distributions_sum_to_one():
     rng = np.random.default_rng(1)
     n = 6
@@ -674,6 +708,12 @@ def test_language_scores_against_kernels(spark):
         assert got[i]["score"] == pytest.approx(np.clip((f.max() + 1) / 2, 0, 1), abs=2e-3)
 
 
+def test_very_long_urls_and_pages(spark):
+    rows = [(1, "http://" + "a" * 30_000 + ".com/" + "b" * 30_000, "word " * 60_000), (2, "http://x.com/en/", "z" * 300_000)]
+    got = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert len(got[1]["host"]) == 30_004 and got[2]["rule"] == "com/en/"
+
+
 def test_url_verdicts_against_plain_bayes(spark):
     rng = random.Random(6)
     names = ["cheap", "pills", "news", "shop", "daily", "garden"]
