@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgeprobe.llm import decontaminate, jaccard, packing, pii, quality
-from edgeprobe.llm.common import read_table, written
+from edgeprobe.llm.common import discard, read_table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,10 +61,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, each written to the shared folder and read again."""
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages over the documents, each written to the shared folder and read again; what has been read is removed."""
+    docs, paths = read_table(spark, sf_dir, "documents"), []
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = written(docs, name)
+            before, paths = paths, []
+            docs = written(docs, name, paths)
+            discard(spark, before)
     return docs
