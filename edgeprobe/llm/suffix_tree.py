@@ -8,26 +8,33 @@ leaves the rest to its suffix, so that it sums to one; a text is scored by the l
 is a state.
 
 Counts cover the whole training corpus, and every n-gram that occurs ``LEAST`` times is in the tree.
-Nothing is broadcast: the distinct three-word n-grams of all texts are a table, on which words, pairs and
-states are counted and joined by shuffles; it gives each its probability, and the texts' own n-grams
-are joined to it.  Words, n-grams and texts are told by 64-bit hashes.  ``grow`` and ``log_scores``
-say the same in memory.
+Nothing is broadcast and no n-gram is a row.  Texts are written once, as chunks of numbered words; a chunk sends the
+sorted distinct hashes of its words, pairs, triples and contexts, cut by ranges of the hash, with its own counts or
+sums, and gets back what all chunks together make of each.  Words and pairs go first, then triples of pairs that come
+often enough and contexts of one word, then contexts of two, then which words are suffixes of those; at last each
+chunk scores its texts.  Chunks and answers are bucketed by chunk alike, so that only questions and answers are
+shuffled.  A key is sent once by a chunk, however often it occurs there.  Words and n-grams are told by 64-bit hashes.
+``grow`` and ``log_scores`` say the same in memory.
 
 Cases: null and empty texts are one token, the end; without any training text every count is 0 and the
 base is the uniform one of an empty vocabulary; very long texts are read whole, in memory that grows with them; a context
-whose gain equals the penalty is no state; repeated rows are scored alike; an empty table gives an empty result.
+whose gain equals the penalty is no state; repeated rows are scored alike; an empty table gives an empty result; columns
+other than the id and the text are not read.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, text_of, written
+from .common import crc_bucket, discard, few_at_a_time, shared_path, text_of, written
 from .hashing import GOLD, M, mix, word_hashes
 
 #: Least count of an n-gram of the tree, however many tokens there are.
@@ -36,7 +43,14 @@ DISCOUNT = 0.75
 SMOOTH = 0.1
 #: The end of a text; no word has a space.
 END = b" "
-_TOKENS = 1_000_000
+#: Tokens of a chunk, at least one text each; keys that one range of the hash gets, on average.
+_TOKENS = 2_000_000
+_KEYS = 4_000_000
+#: What chunks ask about: words, pairs, triples, contexts of one word and of two, and contexts as suffixes of others.
+WORD, PAIR, TRIPLE, ONE, TWO, SUFFIX = range(6)
+_COUNTS = (WORD, PAIR, TRIPLE)
+_ASKED = "kind int, part bigint, chunk bigint, keys binary, own binary"
+_TOLD = "chunk bigint, kind int, part bigint, told binary, distinct bigint"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -47,58 +61,246 @@ def words(text: str | None) -> list[bytes]:
 _END = np.array([GOLD], np.uint64)
 
 
-def grams(text: str | None) -> tuple[np.ndarray, ...]:
-    """For each token of a text the hashes (three, two before it, pair with the one before, one before, itself); 0 where there is none."""
-    c = np.concatenate((word_hashes((text or "").encode("utf-8", "surrogatepass").lower()), _END))
-    b, ab = np.zeros_like(c), np.zeros_like(c)
-    b[1:] = c[:-1]
-    bc = mix(b * M + c)
-    ab[2:] = bc[1:-1]
-    return mix(ab * M + bc), ab, bc, b, c
+def planes(x: np.ndarray) -> bytes:
+    """Numbers as bytes: the first of each, then the second of each and so on, so that bytes that are all zero compress."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
 
 
-def _batch(arrays, names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64) if x.dtype == np.uint64 else x) for x in arrays], names=names)
+def from_planes(data: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-def _kinds(batches):
-    """From (text, held_out): the distinct n-grams of a chunk, with their counts in training texts."""
-    held, train, size = [], [], 0
+def _packed(keys: np.ndarray) -> bytes:
+    """Sorted keys by their differences."""
+    return planes(np.diff(keys, prepend=np.uint64(0)))
 
-    def flush():
-        columns = [np.concatenate([h[k] for h in held]) for k in range(5)]
-        _, at, back = np.unique(columns[0], return_index=True, return_inverse=True)
-        weight = np.repeat(np.array(train, float), [len(h[0]) for h in held])
-        n = np.bincount(back, weights=weight, minlength=len(at)).astype(np.int64)
-        for lo in range(0, len(at), 200_000):
-            yield _batch([*(x[at[lo : lo + 200_000]] for x in columns), n[lo : lo + 200_000]], ["abc", "ab", "bc", "b", "c", "n"])
 
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(from_planes(data, np.uint64), dtype=np.uint64)
+
+
+def _chunks(batches, size: int):
+    """From (id, held_out, text): chunks of whole texts, their words as places in the chunk's sorted distinct hashes."""
+    task, made = TaskContext.get().partitionId(), 0
+    ids, held, hashes, tokens = [], [], [], 0
+
+    def chunk():
+        every, lengths, out = np.concatenate(hashes), np.array([len(x) for x in hashes], np.int64), np.array(held, np.uint8)
+        words, codes = np.unique(every, return_inverse=True)
+        own = pa.concat_arrays(ids)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([(task << 33) + made], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own),
+                *(pa.array([x], pa.binary()) for x in (out.tobytes(), planes(lengths), _packed(words), planes(codes.astype(np.uint32)))),
+                pa.array([len(every)], pa.int64()), pa.array([int(lengths[out == 0].sum())], pa.int64()),
+            ],
+            names=["chunk", "ids", "held", "lengths", "words", "codes", "tokens", "train"],
+        )
+
+    for part in few_at_a_time(batches, 2):
+        at = 0
+        for k, (out, text) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)):
+            hashes.append(np.concatenate((word_hashes(text.encode("utf-8", "surrogatepass").lower()), _END)))
+            held.append(out)
+            tokens += len(hashes[-1])
+            if tokens >= size:
+                ids.append(part.column(0).slice(at, k + 1 - at))
+                yield chunk()
+                made, at = made + 1, k + 1
+                ids, held, hashes, tokens = [], [], [], 0
+        if at < part.num_rows:
+            ids.append(part.column(0).slice(at))
+    if hashes:
+        yield chunk()
+
+
+def _asked(chunk: int, kind: int, parts: int, keys: np.ndarray, own: list[np.ndarray]) -> list[tuple]:
+    """A row for each range of the hash that has some of the sorted ``keys``, with columns of the chunk's own numbers."""
+    found, start = np.unique(((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32), return_index=True)
+    ends = np.append(start[1:], len(keys))[: len(found)]
+    return [(kind, int(p), chunk, _packed(keys[lo:hi]), b"".join(planes(x[lo:hi]) for x in own)) for p, lo, hi in zip(found, start, ends, strict=True)]
+
+
+def _rows(rows: list[tuple]) -> pa.Table:
+    types = (("kind", pa.int32()), ("part", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("own", pa.binary()))
+    return pa.table([pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(types)], names=[x for x, _ in types])
+
+
+def _answers(asked: pa.Table, least: float) -> pa.Table:
+    """What all chunks together make of the keys of one kind in one range of the hash, for each chunk in its own order.
+
+    Counts: twice the count (0 for n-grams below ``least``), and 1 more for the chunk with the smallest number, which
+    speaks for the key in sums.  Contexts: what is left to the suffix; for those of one word negative if they diverge too
+    little, for those of two 0.  Suffixes: whether any chunk says so.
+    """
+    asked = asked.sort_by("chunk")
+    kind, keys = asked["kind"][0].as_py(), [_unpacked(x) for x in asked["keys"].to_pylist()]
+    size = np.array([len(k) for k in keys])
+    form, columns = (np.uint32, 1) if kind in _COUNTS else (np.uint8, 1) if kind == SUFFIX else (np.float64, 5)
+    step = np.dtype(form).itemsize
+    own = []
+    for x, n in zip(asked["own"].to_pylist(), size, strict=True):
+        own.append(np.stack([from_planes(x[k * n * step : (k + 1) * n * step], form) for k in range(columns)]))
+    every = np.concatenate(keys)
+    order = np.argsort(every, kind="stable")
+    every = every[order]
+    own = np.concatenate(own, axis=1)[:, order]
+    new = np.concatenate(([True], every[1:] != every[:-1]))
+    first, group = np.flatnonzero(new), np.cumsum(new) - 1
+    distinct = 0
+    if kind in _COUNTS:
+        total = np.add.reduceat(own[0].astype(np.uint64), first)
+        if kind != WORD:
+            total[total < least] = 0
+        distinct = int((total > 0).sum())
+        told = total[group] << np.uint64(1)
+        told[first] |= (total > 0).astype(np.uint64)
+    elif kind == SUFFIX:
+        told = np.maximum.reduceat(own[0], first)[group]
+    else:
+        symbols, taken, of_parent, gain = (np.add.reduceat(x, first) for x in own[:4])
+        left, keep = _decided(symbols, taken, of_parent, gain, np.maximum.reduceat(own[4], first))
+        told = np.where(symbols > 0, np.where(keep, left, -left if kind == ONE else 0.0), 0.0)[group]
+    back = np.empty_like(told)
+    back[order] = told
+    mine = [planes(x) for x in np.split(back, np.cumsum(size)[:-1])]
+    counted = pa.array([distinct] + [0] * (len(mine) - 1), pa.int64())
+    return pa.table([asked["chunk"], asked["kind"], asked["part"], pa.array(mine, pa.binary()), counted], names=["chunk", "kind", "part", "told", "distinct"])
+
+
+def _decided(symbols, taken, of_parent, gain, total) -> tuple[np.ndarray, np.ndarray]:
+    """``_left`` and ``_diverges`` from sums over the kept next symbols of each context."""
+    other, other_parent = np.maximum(total - taken, 0.0), np.clip(1.0 - of_parent, 1e-12, 1.0)
+    gain = gain + np.where(other > 0, other * np.log(np.maximum(other, 1e-12) / (total * other_parent)), 0.0)
+    return 1.0 - (taken - DISCOUNT * symbols) / total, gain > 0.5 * symbols * np.log(total + 1)
+
+
+class _Chunk:
+    """A chunk's tokens with what it has been told, and what it asks next."""
+
+    def __init__(self, row: dict, answers: pa.Table | None = None):
+        self.id, self.ids = row["chunk"], row["ids"]
+        self.words, self.codes = _unpacked(row["words"]), from_planes(row["codes"], np.uint32)
+        self.lengths = from_planes(row["lengths"], np.int64)
+        self.held = np.frombuffer(row["held"], np.uint8).astype(bool)
+        self.train = np.repeat(~self.held, self.lengths)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.place = np.arange(len(self.codes)) - np.repeat(self.starts, self.lengths)
+        self.told = defaultdict(list)
+        if answers is not None:
+            found = zip(*(answers[x].to_pylist() for x in ("kind", "part", "told")), strict=True)
+            for kind, _, x in sorted(found, key=lambda r: r[:2]):
+                self.told[kind].append(from_planes(x, np.uint64 if kind in _COUNTS else np.uint8 if kind == SUFFIX else np.float64))
+        # Pairs: where they end, their key, the words that they are of.
+        self.at = np.flatnonzero(self.place >= 1)
+        b, c = self.codes[self.at - 1], self.codes[self.at]
+        self.pairs, first, self.pair = np.unique(mix(self.words[b] * M + self.words[c]), return_index=True, return_inverse=True)
+        self.pair_b, self.pair_c = b[first], c[first]
+
+    def _heard(self, kind: int) -> np.ndarray:
+        return np.concatenate(self.told[kind]) if self.told[kind] else np.empty(0, np.uint64 if kind in _COUNTS else np.float64)
+
+    def _counted(self, back: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+        return np.bincount(back, weights=self.train[at], minlength=size).astype(np.uint32)
+
+    def counts(self, floor: float) -> None:
+        """After the first answers: counts of words and pairs; triples of pairs that are in the tree."""
+        self.count = (self._heard(WORD) >> np.uint64(1)).astype(np.int64)
+        self.p0 = (self.count + SMOOTH) / floor
+        told = self._heard(PAIR)
+        self.pair_n, self.pair_own = (told >> np.uint64(1)).astype(np.int64), (told & np.uint64(1)).astype(bool)
+        of = np.full(len(self.codes), -1, np.int64)
+        of[self.at] = self.pair
+        third = self.at[self.place[self.at] >= 2]
+        x, y = of[third - 1], of[third]
+        on = (self.pair_n[x] > 0) & (self.pair_n[y] > 0)
+        self.at3, x, y = third[on], x[on], y[on]
+        self.triples, first, self.triple = np.unique(mix(self.pairs[x] * M + self.pairs[y]), return_index=True, return_inverse=True)
+        self.triple_ab, self.triple_bc, self.of = x[first], y[first], of
+        # Contexts that can be states: words and pairs that come often enough and that something follows.
+        self.ones = np.unique(self.pair_b[self.count[self.pair_b] >= LEAST])
+        follows = np.unique(of[third - 1])
+        self.twos = follows[self.pair_n[follows] > 0]
+
+    def _sums(self, context, n, parent, total, contexts, totals) -> list[np.ndarray]:
+        """Sums over kept next symbols (``context``: places in ``contexts``), for each context."""
+        m = len(contexts)
+        sums = lambda x: np.bincount(context, weights=x, minlength=m).astype(float)
+        return [sums(np.ones(len(n))), sums(n), sums(parent), sums(n * np.log(n / (total * parent))), totals.astype(float)]
+
+    def single(self) -> None:
+        """What contexts of one word leave to the root; negative if only as suffixes of others."""
+        self.left1 = np.zeros(len(self.words))
+        self.left1[self.ones] = self._heard(ONE)
+
+    def ask(self, step: int, parts: int, floor: float) -> list[tuple]:
+        if step == 0:
+            words = np.bincount(self.codes, weights=self.train, minlength=len(self.words)).astype(np.uint32)
+            return _asked(self.id, WORD, parts, self.words, [words]) + _asked(self.id, PAIR, parts, self.pairs, [self._counted(self.pair, self.at, len(self.pairs))])
+        self.counts(floor)
+        if step == 1:
+            own = np.flatnonzero(self.pair_own & (self.pair_n > 0))
+            b, n = self.pair_b[own], self.pair_n[own]
+            sums = self._sums(np.searchsorted(self.ones, b), n, self.p0[self.pair_c[own]], self.count[b], self.ones, self.count[self.ones])
+            triples = _asked(self.id, TRIPLE, parts, self.triples, [self._counted(self.triple, self.at3, len(self.triples))])
+            return triples + _asked(self.id, ONE, parts, self.words[self.ones], sums)
+        self.single()
+        if step == 2:
+            told = self._heard(TRIPLE)
+            own = np.flatnonzero(told & np.uint64(1))
+            n, ab, bc = (told[own] >> np.uint64(1)).astype(np.int64), self.triple_ab[own], self.triple_bc[own]
+            b = self.pair_b[bc]
+            parent = (self.pair_n[bc] - DISCOUNT) / self.count[b] + np.abs(self.left1[b]) * self.p0[self.pair_c[bc]]
+            sums = self._sums(np.searchsorted(self.twos, ab), n, parent, self.pair_n[ab], self.twos, self.pair_n[self.twos])
+            return _asked(self.id, TWO, parts, self.pairs[self.twos], sums)
+        states = self.twos[self._heard(TWO) > 0]
+        suffix = np.zeros(len(self.words), np.uint8)
+        suffix[self.pair_c[states]] = 1
+        unsure = self.ones[self.left1[self.ones] < 0]
+        return _asked(self.id, SUFFIX, parts, self.words[unsure], [suffix[unsure]])
+
+    def scores(self, floor: float, total: int) -> pa.Table:
+        """The texts' rows."""
+        self.counts(floor)
+        self.single()
+        unsure = self.ones[self.left1[self.ones] < 0]
+        self.left1[unsure] = np.where(self._heard(SUFFIX) > 0, -self.left1[unsure], 0.0)
+        p0 = self.p0[self.codes]
+        b, n = self.codes[self.at - 1], self.pair_n[self.pair]
+        left = self.left1[b]
+        p = p0.copy()
+        p[self.at] = np.where(left > 0, np.where(n > 0, (n - DISCOUNT) / np.maximum(self.count[b], 1), 0.0) + left * p0[self.at], p0[self.at])
+        left2 = np.zeros(len(self.pairs))
+        left2[self.twos] = self._heard(TWO)
+        n3 = np.zeros(len(self.codes), np.int64)
+        n3[self.at3] = (self._heard(TRIPLE) >> np.uint64(1)).astype(np.int64)[self.triple]
+        third = self.at[self.place[self.at] >= 2]
+        ab = self.of[third - 1]
+        third, ab = third[left2[ab] > 0], ab[left2[ab] > 0]
+        p[third] = np.where(n3[third] > 0, (n3[third] - DISCOUNT) / self.pair_n[ab], 0.0) + left2[ab] * p[third]
+        each = lambda x: np.add.reduceat(x, self.starts)
+        known = each((self.count[self.codes] > 0).astype(np.int64))
+        columns = [pa.array(x) for x in (self.held, self.lengths, known, np.full(len(known), total, np.int64), each(np.log10(p0)), each(np.log10(p)))]
+        return pa.table([self.ids, *columns], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+
+def _chunk_of(table: pa.Table, k: int = 0, answers: pa.Table | None = None) -> _Chunk:
+    row = {x: table[x][k].as_py() for x in ("chunk", "held", "lengths", "words", "codes")}
+    return _Chunk(row | {"ids": table["ids"][k].values}, answers)
+
+
+def _first_asked(batches, parts: int):
     for b in batches:
-        for lo in range(0, b.num_rows, 500):
-            part = b.slice(lo, 500)
-            for text, out in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                held.append(grams(text))
-                train.append(not out)
-                size += len(held[-1][0])
-                if size >= _TOKENS:
-                    yield from flush()
-                    held, train, size = [], [], 0
-    if held:
-        yield from flush()
-
-
-def _uses(batches):
-    """From (text_hash, text): how often each text has each n-gram; a text once for each few rows that repeat it."""
-    for b in batches:
-        for lo in range(0, b.num_rows, 500):
-            part = b.slice(lo, 500)
-            found, seen = [], set()
-            for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                if key not in seen:
-                    seen.add(key)
-                    kinds, times = np.unique(grams(text)[0], return_counts=True)
-                    found.append((np.full(len(kinds), key, np.int64), kinds, times.astype(np.int64)))
-            yield _batch([np.concatenate(x) for x in zip(*found, strict=True)], ["text_hash", "abc", "times"])
+        t = pa.Table.from_batches([b])
+        for k in range(t.num_rows):
+            yield from _rows(_chunk_of(t, k).ask(0, parts, 0.0)).to_batches()
+
+
+def _bucketed(df: DataFrame, name: str, path: str, buckets: int) -> DataFrame:
+    """Append to a table in the shared folder with buckets by chunk, and read it: joined by chunk, it isn't shuffled."""
+    df.write.format("parquet").mode("append").bucketBy(buckets, "chunk").option("path", path).option("compression", "zstd").saveAsTable(name)
+    return df.sparkSession.table(name)
 
 
 def lookup(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -223,63 +425,48 @@ def log_scores(tree: Tree, ids: np.ndarray, p0: np.ndarray) -> np.ndarray:
     return np.log10(p)
 
 
-def _states(rows: DataFrame, key: str, *more: Column) -> DataFrame:
-    """(key, total, left, keep) from a row (key, n, total, parent) for each kept next symbol: ``_left`` and ``_diverges``."""
-    gain = F.sum(F.col("n") * F.log(F.col("n") / (F.col("total") * F.col("parent"))))
-    g = rows.groupBy(key).agg(F.max("total").alias("total"), F.count("*").alias("symbols"), F.sum("n").alias("taken"), F.sum("parent").alias("of_parent"), gain.alias("gain"), *more)
-    other = F.greatest(F.col("total") - F.col("taken"), F.lit(0)).cast("double")
-    other_parent = F.least(F.greatest(1 - F.col("of_parent"), F.lit(1e-12)), F.lit(1.0))
-    g = g.withColumn("gain", F.col("gain") + F.when(other > 0, other * F.log(other / (F.col("total") * other_parent))).otherwise(0.0))
-    left = 1 - (F.col("taken") - DISCOUNT * F.col("symbols")) / F.col("total")
-    keep = F.col("gain") > 0.5 * F.col("symbols") * F.log(F.col("total") + 1)
-    return g.withColumn("left", left).withColumn("keep", keep).drop("symbols", "taken", "of_parent", "gain")
-
-
 def score_texts(docs: DataFrame, id_column: str = "doc_id", gram_share: float = 0.0, word_share: float = 0.0) -> DataFrame:
     """One row for each document: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the documents whose crc32(id as text) mod 10 is not 0.  With ``gram_share``, an n-gram has at least that
     share of all tokens, too; ``word_share`` is without effect, as no words are broadcast.
     """
-    plain = docs.select(F.col(id_column).alias("doc_id"), (crc_bucket(id_column, 10) == 0).alias("held_out"), text_of(docs).alias("text"))
-    kinds = plain.select("text", "held_out").mapInArrow(_kinds, "abc bigint, ab bigint, bc bigint, b bigint, c bigint, n bigint")
-    kinds = written(kinds.groupBy("abc").agg(*[F.first(x).alias(x) for x in ("ab", "bc", "b", "c")], F.sum("n").alias("n")), "kinds")
-    pairs = written(kinds.groupBy("bc").agg(F.first("b").alias("b"), F.first("c").alias("c"), F.sum("n").alias("n")), "pairs")
-    counts = written(pairs.groupBy("c").agg(F.sum("n").alias("count")).where("count > 0"), "words")
-    total, distinct = (x or 0 for x in counts.agg(F.sum("count"), F.count("*")).first())
-    floor = total + SMOOTH * (distinct + 1)
-    least = max(float(LEAST), gram_share * total)
-    pairs = written(pairs.join(counts, "c", "left").withColumn("p0", (F.coalesce("count", F.lit(0)) + SMOOTH) / floor).select("bc", "b", "n", "p0", F.col("count").isNotNull().alias("known")), "pairs")
-    # States of one word; those of two find what they diverge from in the pair of their second word and the next.
-    often = pairs.where((F.col("b") != 0) & (F.col("n") >= least)).join(counts.select(F.col("c").alias("b"), F.col("count").alias("total")), "b")
-    ones = written(_states(often.withColumn("parent", F.col("p0")), "b"), "states")
-    one = (F.col("n") - DISCOUNT) / F.col("total")
-    parents = often.join(ones.select("b", "left"), "b").select("bc", (one + F.col("left") * F.col("p0")).alias("parent"))
-    triples = kinds.where((F.col("ab") != 0) & (F.col("n") >= least)).select("ab", "bc", "b", "n").join(parents, "bc")
-    triples = triples.join(pairs.select(F.col("bc").alias("ab"), F.col("n").alias("total")), "ab")
-    twos = written(_states(triples, "ab", F.first("b").alias("b")).where("keep"), "states")
-    suffixes = twos.select("b").distinct().withColumn("suffix", F.lit(True))
-    ones = ones.join(suffixes, "b", "left").where("keep or suffix").select("b", "total", "left")
-    p1 = F.when(F.col("total").isNull(), F.col("p0")).otherwise(F.when(F.col("n") >= least, one).otherwise(0.0) + F.col("left") * F.col("p0"))
-    p1 = pairs.join(ones, "b", "left").select("bc", "p0", "known", p1.alias("p1"))
-    p2 = F.when(F.col("total").isNull(), F.col("p1")).otherwise(F.when(F.col("n") >= least, one).otherwise(0.0) + F.col("left") * F.col("p1"))
-    scores = kinds.join(p1, "bc").join(twos.select("ab", "total", "left"), "ab", "left")
-    scores = scores.select("abc", (F.col("b") == 0).alias("is_first"), "known", F.log10("p0").alias("base"), F.log10(p2).alias("score"))
-    texts = plain.select(F.xxhash64("text").alias("text_hash"), "text")
-    uses = texts.mapInArrow(_uses, "text_hash bigint, abc bigint, times bigint").join(scores, "abc")
-    each = lambda x: F.sum(F.col("times") * x)
-    # Repeated texts bring their n-grams once each; each has one first token, which says how many there were.
-    sums = uses.groupBy("text_hash").agg(
-        F.sum("times").alias("tokens"), each(F.col("known").cast("long")).alias("known"), each(F.col("is_first").cast("long")).alias("copies"),
-        each(F.col("base")).alias("base"), each(F.col("score")).alias("score"),
-    )
-    out = plain.select("doc_id", "held_out", F.xxhash64("text").alias("text_hash")).join(sums, "text_hash")
-    return out.select(
-        F.col("doc_id").alias(id_column),
-        "held_out",
-        (F.col("tokens") / F.col("copies")).cast("long").alias("n_tokens"),
-        (F.col("known") / F.col("copies")).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") / F.col("copies")).alias("base_score"),
-        (F.col("score") / F.col("copies")).alias("score"),
-    )
+    spark, size, kind = docs.sparkSession, _TOKENS, docs.schema[id_column].dataType.simpleString()
+    plain = docs.select(F.col(id_column).alias("id"), (crc_bucket(id_column, 10) == 0).alias("held_out"), text_of(docs).alias("text"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = [f"edgeprobe_{x}_{uuid.uuid4().hex}" for x in ("chunks", "answers")]
+    paths = [shared_path(spark, x) for x in ("chunks", "answers")]
+    form = f"chunk bigint, ids array<{kind}>, held binary, lengths binary, words binary, codes binary, tokens bigint, train bigint"
+    try:
+        chunks = _bucketed(plain.mapInArrow(lambda batches: _chunks(batches, size), form), names[0], paths[0], buckets)
+        tokens, total = (x or 0 for x in chunks.agg(F.sum("tokens"), F.sum("train")).first())
+        parts, least = max(1, -(-tokens // _KEYS)), max(float(LEAST), gram_share * total)
+        floor, answers = 1.0, None
+        for step in range(4):
+            if step == 0:
+                asked = chunks.mapInArrow(lambda batches: _first_asked(batches, parts), _ASKED)
+            else:
+                asked = _with(chunks, answers, _asking(step, parts, floor), _ASKED)
+            told = asked.groupBy("kind", "part").applyInArrow(lambda t: _answers(t, least), _TOLD)
+            answers = _bucketed(told.repartition(buckets, "chunk"), names[1], paths[1], buckets)
+            if step == 0:
+                distinct = answers.where(F.col("kind") == WORD).agg(F.sum("distinct")).first()[0] or 0
+                floor = total + SMOOTH * (distinct + 1)
+        result = f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+        return written(_with(chunks, answers, _scoring(floor, total), result), "scores").withColumnRenamed("id", id_column)
+    finally:
+        for name in names:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        discard(spark, paths)
+
+
+def _with(chunks: DataFrame, answers: DataFrame, make, schema: str) -> DataFrame:
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(make, schema)
+
+
+def _asking(step: int, parts: int, floor: float):
+    return lambda chunk, answers: _rows(_chunk_of(chunk, 0, answers).ask(step, parts, floor))
+
+
+def _scoring(floor: float, total: int):
+    return lambda chunk, answers: _chunk_of(chunk, 0, answers).scores(floor, total)
