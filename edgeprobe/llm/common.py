@@ -76,6 +76,11 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
     paths.clear()
 
 
+def freed(spark: SparkSession) -> None:
+    """Have Spark's cleaner remove the shuffle files of jobs that nothing refers to any more: it learns that from the driver's garbage collector."""
+    spark._jvm.System.gc()
+
+
 def text_of(df: DataFrame, column: str = "text"):
     """The text column with null as empty."""
     return F.coalesce(df[column].cast("string"), F.lit(""))

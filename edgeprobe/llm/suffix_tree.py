@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, discard, few_at_a_time, shared_path, text_of, written
+from .common import crc_bucket, discard, few_at_a_time, freed, shared_path, text_of, written
 from .hashing import GOLD, M, mix, word_hashes
 
 #: Least count of an n-gram of the tree, however many tokens there are.
@@ -44,8 +44,8 @@ SMOOTH = 0.1
 #: The end of a text; no word has a space.
 END = b" "
 #: Tokens of a chunk, at least one text each; keys that one range of the hash gets, on average.
-_TOKENS = 2_000_000
-_KEYS = 4_000_000
+_TOKENS = 1_000_000
+_KEYS = 1_000_000
 #: What chunks ask about: words, pairs, triples, contexts of one word and of two, and contexts as suffixes of others.
 WORD, PAIR, TRIPLE, ONE, TWO, SUFFIX = range(6)
 _COUNTS = (WORD, PAIR, TRIPLE)
@@ -71,6 +71,16 @@ def from_planes(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values, a place of each, and for each element the place of its value."""
+    order = np.argsort(x)
+    x = x[order]
+    new = np.concatenate((np.ones(min(1, len(x)), bool), x[1:] != x[:-1]))
+    back = np.empty(len(x), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return x[new], order[new], back
+
+
 def _packed(keys: np.ndarray) -> bytes:
     """Sorted keys by their differences."""
     return planes(np.diff(keys, prepend=np.uint64(0)))
@@ -87,7 +97,7 @@ def _chunks(batches, size: int):
 
     def chunk():
         every, lengths, out = np.concatenate(hashes), np.array([len(x) for x in hashes], np.int64), np.array(held, np.uint8)
-        words, codes = np.unique(every, return_inverse=True)
+        words, _, codes = _distinct(every)
         own = pa.concat_arrays(ids)
         return pa.RecordBatch.from_arrays(
             [
@@ -116,10 +126,29 @@ def _chunks(batches, size: int):
 
 
 def _asked(chunk: int, kind: int, parts: int, keys: np.ndarray, own: list[np.ndarray]) -> list[tuple]:
-    """A row for each range of the hash that has some of the sorted ``keys``, with columns of the chunk's own numbers."""
-    found, start = np.unique(((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32), return_index=True)
-    ends = np.append(start[1:], len(keys))[: len(found)]
-    return [(kind, int(p), chunk, _packed(keys[lo:hi]), b"".join(planes(x[lo:hi]) for x in own)) for p, lo, hi in zip(found, start, ends, strict=True)]
+    """A row for each range of the hash that has some of the sorted ``keys``, with the chunk's own numbers or sums."""
+    packed = _sums_packed if kind in (ONE, TWO) else lambda x: planes(x[0])
+    part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(keys)]
+    return [(kind, int(part[lo]), chunk, _packed(keys[lo:hi]), packed([x[lo:hi] for x in own])) for lo, hi in zip(edges, edges[1:]) if hi > lo]
+
+
+#: Sums of a context over the next symbols that a chunk speaks for: how many, their count, the context's; gain, what its suffix gives them.
+_SUMS = (np.uint64, np.uint64, np.uint64, np.float64, np.float64)
+
+
+def _sums_packed(sums: list[np.ndarray]) -> bytes:
+    """A byte for each context that says whether there is any sum, and those that there are."""
+    some = sums[0] > 0
+    return some.astype(np.uint8).tobytes() + b"".join(planes(x[some].astype(kind)) for x, kind in zip(sums, _SUMS, strict=True))
+
+
+def _sums_unpacked(data: bytes, n: int) -> np.ndarray:
+    some = np.frombuffer(data, bool, n)
+    out, m = np.zeros((len(_SUMS), n)), int(some.sum())
+    for k, kind in enumerate(_SUMS):
+        out[k, some] = from_planes(data[n + 8 * k * m : n + 8 * (k + 1) * m], kind)
+    return out
 
 
 def _rows(rows: list[tuple]) -> pa.Table:
@@ -137,13 +166,12 @@ def _answers(asked: pa.Table, least: float) -> pa.Table:
     asked = asked.sort_by("chunk")
     kind, keys = asked["kind"][0].as_py(), [_unpacked(x) for x in asked["keys"].to_pylist()]
     size = np.array([len(k) for k in keys])
-    form, columns = (np.uint32, 1) if kind in _COUNTS else (np.uint8, 1) if kind == SUFFIX else (np.float64, 5)
-    step = np.dtype(form).itemsize
-    own = []
-    for x, n in zip(asked["own"].to_pylist(), size, strict=True):
-        own.append(np.stack([from_planes(x[k * n * step : (k + 1) * n * step], form) for k in range(columns)]))
+    if kind in (ONE, TWO):
+        own = [_sums_unpacked(x, n) for x, n in zip(asked["own"].to_pylist(), size.tolist(), strict=True)]
+    else:
+        own = [from_planes(x, np.uint8 if kind == SUFFIX else np.uint32)[None] for x in asked["own"].to_pylist()]
     every = np.concatenate(keys)
-    order = np.argsort(every, kind="stable")
+    order = np.argsort(every)
     every = every[order]
     own = np.concatenate(own, axis=1)[:, order]
     new = np.concatenate(([True], every[1:] != every[:-1]))
@@ -155,12 +183,14 @@ def _answers(asked: pa.Table, least: float) -> pa.Table:
             total[total < least] = 0
         distinct = int((total > 0).sum())
         told = total[group] << np.uint64(1)
-        told[first] |= (total > 0).astype(np.uint64)
+        chunk = np.repeat(np.arange(len(size), dtype=np.int32), size)[order]
+        told |= ((chunk == np.minimum.reduceat(chunk, first)[group]) & (total > 0)[group]).astype(np.uint64)
     elif kind == SUFFIX:
         told = np.maximum.reduceat(own[0], first)[group]
     else:
-        symbols, taken, of_parent, gain = (np.add.reduceat(x, first) for x in own[:4])
-        left, keep = _decided(symbols, taken, of_parent, gain, np.maximum.reduceat(own[4], first))
+        symbols, taken, of_parent, gain = (np.add.reduceat(own[k], first) for k in (0, 1, 4, 3))
+        total = np.maximum(np.maximum.reduceat(own[2], first), 1.0)
+        left, keep = _decided(symbols, taken, of_parent, gain, total)
         told = np.where(symbols > 0, np.where(keep, left, -left if kind == ONE else 0.0), 0.0)[group]
     back = np.empty_like(told)
     back[order] = told
@@ -195,7 +225,7 @@ class _Chunk:
         # Pairs: where they end, their key, the words that they are of.
         self.at = np.flatnonzero(self.place >= 1)
         b, c = self.codes[self.at - 1], self.codes[self.at]
-        self.pairs, first, self.pair = np.unique(mix(self.words[b] * M + self.words[c]), return_index=True, return_inverse=True)
+        self.pairs, first, self.pair = _distinct(mix(self.words[b] * M + self.words[c]))
         self.pair_b, self.pair_c = b[first], c[first]
 
     def _heard(self, kind: int) -> np.ndarray:
@@ -205,7 +235,7 @@ class _Chunk:
         return np.bincount(back, weights=self.train[at], minlength=size).astype(np.uint32)
 
     def counts(self, floor: float) -> None:
-        """After the first answers: counts of words and pairs; triples of pairs that are in the tree."""
+        """After the first answers: counts of words and pairs; contexts that can be states."""
         self.count = (self._heard(WORD) >> np.uint64(1)).astype(np.int64)
         self.p0 = (self.count + SMOOTH) / floor
         told = self._heard(PAIR)
@@ -214,20 +244,25 @@ class _Chunk:
         of[self.at] = self.pair
         third = self.at[self.place[self.at] >= 2]
         x, y = of[third - 1], of[third]
+        self.third, self.first2, self.last2 = third, x, y
+        # They come often enough and something follows them.
+        one, two = np.zeros(len(self.words), bool), np.zeros(len(self.pairs), bool)
+        one[self.pair_b], two[x] = True, True
+        self.ones, self.twos = np.flatnonzero(one & (self.count >= LEAST)), np.flatnonzero(two & (self.pair_n > 0))
+
+    def find_triples(self) -> None:
+        """Triples both of whose pairs are in the tree."""
+        x, y = self.first2, self.last2
         on = (self.pair_n[x] > 0) & (self.pair_n[y] > 0)
-        self.at3, x, y = third[on], x[on], y[on]
-        self.triples, first, self.triple = np.unique(mix(self.pairs[x] * M + self.pairs[y]), return_index=True, return_inverse=True)
-        self.triple_ab, self.triple_bc, self.of = x[first], y[first], of
-        # Contexts that can be states: words and pairs that come often enough and that something follows.
-        self.ones = np.unique(self.pair_b[self.count[self.pair_b] >= LEAST])
-        follows = np.unique(of[third - 1])
-        self.twos = follows[self.pair_n[follows] > 0]
+        self.at3, x, y = self.third[on], x[on], y[on]
+        self.triples, first, self.triple = _distinct(mix(self.pairs[x] * M + self.pairs[y]))
+        self.triple_ab, self.triple_bc = x[first], y[first]
 
     def _sums(self, context, n, parent, total, contexts, totals) -> list[np.ndarray]:
         """Sums over kept next symbols (``context``: places in ``contexts``), for each context."""
         m = len(contexts)
         sums = lambda x: np.bincount(context, weights=x, minlength=m).astype(float)
-        return [sums(np.ones(len(n))), sums(n), sums(parent), sums(n * np.log(n / (total * parent))), totals.astype(float)]
+        return [sums(np.ones(len(n))), sums(n), totals, sums(n * np.log(n / (total * parent))), sums(parent)]
 
     def single(self) -> None:
         """What contexts of one word leave to the root; negative if only as suffixes of others."""
@@ -240,6 +275,7 @@ class _Chunk:
             return _asked(self.id, WORD, parts, self.words, [words]) + _asked(self.id, PAIR, parts, self.pairs, [self._counted(self.pair, self.at, len(self.pairs))])
         self.counts(floor)
         if step == 1:
+            self.find_triples()
             own = np.flatnonzero(self.pair_own & (self.pair_n > 0))
             b, n = self.pair_b[own], self.pair_n[own]
             sums = self._sums(np.searchsorted(self.ones, b), n, self.p0[self.pair_c[own]], self.count[b], self.ones, self.count[self.ones])
@@ -247,6 +283,7 @@ class _Chunk:
             return triples + _asked(self.id, ONE, parts, self.words[self.ones], sums)
         self.single()
         if step == 2:
+            self.find_triples()
             told = self._heard(TRIPLE)
             own = np.flatnonzero(told & np.uint64(1))
             n, ab, bc = (told[own] >> np.uint64(1)).astype(np.int64), self.triple_ab[own], self.triple_bc[own]
@@ -263,6 +300,7 @@ class _Chunk:
     def scores(self, floor: float, total: int) -> pa.Table:
         """The texts' rows."""
         self.counts(floor)
+        self.find_triples()
         self.single()
         unsure = self.ones[self.left1[self.ones] < 0]
         self.left1[unsure] = np.where(self._heard(SUFFIX) > 0, -self.left1[unsure], 0.0)
@@ -275,8 +313,7 @@ class _Chunk:
         left2[self.twos] = self._heard(TWO)
         n3 = np.zeros(len(self.codes), np.int64)
         n3[self.at3] = (self._heard(TRIPLE) >> np.uint64(1)).astype(np.int64)[self.triple]
-        third = self.at[self.place[self.at] >= 2]
-        ab = self.of[third - 1]
+        third, ab = self.third, self.first2
         third, ab = third[left2[ab] > 0], ab[left2[ab] > 0]
         p[third] = np.where(n3[third] > 0, (n3[third] - DISCOUNT) / self.pair_n[ab], 0.0) + left2[ab] * p[third]
         each = lambda x: np.add.reduceat(x, self.starts)
@@ -449,6 +486,8 @@ def score_texts(docs: DataFrame, id_column: str = "doc_id", gram_share: float =
                 asked = _with(chunks, answers, _asking(step, parts, floor), _ASKED)
             told = asked.groupBy("kind", "part").applyInArrow(lambda t: _answers(t, least), _TOLD)
             answers = _bucketed(told.repartition(buckets, "chunk"), names[1], paths[1], buckets)
+            asked = told = None
+            freed(spark)
             if step == 0:
                 distinct = answers.where(F.col("kind") == WORD).agg(F.sum("distinct")).first()[0] or 0
                 floor = total + SMOOTH * (distinct + 1)
