@@ -67,6 +67,17 @@ def written(df: DataFrame, what: str, paths: list[str] | None = None) -> DataFra
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, path: str, buckets: int) -> DataFrame:
+    """Append to a table in the shared folder with buckets by chunk, and read it: joined by chunk, it isn't shuffled."""
+    df.write.format("parquet").mode("append").bucketBy(buckets, "chunk").option("path", path).option("compression", "zstd").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def by_chunk(chunks: DataFrame, answers: DataFrame, make, schema: str) -> DataFrame:
+    """``make`` of each chunk and of the answers that it has got, as Arrow tables."""
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(make, schema)
+
+
 def discard(spark: SparkSession, paths: list[str]) -> None:
     """Remove written frames that nothing reads any more, through Spark's own file system, wherever they lie."""
     hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, discard, few_at_a_time, freed, shared_path, text_of, written
+from .common import bucketed, by_chunk, crc_bucket, discard, few_at_a_time, freed, shared_path, text_of, written
 from .hashing import GOLD, M, mix, word_hashes
 
 #: Least count of an n-gram of the tree, however many tokens there are.
@@ -334,12 +334,6 @@ def _first_asked(batches, parts: int):
             yield from _rows(_chunk_of(t, k).ask(0, parts, 0.0)).to_batches()
 
 
-def _bucketed(df: DataFrame, name: str, path: str, buckets: int) -> DataFrame:
-    """Append to a table in the shared folder with buckets by chunk, and read it: joined by chunk, it isn't shuffled."""
-    df.write.format("parquet").mode("append").bucketBy(buckets, "chunk").option("path", path).option("compression", "zstd").saveAsTable(name)
-    return df.sparkSession.table(name)
-
-
 def lookup(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """The place of each key, or -1."""
     if not len(sorted_keys):
@@ -475,7 +469,7 @@ def score_texts(docs: DataFrame, id_column: str = "doc_id", gram_share: float =
     paths = [shared_path(spark, x) for x in ("chunks", "answers")]
     form = f"chunk bigint, ids array<{kind}>, held binary, lengths binary, words binary, codes binary, tokens bigint, train bigint"
     try:
-        chunks = _bucketed(plain.mapInArrow(lambda batches: _chunks(batches, size), form), names[0], paths[0], buckets)
+        chunks = bucketed(plain.mapInArrow(lambda batches: _chunks(batches, size), form), names[0], paths[0], buckets)
         tokens, total = (x or 0 for x in chunks.agg(F.sum("tokens"), F.sum("train")).first())
         parts, least = max(1, -(-tokens // _KEYS)), max(float(LEAST), gram_share * total)
         floor, answers = 1.0, None
@@ -483,26 +477,22 @@ def score_texts(docs: DataFrame, id_column: str = "doc_id", gram_share: float =
             if step == 0:
                 asked = chunks.mapInArrow(lambda batches: _first_asked(batches, parts), _ASKED)
             else:
-                asked = _with(chunks, answers, _asking(step, parts, floor), _ASKED)
+                asked = by_chunk(chunks, answers, _asking(step, parts, floor), _ASKED)
             told = asked.groupBy("kind", "part").applyInArrow(lambda t: _answers(t, least), _TOLD)
-            answers = _bucketed(told.repartition(buckets, "chunk"), names[1], paths[1], buckets)
+            answers = bucketed(told.repartition(buckets, "chunk"), names[1], paths[1], buckets)
             asked = told = None
             freed(spark)
             if step == 0:
                 distinct = answers.where(F.col("kind") == WORD).agg(F.sum("distinct")).first()[0] or 0
                 floor = total + SMOOTH * (distinct + 1)
         result = f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-        return written(_with(chunks, answers, _scoring(floor, total), result), "scores").withColumnRenamed("id", id_column)
+        return written(by_chunk(chunks, answers, _scoring(floor, total), result), "scores").withColumnRenamed("id", id_column)
     finally:
         for name in names:
             spark.sql(f"DROP TABLE IF EXISTS {name}")
         discard(spark, paths)
 
 
-def _with(chunks: DataFrame, answers: DataFrame, make, schema: str) -> DataFrame:
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(make, schema)
-
-
 def _asking(step: int, parts: int, floor: float):
     return lambda chunk, answers: _rows(_chunk_of(chunk, 0, answers).ask(step, parts, floor))
 

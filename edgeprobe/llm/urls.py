@@ -6,8 +6,9 @@ and addresses in that text aren't words: they would make every host that is name
 Multinomial naive Bayes then scores the words of the host and of the path.  Its labels are the verdicts of the
 rules on the URLs that they fit, so nothing but rules and pages is needed.
 
-What is broadcast has a proven bound: a word or token is sent only if it has at least ``SHARE`` of all
-occurrences, hence at most 1/SHARE of them; others count as unknown.
+Every word and token counts, however rare, and neither is broadcast: URLs are written once in chunks; a chunk asks for the
+counts of the pieces that its own runs of letters have, then for those of its tokens, each once, and the answers come by
+shuffles.  Words and tokens are told by 64-bit hashes.
 
 Cases: a null URL or one without "://" has an empty host and path, fits no rule and gets the verdict of
 the classes' shares; without any URL that fits a rule every verdict of the method is allow, as are ties; very long URLs and
@@ -22,13 +23,16 @@ import re
 import string
 import uuid
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, few_at_a_time, small_batches
+from .common import bucketed, by_chunk, cut, discard, few_at_a_time, freed, shared_path, small_batches, written
 
 #: Fixed values: (verdict, host and the start of the path).
 RULES = (
@@ -38,7 +42,9 @@ RULES = (
     ("block", "example.net/de/8"),
     ("block", "org/es/"),
 )
-SHARE = 1e-6
+#: Pages and bytes of URLs of a chunk, at least a page each.
+CHUNK_PAGES, CHUNK_BYTES = 5_000, 1 << 19
+_PIECE, _TOKEN = 0, 1
 _URL = re.compile(r"://([^/?#]*)([^?#]*)")
 _LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 _WORD = re.compile(r"[^\W\d_]+")
@@ -145,109 +151,158 @@ def _count_words(batches):
 
 
 def _counted(seen: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
-
-
-_splitters: dict[str, Splitter] = {}
-
-
-def _splitter(sent, run_id: str) -> Splitter:
-    if run_id not in _splitters:
-        _splitters.clear()
-        _splitters[run_id] = Splitter(*sent.value)
-    return _splitters[run_id]
-
-
-def _count_tokens(sent, run_id: str, rules: Rules):
-    def run(batches):
-        splitter = _splitter(sent, run_id)
-        seen: dict[str, Counter] = {"allow": Counter(), "block": Counter()}
-
-        def flush():
-            for verdict, c in seen.items():
-                if c:
-                    yield pa.RecordBatch.from_arrays([pa.array([verdict] * len(c)), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["verdict", "token", "c"])
-                    c.clear()
-
-        for b in few_at_a_time(batches, 0):
-            for url in b.column(0).to_pylist():
-                host, path = parts(url)
-                if (found := rules.find(host, path)) is not None:
-                    c = seen[found[1]]
-                    c[""] += 1  # how many URLs
-                    c.update(tokens(host, path, splitter))
-            if sum(map(len, seen.values())) > 200_000:
-                yield from flush()
-        yield from flush()
+    columns = [pa.array([_hash(w) for w in seen], pa.int64()), pa.array([len(w) for w in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["h", "n", "c"])
+
+
+def _hash(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) - 2**63
+
+
+def _chunks(batches):
+    """From (page_id, url): chunks of pages."""
+    task, made, held, rows, size = TaskContext.get().partitionId(), 0, [], 0, 0
+
+    def chunk():
+        ids, urls = (pa.concat_arrays([b.column(k) for b in held]) for k in (0, 1))
+        ends = pa.array([0, rows], pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array([(task << 33) + made], pa.int64()), pa.ListArray.from_arrays(ends, ids), pa.ListArray.from_arrays(ends, urls)], names=["chunk", "ids", "urls"])
+
+    for b in few_at_a_time(batches, 1):
+        held.append(b)
+        rows, size = rows + b.num_rows, size + b.column(1).nbytes
+        if rows >= CHUNK_PAGES or size >= CHUNK_BYTES:
+            yield chunk()
+            made, held, rows, size = made + 1, [], 0, 0
+    if held:
+        yield chunk()
+
+
+def _runs(urls: Iterable[str | None]) -> set[str]:
+    """The runs of letters that ``tokens`` has split."""
+    out: set[str] = set()
+    for host, path in map(parts, urls):
+        out.update(x.lower() for s in (host, path.lower()) for x in _SPLIT.findall(s) if not x[0].isdigit())
+    return out
+
+
+def _pieces(run: str, lengths: list[int]):
+    for n in lengths:
+        if n > len(run):
+            return
+        for at in range(len(run) - n + 1):
+            yield run[at : at + n]
+
+
+def _ask_pieces(batches, lengths: list[int]):
+    for b in batches:
+        for chunk, urls in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            asked = list({_hash(x) for run in _runs(urls) for x in _pieces(run, lengths)})
+            for at in range(0, len(asked), 200_000):
+                some = asked[at : at + 200_000]
+                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(some), pa.int64()), pa.array(some, pa.int64())], names=["chunk", "h"])
+
+
+def _told(answers: pa.Table, kind: int) -> dict[int, tuple[int, int]]:
+    rows = zip(*(answers[x].to_pylist() for x in ("kind", "h", "a", "b")), strict=True)
+    return {h: (a, b) for k, h, a, b in rows if k == kind}
+
+
+def _splitter(urls: list[str | None], answers: pa.Table, lengths: list[int], total: int) -> Splitter:
+    """One that knows those words that a chunk's runs have as pieces."""
+    found, words = _told(answers, _PIECE), {}
+    for run in _runs(urls) if found else ():
+        for x in _pieces(run, lengths):
+            if (c := found.get(_hash(x))) is not None:
+                words[x] = c[0]
+    return Splitter(words, total)
+
+
+def _count_tokens(rules: Rules, lengths: list[int], total: int):
+    def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        """Each token of a chunk with its counts in URLs that a rule allows and blocks; the empty one counts URLs."""
+        urls = chunk["urls"][0].as_py()
+        splitter = _splitter(urls, answers, lengths, total)
+        seen: dict[str, list[int]] = {}
+        for url in urls:
+            host, path = parts(url)
+            found = rules.find(host, path)
+            for t in ("", *tokens(host, path, splitter)):
+                c = seen.setdefault(t, [0, 0])
+                if found is not None:
+                    c[found[1] == "block"] += 1
+        columns = [[chunk["chunk"][0].as_py()] * len(seen), [_hash(t) for t in seen], [c[0] for c in seen.values()], [c[1] for c in seen.values()]]
+        return pa.table([pa.array(x, pa.int64()) for x in columns], names=["chunk", "h", "a", "b"])
 
     return run
 
 
 @dataclass(frozen=True)
 class Bayes:
-    """Log-odds of block: of the classes, of each token, of an unknown token."""
-
-    base: float
-    odds: dict[str, float]
-    unknown: float
-
-    def block(self, found: list[str]) -> bool:
-        return self.base + sum(self.odds.get(t, self.unknown) for t in found) > 0
-
-
-def bayes(rows: list[tuple[str, str, int]], smooth: float = 1.0) -> Bayes:
-    """From (verdict, token, count); the token "" counts URLs."""
-    counts: dict[str, dict[str, int]] = {"allow": {}, "block": {}}
-    for verdict, token, c in rows:
-        counts[verdict][token] = c
-    urls = {v: counts[v].pop("", 0) for v in counts}
-    if not sum(urls.values()):
-        return Bayes(0.0, {}, 0.0)
-    known = counts["allow"].keys() | counts["block"].keys()
-    total = {v: sum(counts[v].values()) + smooth * (len(known) + 1) for v in counts}
-    part = lambda v, t: (counts[v].get(t, 0) + smooth) / total[v]
-    return Bayes(
-        math.log((urls["block"] + smooth) / (urls["allow"] + smooth)),
-        {t: math.log(part("block", t) / part("allow", t)) for t in known},
-        math.log(total["allow"] / total["block"]),
-    )
-
-
-def _judge(sent, run_id: str, rules: Rules, model: Bayes):
-    names = ["page_id", "host", "path", "rule", "verdict", "words"]
-
-    def run(batches):
-        splitter = _splitter(sent, run_id)
-        for b in few_at_a_time(batches, 1):
-            rows = []
-            for url in b.column(1).to_pylist():
-                host, path = parts(url)
-                found = rules.find(host, path)
-                words = tokens(host, path, splitter)
-                rule, verdict = found or (None, "block" if model.block(words) else "allow")
-                rows.append((host, path, rule, verdict, " ".join(w[2:] for w in words if w[0] == "h")))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[k] for r in rows], pa.string()) for k in range(5))], names=names)
+    """Multinomial naive Bayes from what all tokens together have: URLs and occurrences of each class, and how many tokens are known."""
+
+    urls: tuple[int, int]
+    occurrences: tuple[int, int]
+    known: int
+    smooth: float = 1.0
+
+    def odds(self, allowed: int, blocked: int) -> float:
+        """Log-odds of block of a token with these counts."""
+        total = [n + self.smooth * (self.known + 1) for n in self.occurrences]
+        return math.log((blocked + self.smooth) / total[1]) - math.log((allowed + self.smooth) / total[0])
+
+    def block(self, found: list[str], odds: dict[int, float]) -> bool:
+        if not sum(self.urls):
+            return False
+        unknown = self.odds(0, 0)
+        base = math.log((self.urls[1] + self.smooth) / (self.urls[0] + self.smooth))
+        return base + sum(odds.get(_hash(t), unknown) for t in found) > 0
+
+
+def _judge(rules: Rules, model: Bayes, lengths: list[int], total: int):
+    def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        urls = chunk["urls"][0].as_py()
+        splitter = _splitter(urls, answers, lengths, total)
+        odds = {h: model.odds(*c) for h, c in _told(answers, _TOKEN).items()}
+        rows = []
+        for url in urls:
+            host, path = parts(url)
+            found = rules.find(host, path)
+            words = tokens(host, path, splitter)
+            rule, verdict = found or (None, "block" if model.block(words, odds) else "allow")
+            rows.append((host, path, rule, verdict, " ".join(w[2:] for w in words if w[0] == "h")))
+        return pa.table([chunk["ids"][0].values, *(pa.array([r[k] for r in rows], pa.string()) for k in range(5))], names=["page_id", "host", "path", "rule", "verdict", "words"])
 
     return run
 
 
-def judge(pages: DataFrame, rules=RULES, share: float = SHARE) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """One row for each page: page_id, host, path, rule, verdict, words (of the host)."""
-    spark = small_batches(pages.sparkSession)
-    ready = Rules.of(rules)
-    counts = pages.select("html").mapInArrow(_count_words, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+    spark, ready = small_batches(pages.sparkSession), Rules.of(rules)
+    kind, buckets = pages.schema["page_id"].dataType.simpleString(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = [f"edgeprobe_{x}_{uuid.uuid4().hex}" for x in ("urls", "answers")]
+    paths = [shared_path(spark, x) for x in ("urls", "answers")]
+    counts = pages.select("html").mapInArrow(_count_words, "h bigint, n int, c bigint").groupBy("h").agg(F.first("n").alias("n"), F.sum("c").alias("c"))
     counts = cut(counts)
     total = counts.agg(F.sum("c")).first()[0] or 0
-    words = {r["word"]: r["c"] for r in counts.where(F.col("c") >= max(1.0, share * total)).collect()}
-    sent, run_id = spark.sparkContext.broadcast((words, total)), uuid.uuid4().hex
-    seen = pages.select("url").mapInArrow(_count_tokens(sent, run_id, ready), "verdict string, token string, c bigint").groupBy("verdict", "token").agg(F.sum("c").alias("c"))
-    seen = cut(seen)
-    all_tokens = seen.agg(F.sum("c")).first()[0] or 0
-    model = bayes([(r["verdict"], r["token"], r["c"]) for r in seen.where(F.col("c") >= max(1.0, share * all_tokens)).collect()])
-    learnt = spark.sparkContext.broadcast(model)
-
-    def run(batches):
-        yield from _judge(sent, run_id, ready, learnt.value)(batches)
-
-    kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "url").mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string, words string")
+    lengths = sorted(r["n"] for r in counts.select("n").distinct().collect())
+    try:
+        chunks = bucketed(pages.select("page_id", "url").mapInArrow(_chunks, f"chunk bigint, ids array<{kind}>, urls array<string>"), names[0], paths[0], buckets)
+        asked = chunks.select("chunk", "urls").mapInArrow(lambda batches: _ask_pieces(batches, lengths), "chunk bigint, h bigint")
+        answer = lambda df, of, a, b: df.select("chunk", F.lit(of).alias("kind"), "h", a.alias("a"), b.alias("b")).repartition(buckets, "chunk")
+        answers = bucketed(answer(asked.join(counts, "h"), _PIECE, F.col("c"), F.lit(0).cast("long")), names[1], paths[1], buckets)
+        uses = cut(by_chunk(chunks, answers, _count_tokens(ready, lengths, total), "chunk bigint, h bigint, a bigint, b bigint"))
+        seen = cut(uses.groupBy("h").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("a + b > 0"))
+        first = F.col("h") == _hash("")
+        sums = seen.agg(*(F.sum(F.when(c, F.col(x))) for c in (first, ~first) for x in ("a", "b")), F.count(F.when(~first, 1))).first()
+        model = Bayes(*((sums[k] or 0, sums[k + 1] or 0) for k in (0, 2)), sums[4])
+        told = uses.select("chunk", "h").join(seen, "h")
+        answers = bucketed(answer(told, _TOKEN, F.col("a"), F.col("b")), names[1], paths[1], buckets)
+        schema = f"page_id {kind}, host string, path string, rule string, verdict string, words string"
+        return written(by_chunk(chunks, answers, _judge(ready, model, lengths, total), schema), "verdicts")
+    finally:
+        for name in names:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        discard(spark, paths)
+        asked = told = uses = seen = None
+        freed(spark)
