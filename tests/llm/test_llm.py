@@ -441,6 +441,36 @@ def test_lm_scores_with_every_repeated_gram(spark, monkeypatch):
     assert np.abs(np.array([x for _, x in got]) - np.array([x for _, x in want])).max() < 1e-6
 
 
+def test_lm_numbers_as_bytes():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 1000):
+        keys = np.unique(rng.integers(0, 2**64, n, np.uint64, endpoint=False))
+        assert (suffix_tree._unpacked(suffix_tree._packed(keys)) == keys).all()
+        sums = [rng.integers(0, 2, len(keys)), rng.integers(0, 2**40, len(keys)), rng.integers(0, 9, len(keys)), rng.normal(size=len(keys)), rng.random(len(keys))]
+        back = suffix_tree._sums_unpacked(suffix_tree._sums_packed(sums), len(keys))
+        assert all((got == np.where(sums[0] > 0, x, 0)).all() for got, x in zip(back, sums, strict=True))
+        distinct, at, of = suffix_tree._distinct(keys[::-1] >> np.uint64(60))
+        assert (distinct[of] == keys[::-1] >> np.uint64(60)).all() and (distinct == (keys[::-1] >> np.uint64(60))[at]).all()
+
+
+def test_lm_answers_have_one_speaker():
+    """Counts of all chunks together, without n-grams below the least; one chunk speaks for each that stays."""
+    rng = np.random.default_rng(4)
+    chunks = {k: (np.unique(rng.integers(0, 40, 15).astype(np.uint64)) << np.uint64(57)) for k in (7, 3, 5)}
+    own = {k: rng.integers(0, 3, len(x)).astype(np.uint32) for k, x in chunks.items()}
+    asked = suffix_tree._rows([r for k, x in chunks.items() for r in suffix_tree._asked(k, suffix_tree.PAIR, 1, x, [own[k]])])
+    want = Counter()
+    for k, x in chunks.items():
+        want.update(dict(zip(x.tolist(), own[k].tolist(), strict=True)))
+    spoken = Counter()
+    for r in suffix_tree._answers(asked, 2.0).to_pylist():
+        told = suffix_tree.from_planes(r["told"], np.uint64)
+        x = chunks[r["chunk"]].tolist()
+        assert (told >> np.uint64(1)).tolist() == [want[key] if want[key] >= 2 else 0 for key in x]
+        spoken.update(key for key, t in zip(x, told.tolist(), strict=True) if t & 1)
+    assert spoken == Counter(key for key, n in want.items() if n >= 2)
+
+
 def test_lm_of_no_and_odd_texts(spark):
     assert suffix_tree.score_texts(docs_frame(spark, [(1, "a")]).limit(0)).count() == 0
     rows = [(10 + k, "a b c d " * 3) for k in range(12)] + [(None, "a b"), (40, "y" * 90_000 + " a"), (41, "a b c " * 20_000)]
@@ -582,6 +612,22 @@ def test_hosts_named_in_the_text_are_no_words(spark):
     assert all(r["words"].startswith("cheap pills ") for r in got)
 
 
+def test_url_words_that_are_rare(spark):
+    """A word that comes once among more than a million is a word."""
+    rows = [(1, "http://zebrapony.example/x", "aa bb " * 600_000 + "zebra"), (2, "http://zebra.example/", "pony"), (3, None, None)]
+    got = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert len(got) == 3 and got[1]["words"].split()[:2] == ["zebra", "pony"] and got[2]["words"].split()[0] == "zebra"
+
+
+def test_url_chunks_do_not_change_verdicts(spark):
+    """Pages in many partitions, each with chunks of its own, get what one chunk gives."""
+    rng = random.Random(12)
+    rows = [(k, f"http://{rng.choice(VOCAB)}{rng.choice(VOCAB)}.example.{rng.choice(['com', 'net', 'org', 'dev'])}/{rng.choice(['en', 'de', 'es'])}/{rng.choice(VOCAB)}/{k % 9}", words(rng, 30)) for k in range(300)]
+    frame = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    one, many = (sorted(urls.judge(frame.repartition(n)).collect(), key=lambda r: r["page_id"]) for n in (1, 7))
+    assert one == many and {r["verdict"] for r in one} == {"allow", "block"}
+
+
 def test_url_judgement(spark):
     rows = [(i, f"http://x{i}.com/en/a", "<p>cheap pills cheap pills</p>") for i in range(20)] + [(50 + i, f"http://y{i}.net/de/b", None) for i in range(20)]
     rows += [(100, None, ""), (101, "http://z.com/fr/a", "x"), (102, "http://z.net/fr/b", "x"), (101, "http://z.com/fr/a", "x")]
