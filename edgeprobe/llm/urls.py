@@ -6,7 +6,7 @@ and addresses in that text aren't words: they would make every host that is name
 Multinomial naive Bayes then scores the words of the host and of the path.  Its labels are the verdicts of the
 rules on the URLs that they fit, so nothing but rules and pages is needed.
 
-Every word and token counts, however rare, and neither is broadcast: URLs are written once in chunks; a chunk asks for the
+Every word and token counts, however rare, and no model is collected: URLs are written once in chunks; a chunk asks for the
 counts of the pieces that its own runs of letters have, then for those of its tokens, each once, and the answers come by
 shuffles.  Words and tokens are told by 64-bit hashes.
 
