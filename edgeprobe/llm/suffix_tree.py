@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, by_chunk, crc_bucket, discard, few_at_a_time, freed, shared_path, text_of, written
+from .common import bucketed, by_chunk, crc_bucket, discard, few_at_a_time, freed, shared_path, small_batches, text_of, written
 from .hashing import GOLD, M, mix, word_hashes
 
 #: Least count of an n-gram of the tree, however many tokens there are.
@@ -462,7 +462,7 @@ def score_texts(docs: DataFrame, id_column: str = "doc_id", gram_share: float =
     Learns from the documents whose crc32(id as text) mod 10 is not 0.  With ``gram_share``, an n-gram has at least that
     share of all tokens, too; ``word_share`` is without effect, as no words are broadcast.
     """
-    spark, size, kind = docs.sparkSession, _TOKENS, docs.schema[id_column].dataType.simpleString()
+    spark, size, kind = small_batches(docs.sparkSession), _TOKENS, docs.schema[id_column].dataType.simpleString()
     plain = docs.select(F.col(id_column).alias("id"), (crc_bucket(id_column, 10) == 0).alias("held_out"), text_of(docs).alias("text"))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     names = [f"edgeprobe_{x}_{uuid.uuid4().hex}" for x in ("chunks", "answers")]
