@@ -1,7 +1,7 @@
 """The queries of the training-data operators, and SQL for those that SQL can express.
 
 Those are decontamination (windows as joined words), archives (digests by five bits) and near duplicates
-(shingles joined, links followed).  The others need a trained model, a tokenizer or positions of matches; ``tests/llm`` holds
+(shingles joined, links followed), fill-in-middle.  The others need a trained model, a tokenizer or positions of matches; ``tests/llm`` holds
 them against plain versions or held-out labels.
 """
 
@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, packing, pii, quality, suffix_tree, toxicity, urls, warc
+from . import decontaminate, fim, jaccard, language, packing, pii, quality, suffix_tree, toxicity, urls, warc
 from .common import read_table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -66,6 +66,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.fill_in_middle(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -84,6 +88,7 @@ def queries():
         "op8_quality_rules": op8_quality_rules,
         "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
         "op10_best_fit_packing": op10_best_fit_packing,
+        "op13_fill_in_middle": op13_fill_in_middle,
         "benchmark_passages": benchmark_passages,
         "pipeline": pipeline,
     }
@@ -120,6 +125,14 @@ l AS (SELECT a, b FROM i JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b WHERE
 r AS (SELECT doc_id AS a, doc_id AS root FROM c UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.a WHERE r.root < l.b)
 SELECT d.doc_id, coalesce(c.n, 0)::BIGINT AS n_shingles, coalesce(m.root, d.doc_id) AS component_id FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN (SELECT a, min(root) AS root FROM r GROUP BY 1) m ON m.a = d.doc_id"""
 
+_UNITS = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+"
+_OP13 = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_UNITS}') AS u, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+s AS (SELECT doc_id, t, u, len(u)::BIGINT AS n, {", ".join(f"('0x' || substr(h, {8 * k + 1}, 8))::BIGINT AS h{k + 1}" for k in range(4))} FROM d),
+f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS i, greatest(h1 % (n + 1), h2 % (n + 1)) AS j, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM s),
+c AS (SELECT *, array_to_string(u[1:i], '') AS p, array_to_string(u[i + 1:j], '') AS m, array_to_string(u[j + 1:n], '') AS x FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || x || '<M>' || m ELSE '<S>' || x || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(CASE form WHEN 'plain' THEN t ELSE p || m || x END) AS restored_sha256 FROM c"""
+
 
 def oracle_sql():
-    return {"op1_benchmark_decontamination": _OP1, "op2_warc": _OP2, "op9_ngram_jaccard_join": _OP9}
+    return {"op1_benchmark_decontamination": _OP1, "op2_warc": _OP2, "op9_ngram_jaccard_join": _OP9, "op13_fill_in_middle": _OP13}
