@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fim, jaccard, language, packing, pii, quality, suffix_tree, toxicity, urls, warc
+from . import decontaminate, fim, jaccard, language, packing, pii, quality, suffix_tree, toxicity, urls, warc, whiten
 from .common import read_table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -66,6 +66,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.by_component(read_table(spark, sf_dir, "embeddings"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(fim.fill_in_middle(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -88,6 +92,7 @@ def queries():
         "op8_quality_rules": op8_quality_rules,
         "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
         "op10_best_fit_packing": op10_best_fit_packing,
+        "op12_embedding_whitening": op12_embedding_whitening,
         "op13_fill_in_middle": op13_fill_in_middle,
         "benchmark_passages": benchmark_passages,
         "pipeline": pipeline,
