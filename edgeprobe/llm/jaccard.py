@@ -18,6 +18,9 @@ They are left out wherever a document has more than n/3 blocks besides them at s
 them.  Which shingles count as common has no effect on the result, for the argument above holds for
 the blocks that stay.
 
+*Dealing.*  A chunk sends its keys in rows of packed arrays, one for each bucket that it has keys of; where there are more buckets than ``FAN``, rows of
+several buckets go to tasks that deal them again, many keys at once.  So neither a chunk's work nor the number of partitions grows with the data.
+
 *Hot groups.*  Within a chunk of a partition the members of a block hang on one of them, and only
 that one is dealt out by the block; so a block with a third of all documents sends a row or two for each
 chunk.  Candidates are (member, representative) pairs, as many as there are shared blocks, never all
@@ -37,11 +40,13 @@ ids may be numbers or text, the smallest by their own order; an empty table give
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, discard, few_at_a_time, small_batches, text_of, written
@@ -54,8 +59,12 @@ COMMON_SHARE, COMMON_LEAST = 0.01, 8
 COMMON_MOST = 200_000
 #: Shingles held at once in a worker, 8 bytes each.
 CHUNK = 600_000
-#: Rows of a bucket of block keys, about: what one task holds of it (some 40 bytes each).
+#: Rows of a bucket of block keys, about: what one task holds of it at a time (some 40 bytes each).
 BUCKET_KEYS = 1_000_000
+#: Most rows into which a chunk's keys are dealt.  More buckets are dealt in two steps, of as many keys at once in the second.
+FAN, AGAIN = 2000, 4_000_000
+#: Most partitions that buckets are spread over; one reads its buckets one after another.
+MOST_PARTS = 20_000
 #: Most ids that are broadcast (8 bytes each) to pick texts; more are joined by a shuffle.
 SENT_IDS = 1_000_000
 SKETCH_LONGS, FOLDED = 64, 8
@@ -63,6 +72,8 @@ SKETCH_LONGS, FOLDED = 64, 8
 OTHER_STARS = 1
 #: Edges in a partition while components are found, about.
 EDGES = 200_000
+#: Documents in hundredths of the union that their intersection has at least.
+SHARE = 75
 #: Sets over so many shingles have a longer sketch, too.
 WIDE_FROM, WIDE_LONGS = 3000, 256
 
@@ -147,14 +158,14 @@ def wide_sketch(s: np.ndarray) -> np.ndarray | None:
     return sketch(s, WIDE_LONGS) if len(s) > WIDE_FROM else None
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether 100 * intersection >= 75 * union, exactly."""
+def linked(a: np.ndarray, b: np.ndarray, share: int = SHARE) -> bool:
+    """Whether 100 * intersection >= share * union, exactly."""
     if not len(a) or not len(b):
         return False
     both = np.concatenate([a, b])
     both.sort()
     inter = int((both[1:] == both[:-1]).sum())
-    return 100 * inter >= 75 * (len(a) + len(b) - inter)
+    return 100 * inter >= share * (len(a) + len(b) - inter)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -162,13 +173,48 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 _SKETCH = [f"s{i}" for i in range(SKETCH_LONGS)]
-_SKETCH_SQL = ", ".join([*(f"{c} bigint" for c in _SKETCH), "wide array<bigint>"])
 _WIDE = pa.list_(pa.int64())
 
 
-def _profile(batches):
-    """A row for each document (id, n, digest, sketch), and rows (shingle, count) for what is common in a chunk."""
-    names = ["id", "n", "hi", "lo", "shingle", "count", *_SKETCH, "wide"]
+@dataclass(frozen=True)
+class Method:
+    """How candidates are found, and told apart before whole sets are compared.
+
+    ``keys_from`` gets the common shingles, the most frequent first, and returns what gives a set's keys and how many of their
+    lists it can do without.  ``mark`` gives a set's mark (``longs`` whole numbers, ``wide`` further ones or none); ``near`` says of the
+    columns of two marks whether their sets may link, ``coarse`` has the columns that are compared within a list, and ``coarse_near`` is
+    its test.
+    """
+
+    share: int
+    longs: int
+    mark: Callable[[np.ndarray], np.ndarray]
+    wide: Callable[[np.ndarray], np.ndarray | None]
+    keys_from: Callable[[np.ndarray], Callable[[np.ndarray], tuple[np.ndarray, int]]]
+    keys_in_all: Callable[[int, int], int]
+    near: Callable[[str, str, int], Column]
+    coarse: Callable[[], list[Column]]
+    coarse_near: Callable[[str, str, int], Column]
+
+    @property
+    def marks(self) -> list[str]:
+        return [f"s{i}" for i in range(self.longs)]
+
+    def sizes(self, left: str, right: str) -> Column:
+        """The condition on sizes that every link meets."""
+        return 100 * F.least(left, right) >= self.share * F.greatest(left, right)
+
+    def may_link(self, left: str, right: str) -> Column:
+        return self.sizes(f"{left}n", f"{right}n") & self.near(left, right, self.share)
+
+
+def _profile(longs: int, mark, wide_mark):
+    return functools.partial(_profiles, longs, mark, wide_mark)
+
+
+def _profiles(longs: int, mark, wide_mark, batches):
+    """A row for each document (id, n, digest, mark), and rows (shingle, count) for what is common in a chunk."""
+    names = ["id", "n", "hi", "lo", "shingle", "count", *(f"s{i}" for i in range(longs)), "wide"]
     held: dict[tuple[int, int], np.ndarray] = {}
     size, kind = 0, None
 
@@ -179,7 +225,7 @@ def _profile(batches):
         counts = np.diff(np.append(starts, len(found)))
         hot = counts >= max(COMMON_LEAST, COMMON_SHARE * len(held))
         none = pa.nulls(int(hot.sum()), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.nulls(len(none), kind), *[none] * 3, _signed(found[starts[hot]]), pa.array(counts[hot].astype(np.int64)), *[none] * SKETCH_LONGS, pa.nulls(len(none), _WIDE)], names=names)
+        return pa.RecordBatch.from_arrays([pa.nulls(len(none), kind), *[none] * 3, _signed(found[starts[hot]]), pa.array(counts[hot].astype(np.int64)), *[none] * longs, pa.nulls(len(none), _WIDE)], names=names)
 
     for part in few_at_a_time(batches, 1):
         kind = part.column(0).type
@@ -188,8 +234,8 @@ def _profile(batches):
             s = shingles(text)
             d = digest(s)
             rows.append((len(s), *d))
-            bits.append(sketch(s))
-            wide.append(wide_sketch(s))
+            bits.append(mark(s))
+            wide.append(wide_mark(s))
             if len(s) and d not in held:
                 held[d] = s
                 size += len(s)
@@ -199,68 +245,59 @@ def _profile(batches):
                     size = 0
         n, hi, lo = (pa.array(np.array([r[i] for r in rows], np.int64)) for i in range(3))
         none = pa.nulls(len(rows), pa.int64())
-        bits = np.array(bits, np.int64).reshape(len(rows), SKETCH_LONGS)
-        yield pa.RecordBatch.from_arrays([part.column(0), n, hi, lo, none, none, *(pa.array(bits[:, i].copy()) for i in range(SKETCH_LONGS)), pa.array(wide, _WIDE)], names=names)
+        bits = np.array(bits, np.int64).reshape(len(rows), longs)
+        yield pa.RecordBatch.from_arrays([part.column(0), n, hi, lo, none, none, *(pa.array(bits[:, i].copy()) for i in range(longs)), pa.array(wide, _WIDE)], names=names)
     if held:
         yield flush()
 
 
-_DEALT = "bucket int, keys binary, low binary, who binary, classes binary, inner_keys binary, inner_who binary, inner_rep binary, spare binary"
-
-
-def _halves(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The upper 48 bits of keys, which within a bucket of bounded size are enough to tell them apart."""
-    return (key >> np.uint64(32)).astype(np.uint32), ((key >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.uint16)
+_DEALT = "bucket bigint, keys binary, who binary, classes binary, inner_keys binary, inner_who binary, inner_rep binary, spare binary"
+_DEALT_NAMES = [c.split()[0] for c in _DEALT.split(", ")]
 
 
-def _named(upper48: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-    """A key's name in the result: from its upper 48 bits and its bucket, so that no two buckets share one."""
-    return mix(upper48 ^ mix(bucket + np.uint64(1)))
+def _packed(bucket: int, *cells) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), *(pa.array([None if x is None else x.tobytes()], pa.binary()) for x in cells)], names=_DEALT_NAMES)
 
 
-def _marked(key: np.ndarray, buckets: int) -> np.ndarray:
-    """The names of whole keys."""
-    return _named(key >> np.uint64(16), key % np.uint64(buckets))
+def _bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
+    return (key % np.uint64(buckets)).astype(np.int64)
 
 
-def _keys(common, buckets: int):
-    """For each chunk and bucket of keys one row of packed arrays.
+def _deal(head, inner, buckets: int, per: int):
+    """A row of packed arrays for each ``per`` buckets that have any of these keys.
 
-    ``keys``/``who``: each key of the chunk once, with its representative; ``inner_*``: the other members
-    of a key in this chunk.  Members are numbers into ``classes``.  A row with ``spare`` has only that and
-    ``classes``: how many blocks each class of the chunk can do without.
+    ``head`` is (key, representative), each key once; ``inner`` is (key, representative, member) of the others, which are spread
+    by key and member.  Members are packed as numbers into ``classes``.
     """
-    names = ["bucket", "keys", "low", "who", "classes", "inner_keys", "inner_who", "inner_rep", "spare"]
-
-    def row(bucket, cells):
-        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *(pa.array([None if x is None else x.tobytes()], pa.binary()) for x in cells)], names=names)
+    own, other = _bucket_of(head[0], buckets) // per, _bucket_of(mix(inner[0] ^ inner[2].view(np.uint64)), buckets) // per
+    order, inner_order = np.argsort(own, kind="stable"), np.argsort(other, kind="stable")
+    own, other = own[order], other[inner_order]
+    there = np.unique(np.concatenate([own, other]))  # the chunk's own ones, however many there are
+    spans = [np.searchsorted(x, there, side) for x in (own, other) for side in ("left", "right")]
+    for bucket, start, end, inner_start, inner_end in zip(there.tolist(), *spans, strict=True):
+        a, b = order[start:end], inner_order[inner_start:inner_end]
+        w, v, r = head[1][a], inner[2][b], inner[1][b]
+        used, back = np.unique(np.concatenate([w, v, r]), return_inverse=True)
+        back = back.astype(np.uint16 if len(used) <= 65536 else np.uint32)
+        parts = np.split(back, [len(w), len(w) + len(v)])
+        yield _packed(bucket, head[0][a], parts[0], used, inner[0][b], parts[1], parts[2], None)
+
+
+def _keys(common, buckets: int, per: int, keys_from):
+    """For each chunk and ``per`` buckets of keys one row of packed arrays, and a row that has only ``spare`` and ``classes``:
+    how many lists each class of the chunk can do without."""
 
     def flush(keys, numbers, spare):
-        yield row(int(numbers[0]) % buckets, [None, None, None, numbers, None, None, None, np.array(spare, np.int32)])
-        key, who = np.concatenate(keys), np.repeat(np.arange(len(keys), dtype=np.uint32), [len(k) for k in keys])
+        yield _packed(_bucket_of(numbers[:1].view(np.uint64), buckets)[0] // per, None, None, numbers, None, None, None, np.array(spare, np.int32))
+        key, who = np.concatenate(keys), np.repeat(numbers, [len(k) for k in keys])
         order = np.argsort(key, kind="stable")
         key, who = key[order], who[order]
         new = np.r_[True, key[1:] != key[:-1]]
         rep = who[np.flatnonzero(new)][np.cumsum(new) - 1]
-        bucket = (key % np.uint64(buckets)).astype(np.int64)
-        inner_bucket = (mix(key[~new] ^ numbers[who[~new]].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-        head, tail = (key[new], who[new]), (key[~new], who[~new], rep[~new])
-        bucket = bucket[new]
-        order, inner_order = np.argsort(bucket, kind="stable"), np.argsort(inner_bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        inner_edges = np.searchsorted(inner_bucket[inner_order], np.arange(buckets + 1))
-        for k in range(buckets):
-            own, inner = order[edges[k] : edges[k + 1]], inner_order[inner_edges[k] : inner_edges[k + 1]]
-            if len(own) or len(inner):
-                w, v, r = head[1][own], tail[1][inner], tail[2][inner]
-                used, back = np.unique(np.concatenate([w, v, r]), return_inverse=True)
-                back = back.astype(np.uint16 if len(used) <= 65536 else np.uint32)
-                parts = np.split(back, [len(w), len(w) + len(v)])
-                cells = [*_halves(head[0][own]), parts[0], numbers[used], _marked(tail[0][inner], buckets), parts[1], parts[2]]
-                yield row(k, [*cells, None])
+        yield from _deal((key[new], who[new]), (key[~new], rep[~new], who[~new]), buckets, per)
 
     def run(batches):
-        hot = np.sort(np.array(common.value, np.int64).view(np.uint64))
+        make = keys_from(np.array(common.value, np.int64).view(np.uint64))
         keys, numbers, spare, seen, size = [], [], [], set(), 0
         for part in few_at_a_time(batches, 0):
             for text in part.column(0).to_pylist():
@@ -269,7 +306,7 @@ def _keys(common, buckets: int):
                 if not len(s) or d in seen:
                     continue
                 seen.add(d)
-                own, more = block_keys(s, hot)
+                own, more = make(s)
                 keys.append(own)
                 spare.append(more)
                 numbers.append(d[0])
@@ -284,6 +321,50 @@ def _keys(common, buckets: int):
     return run
 
 
+def _unpacked(cells) -> tuple:
+    """The head and the inner rows of packed arrays."""
+    raw = [c.as_buffer() for c in cells]
+    classes = np.frombuffer(raw[2], np.int64)
+    kind = np.uint16 if len(classes) <= 65536 else np.uint32
+    who, inner_who, inner_rep = (classes[np.frombuffer(raw[c], kind)] for c in (1, 4, 5))
+    return (np.frombuffer(raw[0], np.uint64), who), (np.frombuffer(raw[3], np.uint64), inner_rep, inner_who)
+
+
+def _dealt_again(buckets: int, per: int):
+    """Rows of ``per`` buckets, sorted by them, dealt to single buckets, many keys at once."""
+
+    def run(batches):
+        held, size, at = [], 0, None
+
+        def flush():
+            head, inner = ([np.concatenate([h[k][i] for h in held]) for i in range(n)] for k, n in ((0, 2), (1, 3)))
+            held.clear()
+            order = np.lexsort((head[1], head[0]))
+            key, who = head[0][order], head[1][order]
+            new = np.r_[True, key[1:] != key[:-1]][: len(key)]
+            rep = who[np.flatnonzero(new)][np.cumsum(new) - 1]
+            more = ~new & (rep != who)
+            inner = [np.concatenate(x) for x in zip(inner, (key[more], rep[more], who[more]), strict=True)]
+            yield from _deal((key[new], who[new]), inner, buckets, 1)
+
+        for b in batches:
+            for i in range(b.num_rows):
+                group, *cells, spare = (b.column(c)[i] for c in range(len(_DEALT_NAMES)))
+                if spare.is_valid:
+                    yield b.slice(i, 1)
+                    continue
+                if held and (group.as_py() != at or size >= AGAIN):
+                    yield from flush()
+                    size = 0
+                at = group.as_py()
+                held.append(_unpacked(cells))
+                size += len(held[-1][0][0]) + len(held[-1][1][0])
+        if held:
+            yield from flush()
+
+    return run
+
+
 def _stars(batches):
     """From rows sorted by bucket: (key, rep, cls) wherever a block has another class, and (null, spare, cls).
 
@@ -306,20 +387,16 @@ def _stars(batches):
 
     for b in batches:
         for i in range(b.num_rows):
-            k, *cells, spare = (b.column(c)[i] for c in range(9))
+            k, *cells, spare = (b.column(c)[i] for c in range(len(_DEALT_NAMES)))
             if spare.is_valid:
                 more = np.frombuffer(spare.as_buffer(), np.int32).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(more), pa.int64()), pa.array(more), pa.array(np.frombuffer(cells[3].as_buffer(), np.int64))], names=["key", "rep", "cls"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(more), pa.int64()), pa.array(more), pa.array(np.frombuffer(cells[2].as_buffer(), np.int64))], names=["key", "rep", "cls"])
                 continue
             if k.as_py() != bucket and held:
                 yield from flush()
             bucket = k.as_py()
-            raw = [c.as_buffer() for c in cells]
-            classes = np.frombuffer(raw[3], np.int64)
-            kind = np.uint16 if len(classes) <= 65536 else np.uint32
-            who, inner_who, inner_rep = (classes[np.frombuffer(raw[c], kind)] for c in (2, 5, 6))
-            upper = (np.frombuffer(raw[0], np.uint32).astype(np.uint64) << np.uint64(16)) | np.frombuffer(raw[1], np.uint16).astype(np.uint64)
-            held.append([_named(upper, np.full(1, bucket, np.uint64)), who, np.frombuffer(raw[4], np.uint64).copy(), inner_rep, inner_who])
+            (key, who), (inner_key, inner_rep, inner_who) = _unpacked(cells)
+            held.append([key.copy(), who, inner_key.copy(), inner_rep, inner_who])
     if held:
         yield from flush()
 
@@ -330,9 +407,9 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "shingles"])
 
 
-def _verify(batches):
+def _verify(share: int, batches):
     for b in batches:
-        ok = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(b.column(2), b.column(3), strict=True)]
+        ok = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), share) for x, y in zip(b.column(2), b.column(3), strict=True)]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "linked"])
 
 
@@ -342,7 +419,7 @@ def _ids(pairs: DataFrame) -> tuple[DataFrame, bool]:
     return ids, ids.count() <= SENT_IDS
 
 
-def verified(pairs: DataFrame, plain: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, plain: DataFrame, share: int = SHARE) -> DataFrame:
     """The pairs (a, b) of ids that link, by the whole sets of their texts."""
     kind = plain.schema["id"].dataType.simpleString()
     pairs = cut(pairs.select("a", "b"))
@@ -352,24 +429,41 @@ def verified(pairs: DataFrame, plain: DataFrame) -> DataFrame:
     left = sets.select(F.col("id").alias("b"), F.col("shingles").alias("of_b"))
     right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("of_a"))
     both = pairs.join(left, "b").join(right, "a").select("a", "b", "of_a", "of_b")
-    found = cut(both.mapInArrow(_verify, f"a {kind}, b {kind}, linked boolean").where("linked").select("a", "b").distinct())
+    found = cut(both.mapInArrow(functools.partial(_verify, share), f"a {kind}, b {kind}, linked boolean").where("linked").select("a", "b").distinct())
     discard(plain.sparkSession, paths)
     return found
 
 
-def _may_link(left: str, right: str):
-    """The conditions on sizes and sketches that every link meets, the cheap ones first."""
+def _parity_near(left: str, right: str, share: int) -> Column:
+    """The bound on the symmetric difference, by sketches."""
     apart = sum((F.bit_count(F.col(f"{left}{c}").bitwiseXOR(F.col(f"{right}{c}"))) for c in _SKETCH), F.lit(0))
     bits = F.aggregate(F.zip_with(f"{left}wide", f"{right}wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    n1, n2 = F.col(f"{left}n"), F.col(f"{right}n")
-    return (4 * F.least(n1, n2) >= 3 * F.greatest(n1, n2)) & (7 * apart <= n1 + n2) & (7 * F.coalesce(bits, F.lit(0)) <= n1 + n2)
+    most = (100 - share) * (F.col(f"{left}n") + F.col(f"{right}n"))
+    return ((100 + share) * apart <= most) & ((100 + share) * F.coalesce(bits, F.lit(0)) <= most)
+
+
+def _folded() -> list[Column]:
+    """The sketches folded to 512 bits."""
+    return [functools.reduce(lambda x, y: x.bitwiseXOR(y), [F.col(c) for c in _SKETCH[i::FOLDED]]).alias(f"f{i}") for i in range(FOLDED)]
+
+
+def _folded_near(left: str, right: str, share: int) -> Column:
+    apart = sum((F.bit_count(F.col(f"{left}f{i}").bitwiseXOR(F.col(f"{right}f{i}"))) for i in range(FOLDED)), F.lit(0))
+    return (100 + share) * apart <= (100 - share) * (F.col(f"{left}n") + F.col(f"{right}n"))
+
+
+def _block_keys_from(common: np.ndarray):
+    return functools.partial(block_keys, common=np.sort(common))
 
 
-def _within(pairs: DataFrame, sketches: DataFrame, more: list[str]) -> DataFrame:
+PARITY = Method(SHARE, SKETCH_LONGS, sketch, wide_sketch, _block_keys_from, lambda shingles, sets: shingles, _parity_near, _folded, _folded_near)
+
+
+def _within(pairs: DataFrame, sketches: DataFrame, more: list[str], method: Method) -> DataFrame:
     """The pairs (a, b) that may link by sizes and sketches; grouped, as a repeated id has several sketches (no further
     shuffle, since the pairs are dealt by ``b`` already)."""
-    side = lambda c, name: sketches.select(F.col("id").alias(c), *[F.col(x).alias(f"{name}{x}") for x in ("n", *_SKETCH, "wide")])
-    both = pairs.join(side("a", "l_"), "a").join(side("b", "r_"), "b").where(_may_link("l_", "r_"))
+    side = lambda c, name: sketches.select(F.col("id").alias(c), *[F.col(x).alias(f"{name}{x}") for x in ("n", *method.marks, "wide")])
+    both = pairs.join(side("a", "l_"), "a").join(side("b", "r_"), "b").where(method.may_link("l_", "r_"))
     return both.groupBy("a", "b").agg(F.count("*").alias("_rows"), *[F.max(c).alias(c) for c in more]).drop("_rows")
 
 
@@ -467,60 +561,75 @@ def _other_stars(members: DataFrame, salt: int) -> DataFrame:
     return _ordered(both.select(F.col("x").alias("a"), F.col("rep.x").alias("b")))
 
 
-def _across(members: DataFrame, tried: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that share a block with one of them open, may link by size and sketch, and weren't tried.
+def _across(members: DataFrame, tried: DataFrame, sketches: DataFrame, method: Method) -> DataFrame:
+    """Pairs (a, b) of different components that share a list with one of them open, may link by size and mark, and weren't tried.
 
-    Within a block only the sizes and the sketches folded to 512 bits are compared; the pairs that are left meet whole sketches.
+    Within a list only the sizes and the coarse marks are compared; the pairs that are left meet whole marks.
     """
-    folded = [functools.reduce(lambda x, y: x.bitwiseXOR(y), [F.col(c) for c in _SKETCH[i::FOLDED]]).alias(f"f{i}") for i in range(FOLDED)]
-    members = members.join(sketches.select(F.col("id").alias("x"), "n", *folded), "x")
+    members = members.join(sketches.select(F.col("id").alias("x"), "n", *method.coarse()), "x")
     left, right = (members.select([F.col(c).alias(f"{side}{c}") for c in members.columns]) for side in ("l_", "r_"))
-    n1, n2 = F.col("l_n"), F.col("r_n")
-    apart = sum((F.bit_count(F.col(f"l_f{i}").bitwiseXOR(F.col(f"r_f{i}"))) for i in range(FOLDED)), F.lit(0))
-    may = (F.col("l_of_x") != F.col("r_of_x")) & (4 * F.least(n1, n2) >= 3 * F.greatest(n1, n2)) & (7 * apart <= n1 + n2)
+    may = (F.col("l_of_x") != F.col("r_of_x")) & method.sizes("l_n", "r_n") & method.coarse_near("l_", "r_", method.share)
     pairs = left.where("l_open").join(right, (F.col("l_key") == F.col("r_key")) & may)
     pairs = _ordered(pairs.select(F.col("l_x").alias("a"), F.col("r_x").alias("b")))
-    return _within(pairs.join(tried, ["a", "b"], "left_anti"), sketches, []).select("a", "b")
+    return _within(pairs.join(tried, ["a", "b"], "left_anti"), sketches, [], method).select("a", "b")
+
+
+def _stars_of(plain: DataFrame, common, total: int, method: Method) -> DataFrame:
+    """The rows of :func:`_stars`.  The number of buckets grows with the keys, that of rows from a chunk and that of partitions don't beyond a bound."""
+    buckets = max(1, -(-total // BUCKET_KEYS))
+    per = -(-buckets // FAN)
+    groups = -(-buckets // per)
+    sent = plain.where("id is not null").select("text").mapInArrow(_keys(common, buckets, per, method.keys_from), _DEALT)
+    if per > 1:
+        sent = sent.repartition(groups, "bucket").sortWithinPartitions("bucket").mapInArrow(_dealt_again(buckets, per), _DEALT)
+    return sent.repartition(min(buckets, MOST_PARTS), "bucket").sortWithinPartitions("bucket").mapInArrow(_stars, "key bigint, rep bigint, cls bigint")
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", method: Method = PARITY) -> DataFrame:
     """One row for each row of ``docs``: id, n_shingles, component_id (of the id's type)."""
     spark = small_batches(docs.sparkSession)
+    done: list[str] = []
+    try:
+        return _near_duplicates(docs, id_column, method, done)
+    finally:
+        discard(spark, done)  # the components are checkpointed; only the profile is read from here on
+
+
+def _near_duplicates(docs: DataFrame, id_column: str, method: Method, done: list[str]) -> DataFrame:
+    spark = docs.sparkSession
     plain = docs.select(F.col(id_column).alias("id"), text_of(docs).alias("text"))
     kind = plain.schema["id"].dataType.simpleString()
-    profile = written(plain.mapInArrow(_profile, f"id {kind}, n bigint, hi bigint, lo bigint, shingle bigint, count bigint, {_SKETCH_SQL}"), "profile")
+    marks = ", ".join([*(f"{c} bigint" for c in method.marks), "wide array<bigint>"])
+    profile = written(plain.mapInArrow(_profile(method.longs, method.mark, method.wide), f"id {kind}, n bigint, hi bigint, lo bigint, shingle bigint, count bigint, {marks}"), "profile")
     mine = profile.where("n is not null").select("id", "n", "hi", "lo")
     hot = profile.where("shingle is not null").groupBy("shingle").agg(F.sum("count").alias("c")).orderBy(F.desc("c"), "shingle").limit(COMMON_MOST)
     common = spark.sparkContext.broadcast([r[0] for r in hot.select("shingle").collect()])
-    # Classes of equal sets, each with its smallest document.
-    roots = mine.where("n > 0 and id is not null").groupBy("hi", "lo").agg(F.min("id").alias("root"), F.max("n").alias("n"))
+    # Classes of equal sets, each with its smallest document.  They are written, so that joins to them shuffle both sides
+    # plainly: Spark then splits a partition that has a third of all documents for one class.
+    roots = written(mine.where("n > 0 and id is not null").groupBy("hi", "lo").agg(F.min("id").alias("root"), F.max("n").alias("n")), "classes")
 
-    total = mine.agg(F.sum("n")).first()[0] or 0
-    buckets = max(1, -(-total // BUCKET_KEYS))
-    sent = plain.where("id is not null").select("text").mapInArrow(_keys(common, buckets), _DEALT)
-    found = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_stars, "key bigint, rep bigint, cls bigint")
-    done: list[str] = []
-    found = written(found, "stars", done)
+    size = roots.agg(F.count("*"), F.sum("n")).first()
+    found = written(_stars_of(plain, common, method.keys_in_all(mine.agg(F.sum("n")).first()[0] or 0, size[0]), method), "stars", done)
     stars = found.where("key is not null")
     at = lambda c, to: roots.select(F.col("hi").alias(c), F.col("root").alias(to), F.col("n").alias(f"n_{to}"))
     pairs = stars.groupBy("rep", "cls").agg(F.count("*").alias("shared"))
     pairs = cut(pairs.join(at("rep", "a"), "rep").join(at("cls", "b"), "cls"))
     alike = F.col("a") != F.col("b")
-    between = pairs.where(alike & (4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b"))).groupBy("a", "b").agg(F.max("shared").alias("shared"))
+    between = pairs.where(alike & method.sizes("n_a", "n_b")).groupBy("a", "b").agg(F.max("shared").alias("shared"))
     needed, few = _ids(between)
-    sketches = written(profile.where("n > 0").join(F.broadcast(needed) if few else needed, "id", "left_semi").select("id", "n", *_SKETCH, "wide"), "sketches", done)
+    sketches = written(profile.where("n > 0").join(F.broadcast(needed) if few else needed, "id", "left_semi").select("id", "n", *method.marks, "wide"), "sketches", done)
     # A document with several texts (a repeated id) has several classes.
     several = mine.where("n > 0 and id is not null").join(roots.drop("n"), ["hi", "lo"]).where("id != root").select(F.col("id").alias("a"), F.col("root").alias("b"))
     several = several.join(roots.select(F.col("root").alias("a")).distinct(), "a", "left_semi")
-    # First each document with the representative that it shares most blocks with; then, where that
+    # First each document with the representative that it shares most lists with; then, where that
     # leaves two components apart, the other pairs.
-    near = cut(_within(between, sketches, ["shared"]))
+    near = cut(_within(between, sketches, ["shared"], method))
     best = near.groupBy("b").agg(F.min_by("a", F.struct(-F.col("shared"), "a")).alias("a"))
-    links = verified(best, plain)
+    links = verified(best, plain, method.share)
     comps = components(links.union(several))
     rest = _apart(near.join(best, ["a", "b"], "left_anti").select("a", "b"), comps)
-    comps = _joined(comps, verified(rest, plain))
-    # Blocks that still hold several components may hold links between members that aren't representatives, but a
+    comps = _joined(comps, verified(rest, plain, method.share))
+    # Lists that still hold several components may hold links between members that aren't representatives, but a
     # document that can do without them has no link to lose.  Other representatives settle most of the rest; what then
     # stays open is compared member by member.
     spare = found.where("key is null").select(F.col("cls").alias("hi"), F.col("rep").alias("spare")).join(roots.select("hi", F.col("root").alias("x")), "hi")
@@ -534,16 +643,16 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
             break
         new = cut(_other_stars(members, salt).join(tried, ["a", "b"], "left_anti"))
         tried = tried.union(new)
-        comps = _joined(comps, verified(_within(new, sketches, []).select("a", "b"), plain))
+        comps = _joined(comps, verified(_within(new, sketches, [], method).select("a", "b"), plain, method.share))
         members = cut(_mixed(members.select("key", "times", "x"), comps))
         members = cut(_around(members, _unsettled(members, spare)))
     if not members.isEmpty():
-        comps = _joined(comps, verified(_across(cut(_opened(members, spare)), tried, sketches), plain))
-    discard(spark, done)  # the components are checkpointed; only the profile is read from here on
+        comps = _joined(comps, verified(_across(cut(_opened(members, spare)), tried, sketches, method), plain, method.share))
     by_root = comps.withColumnRenamed("node", "root")
-    out = mine.join(roots.drop("n"), ["hi", "lo"], "left").join(by_root, "root", "left")
-    own = F.when(F.col("n") > 0, F.coalesce("component", "root")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), own).alias("component_id"))
+    classes = cut(roots.drop("n").join(by_root, "root", "left").select("hi", "lo", F.coalesce("component", "root").alias("component")))
+    some = mine.where("n > 0").join(classes, ["hi", "lo"], "left").select("id", "n", "component")
+    out = some.unionByName(mine.where("n = 0").select("id", "n", F.col("id").alias("component")))
+    return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.col("component")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:

@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fim, jaccard, language, packing, pii, quality, suffix_tree, toxicity, urls, warc, whiten
+from . import decontaminate, fim, jaccard, language, minhash, packing, pii, quality, suffix_tree, toxicity, urls, warc, whiten
 from .common import read_table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -66,6 +66,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op11_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten.by_component(read_table(spark, sf_dir, "embeddings"))
 
@@ -92,6 +96,7 @@ def queries():
         "op8_quality_rules": op8_quality_rules,
         "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
         "op10_best_fit_packing": op10_best_fit_packing,
+        "op11_minhash_near_dedup": op11_minhash_near_dedup,
         "op12_embedding_whitening": op12_embedding_whitening,
         "op13_fill_in_middle": op13_fill_in_middle,
         "benchmark_passages": benchmark_passages,
@@ -120,15 +125,17 @@ _BITS = ", ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr
 _OP2 = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages), f AS (SELECT h, min(page_id) AS root FROM p GROUP BY 1)
 SELECT page_id, strlen(html)::BIGINT AS payload_bytes, concat({_BITS}) AS payload_digest, CASE WHEN page_id = root THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> root THEN root END AS refers_to FROM p JOIN f USING (h)"""
 
-_OP9 = f"""WITH RECURSIVE d AS (SELECT doc_id, {_TOKENS} AS w FROM documents),
+_LINKED = f"""WITH RECURSIVE d AS (SELECT doc_id, {_TOKENS} AS w FROM documents),
 u AS (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS k, len(w) AS n FROM d WHERE len(w) > 0),
 g AS (SELECT doc_id, n, k, list(x) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS g FROM u),
 s AS (SELECT DISTINCT doc_id, md5(array_to_string(g, ' ')) AS g FROM g WHERE len(g) = least(5, n) AND (n >= 5 OR k = 0)),
 c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
 i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
-l AS (SELECT a, b FROM i JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b WHERE 100 * i.n >= 75 * (x.n + y.n - i.n)),
+l AS (SELECT a, b FROM i JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b WHERE 100 * i.n >= {{share}} * (x.n + y.n - i.n)),
 r AS (SELECT doc_id AS a, doc_id AS root FROM c UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.a WHERE r.root < l.b)
-SELECT d.doc_id, coalesce(c.n, 0)::BIGINT AS n_shingles, coalesce(m.root, d.doc_id) AS component_id FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN (SELECT a, min(root) AS root FROM r GROUP BY 1) m ON m.a = d.doc_id"""
+SELECT d.doc_id, coalesce(c.n, 0)::BIGINT AS n_shingles, coalesce(m.root, d.doc_id) AS component_id{{more}} FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN (SELECT a, min(root) AS root FROM r GROUP BY 1) m ON m.a = d.doc_id"""
+_OP9 = _LINKED.format(share=75, more="")
+_OP11 = _LINKED.format(share=85, more=", coalesce(m.root, d.doc_id) = d.doc_id AS kept")
 
 _UNITS = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+"
 _OP13 = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_UNITS}') AS u, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
@@ -140,4 +147,4 @@ sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || x ||
 
 
 def oracle_sql():
-    return {"op1_benchmark_decontamination": _OP1, "op2_warc": _OP2, "op9_ngram_jaccard_join": _OP9, "op13_fill_in_middle": _OP13}
+    return {"op1_benchmark_decontamination": _OP1, "op2_warc": _OP2, "op9_ngram_jaccard_join": _OP9, "op11_minhash_near_dedup": _OP11, "op13_fill_in_middle": _OP13}
