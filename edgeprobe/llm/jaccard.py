@@ -172,7 +172,6 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-_SKETCH = [f"s{i}" for i in range(SKETCH_LONGS)]
 _WIDE = pa.list_(pa.int64())
 
 
@@ -434,20 +433,22 @@ def verified(pairs: DataFrame, plain: DataFrame, share: int = SHARE) -> DataFram
     return found
 
 
-def _parity_near(left: str, right: str, share: int) -> Column:
-    """The bound on the symmetric difference, by sketches."""
-    apart = sum((F.bit_count(F.col(f"{left}{c}").bitwiseXOR(F.col(f"{right}{c}"))) for c in _SKETCH), F.lit(0))
+def parity_near(left: str, right: str, share: int, first: int = 0) -> Column:
+    """The bound on the symmetric difference, by sketches, which are the marks from ``first`` on."""
+    marks = [f"s{i}" for i in range(first, first + SKETCH_LONGS)]
+    apart = sum((F.bit_count(F.col(f"{left}{c}").bitwiseXOR(F.col(f"{right}{c}"))) for c in marks), F.lit(0))
     bits = F.aggregate(F.zip_with(f"{left}wide", f"{right}wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
     most = (100 - share) * (F.col(f"{left}n") + F.col(f"{right}n"))
     return ((100 + share) * apart <= most) & ((100 + share) * F.coalesce(bits, F.lit(0)) <= most)
 
 
-def _folded() -> list[Column]:
+def folded(first: int = 0) -> list[Column]:
     """The sketches folded to 512 bits."""
-    return [functools.reduce(lambda x, y: x.bitwiseXOR(y), [F.col(c) for c in _SKETCH[i::FOLDED]]).alias(f"f{i}") for i in range(FOLDED)]
+    marks = [f"s{i}" for i in range(first, first + SKETCH_LONGS)]
+    return [functools.reduce(lambda x, y: x.bitwiseXOR(y), [F.col(c) for c in marks[i::FOLDED]]).alias(f"f{i}") for i in range(FOLDED)]
 
 
-def _folded_near(left: str, right: str, share: int) -> Column:
+def folded_near(left: str, right: str, share: int) -> Column:
     apart = sum((F.bit_count(F.col(f"{left}f{i}").bitwiseXOR(F.col(f"{right}f{i}"))) for i in range(FOLDED)), F.lit(0))
     return (100 + share) * apart <= (100 - share) * (F.col(f"{left}n") + F.col(f"{right}n"))
 
@@ -456,7 +457,7 @@ def _block_keys_from(common: np.ndarray):
     return functools.partial(block_keys, common=np.sort(common))
 
 
-PARITY = Method(SHARE, SKETCH_LONGS, sketch, wide_sketch, _block_keys_from, lambda shingles, sets: shingles, _parity_near, _folded, _folded_near)
+PARITY = Method(SHARE, SKETCH_LONGS, sketch, wide_sketch, _block_keys_from, lambda shingles, sets: shingles, parity_near, folded, folded_near)
 
 
 def _within(pairs: DataFrame, sketches: DataFrame, more: list[str], method: Method) -> DataFrame:

@@ -4,7 +4,8 @@ A document's signature has ``COORDINATES`` numbers, each the smallest hash of it
 agree in a coordinate with the probability of their Jaccard similarity.  Documents are posted under (coordinate, value) pairs.
 
 *Match threshold.*  A pair is a candidate when at least ``MATCHES`` coordinates collide.  A pair that just links (85 hundredths) has fewer with a
-probability of 8 in a billion; candidates are confirmed on whole shingle sets.
+probability of 8 in a billion.  Pairs that are just below the similarity collide about as often, so a candidate's parity sketch has to be near enough as well (it is that of
+any linked pair, without exception), and what is left is confirmed on whole shingle sets.
 
 *Prefix.*  Each document's pairs are put into one global order, those of common shingles last and the most frequent of all at the very end.  Two documents with
 ``MATCHES`` collisions have at least 1 + ``SPARE`` of them among the first COORDINATES - MATCHES + 1 + ``SPARE`` pairs of each, so only these are
@@ -35,6 +36,7 @@ SHARE = 85
 #: Shingles whose hashes under all functions are held at once.
 _AT_ONCE = 4096
 
+_PAIRS = COORDINATES // 2
 _ODD = (mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * M) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _ADD = (mix(np.arange(1001, COORDINATES + 1001, dtype=np.uint64) * M) >> np.uint64(32)).astype(np.uint32)
 
@@ -56,10 +58,9 @@ def signature(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def mark(s: np.ndarray) -> np.ndarray:
-    """The signature, two coordinates in a number; zeros for an empty set."""
-    if not len(s):
-        return np.zeros(COORDINATES // 2, np.int64)
-    return signature(s)[0].view("<i8")
+    """The signature, two coordinates in a number (zeros for an empty set), and the parity sketch."""
+    low = signature(s)[0].view("<i8") if len(s) else np.zeros(_PAIRS, np.int64)
+    return np.concatenate([low, jaccard.sketch(s)])
 
 
 def posted(s: np.ndarray, common: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, int]:
@@ -84,23 +85,26 @@ def _posted_from(common: np.ndarray):
     return functools.partial(posted, common=common[order], rank=order)
 
 
-def _collisions(left: str, right: str, share: int) -> Column:
+def _collisions(left: str, right: str) -> Column:
     """Whether enough coordinates collide."""
-    pairs = [F.col(f"{left}s{i}").bitwiseXOR(F.col(f"{right}s{i}")) for i in range(COORDINATES // 2)]
+    pairs = [F.col(f"{left}s{i}").bitwiseXOR(F.col(f"{right}s{i}")) for i in range(_PAIRS)]
     same = lambda x: F.when(x == 0, F.lit(1)).otherwise(F.lit(0))
     count = sum((same(F.shiftrightunsigned(x, 32)) + same(x.bitwiseAND(F.lit(0xFFFFFFFF))) for x in pairs), F.lit(0))
     return count >= MATCHES
 
 
-def _whole() -> list[Column]:
-    return [F.col(f"s{i}") for i in range(COORDINATES // 2)]
+def _near(left: str, right: str, share: int) -> Column:
+    return jaccard.parity_near(left, right, share, _PAIRS) & _collisions(left, right)
 
 
-def _no_more(s: np.ndarray) -> None:
-    """A signature has no wider form."""
+def _coarse() -> list[Column]:
+    """The sketches folded to 512 bits."""
+    return jaccard.folded(_PAIRS)
 
 
-MINHASH = jaccard.Method(SHARE, COORDINATES // 2, mark, _no_more, _posted_from, lambda shingles, sets: sets * (COORDINATES - MATCHES + 1 + SPARE), _collisions, _whole, _collisions)
+MINHASH = jaccard.Method(
+    SHARE, _PAIRS + jaccard.SKETCH_LONGS, mark, jaccard.wide_sketch, _posted_from, lambda shingles, sets: sets * (COORDINATES - MATCHES + 1 + SPARE), _near, _coarse, jaccard.folded_near
+)
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
