@@ -9,7 +9,7 @@ from pathlib import Path
 from typing import Any
 
 from .errors import ConfigError
-from .operators.execution import BARS_PER_YEAR
+from .operators import execution
 from .operators.validation import Split
 
 
@@ -30,9 +30,7 @@ class Data:
 
     @property
     def bars_per_year(self) -> int:
-        if self.interval not in BARS_PER_YEAR:
-            raise ConfigError(f"unknown interval {self.interval!r}")
-        return BARS_PER_YEAR[self.interval]
+        return execution.bars_in_a_year(self.interval)
 
 
 # The defaults of labels, costs, sizing and models below.
@@ -70,18 +68,19 @@ class Sizing:
 
 @dataclass(frozen=True)
 class Model:
-    """``hgb``: boosted trees; ``logistic``: regression.  The further keys are those of the trees."""
+    """``hgb``: boosted trees; ``logistic``: regression, of which only ``l2`` is asked."""
 
-    kind: str = "logistic"
-    rounds: int = 100
+    kind: str = "hgb"
+    rounds: int = 300
     depth: int = 4
     step: float = 0.05
-    least: int = 20
+    least: int = 200
+    l2: float = 1.0
     seed: int = 0
 
     @property
     def params(self) -> dict[str, Any]:
-        return {} if self.kind == "logistic" else {"rounds": self.rounds, "depth": self.depth, "step": self.step, "least": self.least, "seed": self.seed}
+        return {"l2": self.l2} if self.kind == "logistic" else {"rounds": self.rounds, "depth": self.depth, "step": self.step, "least": self.least, "seed": self.seed}
 
 
 @dataclass(frozen=True)

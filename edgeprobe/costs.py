@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .operators import execution
+from .functions.windows import bars_window
+from .operators.features import log_returns
+from .sources.shared import materialised, removed
 
 
 def expected_move(sigma: float, hold: float) -> float:
@@ -31,31 +33,50 @@ def breakeven_hold(sigma: float, accuracy: float, trip: float) -> float:
     return (trip / (edge * sigma * math.sqrt(2 / math.pi))) ** 2 if edge > 0 and sigma > 0 else math.inf
 
 
-def measured_breakeven(bars: DataFrame, accuracy: float, trip: float, most: int = 8760) -> DataFrame:
-    """(symbol, hold): the least hold whose measured mean move pays the costs; NULL if up to ``most`` none does.
+def measured_breakeven(bars: DataFrame, accuracy: float, trip: float, most: int = 8760, levels: int = 4) -> DataFrame:
+    """(symbol, hold): the least hold, by bisection, whose measured mean move pays the costs; NULL if up to ``most`` none does.
 
-    Every symbol is bisected at the same time: a round is one pass over the bars, which measures the next hold of each symbol.
+    The bars are read once, into prefix sums of their returns; a move over h bars is a difference of two of these.  Every symbol is bisected at
+    the same time, and a round measures all holds that the next ``levels`` halvings may ask for, so a year of hours takes five rounds of one
+    join by symbol and place.  A hold longer than the history has no measured move, and counts as one that pays.
     """
-    edge = 2 * accuracy - 1
-    symbols = [r[0] for r in bars.select("symbol").distinct().collect()]  # one search state for each symbol
-    if edge <= 0:
-        return bars.sparkSession.createDataFrame([(s, None) for s in symbols], "symbol string, hold int")
-
-    def pays(holds: dict[str, int]) -> dict[str, bool]:
-        ask = sorted(set(holds.values()))
-        found = {(r["symbol"], r["hold"]): r["move"] for r in execution.mean_move(bars, ask).collect()}
-        # A hold longer than the history has no measured move, and counts as one that pays.
-        return {s: found.get((s, h)) is None or edge * found[s, h] >= trip for s, h in holds.items()}
-
-    at_one, at_most = pays(dict.fromkeys(symbols, 1)), pays(dict.fromkeys(symbols, most))
-    low, high = dict.fromkeys(symbols, 1), dict.fromkeys(symbols, most)
-    open_ = [s for s in symbols if not at_one[s] and at_most[s]]
-    while open_ := [s for s in open_ if high[s] - low[s] > 1]:
-        middle = {s: (low[s] + high[s]) // 2 for s in open_}
-        for s, ok in pays(middle).items():
-            (high if ok else low)[s] = middle[s]
-    rows = [(s, 1 if at_one[s] else high[s] if at_most[s] else None) for s in symbols]
-    return bars.sparkSession.createDataFrame(rows, "symbol string, hold int")
+    spark, edge = bars.sparkSession, 2 * accuracy - 1
+    w = bars_window().rowsBetween(Window.unboundedPreceding, 0)
+    sums = log_returns(bars).select("symbol", F.row_number().over(bars_window()).alias("at"), F.coalesce(F.sum("r").over(w), F.lit(0.0)).alias("upto"), F.count("r").over(w).alias("n"))
+    sums = materialised(sums, "returns", paths := [])
+    symbols = [r[0] for r in sums.select("symbol").distinct().collect()]  # one search state for each symbol
+    known: dict[tuple, float] = {}
+
+    def measure(holds: dict[str, set[int]]) -> None:
+        asked = [(s, h) for s, own in holds.items() for h in own]
+        ends = sums.join(spark.createDataFrame(asked, "symbol string, hold int"), "symbol")
+        starts = sums.select("symbol", F.col("at").alias("from"), F.col("upto").alias("before"), F.col("n").alias("n_before"))
+        both = ends.withColumn("from", F.col("at") - F.col("hold")).join(starts, ["symbol", "from"]).where("n - n_before = hold")
+        known.update({(r[0], r[1]): r[2] for r in both.groupBy("symbol", "hold").agg(F.avg(F.abs(F.col("upto") - F.col("before")))).collect()})
+
+    def pays(symbol: str, hold: int) -> bool:
+        return (symbol, hold) not in known or edge * known[symbol, hold] >= trip
+
+    def middles(low: int, high: int, deep: int) -> set[int]:
+        m = (low + high) // 2
+        return {m} | middles(low, m, deep - 1) | middles(m, high, deep - 1) if deep and high - low > 1 else set()
+
+    found: dict[str, int | None] = dict.fromkeys(symbols)
+    if edge > 0 and symbols:
+        measure({s: {1, most} for s in symbols})
+        found |= {s: 1 for s in symbols if pays(s, 1)}
+        spans = {s: (1, most) for s in symbols if not pays(s, 1) and pays(s, most)}
+        while open_ := {s: x for s, x in spans.items() if x[1] - x[0] > 1}:
+            measure({s: middles(*x, levels) for s, x in open_.items()})
+            for s, (low, high) in open_.items():
+                for _ in range(levels):
+                    if high - low > 1:
+                        m = (low + high) // 2
+                        low, high = (low, m) if pays(s, m) else (m, high)
+                spans[s] = low, high
+        found |= {s: x[1] for s, x in spans.items()}
+    removed(spark, paths)
+    return spark.createDataFrame(list(found.items()), "symbol string, hold int")
 
 
 def duration(hours: float) -> str:
@@ -81,6 +102,4 @@ def warnings(horizon: int, min_hold: int, sigma: float, trip: float) -> list[str
 
 def sigma(bars: DataFrame) -> float:
     """Standard deviation of log returns of all bars given."""
-    from .operators.features import log_returns
-
     return log_returns(bars).agg(F.stddev_samp("r")).first()[0] or 0.0

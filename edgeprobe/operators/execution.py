@@ -7,6 +7,7 @@ position costs its size times the rate.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import ConfigError
 from ..functions.nulls import clip, finite, safe_div, safe_ln
 from ..functions.windows import bars_window, roll, running, zscore
 from .. import stats
@@ -18,6 +19,13 @@ BARS_PER_YEAR = {"1m": 525_600, "5m": 105_120, "15m": 35_040, "30m": 17_520, "1h
 RATE = (10 + 2) / 1e4
 
 
+def bars_in_a_year(interval: str) -> int:
+    found = BARS_PER_YEAR.get(interval)
+    if found is None:
+        raise ConfigError(f"interval {interval!r} isn't one of {', '.join(BARS_PER_YEAR)}")
+    return found
+
+
 def buy_hold(bars: DataFrame) -> DataFrame:
     return bars.withColumn("pos", F.lit(1.0))
 

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from ..functions.nulls import finite, safe_div, safe_ln
 from ..functions.windows import lag, roll, skew, zscore
-from .scans import by_symbol
+from . import scans
+from .blocks import block_of, with_previous
 
 
 def log_returns(bars: DataFrame) -> DataFrame:
@@ -58,28 +59,26 @@ def calendar(rows: DataFrame) -> DataFrame:
 
 
 def smoothed(rows: DataFrame) -> DataFrame:
-    """rsi_14, atr_pct and macd_n: recursive means, so a symbol's bars are read in order by one Python call.
+    """(symbol, ts, rsi_14, atr_pct, macd_n): recursive means, folded over blocks of time without a Python call.
 
-    What that call holds is one symbol's few columns, not the table.
+    The signal line is a mean of a mean; with weights a and b it is a fixed combination of the two simple means, as both begin at the first close.
     """
-
-    def run(b):
-        import numpy as np
-
-        change = b["close"].diff()
-        mean = lambda x, a: x.ewm(alpha=a, adjust=False).mean()
-        rise, fall = mean(change.where(change > 0, change * 0), 1 / 14), mean((-change).where(change < 0, change * 0), 1 / 14)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            strength = 100 * rise / (rise + fall)
-        b["rsi_14"] = strength.where((rise + fall) != 0, np.where(rise.isna(), np.nan, 50.0))
-        before = b["close"].shift(1)
-        reach = np.fmax(np.fmax(b["high"] - b["low"], (b["high"] - before).abs()), (b["low"] - before).abs())
-        b["atr_pct"] = mean(reach, 1 / 14) / b["close"]
-        trend = mean(b["close"], 2 / 13) - mean(b["close"], 2 / 27)
-        b["macd_n"] = (trend - mean(trend, 2 / 10)) / b["close"]
-        return b[["symbol", "ts", "rsi_14", "atr_pct", "macd_n"]]
-
-    return by_symbol(rows.select("symbol", "ts", "high", "low", "close"), run, "symbol string, ts timestamp_ntz, rsi_14 double, atr_pct double, macd_n double")
+    b = rows.select("symbol", "ts", "high", "low", "close").withColumn("_block", block_of("ts"))
+    b = with_previous(b, ["close"], ["symbol"])
+    before, change = F.col("_prev.close"), F.col("close") - F.col("_prev.close")
+    rise, fall = (F.when(x > 0, x).when(x.isNotNull(), 0.0) for x in (change, -change))
+    reach = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
+    b = b.withColumns({"_rise": rise, "_fall": fall, "_reach": reach}).drop("_prev")
+    fast, slow, signal = 2 / 13, 2 / 27, 2 / 10
+    m = scans.means(b, {"_u": ("_rise", 1 / 14), "_d": ("_fall", 1 / 14), "_a": ("_reach", 1 / 14), "_f": ("close", fast), "_s": ("close", slow), "_g": ("close", signal)})
+    line = lambda mean, a: (F.lit(signal * (1 - a)) * F.col(mean) - F.lit(a * (1 - signal)) * F.col("_g")) / F.lit(signal - a)
+    moved = F.col("_u") + F.col("_d")
+    return m.select(
+        "symbol", "ts",
+        F.when(moved == 0, 50.0).otherwise(safe_div(100 * F.col("_u"), moved)).alias("rsi_14"),
+        safe_div("_a", "close").alias("atr_pct"),
+        safe_div(F.col("_f") - F.col("_s") - (line("_f", fast) - line("_s", slow)), F.col("close")).alias("macd_n"),
+    )
 
 
 def build(bars: DataFrame, with_smoothed: bool = True) -> DataFrame:

@@ -90,17 +90,14 @@ def top_book(panel: DataFrame, score: str, k: int = 3, rebalance: int = 42, allo
     A rebalance with fewer than 2k scores keeps the last book.  In between the book is held by symbols that are alive,
     each side at unit gross.
     """
-    block = F.floor(F.col("time_pos") / rebalance)
-    b = panel.withColumn("_block", block).withColumn("_open", F.col("time_pos") % rebalance == 0)
-    at = b.where("_open").withColumn("_n", F.count(score).over(at_time()))
+    n = F.count(score).over(at_time())
     best = F.row_number().over(at_time().orderBy(F.col(score).desc_nulls_last(), "symbol"))
     worst = F.row_number().over(at_time().orderBy(F.col(score).asc_nulls_last(), F.desc("symbol")))
     chosen = F.when(F.col(score).isNull(), 0.0).when(best <= k, 1.0 / k).when(F.lit(allow_short) & (worst <= k), -1.0 / k).otherwise(0.0)
-    at = at.withColumn("_w", F.when(F.col("_n") >= 2 * k, chosen))
-    past = Window.partitionBy("symbol").orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)
-    at = at.select("symbol", "_block", F.coalesce(F.last("_w", ignorenulls=True).over(past), F.lit(0.0)).alias("_held"))
-    b = b.join(at, ["symbol", "_block"], "left").withColumn("w", F.when(F.col("alive"), F.coalesce("_held", F.lit(0.0))).otherwise(0.0))
-    return neutralise(b.drop("_block", "_open", "_held"), "w", allow_short)
+    b = panel.withColumn("_w", F.when((F.col("time_pos") % rebalance == 0) & (n >= 2 * k), chosen))
+    past = Window.partitionBy("symbol").orderBy("time_pos").rowsBetween(Window.unboundedPreceding, 0)
+    held = F.coalesce(F.last("_w", ignorenulls=True).over(past), F.lit(0.0))
+    return neutralise(b.withColumn("w", F.when(F.col("alive"), held).otherwise(0.0)).drop("_w"), "w", allow_short)
 
 
 def equal_book(panel: DataFrame, rebalance: int = 42) -> DataFrame:

@@ -38,9 +38,9 @@ def hours(spark, sf_dir):
 
 
 def nations(spark, sf_dir):
-    """The dense panel with a simple reversal score, written once: books, ranks and labels read it several times."""
+    """The dense panel with a simple reversal score; only its bars are written, since a grid reads them three times."""
     p = panel.prices(src.dense(src.nation_bars(spark, sf_dir)))
-    return materialised(p.withColumn("score", lag("lo", 3, order="time_pos") - F.col("lo")), "panel")
+    return p.withColumn("score", lag("lo", 3, order="time_pos") - F.col("lo"))
 
 
 # ---- sources
@@ -773,7 +773,15 @@ def leaky_and_honest(spark, sf_dir):
 # ---- costs
 
 
-@query("symbol hold&")
+_MOVES = S.EL + """, cm AS (SELECT symbol, lc, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS at FROM el),
+mv AS (SELECT a.symbol, h, avg(abs(a.lc - b.lc)) AS move FROM cm a, (SELECT unnest(range(1, 241)) AS h) JOIN cm b ON b.symbol = a.symbol AND b.at = a.at - h GROUP BY 1, 2),
+ps AS (SELECT symbol, h, coalesce(0.1 * move >= 0.0024, true) AS ok FROM (SELECT DISTINCT symbol FROM cm) JOIN (SELECT unnest(range(1, 241)) AS h) ON true LEFT JOIN mv USING (symbol, h)),
+bi AS (SELECT s.symbol, CASE WHEN o.ok THEN 0 ELSE 1 END AS low, CASE WHEN o.ok THEN 1 ELSE 240 END AS high, m.ok OR o.ok AS pays FROM (SELECT DISTINCT symbol FROM cm) s JOIN ps o ON o.symbol = s.symbol AND o.h = 1 JOIN ps m ON m.symbol = s.symbol AND m.h = 240
+ UNION ALL SELECT bi.symbol, CASE WHEN ok THEN low ELSE h END, CASE WHEN ok THEN h ELSE high END, pays FROM bi JOIN ps ON ps.symbol = bi.symbol AND ps.h = (low + high) // 2 WHERE high - low > 1),
+bh AS (SELECT symbol, CASE WHEN bool_and(pays) THEN min(high) END AS hold FROM bi GROUP BY 1)"""
+
+
+@query("symbol hold&", _MOVES, "bh")
 def breakeven_hold(spark, sf_dir):
     return costs.measured_breakeven(hours(spark, sf_dir), 0.55, costs.round_trip(), most=240)
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..errors import ConfigError
 
@@ -22,8 +23,28 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialised(df: DataFrame, what: str = "frame") -> DataFrame:
-    """The frame written as Parquet and read again: its lineage is cut, and each later use scans only the columns it needs."""
+def materialised(df: DataFrame, what: str = "frame", paths: list[str] | None = None) -> DataFrame:
+    """The frame written as Parquet and read again: its lineage is cut, and each later use scans only the columns it needs.
+
+    ``paths`` gets its path, for :func:`removed`.
+    """
     path = f"{shared_dir(df.sparkSession)}/edgeprobe/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if paths is not None:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fingerprint(df: DataFrame) -> str:
+    """What tells a frame's content from another's, whatever the order of its rows: their number and sums of their hashes, by one aggregation."""
+    hashes = [F.xxhash64(*df.columns), F.xxhash64(F.lit(1), *df.columns)]
+    r = df.agg(F.count("*"), *[F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0)) for h in hashes]).first()
+    return "|".join(map(str, r))
+
+
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written frames that nothing reads any more, through Spark's own file system."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    paths.clear()
