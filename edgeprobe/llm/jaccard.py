@@ -195,9 +195,9 @@ class Method:
     coarse: Callable[[], list[Column]]
     coarse_near: Callable[[str, str, int], Column]
 
-    @property
-    def marks(self) -> list[str]:
-        return [f"s{i}" for i in range(self.longs)]
+    def opened(self, df: DataFrame) -> DataFrame:
+        """Profiles with a column for each number of their marks, s0, s1, ...; written, they are one array, for each column of a file takes a writer's memory."""
+        return df.select("id", "n", "wide", *[F.get("mark", F.lit(i)).alias(f"s{i}") for i in range(self.longs)])
 
     def sizes(self, left: str, right: str) -> Column:
         """The condition on sizes that every link meets."""
@@ -213,7 +213,7 @@ def _profile(longs: int, mark, wide_mark):
 
 def _profiles(longs: int, mark, wide_mark, batches):
     """A row for each document (id, n, digest, mark), and rows (shingle, count) for what is common in a chunk."""
-    names = ["id", "n", "hi", "lo", "shingle", "count", *(f"s{i}" for i in range(longs)), "wide"]
+    names = ["id", "n", "hi", "lo", "shingle", "count", "mark", "wide"]
     held: dict[tuple[int, int], np.ndarray] = {}
     size, kind = 0, None
 
@@ -224,7 +224,7 @@ def _profiles(longs: int, mark, wide_mark, batches):
         counts = np.diff(np.append(starts, len(found)))
         hot = counts >= max(COMMON_LEAST, COMMON_SHARE * len(held))
         none = pa.nulls(int(hot.sum()), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.nulls(len(none), kind), *[none] * 3, _signed(found[starts[hot]]), pa.array(counts[hot].astype(np.int64)), *[none] * longs, pa.nulls(len(none), _WIDE)], names=names)
+        return pa.RecordBatch.from_arrays([pa.nulls(len(none), kind), *[none] * 3, _signed(found[starts[hot]]), pa.array(counts[hot].astype(np.int64)), pa.nulls(len(none), _WIDE), pa.nulls(len(none), _WIDE)], names=names)
 
     for part in few_at_a_time(batches, 1):
         kind = part.column(0).type
@@ -244,8 +244,8 @@ def _profiles(longs: int, mark, wide_mark, batches):
                     size = 0
         n, hi, lo = (pa.array(np.array([r[i] for r in rows], np.int64)) for i in range(3))
         none = pa.nulls(len(rows), pa.int64())
-        bits = np.array(bits, np.int64).reshape(len(rows), longs)
-        yield pa.RecordBatch.from_arrays([part.column(0), n, hi, lo, none, none, *(pa.array(bits[:, i].copy()) for i in range(longs)), pa.array(wide, _WIDE)], names=names)
+        bits = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * longs), pa.array(np.array(bits, np.int64).reshape(-1)))
+        yield pa.RecordBatch.from_arrays([part.column(0), n, hi, lo, none, none, bits, pa.array(wide, _WIDE)], names=names)
     if held:
         yield flush()
 
@@ -463,8 +463,9 @@ PARITY = Method(SHARE, SKETCH_LONGS, sketch, wide_sketch, _block_keys_from, lamb
 def _within(pairs: DataFrame, sketches: DataFrame, more: list[str], method: Method) -> DataFrame:
     """The pairs (a, b) that may link by sizes and sketches; grouped, as a repeated id has several sketches (no further
     shuffle, since the pairs are dealt by ``b`` already)."""
-    side = lambda c, name: sketches.select(F.col("id").alias(c), *[F.col(x).alias(f"{name}{x}") for x in ("n", *method.marks, "wide")])
-    both = pairs.join(side("a", "l_"), "a").join(side("b", "r_"), "b").where(method.may_link("l_", "r_"))
+    side = lambda c, name: sketches.select(F.col("id").alias(c), *[F.col(x).alias(f"{name}{x}") for x in ("n", "mark", "wide")])
+    both = pairs.join(side("a", "l_"), "a").join(side("b", "r_"), "b")
+    both = both.withColumns({f"{name}s{i}": F.get(f"{name}mark", F.lit(i)) for name in ("l_", "r_") for i in range(method.longs)}).where(method.may_link("l_", "r_"))
     return both.groupBy("a", "b").agg(F.count("*").alias("_rows"), *[F.max(c).alias(c) for c in more]).drop("_rows")
 
 
@@ -567,7 +568,7 @@ def _across(members: DataFrame, tried: DataFrame, sketches: DataFrame, method: M
 
     Within a list only the sizes and the coarse marks are compared; the pairs that are left meet whole marks.
     """
-    members = members.join(sketches.select(F.col("id").alias("x"), "n", *method.coarse()), "x")
+    members = members.join(method.opened(sketches).select(F.col("id").alias("x"), "n", *method.coarse()), "x")
     left, right = (members.select([F.col(c).alias(f"{side}{c}") for c in members.columns]) for side in ("l_", "r_"))
     may = (F.col("l_of_x") != F.col("r_of_x")) & method.sizes("l_n", "r_n") & method.coarse_near("l_", "r_", method.share)
     pairs = left.where("l_open").join(right, (F.col("l_key") == F.col("r_key")) & may)
@@ -600,8 +601,7 @@ def _near_duplicates(docs: DataFrame, id_column: str, method: Method, done: list
     spark = docs.sparkSession
     plain = docs.select(F.col(id_column).alias("id"), text_of(docs).alias("text"))
     kind = plain.schema["id"].dataType.simpleString()
-    marks = ", ".join([*(f"{c} bigint" for c in method.marks), "wide array<bigint>"])
-    profile = written(plain.mapInArrow(_profile(method.longs, method.mark, method.wide), f"id {kind}, n bigint, hi bigint, lo bigint, shingle bigint, count bigint, {marks}"), "profile")
+    profile = written(plain.mapInArrow(_profile(method.longs, method.mark, method.wide), f"id {kind}, n bigint, hi bigint, lo bigint, shingle bigint, count bigint, mark array<bigint>, wide array<bigint>"), "profile")
     mine = profile.where("n is not null").select("id", "n", "hi", "lo")
     hot = profile.where("shingle is not null").groupBy("shingle").agg(F.sum("count").alias("c")).orderBy(F.desc("c"), "shingle").limit(COMMON_MOST)
     common = spark.sparkContext.broadcast([r[0] for r in hot.select("shingle").collect()])
@@ -618,7 +618,7 @@ def _near_duplicates(docs: DataFrame, id_column: str, method: Method, done: list
     alike = F.col("a") != F.col("b")
     between = pairs.where(alike & method.sizes("n_a", "n_b")).groupBy("a", "b").agg(F.max("shared").alias("shared"))
     needed, few = _ids(between)
-    sketches = written(profile.where("n > 0").join(F.broadcast(needed) if few else needed, "id", "left_semi").select("id", "n", *method.marks, "wide"), "sketches", done)
+    sketches = written(profile.where("n > 0").join(F.broadcast(needed) if few else needed, "id", "left_semi").select("id", "n", "mark", "wide"), "sketches", done)
     # A document with several texts (a repeated id) has several classes.
     several = mine.where("n > 0 and id is not null").join(roots.drop("n"), ["hi", "lo"]).where("id != root").select(F.col("id").alias("a"), F.col("root").alias("b"))
     several = several.join(roots.select(F.col("root").alias("a")).distinct(), "a", "left_semi")
