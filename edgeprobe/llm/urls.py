@@ -1,8 +1,11 @@
 """URL filter: rules first, then naive Bayes over the words of host and path.
 
 A host such as ``cheappillsonline.example`` is split into words by a unigram Viterbi search: of all ways to
-split a run of letters the most probable one under word frequencies counted over the text of all pages.  Names of hosts
-and addresses in that text aren't words: they would make every host that is named somewhere a word of its own.
+split a run of letters the most probable one.  Its last label, the suffix, stays whole.  Word frequencies come from the text of all pages (entities decoded; names of hosts
+and addresses in it aren't words, or every host that is named somewhere would be a word of its own), from the paths of all URLs, and
+from hosts: a part of a label counts once for each host that has it, less one unless hyphens part it somewhere, so ``example``
+and ``free`` (of ``free-bets``) are words, and a name that only its own host has isn't.  A piece that no word is costs as one rarer than any, by the lengths
+that words have and by the letter; pieces of under ``LEAST`` letters aren't parted off.
 Multinomial naive Bayes then scores the words of the host and of the path.  Its labels are the verdicts of the
 rules on the URLs that they fit, so nothing but rules and pages is needed.
 
@@ -10,9 +13,12 @@ Every word and token counts, however rare, and no model is collected: URLs are w
 counts of the pieces that its own runs of letters have, then for those of its tokens, each once, and the answers come by
 shuffles.  Words and tokens are told by 64-bit hashes.
 
+Other columns of the pages are not read and don't come back, whatever their names.
+
 Cases: a null URL or one without "://" has an empty host and path, fits no rule and gets the verdict of
 the classes' shares; without any URL that fits a rule every verdict of the method is allow, as are ties; very long URLs and
-pages are read whole, a long run of letters in time that grows with its length and the number of lengths that words have; repeated rows get
+pages are read whole, a long run of letters in time that grows with its length and the number of lengths that words have, its pieces being sent on as they are
+made; repeated rows get
 equal results; an empty table gives an empty result.
 """
 
@@ -25,6 +31,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass
+from html import unescape
 
 import pyarrow as pa
 import xxhash
@@ -44,6 +51,8 @@ RULES = (
 )
 #: Pages and bytes of URLs of a chunk, at least a page each.
 CHUNK_PAGES, CHUNK_BYTES = 5_000, 1 << 19
+#: Letters of a word inside a longer run, at least.
+LEAST = 3
 _PIECE, _TOKEN = 0, 1
 _URL = re.compile(r"://([^/?#]*)([^?#]*)")
 _LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -86,13 +95,18 @@ class Rules:
 
 
 class Splitter:
-    """Unigram Viterbi over word log-probabilities; unknown pieces cost more the longer they are."""
+    """Unigram Viterbi over word log-probabilities.
+
+    A piece that is no word costs as a word rarer than any seen, times the chance of its length (geometric, with the mean length of the
+    different words) and of just these letters.
+    """
 
-    def __init__(self, words: dict[str, int], total: int):
-        total = max(total, 1)
+    def __init__(self, words: dict[str, int], total: int, mean: float = 8.0):
+        total, mean = max(total, 1), max(mean, 1.1)
         self.cost = {w: math.log(total / c) for w, c in words.items()}
-        self.lengths = sorted({len(w) for w in words})
-        self.unknown = math.log(total) + 1.0
+        self.lengths = sorted({len(w) for w in words if len(w) >= LEAST})
+        self.unknown = math.log(total) + 1.0 + math.log(mean)
+        self.letter = math.log(26) + math.log(mean / (mean - 1))
         self.seen: dict[str, tuple[str, ...]] = {}
 
     def split(self, run: str) -> tuple[str, ...]:
@@ -104,12 +118,14 @@ class Splitter:
         return found
 
     def _search(self, run: str) -> tuple[str, ...]:
+        if len(run) < LEAST:
+            return (run,) if run else ()
         # For each place the least cost up to it and where the last piece begins, and the same if that piece is unknown.
         cost, back, open_cost, open_back = [0.0], [0], [math.inf], [0]
-        get = self.cost.get
+        get, unknown, letter = self.cost.get, self.unknown, self.letter
         for end in range(1, len(run) + 1):
-            fresh, longer = cost[-1] + self.unknown, open_cost[-1]
-            at, best = (end - 1, fresh + 2.3) if fresh <= longer else (open_back[-1], longer + 2.3)
+            fresh, longer = cost[-1] + unknown, open_cost[-1]
+            at, best = (end - 1, fresh + letter) if fresh <= longer else (open_back[-1], longer + letter)
             open_cost.append(best)
             open_back.append(at)
             for n in self.lengths:
@@ -128,12 +144,19 @@ class Splitter:
         return tuple(reversed(out))
 
 
+def _apart(host: str) -> tuple[str, str]:
+    """A host's name and its suffix (the last label)."""
+    name, _, suffix = host.rpartition(".")
+    return name, suffix
+
+
 def tokens(host: str, path: str, splitter: Splitter) -> list[str]:
     """Words of host and path, marked by where they are; numbers by their length."""
-    out = []
-    for place, s in (("h", host), ("p", path.lower())):
+    out, (name, suffix) = [], _apart(host)
+    for place, s in (("h", name), ("p", path.lower())):
         for run in _SPLIT.findall(s):
             out += [f"{place}:#{len(run)}"] if run[0].isdigit() else [f"{place}:{w}" for w in splitter.split(run.lower())]
+    out += [f"h:{suffix}"] if suffix else []
     labels = host.rsplit(".", 2)
     return [*out, f"t:{labels[-1]}", f"d:{'.'.join(labels[-2:])}"]
 
@@ -141,8 +164,8 @@ def tokens(host: str, path: str, splitter: Splitter) -> list[str]:
 def _count_words(batches):
     seen: Counter = Counter()
     for b in few_at_a_time(batches, 0):
-        for html in b.column(0).to_pylist():
-            seen.update(_WORD.findall(_NAME.sub(" ", _TAGS.sub(" ", html or "").lower())))
+        for page in b.column(0).to_pylist():
+            seen.update(_WORD.findall(_NAME.sub(" ", unescape(_TAGS.sub(" ", page or "")).lower())))
             if len(seen) > 200_000:
                 yield _counted(seen)
                 seen.clear()
@@ -155,6 +178,30 @@ def _counted(seen: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["h", "n", "c"])
 
 
+def _url_words(batches):
+    """From URLs: (h, n, c, host) of the words of paths, and of the parts of hosts with the host's hash, where c is 1 for parts between hyphens."""
+    for b in few_at_a_time(batches, 0):
+        paths: Counter = Counter()
+        hosts: set[tuple[str, str, bool]] = set()
+        for url in b.column(0).to_pylist():
+            host, path = parts(url)
+            paths.update(x for x in _SPLIT.findall(path.lower()) if not x[0].isdigit())
+            hosts.update((x, host, "-" in label) for label in _apart(host)[0].split(".") for x in _SPLIT.findall(label) if not x[0].isdigit())
+        rows = [(_hash(w), len(w), c, None) for w, c in paths.items()] + [(_hash(w), len(w), int(parted), _hash(host)) for w, host, parted in hosts]
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["h", "n", "c", "host"])
+
+
+def word_counts(pages: DataFrame) -> DataFrame:
+    """(h, n, c): the hash, the length and the weight of each word of pages, paths and hosts."""
+    text = pages.select("html").mapInArrow(_count_words, "h bigint, n int, c bigint")
+    urls = pages.select("url").mapInArrow(_url_words, "h bigint, n int, c bigint, host bigint")
+    paths = urls.where("host is null").select("h", "n", "c")
+    named = urls.where("host is not null").groupBy("h", "n", "host").agg(F.max("c").alias("parted"))
+    shared = named.groupBy("h", "n").agg((F.count("*") - 1 + F.max("parted")).alias("c"))
+    return text.unionByName(paths).unionByName(shared).groupBy("h").agg(F.first("n").alias("n"), F.sum("c").alias("c")).where("c > 0")
+
+
 def _hash(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) - 2**63
 
@@ -182,14 +229,17 @@ def _runs(urls: Iterable[str | None]) -> set[str]:
     """The runs of letters that ``tokens`` has split."""
     out: set[str] = set()
     for host, path in map(parts, urls):
-        out.update(x.lower() for s in (host, path.lower()) for x in _SPLIT.findall(s) if not x[0].isdigit())
+        out.update(x.lower() for s in (_apart(host)[0], path.lower()) for x in _SPLIT.findall(s) if not x[0].isdigit())
     return out
 
 
 def _pieces(run: str, lengths: list[int]):
+    """What may be a word inside a run; a run of fewer letters stays whole without being asked for."""
     for n in lengths:
         if n > len(run):
             return
+        if n < LEAST:
+            continue
         for at in range(len(run) - n + 1):
             yield run[at : at + n]
 
@@ -197,10 +247,19 @@ def _pieces(run: str, lengths: list[int]):
 def _ask_pieces(batches, lengths: list[int]):
     for b in batches:
         for chunk, urls in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            asked = list({_hash(x) for run in _runs(urls) for x in _pieces(run, lengths)})
-            for at in range(0, len(asked), 200_000):
-                some = asked[at : at + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(some), pa.int64()), pa.array(some, pa.int64())], names=["chunk", "h"])
+            asked: set[int] = set()
+            for run in _runs(urls):
+                for x in _pieces(run, lengths):
+                    asked.add(_hash(x))
+                    if len(asked) >= 100_000:
+                        yield _asked(chunk, asked)
+                        asked.clear()
+            if asked:
+                yield _asked(chunk, asked)
+
+
+def _asked(chunk: int, hashes: set[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([chunk] * len(hashes), pa.int64()), pa.array(list(hashes), pa.int64())], names=["chunk", "h"])
 
 
 def _told(answers: pa.Table, kind: int) -> dict[int, tuple[int, int]]:
@@ -208,21 +267,21 @@ def _told(answers: pa.Table, kind: int) -> dict[int, tuple[int, int]]:
     return {h: (a, b) for k, h, a, b in rows if k == kind}
 
 
-def _splitter(urls: list[str | None], answers: pa.Table, lengths: list[int], total: int) -> Splitter:
+def _splitter(urls: list[str | None], answers: pa.Table, kinds: dict[int, int], total: int) -> Splitter:
     """One that knows those words that a chunk's runs have as pieces."""
     found, words = _told(answers, _PIECE), {}
     for run in _runs(urls) if found else ():
-        for x in _pieces(run, lengths):
+        for x in _pieces(run, sorted(kinds)):
             if (c := found.get(_hash(x))) is not None:
                 words[x] = c[0]
-    return Splitter(words, total)
+    return Splitter(words, total, sum(n * c for n, c in kinds.items()) / max(1, sum(kinds.values())))
 
 
-def _count_tokens(rules: Rules, lengths: list[int], total: int):
+def _count_tokens(rules: Rules, kinds: dict[int, int], total: int):
     def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         """Each token of a chunk with its counts in URLs that a rule allows and blocks; the empty one counts URLs."""
         urls = chunk["urls"][0].as_py()
-        splitter = _splitter(urls, answers, lengths, total)
+        splitter = _splitter(urls, answers, kinds, total)
         seen: dict[str, list[int]] = {}
         for url in urls:
             host, path = parts(url)
@@ -259,10 +318,10 @@ class Bayes:
         return base + sum(odds.get(_hash(t), unknown) for t in found) > 0
 
 
-def _judge(rules: Rules, model: Bayes, lengths: list[int], total: int):
+def _judge(rules: Rules, model: Bayes, kinds: dict[int, int], total: int):
     def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         urls = chunk["urls"][0].as_py()
-        splitter = _splitter(urls, answers, lengths, total)
+        splitter = _splitter(urls, answers, kinds, total)
         odds = {h: model.odds(*c) for h, c in _told(answers, _TOKEN).items()}
         rows = []
         for url in urls:
@@ -282,16 +341,16 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     kind, buckets = pages.schema["page_id"].dataType.simpleString(), int(spark.conf.get("spark.sql.shuffle.partitions"))
     names = [f"edgeprobe_{x}_{uuid.uuid4().hex}" for x in ("urls", "answers")]
     paths = [shared_path(spark, x) for x in ("urls", "answers")]
-    counts = pages.select("html").mapInArrow(_count_words, "h bigint, n int, c bigint").groupBy("h").agg(F.first("n").alias("n"), F.sum("c").alias("c"))
-    counts = cut(counts)
+    counts = cut(word_counts(pages))
     total = counts.agg(F.sum("c")).first()[0] or 0
-    lengths = sorted(r["n"] for r in counts.select("n").distinct().collect())
+    kinds = {r["n"]: r["count"] for r in counts.groupBy("n").count().collect()}  # a number for each length of a word
+    lengths = sorted(kinds)
     try:
         chunks = bucketed(pages.select("page_id", "url").mapInArrow(_chunks, f"chunk bigint, ids array<{kind}>, urls array<string>"), names[0], paths[0], buckets)
         asked = chunks.select("chunk", "urls").mapInArrow(lambda batches: _ask_pieces(batches, lengths), "chunk bigint, h bigint")
         answer = lambda df, of, a, b: df.select("chunk", F.lit(of).alias("kind"), "h", a.alias("a"), b.alias("b")).repartition(buckets, "chunk")
         answers = bucketed(answer(asked.join(counts, "h"), _PIECE, F.col("c"), F.lit(0).cast("long")), names[1], paths[1], buckets)
-        uses = cut(by_chunk(chunks, answers, _count_tokens(ready, lengths, total), "chunk bigint, h bigint, a bigint, b bigint"))
+        uses = cut(by_chunk(chunks, answers, _count_tokens(ready, kinds, total), "chunk bigint, h bigint, a bigint, b bigint"))
         seen = cut(uses.groupBy("h").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("a + b > 0"))
         first = F.col("h") == _hash("")
         sums = seen.agg(*(F.sum(F.when(c, F.col(x))) for c in (first, ~first) for x in ("a", "b")), F.count(F.when(~first, 1))).first()
@@ -299,7 +358,7 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
         told = uses.select("chunk", "h").join(seen, "h")
         answers = bucketed(answer(told, _TOKEN, F.col("a"), F.col("b")), names[1], paths[1], buckets)
         schema = f"page_id {kind}, host string, path string, rule string, verdict string, words string"
-        return written(by_chunk(chunks, answers, _judge(ready, model, lengths, total), schema), "verdicts")
+        return written(by_chunk(chunks, answers, _judge(ready, model, kinds, total), schema), "verdicts")
     finally:
         for name in names:
             spark.sql(f"DROP TABLE IF EXISTS {name}")

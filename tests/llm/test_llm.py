@@ -597,13 +597,30 @@ def test_url_words():
     long = urls.Splitter({"wonderful" * 4: 9, "day": 5, "a": 40}, 1000)
     assert long.split("wonderful" * 4 + "day") == ("wonderful" * 4, "day")
     rng = random.Random(3)
-    price = lambda words: sum(long.cost.get(w, long.unknown + 2.3 * len(w)) for w in words)
+    known = lambda w: long.cost[w] if len(w) >= urls.LEAST and w in long.cost else long.unknown + long.letter * len(w)
+    price = lambda words: sum(map(known, words))
     for _ in range(200):
-        run = "".join(rng.choice(["day", "a", "q", "wonder"]) for _ in range(rng.randrange(1, 5)))
+        run = "day" + "".join(rng.choice(["day", "a", "q", "wonder"]) for _ in range(rng.randrange(1, 5)))
         ways = [[run[i:j] for i, j in zip((0, *cuts), (*cuts, len(run)), strict=True)] for n in range(min(4, len(run))) for cuts in itertools.combinations(range(1, len(run)), n)]
         assert price(long.split(run)) <= min(map(price, ways)) + 1e-9
 
 
+def test_words_of_the_pages(spark):
+    """On the driver's pages one word stays one word, the suffix whole; entities are no words; two words that are written together come apart."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    more = spark.createDataFrame([(10**9 + k, f"http://{name}.example.com/en/1", None) for k, name in enumerate(["freebets", "cheappills", "wincasino", "free", "x"])], pages.schema)
+    got = {r.page_id: r for r in urls.judge(pages.unionByName(more)).collect()}
+    split = {r.host: r.words.split() for r in got.values()}
+    for host, words in split.items():
+        labels = [x for label in host.split(".") for x in label.split("-")]
+        assert {x for x in labels if x in ("example", "com", "net", "org", "free", "cheap", "win", "casino", "bets", "pills", "www", "blog", "m")} <= set(words), (host, words)
+        assert words[-1] == labels[-1] and not {"amp", "nbsp", "quot"} & set(words)
+    assert split["freebets.example.com"] == ["free", "bets", "example", "com"]
+    assert split["cheappills.example.com"] == ["cheap", "pills", "example", "com"]
+    counts = {r.h: r.c for r in urls.word_counts(pages).collect()}
+    assert counts.get(urls._hash("amp"), 0) < 20
+
+
 def test_hosts_named_in_the_text_are_no_words(spark):
     """A host that pages name in their text is split all the same, into words that stand by themselves."""
     html = "<p>cheap things and pills</p><footer>(c) cheappills.example.net mail@cheappills.com http://cheappills.org/x</footer>" + "<p>filler words here</p>" * 5
