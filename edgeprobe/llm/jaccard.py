@@ -433,13 +433,17 @@ def verified(pairs: DataFrame, plain: DataFrame, share: int = SHARE) -> DataFram
     return found
 
 
-def parity_near(left: str, right: str, share: int, first: int = 0) -> Column:
+def sketches_near(left: str, right: str, share: int, first: int = 0) -> Column:
     """The bound on the symmetric difference, by sketches, which are the marks from ``first`` on."""
     marks = [f"s{i}" for i in range(first, first + SKETCH_LONGS)]
     apart = sum((F.bit_count(F.col(f"{left}{c}").bitwiseXOR(F.col(f"{right}{c}"))) for c in marks), F.lit(0))
+    return (100 + share) * apart <= (100 - share) * (F.col(f"{left}n") + F.col(f"{right}n"))
+
+
+def parity_near(left: str, right: str, share: int, first: int = 0) -> Column:
+    """The same by the longer sketches of large sets, too."""
     bits = F.aggregate(F.zip_with(f"{left}wide", f"{right}wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    most = (100 - share) * (F.col(f"{left}n") + F.col(f"{right}n"))
-    return ((100 + share) * apart <= most) & ((100 + share) * F.coalesce(bits, F.lit(0)) <= most)
+    return sketches_near(left, right, share, first) & ((100 + share) * F.coalesce(bits, F.lit(0)) <= (100 - share) * (F.col(f"{left}n") + F.col(f"{right}n")))
 
 
 def folded(first: int = 0) -> list[Column]:

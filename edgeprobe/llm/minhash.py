@@ -98,12 +98,16 @@ def _near(left: str, right: str, share: int) -> Column:
 
 
 def _coarse() -> list[Column]:
-    """The sketches folded to 512 bits."""
-    return jaccard.folded(_PAIRS)
+    """The sketches, folded to 512 bits and whole."""
+    return [*jaccard.folded(_PAIRS), *(F.col(f"s{i}") for i in range(_PAIRS, _PAIRS + jaccard.SKETCH_LONGS))]
+
+
+def _coarse_near(left: str, right: str, share: int) -> Column:
+    return jaccard.folded_near(left, right, share) & jaccard.sketches_near(left, right, share, _PAIRS)
 
 
 MINHASH = jaccard.Method(
-    SHARE, _PAIRS + jaccard.SKETCH_LONGS, mark, jaccard.wide_sketch, _posted_from, lambda shingles, sets: sets * (COORDINATES - MATCHES + 1 + SPARE), _near, _coarse, jaccard.folded_near
+    SHARE, _PAIRS + jaccard.SKETCH_LONGS, mark, jaccard.wide_sketch, _posted_from, lambda shingles, sets: sets * (COORDINATES - MATCHES + 1 + SPARE), _near, _coarse, _coarse_near
 )
 
 
