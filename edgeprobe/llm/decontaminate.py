@@ -12,7 +12,8 @@ split into blocks, scanned one after the other.
 
 Cases: null and empty texts have no words; an item without words has no window; a null item id counts as the empty
 text; equal windows of several items count for each of them; very long texts are scanned whole, in memory that
-grows with them; repeated rows get equal results; an empty table or benchmark gives no hits.
+grows with them; repeated rows get equal results; an empty table or benchmark gives no hits.  Other columns of the documents are kept by ``mark`` and ``clean``; one that is called like a
+column that ``mark`` adds (``bm_...``) is replaced by it.  Other columns of the benchmark are not read.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ matrix with (landmark presence x weights), which is the product with all landmar
 Cases: null texts and texts without a letter are ``und`` with score 0, and so is every text if nothing can be
 learnt; ties go to the language that sorts first; very long texts are read whole; repeated rows get equal
 results, and an id that comes with several texts is learnt from by the one that sorts first; ids may be numbers or
-text; an empty table gives an empty result.
+text; an empty table gives an empty result.  Other columns are not read and don't come back, whatever their names.
 """
 
 from __future__ import annotations

@@ -12,6 +12,7 @@ last open bins: on the 64,866 pieces of check_s (63,477,957 tokens, at least 30,
 
 Cases: a null or empty text is one piece, the end id alone; very long texts are tokenised whole and cut; repeated
 rows are packed once each; ties in free space go to the bin that reached it last; an empty table gives an empty result.
+Other columns are not read and don't come back, whatever their names.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ before the span add to it, words such as "order" take away.  Offsets are code po
 
 Cases: a null text counts as empty; empty texts have no spans; very long texts are scanned whole in
 linear time (runs are taken possessively, an address is found from its "@" backwards); repeated rows
-get equal results; an empty table gives an empty result.
+get equal results; an empty table gives an empty result.  Other columns are kept; one that is called ``pii`` or ``pii_redacted`` is
+replaced by the new one (the pipeline renames such columns before and after).
 """
 
 from __future__ import annotations

@@ -10,6 +10,7 @@ Cases: null and empty texts have no feature and get the intercept's score; rows
 learnt from; without a label of either class the score is the share of toxic labels, or 0; a score of exactly one half
 is predicted 1; very long texts are read whole, in memory that grows with them; repeated rows get equal results, and
 an id with several labels counts as toxic if any is 1; ids may be numbers or text; an empty table gives an empty result.
+Other columns of documents and labels are not read and don't come back, whatever their names.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ Cases: a null payload counts as empty, a null URL as empty; empty payloads are e
 of equal payloads the smallest id is the response; white space in a URL or a type is percent-encoded in the header
 line and decoded again; repeated ids give as many records, of which a row that repeats a response is a response;
 rows with a null id are written as responses and never referred to; ids may be numbers or text; a very long payload
-is a line and a file of its own, held whole; an empty table gives an archive without records.
+ends its line, which it may share with up to ``LINE_BYTES`` of records before it, and a file has ``FILE_LINES`` lines, held whole; an empty
+table gives an archive without records.  Other columns of the pages are not read, whatever their names.
 """
 
 from __future__ import annotations
