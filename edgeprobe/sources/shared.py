@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -26,12 +28,11 @@ def shared_dir(spark: SparkSession) -> str:
 def materialised(df: DataFrame, what: str = "frame", paths: list[str] | None = None) -> DataFrame:
     """The frame written as Parquet and read again: its lineage is cut, and each later use scans only the columns it needs.
 
-    ``paths`` gets its path, for :func:`removed`.
+    ``paths`` gets its path, for :func:`removed`; without it the files go when the program ends, as results may be read from them until then.
     """
     path = f"{shared_dir(df.sparkSession)}/edgeprobe/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if paths is not None:
-        paths.append(path)
+    (_left.setdefault(id(df.sparkSession), (df.sparkSession, []))[1] if paths is None else paths).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -42,6 +43,16 @@ def fingerprint(df: DataFrame) -> str:
     return "|".join(map(str, r))
 
 
+_left: dict[int, tuple[SparkSession, list[str]]] = {}
+
+
+@atexit.register
+def _at_end() -> None:
+    for spark, paths in _left.values():
+        with contextlib.suppress(Exception):  # the session's JVM may be gone, and its folder with it
+            removed(spark, paths)
+
+
 def removed(spark: SparkSession, paths: list[str]) -> None:
     """Delete written frames that nothing reads any more, through Spark's own file system."""
     for path in paths:
