@@ -204,7 +204,10 @@ class Band:
 
 
 def scan(rows: DataFrame, x: str | dict[str, str], out: dict[str, object], by: list[str] | None = None, order: str = "ts", days: int = DAYS) -> DataFrame:
-    """Add the position of each machine of ``out`` (by its column), all in one pass over ``x`` (or over the column that ``x`` names for each)."""
+    """Add the position of each machine of ``out`` (by its column), all in one pass over ``x`` (or over the column that ``x`` names for each).
+
+    Rows without a key or a time have no place in a history and are left out.
+    """
     import pandas as pd
 
     by, machines = by or ["symbol"], list(out.values())
