@@ -194,10 +194,12 @@ class Method:
     near: Callable[[str, str, int], Column]
     coarse: Callable[[], list[Column]]
     coarse_near: Callable[[str, str, int], Column]
+    #: Whether ``near`` reads the numbers of marks as columns s0, s1, ...; else it reads the array.
+    columns: bool = True
 
     def opened(self, df: DataFrame) -> DataFrame:
         """Profiles with a column for each number of their marks, s0, s1, ...; written, they are one array, for each column of a file takes a writer's memory."""
-        return df.select("id", "n", "wide", *[F.get("mark", F.lit(i)).alias(f"s{i}") for i in range(self.longs)])
+        return df.select("id", "n", "mark", "wide", *[F.get("mark", F.lit(i)).alias(f"s{i}") for i in range(self.longs)])
 
     def sizes(self, left: str, right: str) -> Column:
         """The condition on sizes that every link meets."""
@@ -433,17 +435,13 @@ def verified(pairs: DataFrame, plain: DataFrame, share: int = SHARE) -> DataFram
     return found
 
 
-def sketches_near(left: str, right: str, share: int, first: int = 0) -> Column:
-    """The bound on the symmetric difference, by sketches, which are the marks from ``first`` on."""
-    marks = [f"s{i}" for i in range(first, first + SKETCH_LONGS)]
+def parity_near(left: str, right: str, share: int) -> Column:
+    """The bound on the symmetric difference, by sketches."""
+    marks = [f"s{i}" for i in range(SKETCH_LONGS)]
     apart = sum((F.bit_count(F.col(f"{left}{c}").bitwiseXOR(F.col(f"{right}{c}"))) for c in marks), F.lit(0))
-    return (100 + share) * apart <= (100 - share) * (F.col(f"{left}n") + F.col(f"{right}n"))
-
-
-def parity_near(left: str, right: str, share: int, first: int = 0) -> Column:
-    """The same by the longer sketches of large sets, too."""
     bits = F.aggregate(F.zip_with(f"{left}wide", f"{right}wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    return sketches_near(left, right, share, first) & ((100 + share) * F.coalesce(bits, F.lit(0)) <= (100 - share) * (F.col(f"{left}n") + F.col(f"{right}n")))
+    most = (100 - share) * (F.col(f"{left}n") + F.col(f"{right}n"))
+    return ((100 + share) * apart <= most) & ((100 + share) * F.coalesce(bits, F.lit(0)) <= most)
 
 
 def folded(first: int = 0) -> list[Column]:
@@ -469,7 +467,9 @@ def _within(pairs: DataFrame, sketches: DataFrame, more: list[str], method: Meth
     shuffle, since the pairs are dealt by ``b`` already)."""
     side = lambda c, name: sketches.select(F.col("id").alias(c), *[F.col(x).alias(f"{name}{x}") for x in ("n", "mark", "wide")])
     both = pairs.join(side("a", "l_"), "a").join(side("b", "r_"), "b")
-    both = both.withColumns({f"{name}s{i}": F.get(f"{name}mark", F.lit(i)) for name in ("l_", "r_") for i in range(method.longs)}).where(method.may_link("l_", "r_"))
+    if method.columns:
+        both = both.withColumns({f"{name}s{i}": F.get(f"{name}mark", F.lit(i)) for name in ("l_", "r_") for i in range(method.longs)})
+    both = both.where(method.may_link("l_", "r_"))
     return both.groupBy("a", "b").agg(F.count("*").alias("_rows"), *[F.max(c).alias(c) for c in more]).drop("_rows")
 
 

@@ -85,29 +85,40 @@ def _posted_from(common: np.ndarray):
     return functools.partial(posted, common=common[order], rank=order)
 
 
+def _apart(left: Column, right: Column) -> Column:
+    """How many bits of two sketches differ."""
+    return F.aggregate(F.zip_with(left, right, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+
+
 def _collisions(left: str, right: str) -> Column:
-    """Whether enough coordinates collide."""
-    pairs = [F.col(f"{left}s{i}").bitwiseXOR(F.col(f"{right}s{i}")) for i in range(_PAIRS)]
+    """How many coordinates collide."""
+    pairs = F.zip_with(*(F.slice(f"{side}mark", 1, _PAIRS) for side in (left, right)), lambda x, y: x.bitwiseXOR(y))
     same = lambda x: F.when(x == 0, F.lit(1)).otherwise(F.lit(0))
-    count = sum((same(F.shiftrightunsigned(x, 32)) + same(x.bitwiseAND(F.lit(0xFFFFFFFF))) for x in pairs), F.lit(0))
-    return count >= MATCHES
+    return F.aggregate(pairs, F.lit(0), lambda n, x: n + same(F.shiftrightunsigned(x, 32)) + same(x.bitwiseAND(F.lit(0xFFFFFFFF))))
+
+
+def _few(apart: Column, left: str, right: str, share: int) -> Column:
+    """Whether linked sets of these sizes may differ so much."""
+    return (100 + share) * apart <= (100 - share) * (F.col(f"{left}n") + F.col(f"{right}n"))
 
 
 def _near(left: str, right: str, share: int) -> Column:
-    return jaccard.parity_near(left, right, share, _PAIRS) & _collisions(left, right)
+    whole = _apart(*(F.slice(f"{side}mark", _PAIRS + 1, jaccard.SKETCH_LONGS) for side in (left, right)))
+    wide = F.coalesce(_apart(F.col(f"{left}wide"), F.col(f"{right}wide")), F.lit(0))
+    return (_collisions(left, right) >= MATCHES) & _few(whole, left, right, share) & _few(wide, left, right, share)
 
 
 def _coarse() -> list[Column]:
     """The sketches, folded to 512 bits and whole."""
-    return [*jaccard.folded(_PAIRS), *(F.col(f"s{i}") for i in range(_PAIRS, _PAIRS + jaccard.SKETCH_LONGS))]
+    return [*jaccard.folded(_PAIRS), F.slice("mark", _PAIRS + 1, jaccard.SKETCH_LONGS).alias("sketch")]
 
 
 def _coarse_near(left: str, right: str, share: int) -> Column:
-    return jaccard.folded_near(left, right, share) & jaccard.sketches_near(left, right, share, _PAIRS)
+    return jaccard.folded_near(left, right, share) & _few(_apart(F.col(f"{left}sketch"), F.col(f"{right}sketch")), left, right, share)
 
 
 MINHASH = jaccard.Method(
-    SHARE, _PAIRS + jaccard.SKETCH_LONGS, mark, jaccard.wide_sketch, _posted_from, lambda shingles, sets: sets * (COORDINATES - MATCHES + 1 + SPARE), _near, _coarse, _coarse_near
+    SHARE, _PAIRS + jaccard.SKETCH_LONGS, mark, jaccard.wide_sketch, _posted_from, lambda shingles, sets: sets * (COORDINATES - MATCHES + 1 + SPARE), _near, _coarse, _coarse_near, False
 )
 
 
