@@ -196,6 +196,8 @@ class Method:
     coarse_near: Callable[[str, str, int], Column]
     #: Whether ``near`` reads the numbers of marks as columns s0, s1, ...; else it reads the array.
     columns: bool = True
+    #: How often lists that hold several components get other representatives before their members are compared.
+    rounds: int = OTHER_STARS
 
     def opened(self, df: DataFrame) -> DataFrame:
         """Profiles with a column for each number of their marks, s0, s1, ...; written, they are one array, for each column of a file takes a writer's memory."""
@@ -643,7 +645,7 @@ def _near_duplicates(docs: DataFrame, id_column: str, method: Method, done: list
     blocks = _blocks(stars.join(pairs, ["rep", "cls"]).select("key", "a", "b").where(alike))
     members = cut(_mixed(blocks, comps))
     members = cut(_around(members, _unsettled(members, spare)))
-    for salt in range(1, 1 + OTHER_STARS):
+    for salt in range(1, 1 + method.rounds):
         if members.isEmpty():
             break
         new = cut(_other_stars(members, salt).join(tried, ["a", "b"], "left_anti"))

@@ -33,6 +33,8 @@ from .hashing import GOLD, M, mix
 COORDINATES, MATCHES, SPARE = 64, 36, 19
 #: Hundredths of the union that the intersection of linked sets has at least.
 SHARE = 85
+#: How often lists of several components get other representatives: groups of near copies are joined by these before any members are compared.
+ROUNDS = 3
 #: Shingles whose hashes under all functions are held at once.
 _AT_ONCE = 4096
 
@@ -118,7 +120,7 @@ def _coarse_near(left: str, right: str, share: int) -> Column:
 
 
 MINHASH = jaccard.Method(
-    SHARE, _PAIRS + jaccard.SKETCH_LONGS, mark, jaccard.wide_sketch, _posted_from, lambda shingles, sets: sets * (COORDINATES - MATCHES + 1 + SPARE), _near, _coarse, _coarse_near, False
+    SHARE, _PAIRS + jaccard.SKETCH_LONGS, mark, jaccard.wide_sketch, _posted_from, lambda shingles, sets: sets * (COORDINATES - MATCHES + 1 + SPARE), _near, _coarse, _coarse_near, False, ROUNDS
 )
 
 
