@@ -124,7 +124,7 @@ def summarize(result: DataFrame, bars_per_year: int, by: list[str], order: str =
     root = F.lit(year**0.5)
     total = F.exp("_sum") - 1
     zero = lambda x: F.coalesce(finite(x), F.lit(0.0))
-    cagr = F.pow(1 + total, F.lit(year) / F.col("bars")) - 1
+    cagr = F.pow(F.exp("_sum"), F.lit(year) / F.col("bars")) - 1  # not by 1 + total, which has few digits left after a near-total loss
     return g.select(
         *by,
         "bars",

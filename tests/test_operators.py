@@ -166,6 +166,13 @@ def test_no_edge_in_a_random_walk(spark):
     assert all(abs(r["t_stat"]) < 3.5 for r in rows)
 
 
+def test_growth_after_a_near_total_loss(spark):
+    """The yearly growth keeps its digits where 1 + total_return has few left."""
+    r = execution.backtest(execution.buy_hold(bars(spark, [1.0] * 2000)), 0.0).withColumn("net", F.lit(-0.0133)).withColumn("equity", F.lit(1.0))
+    (s,) = execution.summarize(r, 365, ["symbol"]).collect()
+    assert s.cagr + 1 == pytest.approx(math.exp(-0.0133 * 365), rel=1e-9)
+
+
 def test_models_take_every_symbol(spark):
     """Each symbol's folds and drops are those of a run over its bars alone, whatever their number."""
     walk = lambda seed, n: (100 * np.exp(np.cumsum(np.random.default_rng(seed).normal(0, 0.01, n)))).tolist()
