@@ -29,6 +29,8 @@ several components get other representatives, once.  Most documents are done the
 has more than n/3 blocks that hold a single component has met every partner that it vouches for.  Only
 the documents for which that isn't so are compared with those members of their blocks that are in
 other components, and each of them does without as many of its largest blocks as it has to spare.
+That happens inside tasks, on whole sketches: a block first gives only pairs that join its components one after
+another (at most one for each member), then, as some of these don't link, whatever pairs are left between components.
 
 Cases: null and empty texts, and those of white space, have no set and are linked with nothing;
 texts of fewer words than a shingle are one shingle; very long texts are read whole, in memory that grows with
@@ -72,6 +74,8 @@ SKETCH_LONGS, FOLDED = 64, 8
 OTHER_STARS = 1
 #: Edges in a partition while components are found, about.
 EDGES = 200_000
+#: Most members of a list, about, whose sketches are compared in one task; rows and pairs that such a task holds at once.
+PART, ROWS_HELD, PAIRS_HELD = 2000, 10_000, 200_000
 #: Documents in hundredths of the union that their intersection has at least.
 SHARE = 75
 #: Sets over so many shingles have a longer sketch, too.
@@ -181,8 +185,7 @@ class Method:
 
     ``keys_from`` gets the common shingles, the most frequent first, and returns what gives a set's keys and how many of their
     lists it can do without.  ``mark`` gives a set's mark (``longs`` whole numbers, ``wide`` further ones or none); ``near`` says of the
-    columns of two marks whether their sets may link, ``coarse`` has the columns that are compared within a list, and ``coarse_near`` is
-    its test.
+    columns of two marks whether their sets may link, and ``bits`` has the parity sketch in a mark, by which a list's members are compared.
     """
 
     share: int
@@ -192,17 +195,12 @@ class Method:
     keys_from: Callable[[np.ndarray], Callable[[np.ndarray], tuple[np.ndarray, int]]]
     keys_in_all: Callable[[int, int], int]
     near: Callable[[str, str, int], Column]
-    coarse: Callable[[], list[Column]]
-    coarse_near: Callable[[str, str, int], Column]
+    bits: Callable[[], Column]
     #: Whether ``near`` reads the numbers of marks as columns s0, s1, ...; else it reads the array.
     columns: bool = True
     #: How often lists that hold several components get other representatives before their members are compared.
     rounds: int = OTHER_STARS
 
-    def opened(self, df: DataFrame) -> DataFrame:
-        """Profiles with a column for each number of their marks, s0, s1, ...; written, they are one array, for each column of a file takes a writer's memory."""
-        return df.select("id", "n", "mark", "wide", *[F.get("mark", F.lit(i)).alias(f"s{i}") for i in range(self.longs)])
-
     def sizes(self, left: str, right: str) -> Column:
         """The condition on sizes that every link meets."""
         return 100 * F.least(left, right) >= self.share * F.greatest(left, right)
@@ -446,22 +444,11 @@ def parity_near(left: str, right: str, share: int) -> Column:
     return ((100 + share) * apart <= most) & ((100 + share) * F.coalesce(bits, F.lit(0)) <= most)
 
 
-def folded(first: int = 0) -> list[Column]:
-    """The sketches folded to 512 bits."""
-    marks = [f"s{i}" for i in range(first, first + SKETCH_LONGS)]
-    return [functools.reduce(lambda x, y: x.bitwiseXOR(y), [F.col(c) for c in marks[i::FOLDED]]).alias(f"f{i}") for i in range(FOLDED)]
-
-
-def folded_near(left: str, right: str, share: int) -> Column:
-    apart = sum((F.bit_count(F.col(f"{left}f{i}").bitwiseXOR(F.col(f"{right}f{i}"))) for i in range(FOLDED)), F.lit(0))
-    return (100 + share) * apart <= (100 - share) * (F.col(f"{left}n") + F.col(f"{right}n"))
-
-
 def _block_keys_from(common: np.ndarray):
     return functools.partial(block_keys, common=np.sort(common))
 
 
-PARITY = Method(SHARE, SKETCH_LONGS, sketch, wide_sketch, _block_keys_from, lambda shingles, sets: shingles, parity_near, folded, folded_near)
+PARITY = Method(SHARE, SKETCH_LONGS, sketch, wide_sketch, _block_keys_from, lambda shingles, sets: shingles, parity_near, lambda: F.col("mark"))
 
 
 def _within(pairs: DataFrame, sketches: DataFrame, more: list[str], method: Method) -> DataFrame:
@@ -569,17 +556,134 @@ def _other_stars(members: DataFrame, salt: int) -> DataFrame:
     return _ordered(both.select(F.col("x").alias("a"), F.col("rep.x").alias("b")))
 
 
-def _across(members: DataFrame, tried: DataFrame, sketches: DataFrame, method: Method) -> DataFrame:
+def _near_in_list(n, of, is_open, first, bits, share: int):
+    """Pairs (i, j) of a list's members, a few rows at a time, and their room: how far they are within the bounds on sizes and sketches.
+
+    Only members of different components, of which one is open, are compared; with ``first`` only those that have it with those that haven't.
+    """
+    rows, cols = (np.arange(len(n)),) * 2 if first is None else (np.flatnonzero(first), np.flatnonzero(~first))
+    if not len(rows) or not len(cols):
+        return
+    small = np.bitwise_xor.reduce(bits.reshape(len(n), -1, FOLDED), axis=1)
+    step = max(1, PAIRS_HELD // len(cols))
+    for at in range(0, len(rows), step):
+        r = rows[at : at + step]
+        may = (of[r][:, None] != of[cols]) & (100 * np.minimum(n[r][:, None], n[cols]) >= share * np.maximum(n[r][:, None], n[cols]))
+        if not is_open.all():
+            may &= is_open[r][:, None] | is_open[cols]
+        if first is None:
+            may &= r[:, None] < cols
+        i, j = np.nonzero(may)
+        i, j = r[i], cols[j]
+        for marks, held in ((small, PAIRS_HELD), (bits, PAIRS_HELD * FOLDED // bits.shape[1])):
+            room = np.empty(len(i), np.int64)
+            for k in range(0, len(i), held):
+                a, b = i[k : k + held], j[k : k + held]
+                room[k : k + held] = (100 - share) * (n[a] + n[b]) - (100 + share) * np.bitwise_count(marks[a] ^ marks[b]).sum(axis=1, dtype=np.int64)
+            i, j, room = i[room >= 0], j[room >= 0], room[room >= 0]
+        if len(i):
+            yield i, j, room
+
+
+def _forest(i, j, room, of):
+    """Of these pairs those, the roomiest first, that join components which the ones before them leave apart (Boruvka's rounds)."""
+    order = np.lexsort((j, i, -room))
+    i, j, room = i[order], j[order], room[order]
+    known, ends = np.unique(np.concatenate([of[i], of[j]]), return_inverse=True)
+    a, b = np.split(ends, 2)
+    top, live, chosen = np.arange(len(known)), np.arange(len(i)), []
+    while True:
+        live = live[top[a[live]] != top[b[live]]]
+        if not len(live):
+            break
+        x, y = top[a[live]], top[b[live]]
+        best = np.full(len(known), len(live))
+        for end in (x, y):
+            seen, where = np.unique(end, return_index=True)
+            best[seen] = np.minimum(best[seen], where)
+        picked = np.unique(best[best < len(live)])
+        chosen.append(live[picked])
+        part = {}
+        for u, v in zip(x[picked].tolist(), y[picked].tolist(), strict=True):
+            while part.get(u, u) != u:
+                u = part[u]
+            while part.get(v, v) != v:
+                v = part[v]
+            part[max(u, v)] = min(u, v)
+        up = np.arange(len(known))
+        for u in sorted(part):  # each hangs on a smaller one, which is done
+            up[u] = up[part[u]]
+        top = up[top]
+    kept = np.concatenate(chosen) if chosen else live
+    return i[kept], j[kept], room[kept]
+
+
+def _compare(share: int, whole: bool, batches):
+    """Pairs (a, b) from rows sorted by list (and parts of it): those that sizes and sketches don't rule out; unless ``whole``, only a list's forest of them."""
+
+    def pairs_of(rows, s, e, of, n, is_open, crossed, first, bits):
+        near = _near_in_list(n[s:e], of[s:e], is_open[s:e], first[s:e] if crossed[s] else None, bits[s:e], share)
+        if whole:
+            return [(i + s, j + s) for i, j, _ in near]
+        held: list[tuple] = []
+        for found in near:
+            held.append(found)
+            if sum(len(f[0]) for f in held) > PAIRS_HELD:
+                held = [_forest(*(np.concatenate(x) for x in zip(*held, strict=True)), of[s:e])]
+        if not held:
+            return []
+        i, j, _ = _forest(*(np.concatenate(x) for x in zip(*held, strict=True)), of[s:e])
+        return [(i + s, j + s)]
+
+    def flush(rows, ends):
+        column = {name: rows.column(name).combine_chunks() for name in rows.schema.names}
+        of = column["of_x"].dictionary_encode().indices.to_numpy()
+        n = column["n"].to_numpy()
+        is_open, first = (column[c].to_numpy(zero_copy_only=False) for c in ("open", "first"))
+        crossed = column["low"].to_numpy() != column["high"].to_numpy()
+        bits = column["sketch"].flatten().to_numpy().view(np.uint64).reshape(len(n), -1)
+        for s, e in zip([0, *ends[:-1]], ends, strict=True):
+            if e - s > 1 and is_open[s:e].any() and (of[s:e] != of[s]).any():
+                for i, j in pairs_of(rows, s, e, of, n, is_open, crossed, first, bits):
+                    yield pa.RecordBatch.from_arrays([column["x"].take(pa.array(i)), column["x"].take(pa.array(j))], names=["a", "b"])
+
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.num_rows
+        if size >= ROWS_HELD:
+            rows = pa.Table.from_batches(held)
+            ends = _list_ends(rows)
+            if len(ends) > 1:  # the last list may go on
+                yield from flush(rows.slice(0, ends[-2]), ends[:-1])
+                rows = rows.slice(ends[-2])
+            held, size = rows.to_batches(), rows.num_rows
+    if size:
+        rows = pa.Table.from_batches(held)
+        yield from flush(rows, _list_ends(rows))
+
+
+def _list_ends(rows: pa.Table) -> list[int]:
+    named = [rows.column(c).combine_chunks().to_numpy() for c in ("key", "low", "high")]
+    new = functools.reduce(np.logical_or, [x[1:] != x[:-1] for x in named])
+    return [*(np.flatnonzero(new) + 1).tolist(), rows.num_rows]
+
+
+def _across(members: DataFrame, tried: DataFrame, sketches: DataFrame, method: Method, whole: bool) -> DataFrame:
     """Pairs (a, b) of different components that share a list with one of them open, may link by size and mark, and weren't tried.
 
-    Within a list only the sizes and the coarse marks are compared; the pairs that are left meet whole marks.
+    Unless ``whole``, only pairs that join a list's components, one after another.  A list's members come to one task, which compares sketches
+    and gives the pairs that are left; those of a list of more than ``PART`` are dealt into parts, and each pair of parts comes to a task.
     """
-    members = members.join(method.opened(sketches).select(F.col("id").alias("x"), "n", *method.coarse()), "x")
-    left, right = (members.select([F.col(c).alias(f"{side}{c}") for c in members.columns]) for side in ("l_", "r_"))
-    may = (F.col("l_of_x") != F.col("r_of_x")) & method.sizes("l_n", "r_n") & method.coarse_near("l_", "r_", method.share)
-    pairs = left.where("l_open").join(right, (F.col("l_key") == F.col("r_key")) & may)
-    pairs = _ordered(pairs.select(F.col("l_x").alias("a"), F.col("r_x").alias("b")))
-    return _within(pairs.join(tried, ["a", "b"], "left_anti"), sketches, [], method).select("a", "b")
+    parts = F.ceil(F.col("size") / PART).cast("int")
+    lists = members.groupBy("key").agg(F.count("*").alias("size"), F.max("open").alias("any")).where("any").select("key", parts.alias("parts"))
+    rows = members.join(lists, "key").join(sketches.select(F.col("id").alias("x"), "n", method.bits().alias("sketch")), "x")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("x"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), (F.col("part") < F.col("other")).alias("first"), "x", "of_x", "open", "n", "sketch")
+    kind = members.schema["x"].dataType.simpleString()
+    group = ["key", "low", "high"]
+    pairs = rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(functools.partial(_compare, method.share, whole), f"a {kind}, b {kind}")
+    return _within(_ordered(pairs).join(tried, ["a", "b"], "left_anti"), sketches, [], method).select("a", "b")
 
 
 def _stars_of(plain: DataFrame, common, total: int, method: Method) -> DataFrame:
@@ -653,8 +757,17 @@ def _near_duplicates(docs: DataFrame, id_column: str, method: Method, done: list
         comps = _joined(comps, verified(_within(new, sketches, [], method).select("a", "b"), plain, method.share))
         members = cut(_mixed(members.select("key", "times", "x"), comps))
         members = cut(_around(members, _unsettled(members, spare)))
-    if not members.isEmpty():
-        comps = _joined(comps, verified(_across(cut(_opened(members, spare)), tried, sketches, method), plain, method.share))
+    # First pairs that join the components of a list, one after another; then all that are left between components, as some of the first don't link.
+    for whole in (False, True):
+        if members.isEmpty():
+            break
+        opened = cut(_opened(members, spare))
+        new = cut(_across(opened, tried, sketches, method, whole))
+        comps = _joined(comps, verified(new, plain, method.share))
+        if not whole:
+            tried = tried.union(new)
+            members = cut(_mixed(members.select("key", "times", "x"), comps))
+            members = cut(_around(members, _unsettled(members, spare)))
     by_root = comps.withColumnRenamed("node", "root")
     classes = cut(roots.drop("n").join(by_root, "root", "left").select("hi", "lo", F.coalesce("component", "root").alias("component")))
     some = mine.where("n > 0").join(classes, ["hi", "lo"], "left").select("id", "n", "component")

@@ -33,8 +33,6 @@ from .hashing import GOLD, M, mix
 COORDINATES, MATCHES, SPARE = 64, 36, 19
 #: Hundredths of the union that the intersection of linked sets has at least.
 SHARE = 85
-#: How often lists of several components get other representatives: groups of near copies are joined by these before any members are compared.
-ROUNDS = 3
 #: Shingles whose hashes under all functions are held at once.
 _AT_ONCE = 4096
 
@@ -110,17 +108,13 @@ def _near(left: str, right: str, share: int) -> Column:
     return (_collisions(left, right) >= MATCHES) & _few(whole, left, right, share) & _few(wide, left, right, share)
 
 
-def _coarse() -> list[Column]:
-    """The sketches, folded to 512 bits and whole."""
-    return [*jaccard.folded(_PAIRS), F.slice("mark", _PAIRS + 1, jaccard.SKETCH_LONGS).alias("sketch")]
-
-
-def _coarse_near(left: str, right: str, share: int) -> Column:
-    return jaccard.folded_near(left, right, share) & _few(_apart(F.col(f"{left}sketch"), F.col(f"{right}sketch")), left, right, share)
+def _bits() -> Column:
+    """The parity sketch."""
+    return F.slice("mark", _PAIRS + 1, jaccard.SKETCH_LONGS)
 
 
 MINHASH = jaccard.Method(
-    SHARE, _PAIRS + jaccard.SKETCH_LONGS, mark, jaccard.wide_sketch, _posted_from, lambda shingles, sets: sets * (COORDINATES - MATCHES + 1 + SPARE), _near, _coarse, _coarse_near, False, ROUNDS
+    SHARE, _PAIRS + jaccard.SKETCH_LONGS, mark, jaccard.wide_sketch, _posted_from, lambda shingles, sets: sets * (COORDINATES - MATCHES + 1 + SPARE), _near, _bits, False
 )
 
 

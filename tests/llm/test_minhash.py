@@ -4,6 +4,7 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from edgeprobe.llm import jaccard, minhash
@@ -135,6 +136,53 @@ def test_dealing_costs_what_the_chunk_has():
     assert content(again) == content(once)
 
 
+def _list_of(m, seed):
+    """A list's rows: members within and beyond the bound of each other, each a component of its own."""
+    rng = np.random.default_rng(seed)
+    base = np.unique(rng.integers(0, 2**63, 100).astype(np.uint64))
+    sets = []
+    for _ in range(m):
+        s = base.copy()
+        s[rng.choice(len(s), rng.integers(0, 14), replace=False)] = rng.choice(2**62 + np.arange(300, dtype=np.uint64) * 7919, 1)
+        sets.append(np.unique(s))
+    bits = np.array([jaccard.sketch(s) for s in sets]).view(np.uint64)
+    n = np.array([len(s) for s in sets])
+    apart = np.bitwise_count(bits[:, None] ^ bits[None]).sum(axis=2, dtype=np.int64)
+    near = (185 * apart <= 15 * (n[:, None] + n)) & (100 * np.minimum(n[:, None], n) >= 85 * np.maximum(n[:, None], n))
+    return n, bits, {(i, j) for i, j in zip(*np.nonzero(near), strict=True) if i < j}
+
+
+def _batches(n, bits, parts, size):
+    """The rows as a task gets them, whole or in pairs of parts, in batches."""
+    m, rows = len(n), []
+    for low in range(parts):
+        for high in range(low, parts):
+            rows += [(7, low, high, i % parts == low != high, i, i, True, n[i], bits[i].view(np.int64).tolist()) for i in range(m) if i % parts in (low, high)]
+    names = ["key", "low", "high", "first", "x", "of_x", "open", "n", "sketch"]
+    return [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[at : at + size], strict=True)], names=names) for at in range(0, len(rows), size)]
+
+
+@pytest.mark.parametrize("parts,size,held", [(1, 1000, 200_000), (3, 17, 50)])
+def test_lists_give_a_forest_then_the_rest(monkeypatch, parts, size, held):
+    """A group of near copies gives at most a row for each member (and pair of parts) before its components are joined, and no pair is lost."""
+    for name in ("ROWS_HELD", "PAIRS_HELD"):
+        monkeypatch.setattr(jaccard, name, held)
+    n, bits, near = _list_of(120, 4)
+    got = lambda whole: [(min(p), max(p)) for b in jaccard._compare(85, whole, iter(_batches(n, bits, parts, size))) for p in zip(b["a"].to_pylist(), b["b"].to_pylist(), strict=True)]
+    assert sorted(got(True)) == sorted(near) and len(near) > 3 * 120
+    forest = got(False)
+    assert set(forest) <= near and len(forest) < 120 * parts * (parts + 1) // 2
+
+    def tops(pairs):
+        part = list(range(120))
+        for a, b in pairs:
+            low, high = sorted((part[a], part[b]))
+            part = [low if p == high else p for p in part]
+        return part
+
+    assert tops(forest) == tops(near)
+
+
 def test_edges(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
     docs = spark.createDataFrame([(None, "a b c d e f", 1), ("x", "a b c d e f", 2), ("b", "A B C d e f", 3), ("x", None, 4)], "doc_id string, text string, component_id int")
