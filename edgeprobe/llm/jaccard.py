@@ -51,7 +51,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, discard, few_at_a_time, small_batches, text_of, written
+from .common import cut, discard, few_at_a_time, freed, small_batches, text_of, written
 from .hashing import GOLD, M, mix, word_hashes
 
 SHINGLE = 5
@@ -498,8 +498,9 @@ def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
-    """The components with further links (a, b)."""
+    """The components with further links (a, b); the shuffles that found these are removed."""
     new = cut(_apart(links.select("a", "b"), comps))
+    freed(links.sparkSession)
     if new.isEmpty():
         return comps
     return components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new))
@@ -721,6 +722,7 @@ def _near_duplicates(docs: DataFrame, id_column: str, method: Method, done: list
 
     size = roots.agg(F.count("*"), F.sum("n")).first()
     found = written(_stars_of(plain, common, method.keys_in_all(mine.agg(F.sum("n")).first()[0] or 0, size[0]), method), "stars", done)
+    freed(spark)
     stars = found.where("key is not null")
     at = lambda c, to: roots.select(F.col("hi").alias(c), F.col("root").alias(to), F.col("n").alias(f"n_{to}"))
     pairs = stars.groupBy("rep", "cls").agg(F.count("*").alias("shared"))
@@ -749,6 +751,7 @@ def _near_duplicates(docs: DataFrame, id_column: str, method: Method, done: list
     blocks = _blocks(stars.join(pairs, ["rep", "cls"]).select("key", "a", "b").where(alike))
     members = cut(_mixed(blocks, comps))
     members = cut(_around(members, _unsettled(members, spare)))
+    freed(spark)
     for salt in range(1, 1 + method.rounds):
         if members.isEmpty():
             break
@@ -762,6 +765,7 @@ def _near_duplicates(docs: DataFrame, id_column: str, method: Method, done: list
         if members.isEmpty():
             break
         opened = cut(_opened(members, spare))
+        freed(spark)
         new = cut(_across(opened, tried, sketches, method, whole))
         comps = _joined(comps, verified(new, plain, method.share))
         if not whole:
