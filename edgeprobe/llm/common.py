@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -92,6 +93,22 @@ def freed(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Meanwhile Spark removes the shuffle files of each frame that is written or checkpointed as that ends, and doesn't wait for
+    the driver's garbage collector, which may find them long after."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def text_of(df: DataFrame, column: str = "text"):
     """The text column with null as empty."""
     return F.coalesce(df[column].cast("string"), F.lit(""))

@@ -20,6 +20,8 @@ the blocks that stay.
 
 *Dealing.*  A chunk sends its keys in rows of packed arrays, one for each bucket that it has keys of; where there are more buckets than ``FAN``, rows of
 several buckets go to tasks that deal them again, many keys at once.  So neither a chunk's work nor the number of partitions grows with the data.
+Keys are cut to 48 bits, and lie by class, with a count for each, for they are most of what is on disk at once.  Blocks that a shorter key
+throws together only give further candidates; a document with two such blocks has one list fewer to do without.
 
 *Hot groups.*  Within a chunk of a partition the members of a block hang on one of them, and only
 that one is dealt out by the block; so a block with a third of all documents sends a row or two for each
@@ -51,7 +53,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, discard, few_at_a_time, freed, small_batches, text_of, written
+from .common import cut, discard, few_at_a_time, freed, shuffles_removed, small_batches, text_of, written
 from .hashing import GOLD, M, mix, word_hashes
 
 SHINGLE = 5
@@ -62,9 +64,11 @@ COMMON_MOST = 200_000
 #: Shingles held at once in a worker, 8 bytes each.
 CHUNK = 600_000
 #: Rows of a bucket of block keys, about: what one task holds of it at a time (some 40 bytes each).
-BUCKET_KEYS = 1_000_000
+BUCKET_KEYS = 2_000_000
+#: Bytes of a key that are sent, and their bits.
+KEY_BYTES, KEY_BITS = 6, np.uint64((1 << 48) - 1)
 #: Most rows into which a chunk's keys are dealt.  More buckets are dealt in two steps, of as many keys at once in the second.
-FAN, AGAIN = 2000, 4_000_000
+FAN, AGAIN = 4000, 4_000_000
 #: Most partitions that buckets are spread over; one reads its buckets one after another.
 MOST_PARTS = 20_000
 #: Most ids that are broadcast (8 bytes each) to pick texts; more are joined by a shuffle.
@@ -261,17 +265,31 @@ def _packed(bucket: int, *cells) -> pa.RecordBatch:
 
 
 def _bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
-    return (key % np.uint64(buckets)).astype(np.int64)
+    return ((key & KEY_BITS) % np.uint64(buckets)).astype(np.int64)
+
+
+def _short(key: np.ndarray) -> np.ndarray:
+    """The low bytes of keys."""
+    return np.ascontiguousarray(key, "<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
+
+
+def _long(data) -> np.ndarray:
+    """Keys of their low bytes."""
+    low = np.frombuffer(data, np.uint8).reshape(-1, KEY_BYTES)
+    out = np.zeros((len(low), 8), np.uint8)
+    out[:, :KEY_BYTES] = low
+    return out.view("<u8")[:, 0]
 
 
 def _deal(head, inner, buckets: int, per: int):
     """A row of packed arrays for each ``per`` buckets that have any of these keys.
 
     ``head`` is (key, representative), each key once; ``inner`` is (key, representative, member) of the others, which are spread
-    by key and member.  Members are packed as numbers into ``classes``.
+    by key and member.  The keys of ``head`` lie by representative, with a count for each of ``classes``; members of ``inner`` are packed as
+    numbers into ``classes``.
     """
     own, other = _bucket_of(head[0], buckets) // per, _bucket_of(mix(inner[0] ^ inner[2].view(np.uint64)), buckets) // per
-    order, inner_order = np.argsort(own, kind="stable"), np.argsort(other, kind="stable")
+    order, inner_order = np.lexsort((head[1], own)), np.argsort(other, kind="stable")
     own, other = own[order], other[inner_order]
     there = np.unique(np.concatenate([own, other]))  # the chunk's own ones, however many there are
     spans = [np.searchsorted(x, there, side) for x in (own, other) for side in ("left", "right")]
@@ -281,7 +299,9 @@ def _deal(head, inner, buckets: int, per: int):
         used, back = np.unique(np.concatenate([w, v, r]), return_inverse=True)
         back = back.astype(np.uint16 if len(used) <= 65536 else np.uint32)
         parts = np.split(back, [len(w), len(w) + len(v)])
-        yield _packed(bucket, head[0][a], parts[0], used, inner[0][b], parts[1], parts[2], None)
+        counts = np.bincount(parts[0], minlength=len(used))
+        counts = counts.astype(np.uint8 if counts.max() < 256 else np.uint32)
+        yield _packed(bucket, _short(head[0][a]), counts, used, inner[0][b], parts[1], parts[2], None)
 
 
 def _keys(common, buckets: int, per: int, keys_from):
@@ -289,10 +309,13 @@ def _keys(common, buckets: int, per: int, keys_from):
     how many lists each class of the chunk can do without."""
 
     def flush(keys, numbers, spare):
-        yield _packed(_bucket_of(numbers[:1].view(np.uint64), buckets)[0] // per, None, None, numbers, None, None, None, np.array(spare, np.int32))
-        key, who = np.concatenate(keys), np.repeat(numbers, [len(k) for k in keys])
+        key, which = np.concatenate(keys) & KEY_BITS, np.repeat(np.arange(len(keys)), [len(k) for k in keys])
         order = np.argsort(key, kind="stable")
-        key, who = key[order], who[order]
+        key, which = key[order], which[order]
+        twice = np.r_[False, (key[1:] == key[:-1]) & (which[1:] == which[:-1])]  # two blocks of one set in one list
+        spare = np.array(spare) - np.bincount(which[twice], minlength=len(spare))
+        yield _packed(_bucket_of(numbers[:1].view(np.uint64), buckets)[0] // per, None, None, numbers, None, None, None, spare.astype(np.int32))
+        key, who = key[~twice], numbers[which[~twice]]
         new = np.r_[True, key[1:] != key[:-1]]
         rep = who[np.flatnonzero(new)][np.cumsum(new) - 1]
         yield from _deal((key[new], who[new]), (key[~new], rep[~new], who[~new]), buckets, per)
@@ -327,8 +350,9 @@ def _unpacked(cells) -> tuple:
     raw = [c.as_buffer() for c in cells]
     classes = np.frombuffer(raw[2], np.int64)
     kind = np.uint16 if len(classes) <= 65536 else np.uint32
-    who, inner_who, inner_rep = (classes[np.frombuffer(raw[c], kind)] for c in (1, 4, 5))
-    return (np.frombuffer(raw[0], np.uint64), who), (np.frombuffer(raw[3], np.uint64), inner_rep, inner_who)
+    who = np.repeat(classes, np.frombuffer(raw[1], np.uint8 if raw[1].size == len(classes) else np.uint32))
+    inner_who, inner_rep = (classes[np.frombuffer(raw[c], kind)] for c in (4, 5))
+    return (_long(raw[0]), who), (np.frombuffer(raw[3], np.uint64), inner_rep, inner_who)
 
 
 def _dealt_again(buckets: int, per: int):
@@ -376,15 +400,16 @@ def _stars(batches):
 
     def flush():
         key, cls, inner_key, inner_rep, inner_cls = (np.concatenate([h[i] for h in held]) for i in range(5))
+        held.clear()
         order = np.lexsort((cls, key))
         key, cls = key[order], cls[order]
+        del order
         new = np.r_[True, key[1:] != key[:-1]][: len(key)]
         rep = cls[np.flatnonzero(new)][np.cumsum(new) - 1] if len(key) else cls
         other = rep != cls
         out = [np.concatenate(x) for x in ((key[other], inner_key), (rep[other], inner_rep), (cls[other], inner_cls))]
         for at in range(0, len(out[0]), 200_000):
             yield pa.RecordBatch.from_arrays([_signed(out[0][at : at + 200_000]), *(pa.array(x[at : at + 200_000]) for x in out[1:])], names=["key", "rep", "cls"])
-        held.clear()
 
     for b in batches:
         for i in range(b.num_rows):
@@ -397,7 +422,7 @@ def _stars(batches):
                 yield from flush()
             bucket = k.as_py()
             (key, who), (inner_key, inner_rep, inner_who) = _unpacked(cells)
-            held.append([key.copy(), who, inner_key.copy(), inner_rep, inner_who])
+            held.append([key, who, inner_key.copy(), inner_rep, inner_who])
     if held:
         yield from flush()
 
@@ -703,9 +728,11 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", method: Method =
     spark = small_batches(docs.sparkSession)
     done: list[str] = []
     try:
-        return _near_duplicates(docs, id_column, method, done)
+        with shuffles_removed(spark):
+            out = _near_duplicates(docs, id_column, method, done)
     finally:
         discard(spark, done)  # the components are checkpointed; only the profile is read from here on
+    return out.select("*")  # whose shuffles stay as long as the session says
 
 
 def _near_duplicates(docs: DataFrame, id_column: str, method: Method, done: list[str]) -> DataFrame:

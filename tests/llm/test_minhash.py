@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from edgeprobe.llm import jaccard, minhash
+from edgeprobe.llm import common, jaccard, minhash
 
 VOCAB = [a + b for a in ("ka", "lo", "mi", "ter", "sun", "vel", "dra", "po") for b in ("n", "ra", "st", "lik", "mo", "e")]
 
@@ -136,6 +136,58 @@ def test_dealing_costs_what_the_chunk_has():
     assert content(again) == content(once)
 
 
+def _dealt_keys(sets, buckets, per=1):
+    """What a chunk of texts sends, with these keys for its texts; and the bytes of it."""
+    texts = [" ".join(f"{k}x{i}" for i in range(6)) for k in range(len(sets))]
+    keys = iter(sets)
+    run = jaccard._keys(type("Sent", (), {"value": []}), buckets, per, lambda common: lambda s: (next(keys), 3))
+    rows = list(run([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])]))
+    names = [jaccard.digest(jaccard.shingles(t))[0] for t in texts]
+    return rows, names, sum(len(b.column(c)[0].as_buffer()) for b in rows for c in range(1, 8) if b.column(c)[0].is_valid)
+
+
+@pytest.mark.parametrize("buckets,per,most", [(1, 1, 6.5), (50, 1, 8.5), (50, 8, 7)])
+def test_bytes_of_dealt_keys(buckets, per, most):
+    """A key is sent in six bytes besides its class, once for all of the class's keys in a row (ten before), and comes back with it."""
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 2**63, 200).astype(np.uint64)) for _ in range(300)]
+    rows, names, sent = _dealt_keys(sets, buckets, per)
+    found = []
+    for b in rows:
+        if not b.column(7)[0].is_valid:
+            key, who = jaccard._unpacked([b.column(c)[0] for c in range(1, 7)])[0]
+            assert (jaccard._bucket_of(key, buckets) // per == b.column(0)[0].as_py()).all()
+            found += zip(key.tolist(), who.tolist(), strict=True)
+    assert sorted(found) == sorted((k & (2**48 - 1), name) for name, s in zip(names, sets, strict=True) for k in s.tolist())
+    assert sent < most * len(found)
+
+
+def test_keys_that_fall_together():
+    """Keys of two texts with the same low bits make one list; two such of one text leave it one list fewer to do without."""
+    a, b = np.array([5, 5 + 2**48, 7], np.uint64), np.array([7 + 2**50, 9], np.uint64)
+    rows, names, _ = _dealt_keys([a, b], 1)
+    assert [(b.column(3)[0].as_buffer().to_pybytes(), np.frombuffer(b.column(7)[0].as_buffer(), np.int32).tolist()) for b in rows if b.column(7)[0].is_valid] == [(np.array(names).tobytes(), [2, 3])]
+    stars = [(k, r, c) for x in jaccard._stars(rows) for k, r, c in zip(*(x.column(i).to_pylist() for i in range(3)), strict=True) if k is not None]
+    assert [(k, {r, c}) for k, r, c in stars] == [(7, set(names))]
+
+
+def test_shuffles_go_with_their_job(spark):
+    """Shuffle files go as a frame has been checkpointed, and the session is then as it was."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    files = lambda: {f for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    before, was = files(), spark.conf.get(key, None)
+    with common.shuffles_removed(spark):
+        kept = [f(spark.range(1000).repartition(7, "id")) for f in (common.cut, lambda df: common.written(df, "dealt"))]
+        for _ in range(50):
+            if not (left := files() - before):
+                break
+            time.sleep(0.1)
+    assert not left and [df.count() for df in kept] == [1000, 1000]
+    assert spark.conf.get(key, None) == was
+    found = jaccard.near_duplicates(spark.createDataFrame([(1, "a b c"), (2, "A b c")], "doc_id bigint, text string"))
+    assert [rows_of(found) for _ in range(2)] == [[(1, 1, 1), (2, 1, 1)]] * 2 and spark.conf.get(key, None) == was
+
+
 def _list_of(m, seed):
     """A list's rows: members within and beyond the bound of each other, each a component of its own."""
     rng = np.random.default_rng(seed)
