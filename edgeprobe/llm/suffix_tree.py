@@ -11,8 +11,9 @@ Counts cover the whole training corpus, and every n-gram that occurs ``LEAST`` t
 Nothing is broadcast and no n-gram is a row.  Texts are written once, as chunks of numbered words; a chunk sends the
 sorted distinct hashes of its words, pairs, triples and contexts, cut by ranges of the hash, with its own counts or
 sums, and gets back what all chunks together make of each.  Words and pairs go first, then triples of pairs that come
-often enough and contexts of one word, then contexts of two, then which words are suffixes of those; at last each
-chunk scores its texts.  Chunks and answers are bucketed by chunk alike, so that only questions and answers are
+often enough and contexts of one word, then contexts of two; at last each chunk scores its texts.  Whoever decides on a
+context of two passes its last word on, if that is no state by itself, so that which words are suffixes of states is found
+without the chunks.  Chunks and answers are bucketed by chunk alike, so that only questions and answers are
 shuffled.  A key is sent once by a chunk, however often it occurs there.  Words and n-grams are told by 64-bit hashes.
 ``grow`` and ``log_scores`` say the same in memory.
 
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bucketed, by_chunk, crc_bucket, discard, few_at_a_time, freed, shared_path, small_batches, text_of, written
-from .hashing import GOLD, M, mix, word_hashes
+from .hashing import GOLD, M, hashes_of_texts, mix
 
 #: Least count of an n-gram of the tree, however many tokens there are.
 LEAST = 2
@@ -46,10 +47,11 @@ END = b" "
 #: Tokens of a chunk, at least one text each; keys that one range of the hash gets, on average.
 _TOKENS = 1_000_000
 _KEYS = 1_000_000
-#: What chunks ask about: words, pairs, triples, contexts of one word and of two, and contexts as suffixes of others.
-WORD, PAIR, TRIPLE, ONE, TWO, SUFFIX = range(6)
+#: What chunks ask about: words, pairs, triples, contexts of one word and of two, and contexts as suffixes of others; those are
+#: unsure until all contexts of two are decided.
+WORD, PAIR, TRIPLE, ONE, TWO, SUFFIX, UNSURE = range(7)
 _COUNTS = (WORD, PAIR, TRIPLE)
-_ASKED = "kind int, part bigint, chunk bigint, keys binary, own binary"
+_ASKED = "kind int, part bigint, chunk bigint, keys binary, own binary, of binary"
 _TOLD = "chunk bigint, kind int, part bigint, told binary, distinct bigint"
 
 
@@ -58,27 +60,55 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-_END = np.array([GOLD], np.uint64)
-
-
 def planes(x: np.ndarray) -> bytes:
     """Numbers as bytes: the first of each, then the second of each and so on, so that bytes that are all zero compress."""
-    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    of_each = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize)
+    out = np.empty(of_each.shape[::-1], np.uint8)
+    for k in range(x.itemsize):  # several times as fast as a transposed copy
+        out[k] = of_each[:, k]
+    return out.tobytes()
 
 
 def from_planes(data: bytes, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+    each = np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    out = np.empty(each.shape[::-1], np.uint8)
+    for k, x in enumerate(each):
+        out[:, k] = x
+    return out.view(kind).ravel()
+
+
+def _sorted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted values, and the place of each; equal ones keep their order.
+
+    Values are sorted as numbers of their leading bits and their place, which takes less than half the time of ``argsort``; where
+    different hashes have the same leading bits and come out in the wrong order, all are sorted again.
+    """
+    if len(x) < 2:
+        return x, np.arange(len(x))
+    low, bits = x.min(), len(x).bit_length()
+    over = np.uint64(max(0, int(x.max() - low).bit_length() + bits - 64))
+    both = (x - low) >> over
+    both <<= np.uint64(bits)
+    both |= np.arange(len(x), dtype=np.uint64)
+    both.sort()
+    both &= np.uint64((1 << bits) - 1)
+    order = both.view(np.int64)
+    out = x[order]
+    if (out[1:] < out[:-1]).any():
+        order = np.argsort(x, kind="stable")
+        out = x[order]
+    return out, order
 
 
 def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct values, a place of each, and for each element the place of its value."""
-    order = np.argsort(x)
-    x = x[order]
-    new = np.concatenate((np.ones(min(1, len(x)), bool), x[1:] != x[:-1]))
+    """Sorted distinct values, the first place of each, and for each element the place of its value."""
+    x, order = _sorted(x)
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
     back = np.empty(len(x), np.int64)
     back[order] = np.cumsum(new) - 1
-    return x[new], order[new], back
+    first = np.flatnonzero(new)
+    return x[first], order[first], back
 
 
 def _packed(keys: np.ndarray) -> bytes:
@@ -110,8 +140,9 @@ def _chunks(batches, size: int):
 
     for part in few_at_a_time(batches, 2):
         at = 0
-        for k, (out, text) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)):
-            hashes.append(np.concatenate((word_hashes(text.encode("utf-8", "surrogatepass").lower()), _END)))
+        texts = hashes_of_texts((text.encode("utf-8", "surrogatepass").lower() for text in part.column(2).to_pylist()), GOLD)
+        for k, (out, own) in enumerate(zip(part.column(1).to_pylist(), texts, strict=True)):
+            hashes.append(own)
             held.append(out)
             tokens += len(hashes[-1])
             if tokens >= size:
@@ -125,12 +156,25 @@ def _chunks(batches, size: int):
         yield chunk()
 
 
-def _asked(chunk: int, kind: int, parts: int, keys: np.ndarray, own: list[np.ndarray]) -> list[tuple]:
-    """A row for each range of the hash that has some of the sorted ``keys``, with the chunk's own numbers or sums."""
-    packed = _sums_packed if kind in (ONE, TWO) else lambda x: planes(x[0])
+def _ranges(keys: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
+    """The ranges of the hash that have some of the sorted ``keys``, and from where to where those are."""
     part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
     edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(keys)]
-    return [(kind, int(part[lo]), chunk, _packed(keys[lo:hi]), packed([x[lo:hi] for x in own])) for lo, hi in zip(edges, edges[1:]) if hi > lo]
+    return [(int(part[lo]), lo, hi) for lo, hi in zip(edges, edges[1:]) if hi > lo]
+
+
+def _asked(chunk: int, kind: int, parts: int, keys: np.ndarray, own: list[np.ndarray], of: np.ndarray | None = None, some: np.ndarray | None = None) -> list[tuple]:
+    """A row for each range of the hash that has some of the sorted ``keys``, with the chunk's own numbers or sums; ``of``: the
+    last words of ``some`` of the contexts."""
+    packed = _sums_packed if kind in (ONE, TWO) else lambda x: planes(x[0])
+
+    def last(lo: int, hi: int) -> bytes | None:
+        if of is None:
+            return None
+        at = np.flatnonzero(some[lo:hi])
+        return planes(np.concatenate((at.astype(np.uint64), of[lo:hi][at])))
+
+    return [(kind, part, chunk, _packed(keys[lo:hi]), packed([x[lo:hi] for x in own]), last(lo, hi)) for part, lo, hi in _ranges(keys, parts)]
 
 
 #: Sums of a context over the next symbols that a chunk speaks for: how many, their count, the context's; gain, what its suffix gives them.
@@ -152,27 +196,34 @@ def _sums_unpacked(data: bytes, n: int) -> np.ndarray:
 
 
 def _rows(rows: list[tuple]) -> pa.Table:
-    types = (("kind", pa.int32()), ("part", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("own", pa.binary()))
+    types = (("kind", pa.int32()), ("part", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("own", pa.binary()), ("of", pa.binary()))
     return pa.table([pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(types)], names=[x for x, _ in types])
 
 
-def _answers(asked: pa.Table, least: float) -> pa.Table:
+def _told(chunk, kind, part, told: list[bytes], distinct: list[int] | None = None) -> pa.Table:
+    columns = (chunk, kind, part, pa.array(told, pa.binary()), pa.array(distinct or [0] * len(told), pa.int64()))
+    return pa.table(columns, names=["chunk", "kind", "part", "told", "distinct"])
+
+
+def _answers(asked: pa.Table, least: float, parts: int = 1) -> pa.Table:
     """What all chunks together make of the keys of one kind in one range of the hash, for each chunk in its own order.
 
     Counts: twice the count (0 for n-grams below ``least``), and 1 more for the chunk with the smallest number, which
     speaks for the key in sums.  Contexts: what is left to the suffix; for those of one word negative if they diverge too
-    little, for those of two 0.  Suffixes: whether any chunk says so.
+    little, for those of two 0, and rows of no chunk with the words that are suffixes of states.  Words that chunks are unsure
+    about are kept as they are.
     """
     asked = asked.sort_by("chunk")
-    kind, keys = asked["kind"][0].as_py(), [_unpacked(x) for x in asked["keys"].to_pylist()]
+    kind = asked["kind"][0].as_py()
+    if kind == UNSURE:
+        return _told(asked["chunk"], asked["kind"], asked["part"], asked["keys"].to_pylist())
+    keys = [_unpacked(x) for x in asked["keys"].to_pylist()]
     size = np.array([len(k) for k in keys])
     if kind in (ONE, TWO):
         own = [_sums_unpacked(x, n) for x, n in zip(asked["own"].to_pylist(), size.tolist(), strict=True)]
     else:
-        own = [from_planes(x, np.uint8 if kind == SUFFIX else np.uint32)[None] for x in asked["own"].to_pylist()]
-    every = np.concatenate(keys)
-    order = np.argsort(every)
-    every = every[order]
+        own = [from_planes(x, np.uint32)[None] for x in asked["own"].to_pylist()]
+    every, order = _sorted(np.concatenate(keys))
     own = np.concatenate(own, axis=1)[:, order]
     new = np.concatenate(([True], every[1:] != every[:-1]))
     first, group = np.flatnonzero(new), np.cumsum(new) - 1
@@ -185,8 +236,6 @@ def _answers(asked: pa.Table, least: float) -> pa.Table:
         told = total[group] << np.uint64(1)
         chunk = np.repeat(np.arange(len(size), dtype=np.int32), size)[order]
         told |= ((chunk == np.minimum.reduceat(chunk, first)[group]) & (total > 0)[group]).astype(np.uint64)
-    elif kind == SUFFIX:
-        told = np.maximum.reduceat(own[0], first)[group]
     else:
         symbols, taken, of_parent, gain = (np.add.reduceat(own[k], first) for k in (0, 1, 4, 3))
         total = np.maximum(np.maximum.reduceat(own[2], first), 1.0)
@@ -194,9 +243,36 @@ def _answers(asked: pa.Table, least: float) -> pa.Table:
         told = np.where(symbols > 0, np.where(keep, left, -left if kind == ONE else 0.0), 0.0)[group]
     back = np.empty_like(told)
     back[order] = told
-    mine = [planes(x) for x in np.split(back, np.cumsum(size)[:-1])]
-    counted = pa.array([distinct] + [0] * (len(mine) - 1), pa.int64())
-    return pa.table([asked["chunk"], asked["kind"], asked["part"], pa.array(mine, pa.binary()), counted], names=["chunk", "kind", "part", "told", "distinct"])
+    mine = np.split(back, np.cumsum(size)[:-1])
+    told = _told(asked["chunk"], asked["kind"], asked["part"], [planes(x) for x in mine], [distinct] + [0] * (len(mine) - 1))
+    if kind == TWO:
+        told = pa.concat_tables([told, _last_words(asked, mine, parts)])
+    return told
+
+
+def _last_words(asked: pa.Table, told: list[np.ndarray], parts: int) -> pa.Table:
+    """The distinct last words of the states among contexts of two, as far as chunks are unsure about them, by range.
+
+    Their rows have a number below 0, which is that of no chunk, and another one for each range of contexts.
+    """
+    found = [np.empty(0, np.uint64)]
+    for x, left in zip(asked["of"].to_pylist(), told, strict=True):
+        at, words = from_planes(x, np.uint64).reshape(2, -1)
+        found.append(words[left[at.astype(np.int64)] > 0])
+    words = np.unique(np.concatenate(found))
+    ranges, n = _ranges(words, parts), -1 - asked["part"][0].as_py()
+    kinds = pa.array([UNSURE] * len(ranges), pa.int32())
+    return _told(pa.array([n] * len(ranges), pa.int64()), kinds, pa.array([r[0] for r in ranges], pa.int64()), [_packed(words[lo:hi]) for _, lo, hi in ranges])
+
+
+def _suffixes(rows: pa.Table) -> pa.Table:
+    """For each chunk and word of one range of the hash that it is unsure about, whether that is the suffix of a state."""
+    chunks = rows["chunk"].to_pylist()
+    words = [_unpacked(x) for x in rows["told"].to_pylist()]
+    found = np.unique(np.concatenate([np.empty(0, np.uint64), *(x for k, x in zip(chunks, words, strict=True) if k < 0)]))
+    own = [k for k, n in enumerate(chunks) if n >= 0]
+    told = [planes((lookup(found, words[k]) >= 0).astype(np.uint8)) for k in own]
+    return _told(rows["chunk"].take(own), pa.array([SUFFIX] * len(own), pa.int32()), rows["part"].take(own), told)
 
 
 def _decided(symbols, taken, of_parent, gain, total) -> tuple[np.ndarray, np.ndarray]:
@@ -211,22 +287,25 @@ class _Chunk:
 
     def __init__(self, row: dict, answers: pa.Table | None = None):
         self.id, self.ids = row["chunk"], row["ids"]
-        self.words, self.codes = _unpacked(row["words"]), from_planes(row["codes"], np.uint32)
+        self.words, self.codes = _unpacked(row["words"]), from_planes(row["codes"], np.uint32).astype(np.intp)
         self.lengths = from_planes(row["lengths"], np.int64)
         self.held = np.frombuffer(row["held"], np.uint8).astype(bool)
         self.train = np.repeat(~self.held, self.lengths)
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self.place = np.arange(len(self.codes)) - np.repeat(self.starts, self.lengths)
         self.told = defaultdict(list)
         if answers is not None:
             found = zip(*(answers[x].to_pylist() for x in ("kind", "part", "told")), strict=True)
             for kind, _, x in sorted(found, key=lambda r: r[:2]):
                 self.told[kind].append(from_planes(x, np.uint64 if kind in _COUNTS else np.uint8 if kind == SUFFIX else np.float64))
         # Pairs: where they end, their key, the words that they are of.
-        self.at = np.flatnonzero(self.place >= 1)
-        b, c = self.codes[self.at - 1], self.codes[self.at]
-        self.pairs, first, self.pair = _distinct(mix(self.words[b] * M + self.words[c]))
-        self.pair_b, self.pair_c = b[first], c[first]
+        inside = np.ones(len(self.codes), bool)
+        inside[self.starts] = False
+        self.at = np.flatnonzero(inside)
+        # Those of them that end a triple: its first pair is the one before.
+        self.second = np.flatnonzero(inside[self.at - 1])
+        hashes = self.words[self.codes]
+        self.pairs, first, self.pair = _distinct(mix(hashes[:-1] * M + hashes[1:])[inside[1:]])
+        self.pair_b, self.pair_c = self.codes[self.at[first] - 1], self.codes[self.at[first]]
 
     def _heard(self, kind: int) -> np.ndarray:
         return np.concatenate(self.told[kind]) if self.told[kind] else np.empty(0, np.uint64 if kind in _COUNTS else np.float64)
@@ -240,21 +319,16 @@ class _Chunk:
         self.p0 = (self.count + SMOOTH) / floor
         told = self._heard(PAIR)
         self.pair_n, self.pair_own = (told >> np.uint64(1)).astype(np.int64), (told & np.uint64(1)).astype(bool)
-        of = np.full(len(self.codes), -1, np.int64)
-        of[self.at] = self.pair
-        third = self.at[self.place[self.at] >= 2]
-        x, y = of[third - 1], of[third]
-        self.third, self.first2, self.last2 = third, x, y
         # They come often enough and something follows them.
         one, two = np.zeros(len(self.words), bool), np.zeros(len(self.pairs), bool)
-        one[self.pair_b], two[x] = True, True
+        one[self.pair_b], two[self.pair[self.second - 1]] = True, True
         self.ones, self.twos = np.flatnonzero(one & (self.count >= LEAST)), np.flatnonzero(two & (self.pair_n > 0))
 
     def find_triples(self) -> None:
         """Triples both of whose pairs are in the tree."""
-        x, y = self.first2, self.last2
-        on = (self.pair_n[x] > 0) & (self.pair_n[y] > 0)
-        self.at3, x, y = self.third[on], x[on], y[on]
+        often = (self.pair_n > 0)[self.pair]
+        on = self.second[often[self.second - 1] & often[self.second]]
+        self.at3, x, y = self.at[on], self.pair[on - 1], self.pair[on]
         self.triples, first, self.triple = _distinct(mix(self.pairs[x] * M + self.pairs[y]))
         self.triple_ab, self.triple_bc = x[first], y[first]
 
@@ -282,20 +356,16 @@ class _Chunk:
             triples = _asked(self.id, TRIPLE, parts, self.triples, [self._counted(self.triple, self.at3, len(self.triples))])
             return triples + _asked(self.id, ONE, parts, self.words[self.ones], sums)
         self.single()
-        if step == 2:
-            self.find_triples()
-            told = self._heard(TRIPLE)
-            own = np.flatnonzero(told & np.uint64(1))
-            n, ab, bc = (told[own] >> np.uint64(1)).astype(np.int64), self.triple_ab[own], self.triple_bc[own]
-            b = self.pair_b[bc]
-            parent = (self.pair_n[bc] - DISCOUNT) / self.count[b] + np.abs(self.left1[b]) * self.p0[self.pair_c[bc]]
-            sums = self._sums(np.searchsorted(self.twos, ab), n, parent, self.pair_n[ab], self.twos, self.pair_n[self.twos])
-            return _asked(self.id, TWO, parts, self.pairs[self.twos], sums)
-        states = self.twos[self._heard(TWO) > 0]
-        suffix = np.zeros(len(self.words), np.uint8)
-        suffix[self.pair_c[states]] = 1
-        unsure = self.ones[self.left1[self.ones] < 0]
-        return _asked(self.id, SUFFIX, parts, self.words[unsure], [suffix[unsure]])
+        self.find_triples()
+        told = self._heard(TRIPLE)
+        own = np.flatnonzero(told & np.uint64(1))
+        n, ab, bc = (told[own] >> np.uint64(1)).astype(np.int64), self.triple_ab[own], self.triple_bc[own]
+        b = self.pair_b[bc]
+        parent = (self.pair_n[bc] - DISCOUNT) / self.count[b] + np.abs(self.left1[b]) * self.p0[self.pair_c[bc]]
+        sums = self._sums(np.searchsorted(self.twos, ab), n, parent, self.pair_n[ab], self.twos, self.pair_n[self.twos])
+        last, unsure = self.pair_c[self.twos], self.ones[self.left1[self.ones] < 0]
+        contexts = _asked(self.id, TWO, parts, self.pairs[self.twos], sums, self.words[last], self.left1[last] < 0)
+        return contexts + _asked(self.id, UNSURE, parts, self.words[unsure], [np.empty(0, np.uint8)])
 
     def scores(self, floor: float, total: int) -> pa.Table:
         """The texts' rows."""
@@ -304,21 +374,22 @@ class _Chunk:
         self.single()
         unsure = self.ones[self.left1[self.ones] < 0]
         self.left1[unsure] = np.where(self._heard(SUFFIX) > 0, -self.left1[unsure], 0.0)
-        p0 = self.p0[self.codes]
-        b, n = self.codes[self.at - 1], self.pair_n[self.pair]
+        # By pair, then by token; the first of a text has no context.
+        b, n, p0 = self.pair_b, self.pair_n, self.p0[self.pair_c]
         left = self.left1[b]
-        p = p0.copy()
-        p[self.at] = np.where(left > 0, np.where(n > 0, (n - DISCOUNT) / np.maximum(self.count[b], 1), 0.0) + left * p0[self.at], p0[self.at])
+        one = np.where(left > 0, np.where(n > 0, (n - DISCOUNT) / np.maximum(self.count[b], 1), 0.0) + left * p0, p0)
+        p = np.empty(len(self.codes))
+        p[self.starts], p[self.at] = self.p0[self.codes[self.starts]], one[self.pair]
         left2 = np.zeros(len(self.pairs))
         left2[self.twos] = self._heard(TWO)
         n3 = np.zeros(len(self.codes), np.int64)
         n3[self.at3] = (self._heard(TRIPLE) >> np.uint64(1)).astype(np.int64)[self.triple]
-        third, ab = self.third, self.first2
-        third, ab = third[left2[ab] > 0], ab[left2[ab] > 0]
+        on = self.second[(left2 > 0)[self.pair[self.second - 1]]]
+        third, ab = self.at[on], self.pair[on - 1]
         p[third] = np.where(n3[third] > 0, (n3[third] - DISCOUNT) / self.pair_n[ab], 0.0) + left2[ab] * p[third]
         each = lambda x: np.add.reduceat(x, self.starts)
-        known = each((self.count[self.codes] > 0).astype(np.int64))
-        columns = [pa.array(x) for x in (self.held, self.lengths, known, np.full(len(known), total, np.int64), each(np.log10(p0)), each(np.log10(p)))]
+        known = each((self.count > 0).astype(np.int64)[self.codes])
+        columns = [pa.array(x) for x in (self.held, self.lengths, known, np.full(len(known), total, np.int64), each(np.log10(self.p0)[self.codes]), each(np.log10(p)))]
         return pa.table([self.ids, *columns], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
@@ -473,18 +544,22 @@ def score_texts(docs: DataFrame, id_column: str = "doc_id", gram_share: float =
         tokens, total = (x or 0 for x in chunks.agg(F.sum("tokens"), F.sum("train")).first())
         parts, least = max(1, -(-tokens // _KEYS)), max(float(LEAST), gram_share * total)
         floor, answers = 1.0, None
-        for step in range(4):
+        for step in range(3):
             if step == 0:
                 asked = chunks.mapInArrow(lambda batches: _first_asked(batches, parts), _ASKED)
             else:
                 asked = by_chunk(chunks, answers, _asking(step, parts, floor), _ASKED)
-            told = asked.groupBy("kind", "part").applyInArrow(lambda t: _answers(t, least), _TOLD)
+            told = asked.groupBy("kind", "part").applyInArrow(lambda t: _answers(t, least, parts), _TOLD)
             answers = bucketed(told.repartition(buckets, "chunk"), names[1], paths[1], buckets)
             asked = told = None
             freed(spark)
             if step == 0:
                 distinct = answers.where(F.col("kind") == WORD).agg(F.sum("distinct")).first()[0] or 0
                 floor = total + SMOOTH * (distinct + 1)
+        told = answers.where(F.col("kind") == UNSURE).groupBy("part").applyInArrow(_suffixes, _TOLD)
+        answers = bucketed(told.repartition(buckets, "chunk"), names[1], paths[1], buckets).where(F.col("kind") != UNSURE)
+        told = None
+        freed(spark)
         result = f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
         return written(by_chunk(chunks, answers, _scoring(floor, total), result), "scores").withColumnRenamed("id", id_column)
     finally:
